@@ -1,12 +1,14 @@
 """The queries of this subpackage and their SQL, by name."""
 
-from loomery.llm import line_dedup, sharding
+from loomery.llm import decontaminate, line_dedup, sharding
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
+    "op8_decontamination": decontaminate.op8_decontamination,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 
 ORACLE_SQL = {
+    "op8_decontamination": decontaminate.OP8_SQL,
     "op10_line_dedup": line_dedup.OP10_SQL,
 }
