@@ -1,6 +1,6 @@
 """Quality by supervised subword embeddings.
 
-A document is the mean of the vectors of its words and of their character n-grams, all hashed into one table; a softmax
+A document is the mean of the vectors of its words, word pairs and character n-grams, all hashed into one table; a softmax
 layer on top gives the classes. Table and layer are trained together by stochastic gradient descent in numpy. Since the
 layer is linear, the trained table folds to one number for each slot (the difference of the two classes' logits), and
 scoring a document is a mean of look-ups, vectorised over whole batches of text.
@@ -30,6 +30,9 @@ RATE = 0.5
 PER_CLASS = 3000
 BATCH_CHARS = 1 << 20
 
+REPEATED = 77_777
+PADDING = 6.0  # features of no weight that every document has: the mean over a few words stays moderate
+
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -42,7 +45,7 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 def feature_slots(texts: list[str | None], slots: int = SLOTS) -> tuple[np.ndarray, np.ndarray]:
-    """(slot of each feature, document of each feature) of the words and the n-grams within them.
+    """(slot of each feature, document of each feature) of the words, pairs of neighbours and n-grams within words.
 
     Words are runs without blanks; n-grams see a word with one blank at either end, as their boundary marks.
     """
@@ -73,8 +76,15 @@ def feature_slots(texts: list[str | None], slots: int = SLOTS) -> tuple[np.ndarr
             place = letters - np.repeat(starts, ends - starts)
             terms = (codes[letters] + np.uint64(1)) * power[place]
             sums = np.add.reduceat(terms, np.r_[0, np.cumsum(ends - starts)[:-1]])
-            found.append(_mixed(sums) % np.uint64(slots))
+            words = _mixed(sums)
+            found.append(words % np.uint64(slots))
             owners.append(owner[starts])
+            pair = owner[starts[1:]] == owner[starts[:-1]]
+            one, two = words[:-1][pair], words[1:][pair]
+            # a pair of equal words is one feature, whatever the word
+            both = np.where(one == two, np.uint64(REPEATED), _mixed(one * _MULTIPLIER + two))
+            found.append(both % np.uint64(slots))
+            owners.append(owner[starts[1:]][pair])
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate(found).astype(np.int64), np.concatenate(owners)
@@ -96,7 +106,7 @@ class QualityModel:
             slots, owner = feature_slots(texts[at:end], len(self.table))
             total = np.bincount(owner, self.table[slots], end - at)
             count = np.bincount(owner, minlength=end - at)
-            out[at:end] = total / np.maximum(1, count)
+            out[at:end] = total / (PADDING + count)
             at = end
         return 1 / (1 + np.exp(-np.clip(out + self.bias, -30, 30)))
 
@@ -111,7 +121,7 @@ def fit(sample: list[tuple[int, str]], seed: int = 11, slots: int = SLOTS) -> Qu
     docs = []
     for _, text in sample:
         found, counts = np.unique(feature_slots([text], slots)[0], return_counts=True)
-        docs.append((found, (counts / max(1, counts.sum())).astype(np.float32)))
+        docs.append((found, (counts / (PADDING + counts.sum())).astype(np.float32)))
     rng = np.random.default_rng(seed)
     vectors = ((rng.random((slots, DIM)) - 0.5) / DIM).astype(np.float32)
     layer, bias = np.zeros((2, DIM), np.float32), np.zeros(2, np.float32)

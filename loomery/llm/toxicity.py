@@ -27,10 +27,12 @@ from loomery.llm.shared import free_name
 WINDOW = 48
 STRIDE = 32
 GRAM = 5
-BASE_BYTES = 32000  # with the toxic segments within the compressor's reach
-SEGMENT_BYTES = 4096
-MIN_SHARE = 0.02  # of the toxic texts that a gram must be in
-MIN_RATIO = 20.0  # of its shares in toxic and ordinary texts
+BASE_BYTES = 39999  # a multiple of FILL
+REACH = 45000  # the size that either dictionary's tables are laid out for
+SEGMENT_BYTES = 1024
+FILL = 3  # positions between a dictionary's entries in the compressor's tables
+MIN_SHARE = 0.03  # of the toxic texts that a gram must be in
+MIN_RATIO = 60.0  # of its shares in toxic and ordinary texts
 LEVEL = 3
 SAVED = (1, 2, 3, 4, 5, 6)  # bytes saved, the thresholds
 PER_CLASS = 4000
@@ -55,7 +57,7 @@ def without_copies(texts: list[bytes]) -> list[bytes]:
     """One text of each group that shares its least 16-byte run by hash: copies must not make a string look common."""
     seen: dict = {}
     for text in texts:
-        g = np.concatenate([grams(text, 8)]) if len(text) >= 16 else np.zeros(0, np.uint64)
+        g = grams(text, 8)
         if len(g) > 8:
             with np.errstate(over="ignore"):
                 h = g[:-8] * np.uint64(0x9E3779B97F4A7C15) + g[8:]
@@ -75,10 +77,11 @@ def doc_frequency(texts: list[bytes], wanted: np.ndarray | None = None) -> tuple
         return np.unique(np.concatenate(parts or [np.zeros(0, np.uint64)]), return_counts=True)
     counts = np.zeros(len(wanted), np.int64)
     for t in texts:
-        at = np.searchsorted(wanted, np.unique(grams(t)))
-        at_known = at[at < len(wanted)]
-        g = np.unique(grams(t))[at < len(wanted)]
-        counts[at_known[wanted[at_known] == g]] += 1
+        g = np.unique(grams(t))
+        at = np.searchsorted(wanted, g)
+        inside = at < len(wanted)
+        at, g = at[inside], g[inside]
+        counts[at[wanted[at] == g]] += 1
     return wanted, counts
 
 
@@ -106,10 +109,10 @@ def toxic_segments(toxic: list[bytes], ordinary: list[bytes]) -> bytes:
     if not toxic:
         return b""
     values, inside = doc_frequency(toxic)
-    often = inside >= max(3, MIN_SHARE * len(toxic))
+    often = inside >= max(5, MIN_SHARE * len(toxic))
     values, inside = values[often], inside[often]
     _, outside = doc_frequency(ordinary, values)
-    apart = inside / len(toxic) >= MIN_RATIO * (outside + 0.5) / max(1, len(ordinary))
+    apart = inside / len(toxic) >= MIN_RATIO * outside / max(1, len(ordinary))
     good, counts = values[apart], inside[apart]
     if not len(good):
         return b""
@@ -126,6 +129,18 @@ def toxic_segments(toxic: list[bytes], ordinary: list[bytes]) -> bytes:
     return b"".join(reversed(chosen))
 
 
+def aligned(segments: bytes) -> bytes:
+    """The segments at each remainder of FILL, and the whole a multiple of it.
+
+    zstandard's fast strategies enter every third position of a dictionary only, so a segment must be there at each
+    offset to be found. They come last, where later entries of the tables do not replace theirs.
+    """
+    out = b""
+    for shift in range(FILL):
+        out += b" " * ((shift - len(out)) % FILL) + segments
+    return out + b" " * (-len(out) % FILL)
+
+
 def base_strings(ordinary: list[bytes]) -> bytes:
     """What zstandard's trainer finds in ordinary text; the text itself where there is too little to train on."""
     import zstandard
@@ -146,12 +161,12 @@ class ToxicityModel:
     def compressors(self):
         import zstandard
 
-        for content in (self.base, self.segments + self.base):
+        for content in (self.base, self.base + aligned(self.segments)):
             if len(content) < 8:
                 content += b" " * 8
             own = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             params = zstandard.ZstdCompressionParameters.from_level(
-                LEVEL, source_size=WINDOW, dict_size=len(content), write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS
+                LEVEL, source_size=WINDOW, dict_size=REACH, write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS
             )
             own.precompute_compress(compression_params=params)
             yield zstandard.ZstdCompressor(dict_data=own, compression_params=params).compress
@@ -199,8 +214,8 @@ def fit(sample: list[tuple[int, str]]) -> ToxicityModel:
     one, other = model.compressors()
     y = np.array([y for y, _ in rest], float)
     x = np.array([model.features(t, one, other) for _, t in rest])
-    balance = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())) * len(y)
-    model.weights = fit_logistic(x, y, balance, ridge=0.3).tolist()
+    share = min(max(y.mean(), 1e-6), 1 - 1e-6)
+    model.weights = fit_logistic(x, y, np.where(y == 1, np.sqrt((1 - share) / share), 1.0), ridge=0.3).tolist()
     return model
 
 
