@@ -1,10 +1,11 @@
 """The queries of this subpackage and their SQL, by name."""
 
-from loomery.llm import decontaminate, line_dedup, quality, sharding, toxicity
+from loomery.llm import decontaminate, line_dedup, quality, sharding, token_records, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op3_toxicity": toxicity.op3_toxicity,
+    "op4_token_records": token_records.op4_token_records,
     "op6_quality": quality.op6_quality,
     "op8_decontamination": decontaminate.op8_decontamination,
     "op10_line_dedup": line_dedup.op10_line_dedup,
