@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL, by name."""
 
-from loomery.llm import decontaminate, line_dedup, quality, sharding, token_records, toxicity
+from loomery.llm import decontaminate, jaccard_join, line_dedup, quality, sharding, token_records, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -8,10 +8,12 @@ QUERIES = {
     "op4_token_records": token_records.op4_token_records,
     "op6_quality": quality.op6_quality,
     "op8_decontamination": decontaminate.op8_decontamination,
+    "op9_ngram_jaccard": jaccard_join.op9_ngram_jaccard,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 
 ORACLE_SQL = {
     "op8_decontamination": decontaminate.OP8_SQL,
+    "op9_ngram_jaccard": jaccard_join.OP9_SQL,
     "op10_line_dedup": line_dedup.OP10_SQL,
 }
