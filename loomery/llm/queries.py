@@ -1,9 +1,10 @@
 """The queries of this subpackage and their SQL, by name."""
 
-from loomery.llm import decontaminate, jaccard_join, line_dedup, quality, sharding, token_records, toxicity
+from loomery.llm import decontaminate, jaccard_join, line_dedup, quality, sharding, token_records, toxicity, warc
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
+    "op2_warc": warc.op2_warc,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_token_records": token_records.op4_token_records,
     "op6_quality": quality.op6_quality,
@@ -13,6 +14,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_warc": warc.OP2_SQL,
     "op8_decontamination": decontaminate.OP8_SQL,
     "op9_ngram_jaccard": jaccard_join.OP9_SQL,
     "op10_line_dedup": line_dedup.OP10_SQL,
