@@ -51,24 +51,23 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 def shingle_sets(texts, words: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text of an Arrow array."""
     import pandas as pd
-    import pyarrow as pa
-    import pyarrow.compute as pc
 
     at = 0
-    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     while at < len(texts):
-        end, total = at, 0
-        while end < len(texts) and (end == at or total + sizes[end] <= BATCH_CHARS):
-            total += sizes[end]
+        end, total, flat, counts = at, 0, [], []
+        while end < len(texts) and (end == at or total < BATCH_CHARS):
+            body = (texts[end].as_py() or "").encode("utf-8", "surrogatepass")
+            own = body.lower().split()  # of bytes: A-Z only, and ASCII blanks only
+            flat += own
+            counts.append(len(own))
+            total += len(body)
             end += 1
-        split = pc.ascii_split_whitespace(pc.fill_null(pc.ascii_lower(texts.slice(at, end - at).cast(pa.large_string())), ""))
-        flat = split.flatten()
-        real = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
-        owner = np.repeat(np.arange(end - at), pc.list_value_length(split).to_numpy(zero_copy_only=False))[real]
-        coded = flat.filter(pa.array(real)).dictionary_encode()
-        hashes = pd.util.hash_array(coded.dictionary.to_numpy(zero_copy_only=False), categorize=False)
-        w = hashes[coded.indices.to_numpy(zero_copy_only=False)] if len(owner) else np.zeros(0, np.uint64)
-        bounds = np.searchsorted(owner, np.arange(end - at + 1))
+        w = np.zeros(0, np.uint64)
+        if flat:
+            column = np.empty(len(flat), object)
+            column[:] = flat
+            w = pd.util.hash_array(column, categorize=False)
+        bounds = np.r_[0, np.cumsum(counts)]
         with np.errstate(over="ignore"):
             h = np.zeros(max(0, len(w) - words + 1), np.uint64)
             for j in range(words):
