@@ -1,12 +1,13 @@
 """The queries of this subpackage and their SQL, by name."""
 
-from loomery.llm import decontaminate, jaccard_join, line_dedup, quality, sharding, token_records, toxicity, warc
+from loomery.llm import decontaminate, jaccard_join, line_dedup, neighbours, quality, sharding, token_records, toxicity, warc
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_warc": warc.op2_warc,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_token_records": token_records.op4_token_records,
+    "op5_nearest_neighbours": neighbours.op5_nearest_neighbours,
     "op6_quality": quality.op6_quality,
     "op8_decontamination": decontaminate.op8_decontamination,
     "op9_ngram_jaccard": jaccard_join.op9_ngram_jaccard,
