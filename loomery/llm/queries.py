@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL, by name."""
 
-from loomery.llm import decontaminate, jaccard_join, line_dedup, neighbours, quality, sharding, token_records, toxicity, warc
+from loomery.llm import decontaminate, jaccard_join, line_dedup, neighbours, quality, sampled_pieces, sharding, token_records, toxicity, warc
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -9,6 +9,7 @@ QUERIES = {
     "op4_token_records": token_records.op4_token_records,
     "op5_nearest_neighbours": neighbours.op5_nearest_neighbours,
     "op6_quality": quality.op6_quality,
+    "op7_sampled_pieces": sampled_pieces.op7_sampled_pieces,
     "op8_decontamination": decontaminate.op8_decontamination,
     "op9_ngram_jaccard": jaccard_join.op9_ngram_jaccard,
     "op10_line_dedup": line_dedup.op10_line_dedup,
