@@ -17,9 +17,11 @@ doc_id are records of their own, ordered by text; an empty table gives an empty
 from __future__ import annotations
 
 import json
+import os
 import struct
 import uuid
 import zlib
+from array import array
 from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,10 +30,10 @@ from pyspark.sql import functions as F
 from loomery.llm.shared import file_system, partitions_for, quoted, scratch
 
 END_ID = 2
-CACHE_WORDS = 400_000
+CACHE_WORDS = 900_000
+MARKS = b".,;:!?"
+TYPE_OF = {2: "H", 4: "I"}
 INDEX_ENTRY = "<QQQQ"
-ASCII_BLANKS = " \t\n\r\x0b\x0c"
-TO_SPACE = {ord(c): " " for c in ASCII_BLANKS}
 
 
 def masked(data: bytes) -> int:
@@ -56,10 +58,7 @@ def unframed(data: bytes, at: int = 0) -> tuple[bytes, int]:
     return payload, end + 4
 
 
-def payload_of(doc_id: int | None, ids, width: int) -> bytes:
-    import numpy as np
-
-    body = np.asarray(ids, f"<u{width}").tobytes()
+def payload_of(doc_id: int | None, body: bytes, width: int) -> bytes:
     return struct.pack("<qB", doc_id or 0, width | (128 if doc_id is None else 0)) + body
 
 
@@ -72,34 +71,69 @@ def read_payload(payload: bytes):
 
 
 class WordEncoder:
-    """A tokenizer that drops white space between words, with the ids of words kept.
+    """A tokenizer that drops white space between words, with the ids of words kept as bytes.
 
     No token of such a tokenizer crosses white space, so a text's ids are those of its blank-separated words in order.
-    Only ASCII blanks are split at; anything else is left to the tokenizer. The cache is emptied when it is full.
+    Only ASCII blanks are split at; anything else is left to the tokenizer, which lower-cases. A word that ends in a run of
+    common marks after an ASCII letter or digit is its core and that run. The cache is emptied when it is full.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, end_id: int = END_ID):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # threads of its own would vie with the other tasks
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.known: dict[str, list[int]] = {}
+        self.width = 2 if max(self.vocabulary, end_id + 1) <= 1 << 16 else 4
+        self.end = end_id.to_bytes(self.width, "little")
+        self.known: dict[bytes, bytes] = {}
 
-    def ids(self, text: str | None) -> list[int]:
+    def learn(self, words: list[bytes]) -> None:
+        """Puts the ids of new words into the cache."""
         known = self.known
-        words = text.translate(TO_SPACE).split(" ") if text else []
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        if len(known) + len(new) > CACHE_WORDS:
+        if len(known) + 3 * len(words) > CACHE_WORDS:
             known.clear()
-            new = list(dict.fromkeys(words))
-        if new:
-            for word, got in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-                known[word] = got.ids
-        out: list[int] = []
-        extend = out.extend
+        parts = {}
         for word in words:
-            extend(known[word])
-        return out
+            core = word.rstrip(MARKS)
+            if not core or core == word or not core[-1:].isalnum():
+                parts[word] = (word.lower(),)
+            else:
+                parts[word] = (core.lower(), word[len(core) :])
+        new = [w for w in dict.fromkeys(p for own in parts.values() for p in own) if w not in known]
+        texts = [w.decode("utf-8", "surrogatepass") for w in new]
+        for word, got in zip(new, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            known[word] = array(TYPE_OF[self.width], got.ids).tobytes()
+        for word, own in parts.items():
+            if word not in known:
+                known[word] = b"".join(known[p] for p in own)
+
+    def encoded(self, text: str | None) -> bytes:
+        """The ids of the text and the end id, little-endian, width bytes each."""
+        known = self.known
+        words = text.encode("utf-8", "surrogatepass").split() if text else []
+        try:
+            return b"".join(map(known.__getitem__, words)) + self.end
+        except KeyError:
+            self.learn([w for w in dict.fromkeys(words) if w not in known])
+            for word in words:  # the cache may have been emptied
+                if word not in known:
+                    self.learn([w for w in dict.fromkeys(words) if w not in known])
+                    break
+            return b"".join(map(known.__getitem__, words)) + self.end
+
+    def ids(self, text: str | None) -> list[int]:
+        return array(TYPE_OF[self.width], self.encoded(text)).tolist()[:-1]
+
+
+_encoders: dict = {}
+
+
+def encoder_of(path: str, end_id: int) -> WordEncoder:
+    """One encoder for each worker process, so that the words it knows outlast a task."""
+    if (path, end_id) not in _encoders:
+        _encoders[path, end_id] = WordEncoder(path, end_id)
+    return _encoders[path, end_id]
 
 
 def write_records(
@@ -121,8 +155,8 @@ def write_records(
     def write(batches):
         import pyarrow as pa
 
-        encoder = WordEncoder(tokenizer)
-        width = 2 if max(encoder.vocabulary, end_id + 1) <= 1 << 16 else 4
+        encoder = encoder_of(tokenizer, end_id)
+        width = encoder.width
         fs, folder = file_system(path)
         shard, data, index, name = None, None, None, ""
         offset = tokens = records = 0
@@ -134,12 +168,12 @@ def write_records(
                     data = fs.open_output_stream(f"{folder}/.{name}.rec.tmp")
                     index = fs.open_output_stream(f"{folder}/.{name}.idx.tmp")
                     first = doc
-                ids = encoder.ids(body.as_py())
-                ids.append(end_id)
+                ids = encoder.encoded(body.as_py())
+                count = len(ids) // width
                 record = framed(payload_of(doc, ids, width))
                 data.write(record)
-                index.write(struct.pack(INDEX_ENTRY, offset, len(record), tokens, len(ids)))
-                offset, tokens, records, last = offset + len(record), tokens + len(ids), records + 1, doc
+                index.write(struct.pack(INDEX_ENTRY, offset, len(record), tokens, count))
+                offset, tokens, records, last = offset + len(record), tokens + count, records + 1, doc
         if data is not None:
             data.close()
             index.close()
