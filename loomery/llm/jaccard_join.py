@@ -48,20 +48,28 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def shingle_sets(texts, words: int) -> Iterator[np.ndarray]:
-    """The sorted distinct shingle hashes of each text of an Arrow array."""
+def utf8(column) -> Iterator[bytes]:
+    """The texts of an Arrow array, null ones empty."""
+    return ((x.as_py() or "").encode("utf-8", "surrogatepass") for x in column)
+
+
+def shingle_sets(bodies: Iterator[bytes], words: int) -> Iterator[np.ndarray]:
+    """The sorted distinct shingle hashes of each text."""
     import pandas as pd
 
-    at = 0
-    while at < len(texts):
-        end, total, flat, counts = at, 0, [], []
-        while end < len(texts) and (end == at or total < BATCH_CHARS):
-            body = (texts[end].as_py() or "").encode("utf-8", "surrogatepass")
+    bodies = iter(bodies)
+    more = True
+    while more:
+        total, flat, counts = 0, [], []
+        more = False
+        for body in bodies:
             own = body.lower().split()  # of bytes: A-Z only, and ASCII blanks only
             flat += own
             counts.append(len(own))
             total += len(body)
-            end += 1
+            if total >= BATCH_CHARS:
+                more = True
+                break
         w = np.zeros(0, np.uint64)
         if flat:
             column = np.empty(len(flat), object)
@@ -73,7 +81,7 @@ def shingle_sets(texts, words: int) -> Iterator[np.ndarray]:
             for j in range(words):
                 h = h * _ODD[0] + w[j : j + len(h)]
             h = _mixed(h)
-            for i in range(end - at):
+            for i in range(len(counts)):
                 a, b = bounds[i], bounds[i + 1]
                 if b - a >= words:
                     yield np.unique(h[a : b - words + 1])
@@ -84,7 +92,6 @@ def shingle_sets(texts, words: int) -> Iterator[np.ndarray]:
                     yield _mixed(np.array([short * _ODD[2]]))
                 else:
                     yield np.zeros(0, np.uint64)
-        at = end
 
 
 def needed(n: int, percent: int) -> int:
@@ -116,7 +123,7 @@ def frequency_levels(texts: DataFrame, words: int, bits: int = SKETCH_BITS) -> n
         counts = np.zeros(1 << bits, np.int64)
         seen = False
         for batch in batches:
-            for s in shingle_sets(batch.column(1), words):
+            for s in shingle_sets(utf8(batch.column(1)), words):
                 seen = True
                 where, n = np.unique(s >> np.uint64(64 - bits), return_counts=True)
                 counts[where.astype(np.int64)] += n
@@ -167,7 +174,7 @@ def short_lists(texts: DataFrame, words: int, percent: int, levels: np.ndarray)
         shift = np.uint64(64 - int(np.log2(len(level_of))))
         for batch in batches:
             sizes, one, two, short = [], [], [], []
-            for s in shingle_sets(batch.column(1), words):
+            for s in shingle_sets(utf8(batch.column(1)), words):
                 n = len(s)
                 a, b = digest(s) if n else (0, 0)
                 sizes.append(n)
@@ -256,23 +263,26 @@ def linked(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[i
     return links
 
 
-def _grouped_links(rows: DataFrame, percent: int) -> DataFrame:
-    """Links within each group of rows (group columns g1, g2, g3; doc; set as bytes)."""
+def _grouped_links(rows: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links within each group of rows (group columns g1, g2, g3; doc; packed text)."""
     spark = rows.sparkSession
     rows = rows.repartition(partitions_for(spark), "g1", "g2", "g3").sortWithinPartitions("g1", "g2", "g3", "doc")
 
     def run(batches):
         import pyarrow as pa
+        import zstandard
 
+        unpack = zstandard.ZstdDecompressor().decompress
         key, ids, sets, out = None, [], [], []
         for batch in batches:
             g = [batch.column(i).to_pylist() for i in range(3)]
-            for row_key, doc, data in zip(zip(*g), batch.column(3).to_pylist(), batch.column(4)):
+            every = shingle_sets((unpack(x.as_py()) for x in batch.column(4)), words)
+            for row_key, doc, own in zip(zip(*g), batch.column(3).to_pylist(), every):
                 if row_key != key:
                     out += linked(ids, sets, percent)
                     key, ids, sets = row_key, [], []
                 ids.append(doc)
-                sets.append(np.frombuffer(data.as_py(), np.uint64))
+                sets.append(own)
             if len(out) > 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
                 out = []
@@ -280,11 +290,11 @@ def _grouped_links(rows: DataFrame, percent: int) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
 
-    return rows.select("g1", "g2", "g3", "doc", "shingles").mapInArrow(run, "a long, b long")
+    return rows.select("g1", "g2", "g3", "doc", "packed").mapInArrow(run, "a long, b long")
 
 
-def _wanted_sets(texts: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(doc, shingles as bytes) of the wanted docs. A bit map of fixed size spares most other texts the work."""
+def _wanted_texts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc, text compressed) of the wanted docs and few others: a bit map of fixed size keeps most from the shuffle."""
     spot = F.pmod(F.xxhash64("doc"), F.lit(BLOOM_BITS))
     bits = (
         wanted.select(spot.alias("p"))
@@ -298,8 +308,9 @@ def _wanted_sets(texts: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 
     def run(batches):
         import pyarrow as pa
+        import zstandard
 
-        known = marks.value
+        known, pack = marks.value, zstandard.ZstdCompressor(level=5).compress
         for batch in batches:
             hit = []
             for bucket, bit in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
@@ -308,10 +319,10 @@ def _wanted_sets(texts: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
             some = batch.filter(pa.array(hit, pa.bool_()))
             docs = some.column(0)
             if len(docs):
-                data = [s.tobytes() for s in shingle_sets(some.column(1), words)]
-                yield pa.RecordBatch.from_arrays([docs, pa.array(data, pa.binary())], names=["doc", "shingles"])
+                data = [pack((x.as_py() or "").encode("utf-8", "surrogatepass")) for x in some.column(1)]
+                yield pa.RecordBatch.from_arrays([docs, pa.array(data, pa.binary())], names=["doc", "packed"])
 
-    return placed.mapInArrow(run, "doc long, shingles binary")
+    return placed.mapInArrow(run, "doc long, packed binary")
 
 
 def jaccard_classes(
@@ -336,14 +347,13 @@ def jaccard_classes(
     members = written(reps.join(families, reps.d1 == families.cls).select("rep", "d1", "n", "family"), "members")
     weights = members.groupBy("family").agg(F.sum("n").alias("weight"), F.count(F.lit(1)).alias("size")).where("size > 1")
     members = members.join(weights, "family")
-    sets = _wanted_sets(texts, members.select(F.col("rep").alias("doc")), words)
+    bodies = _wanted_texts(texts, members.select(F.col("rep").alias("doc")))
     zero = F.lit(0).cast("long")
 
-    # a doc with several rows may bring several sets: the digest's class is met by the set of the same size or links more
     small = members.where(F.col("weight") <= family_shingles).select(F.col("family").alias("g1"), zero.alias("g2"), zero.alias("g3"), F.col("rep").alias("doc"))
     large = members.where(F.col("weight") > family_shingles).select(F.col("rep").alias("doc"), F.col("d1").alias("cls"), "n")
     dealt = small.unionByName(_blocks(large, lists, family_shingles))
-    links = _grouped_links(dealt.join(sets, "doc"), percent)
+    links = written(_grouped_links(dealt.join(bodies, "doc"), words, percent), "links")
 
     several = live.groupBy("doc").agg(F.min("d1").alias("lo"), F.max("d1").alias("hi")).where("lo <> hi").select("doc")
     again = live.join(several, "doc", "left_semi").join(reps.select("d1", "d2", "rep"), ["d1", "d2"]).select(F.col("doc").alias("a"), F.col("rep").alias("b"))

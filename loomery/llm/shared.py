@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -33,10 +34,20 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete the shuffle files and checkpoints of plans that nothing refers to any more.
+
+    The cleaner acts when the driver's garbage is collected, which a job of few large steps may not see for long.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """df written as Parquet in the shared folder and read again; it survives the loss of any executor."""
     path = scratch(df.sparkSession, label)
     df.write.parquet(path)
+    release(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
