@@ -5,6 +5,7 @@ documents stands for utterances, labels for labels, benchmark for the held-out s
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -180,7 +181,8 @@ def sql_commands(dialect: str) -> str:
 
 def commands(spark, sf_dir: str) -> DataFrame:
     lines = spark.sql(sql_commands("spark").replace("from events", "from {events}"), events=table(spark, sf_dir, "events"))
-    return G.with_frame(lines, "cmd")
+    # kept: gold and predictions are both taken from it, and what is above it need not carry the grammar's expressions
+    return G.with_frame(lines, "cmd").persist(StorageLevel.MEMORY_AND_DISK)
 
 
 _RX = _q(G.COMMAND)
