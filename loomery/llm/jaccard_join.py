@@ -5,8 +5,9 @@ inverted lists of a document aside: a partner must then occur on one of the n -
 the long lists are only probed, by binary search, for the partners found.
 
 Spread over a cluster it goes as follows. A counting sketch of fixed size over all shingles orders them by frequency; the
-n - T + 1 rarest of a document are its short lists. Documents with equal sets are one class from here on. Short lists that
-two classes share, cut where sizes are too far apart for a link, tie classes into families, outside which no link can be.
+n - T + 1 rarest of a document are its short lists. Documents with equal sets are one class from here on. Short lists
+that classes share tie them into families, outside which no link can be: small lists by the pairs whose sizes and parities
+allow a link, large ones as a whole where sizes are near.
 A family is searched in one task, with inverted lists of its own; one beyond FAMILY_SHINGLES is not: there, each short
 list is a group of its own, dealt in blocks, and every pair of blocks is searched. No pairs are emitted, only the links that
 join parts not joined yet, so a group of k near copies costs k rows.
@@ -35,6 +36,8 @@ SKETCH_BITS = 22
 SKETCH_CHUNK = 1 << 16
 FAMILY_SHINGLES = 4_000_000
 BLOOM_BITS = 1 << 26
+PARITY_BITS = 512
+PAIRED_LIST = 8
 BATCH_CHARS = 4 << 20
 
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
@@ -164,7 +167,7 @@ def frequency_levels(texts: DataFrame, words: int, bits: int = SKETCH_BITS) -> n
 
 
 def short_lists(texts: DataFrame, words: int, percent: int, levels: np.ndarray) -> DataFrame:
-    """doc, n, the set's digest (d1, d2), and the hashes of the n - T + 1 rarest shingles."""
+    """doc, n, the set's digest (d1, d2), the hashes of the n - T + 1 rarest shingles, and the parities of all."""
     shared = texts.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches):
@@ -173,37 +176,69 @@ def short_lists(texts: DataFrame, words: int, percent: int, levels: np.ndarray)
         level_of = shared.value
         shift = np.uint64(64 - int(np.log2(len(level_of))))
         for batch in batches:
-            sizes, one, two, short = [], [], [], []
+            sizes, one, two, short, parity = [], [], [], [], []
             for s in shingle_sets(utf8(batch.column(1)), words):
                 n = len(s)
                 a, b = digest(s) if n else (0, 0)
                 sizes.append(n)
                 one.append(a)
                 two.append(b)
+                odd = parities(s)
                 if n:
                     rank = np.lexsort((s, level_of[(s >> shift).astype(np.int64)]))
                     s = s[rank[: n - needed(n, percent) + 1]]
                 short.append(s.view(np.int64))
+                parity.append(odd)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(short, pa.list_(pa.int64()))],
-                names=["doc", "n", "d1", "d2", "short"],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(short, pa.list_(pa.int64())), pa.array(parity, pa.list_(pa.int64()))],
+                names=["doc", "n", "d1", "d2", "short", "parity"],
             )
 
-    return texts.mapInArrow(run, "doc long, n long, d1 long, d2 long, short array<long>")
+    return texts.mapInArrow(run, "doc long, n long, d1 long, d2 long, short array<long>, parity array<long>")
 
 
-def family_edges(lists: DataFrame, percent: int) -> DataFrame:
-    """Ties classes on one short list whose sizes are near enough: to the least of their size band, and band to band."""
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """A bit for each remainder of the hashes by PARITY_BITS: is the number of shingles with it odd?"""
+    odd = np.bincount((shingles & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def paired(lists: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs on lists of at most PAIRED_LIST classes that could link by their sizes and parities.
+
+    Each shingle that is in one set alone flips one parity, so sets that differ in more parities than a link allows in
+    shingles cannot link: a chance meeting on one shingle ties no family.
+    """
+    a, b = lists.toDF("token", "a", "na"), lists.toDF("token", "b", "nb")
+    near = (F.col("a") < F.col("b")) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+    pairs = a.join(b, "token").where(near).select("a", "na", "b", "nb").distinct()
+    # a 64-bit class id that two classes share has parities of either; a pair is kept if any of them allow it
+    first, second = classes.select(F.col("d1").alias("a"), F.col("parity").alias("pa")), classes.select(F.col("d1").alias("b"), F.col("parity").alias("pb"))
+    apart = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    both = pairs.join(first, "a").join(second, "b")
+    return both.where(apart * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)).select("a", "b").distinct()
+
+
+def family_edges(lists: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """What ties classes to families: the pairs of small lists, and all that are on one large list, where sizes are near."""
+    sizes = lists.groupBy("token").agg(F.count(F.lit(1)).alias("many"))
+    few = lists.join(sizes.where(F.col("many") <= PAIRED_LIST), "token").select("token", "cls", "n")
+    more = lists.join(sizes.where(F.col("many") > PAIRED_LIST), "token").select("token", "cls", "n")
+    return paired(few, classes, percent).unionByName(banded(more, percent)).distinct()
+
+
+def banded(lists: DataFrame, percent: int) -> DataFrame:
+    """Ties classes on one list to the least of their size band, and band to band."""
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("long")
-    banded = lists.withColumn("band", band)
-    centre = banded.groupBy("token", "band").agg(F.min("cls").alias("centre"))
-    star = banded.join(centre, ["token", "band"]).where("cls <> centre").select(F.col("cls").alias("a"), F.col("centre").alias("b"))
+    rows = lists.withColumn("band", band)
+    centre = rows.groupBy("token", "band").agg(F.min("cls").alias("centre"))
+    star = rows.join(centre, ["token", "band"]).where("cls <> centre").select(F.col("cls").alias("a"), F.col("centre").alias("b"))
     # two documents whose sizes allow a link are in the same band or, with rounding, at most two bands apart
     out = star
     for gap in (1, 2):
         upper = centre.select("token", (F.col("band") - gap).alias("band"), F.col("centre").alias("other"))
         out = out.unionByName(centre.join(upper, ["token", "band"]).select(F.col("centre").alias("a"), F.col("other").alias("b")))
-    return out.distinct()
+    return out
 
 
 def linked(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -338,12 +373,12 @@ def jaccard_classes(
     live = rows.where("doc is not null and n > 0")
 
     # classes of equal sets, and the short lists that two or more of them share
-    reps = written(live.groupBy("d1", "d2").agg(F.min("doc").alias("rep"), F.max("n").alias("n")), "classes")
+    reps = written(live.groupBy("d1", "d2").agg(F.min("doc").alias("rep"), F.max("n").alias("n"), F.min("parity").alias("parity")), "classes")
     entries = live.select(F.explode("short").alias("token"), F.col("d1").alias("cls"), "n")
     shared = entries.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("token")
     lists = written(entries.join(shared, "token", "left_semi").distinct(), "lists")
 
-    families = components(family_edges(lists, percent)).select(F.col("node").alias("cls"), F.col("component").alias("family"))
+    families = components(family_edges(lists, reps, percent)).select(F.col("node").alias("cls"), F.col("component").alias("family"))
     members = written(reps.join(families, reps.d1 == families.cls).select("rep", "d1", "n", "family"), "members")
     weights = members.groupBy("family").agg(F.sum("n").alias("weight"), F.count(F.lit(1)).alias("size")).where("size > 1")
     members = members.join(weights, "family")
