@@ -98,11 +98,15 @@ def name_norm(s: Column) -> Column:
     return collapse(F.translate(F.lower(s), "_-", "  "))
 
 
-@F.pandas_udf("string")
-def name_fold(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """name_norm by full case folding and Unicode white space, for names beyond ASCII."""
-    for s in batches:
-        yield s.map(lambda x: None if x is None else " ".join(x.replace("_", " ").replace("-", " ").split()).casefold())
+def name_fold(s: Column) -> Column:
+    """name_norm by full case folding and Unicode white space, for names beyond ASCII; in Arrow batches."""
+
+    @F.pandas_udf("string")
+    def fold(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for names in batches:
+            yield names.map(lambda x: None if x is None else " ".join(x.replace("_", " ").replace("-", " ").split()).casefold())
+
+    return fold(s)
 
 
 def alias_norm(s: Column) -> Column:

@@ -26,8 +26,8 @@ def outcome(gold: Column, got: Column) -> Column:
 
 def wilson(k: Column, n: Column) -> tuple[Column, Column, Column]:
     """Rate and Wilson bounds; all 0 without cases."""
-    k, n = k.cast("double"), n.cast("double")
-    p, z2 = k / F.nullif(n, F.lit(0.0)), Z * Z
+    k, n = k.cast("double"), F.nullif(n.cast("double"), F.lit(0.0))
+    p, z2 = k / n, Z * Z
     centre, spread = p + z2 / (2 * n), Z * F.sqrt(p * (1 - p) / n + z2 / (4 * n * n))
     low, high = (centre - spread) / (1 + z2 / n), (centre + spread) / (1 + z2 / n)
     return tuple(F.coalesce(c, F.lit(0.0)) for c in (p, F.greatest(low, F.lit(0.0)), F.least(high, F.lit(1.0))))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 CORPUS_SCHEMA = "text string, symbols array<string>, action string, source string, split string"
 HELD_OUT_SCHEMA = (
@@ -70,4 +69,4 @@ def stream_lines(spark: SparkSession, folder: str, longest: int = 255) -> DataFr
     return lines.where(F.trim("line") != "")
 
 
-META_SCHEMA = T.StructType.fromDDL("vocab int, seq_len int, pad int, go int, reserved map<string,int>, n_train long, n_val long")
+META_SCHEMA = "vocab int, seq_len int, pad int, go int, reserved map<string,int>, n_train long, n_val long"
