@@ -30,7 +30,7 @@ def wilson(k: Column, n: Column) -> tuple[Column, Column, Column]:
     p, z2 = k / n, Z * Z
     centre, spread = p + z2 / (2 * n), Z * F.sqrt(p * (1 - p) / n + z2 / (4 * n * n))
     low, high = (centre - spread) / (1 + z2 / n), (centre + spread) / (1 + z2 / n)
-    return tuple(F.coalesce(c, F.lit(0.0)) for c in (p, F.greatest(low, F.lit(0.0)), F.least(high, F.lit(1.0))))
+    return tuple(F.when(n.isNull(), 0.0).otherwise(c) for c in (p, F.greatest(low, F.lit(0.0)), F.least(high, F.lit(1.0))))
 
 
 def with_interval(df: DataFrame, k: str, n: str) -> DataFrame:
