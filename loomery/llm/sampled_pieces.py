@@ -20,7 +20,6 @@ import heapq
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -34,8 +33,8 @@ SHIFT = 10.0
 PATHS = 2
 SEED = 17
 MAX_PIECE = 16
-CACHE_STATES = 1_500_000
-BATCH_CHARS = 400_000
+HASH_STEP = 0x9E3779B97F4A7C15
+BATCH_CHARS = 1_000_000
 SPACE = "▁"
 PARTS = re.compile(r"\n|▁| +[^ \n▁]*|[^ \n▁]+")
 NO_SET = -np.inf
@@ -87,68 +86,92 @@ class Vocabulary:
 
 
 class Lattice:
-    """The parts met so far as one graph: a state for each place in a part, its edges in a row."""
+    """The distinct parts of a batch as one graph: a state for each place in a part and one behind, edges by state.
+
+    All places walk the trie of the vocabulary together, a character a step; its nodes are sorted hashes of prefixes.
+    """
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
-        self.clear()
-
-    def clear(self):
-        self.first_state: dict[str, int] = {}
-        self.states = 0
-        self.edge_log: list[float] = []  # log-probability given the state
-        self.edge_upto: list[float] = []  # state + probability of this and the state's earlier edges
-        self.edge_size: list[int] = []  # characters
-        self.edge_ids: list[tuple[int, ...]] = []
-        self.edge_from: list[int] = [0]  # for each state, and one behind
-        self.final: list[bool] = []
-        self.frozen = -1
-
-    def add(self, part: str) -> None:
-        weight, voc = self.vocabulary.weight, self.vocabulary
-        n = len(part)
-        out: list[list[tuple[int, float, tuple]]] = []
-        rest = [0.0] * (n + 1)
-        for i in range(n - 1, -1, -1):
-            edges = []
-            for j in range(i + 1, min(n, i + MAX_PIECE) + 1):
-                found = weight.get(part[i:j])
-                if found:
-                    edges.append((j - i, found[1] + rest[j], (found[0],)))
-            if part[i] not in weight or part[i] == SPACE:
-                ids = tuple(voc.byte_ids[b] for b in part[i].encode("utf-8", "surrogatepass"))
-                edges.append((1, voc.byte_weight * len(ids) + rest[i + 1], ids))
-            top = max(e[1] for e in edges)
-            total = top + float(np.log(sum(np.exp(e[1] - top) for e in edges))) if len(edges) > 1 else top
-            rest[i] = total
-            out.append([(size, w - total, ids) for size, w, ids in edges])
-        self.first_state[part] = self.states
-        for edges in reversed(out):
-            upto = 0.0
-            for size, w, ids in edges:
-                upto += float(np.exp(w))
-                self.edge_log.append(min(0.0, w))
-                self.edge_upto.append(self.states + min(upto, 1.0))
-                self.edge_size.append(size)
-                self.edge_ids.append(ids)
-            self.edge_upto[-1] = self.states + 1.0
-            self.edge_from.append(len(self.edge_log))
-            self.final.append(False)
-            self.states += 1
-        self.final.append(True)  # the state behind a part has no edges
-        self.edge_from.append(len(self.edge_log))
-        self.states += 1
-
-    def arrays(self):
-        if self.frozen != self.states:
-            self.log, self.upto = np.array(self.edge_log), np.array(self.edge_upto)
-            self.size, self.start = np.array(self.edge_size, np.int64), np.array(self.edge_from, np.int64)
-            self.ended = np.array(self.final, bool)
-            self.id_count = np.array([len(x) for x in self.edge_ids], np.int64)
-            self.id_start = np.r_[0, np.cumsum(self.id_count)]
-            self.id_flat = np.fromiter(chain.from_iterable(self.edge_ids), np.int32, int(self.id_start[-1]))
-            self.frozen = self.states
-        return self
+        nodes: list[dict[int, int]] = [{} for _ in range(MAX_PIECE + 1)]
+        for text, (number, _) in vocabulary.weight.items():
+            h = 0
+            for j, c in enumerate(text[:MAX_PIECE]):
+                h = (h * HASH_STEP + ord(c) + 1) % (1 << 64)
+                nodes[j + 1].setdefault(h, -1)
+            if len(text) <= MAX_PIECE:
+                nodes[len(text)][h] = number
+        self.levels = []
+        for level in nodes[1:]:
+            keys = np.array(sorted(level), np.uint64)
+            self.levels.append((keys, np.array([level[int(x)] for x in keys], np.int64)))
+        self.weights = np.zeros(len(vocabulary.bytes_of))
+        for number, weight in vocabulary.weight.values():
+            self.weights[number] = weight
+
+    def build(self, parts: list[str]) -> np.ndarray:
+        """Makes the graph of the parts, and returns the first state of each."""
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        codes = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        n, ends = len(codes), np.cumsum(sizes)
+        end_of, part_of = np.repeat(ends, sizes), np.repeat(np.arange(len(parts)), sizes)
+        state_of = np.arange(n) + part_of
+        found: list[tuple] = []
+        alive, h = np.arange(n), np.zeros(n, np.uint64)
+        single = np.zeros(n, bool)
+        with np.errstate(over="ignore"):
+            for size, (keys, numbers) in enumerate(self.levels, 1):
+                inside = alive + size <= end_of[alive]
+                alive, h = alive[inside], h[inside]
+                if not len(alive) or not len(keys):
+                    break
+                h = h * np.uint64(HASH_STEP) + codes[alive + size - 1] + np.uint64(1)
+                at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                hit = keys[at] == h
+                alive, h, number = alive[hit], h[hit], numbers[at[hit]]
+                real = number >= 0
+                found.append((alive[real], np.full(int(real.sum()), size), number[real]))
+                if size == 1:
+                    single[alive[real]] = True
+        # characters that are no piece: one edge of their bytes
+        lacking = np.flatnonzero(~single)
+        others, which = np.unique(codes[lacking], return_inverse=True)
+        spelled = [tuple(self.vocabulary.byte_ids[b] for b in chr(int(c)).encode("utf-8", "surrogatepass")) for c in others]
+        found.append((lacking, np.ones(len(lacking), np.int64), len(self.weights) + which))
+        weights = np.r_[self.weights, np.array([self.vocabulary.byte_weight * len(x) for x in spelled])]
+        place, size, number = (np.concatenate([f[i] for f in found]) for i in range(3))
+        order = np.argsort(place, kind="stable")  # a merge of a few sorted runs
+        place, size, number = place[order], size[order], number[order]
+        weight, source = weights[number], state_of[place]
+
+        # backwards: the mass of all ways from a state to the end of its part, by distance to the end
+        rest = np.zeros(n + len(parts))
+        distance = (end_of - np.arange(n))[place]
+        small = distance.astype(np.uint16) if len(distance) and distance.max() < 1 << 16 else distance
+        by = np.argsort(small, kind="stable")
+        cuts = np.flatnonzero(np.diff(distance[by])) + 1
+        for group in np.split(by, cuts) if len(by) else []:
+            values = weight[group] + rest[source[group] + size[group]]
+            heads = np.r_[0, np.flatnonzero(np.diff(source[group])) + 1]
+            rest[source[group[heads]]] = np.logaddexp.reduceat(values, heads)
+        self.log = np.minimum(0.0, weight + rest[source + size] - rest[source])
+        self.size = size
+        self.start = np.r_[0, np.cumsum(np.bincount(source, minlength=n + len(parts)))]
+        upto = np.cumsum(np.exp(self.log))
+        before = np.r_[0.0, upto][self.start[source]]
+        self.upto = source + np.minimum(1.0, upto - before)
+        last = self.start[1:][np.diff(self.start) > 0] - 1
+        self.upto[last] = source[last] + 1.0
+        self.ended = np.diff(self.start) == 0
+        counts = np.r_[np.ones(len(self.weights), np.int64), np.array([len(x) for x in spelled], np.int64)][number]
+        self.id_count, self.id_start = counts, np.r_[0, np.cumsum(counts)]
+        flat = np.zeros(int(self.id_start[-1]), np.int32)
+        plain = number < len(self.weights)
+        flat[self.id_start[:-1][plain]] = number[plain]
+        for edge in np.flatnonzero(~plain):
+            flat[self.id_start[edge] : self.id_start[edge + 1]] = spelled[number[edge] - len(self.weights)]
+        self.id_flat = flat
+        return ends - sizes + np.arange(len(parts))
 
 
 class Paths:
@@ -189,23 +212,17 @@ class Sampler:
     def batch(self, keys: list, texts: list[str | None]):
         """For each text its paths, best first: (ids, log-probability, log of the inclusion score)."""
         lattice, k = self.lattice, self.k
-        if lattice.states > CACHE_STATES:
-            lattice.clear()
-        known = lattice.first_state
-        starts, owners, places = [], [], []
-        for i, text in enumerate(texts):
-            parts = PARTS.findall(" " + text) if text else []
-            at = 0
-            for part in parts:
-                if part not in known:
-                    lattice.add(part)
-            starts.append(np.fromiter((known[p] for p in parts), np.int64, len(parts)))
-            sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-            places.append(np.cumsum(sizes) - sizes + at)
-            owners.append(np.full(len(parts), i))
-        lattice.arrays()
-        state, text, place = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (starts, owners, places))
+        split = [PARTS.findall(" " + text) if text else [] for text in texts]
+        every = [p for parts in split for p in parts]
+        distinct = list(dict.fromkeys(every))
+        number = np.fromiter(map(dict(zip(distinct, range(len(distinct)))).__getitem__, every), np.int64, len(every))
+        first_state = lattice.build(distinct)
+        size = np.fromiter(map(len, distinct), np.int64, len(distinct))[number]
         n = len(texts)
+        many = np.fromiter(map(len, split), np.int64, n)
+        text, state = np.repeat(np.arange(n), many), first_state[number]
+        behind = np.r_[0, np.cumsum(size)]
+        place = behind[:-1] - np.repeat(behind[np.cumsum(many) - many], many)
         base = np.array([key_seed(key, self.seed) for key in keys], np.uint64)
         of_path = lambda r, what: (base ^ np.uint64((r * 4 + what + 1) * 0x632BE59BD9B4E019 % (1 << 64)))
 
