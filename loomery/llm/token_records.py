@@ -23,6 +23,7 @@ import uuid
 import zlib
 from array import array
 from itertools import accumulate
+from unicodedata import is_normalized
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +33,7 @@ from loomery.llm.shared import file_system, partitions_for, quoted, scratch
 END_ID = 2
 CACHE_WORDS = 900_000
 MARKS = b".,;:!?"
+JOINED_WORDS = 256
 TYPE_OF = {2: "H", 4: "I"}
 INDEX_ENTRY = "<QQQQ"
 
@@ -86,6 +88,8 @@ class WordEncoder:
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.width = 2 if max(self.vocabulary, end_id + 1) <= 1 << 16 else 4
         self.end = end_id.to_bytes(self.width, "little")
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.closing = {i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if suffix and t.endswith(suffix)}
         self.known: dict[bytes, bytes] = {}
 
     def learn(self, words: list[bytes]) -> None:
@@ -101,13 +105,27 @@ class WordEncoder:
             else:
                 parts[word] = (core.lower(), word[len(core) :])
         new = [w for w in dict.fromkeys(p for own in parts.values() for p in own) if w not in known]
-        texts = [w.decode("utf-8", "surrogatepass") for w in new]
-        for word, got in zip(new, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+        texts = {w: w.decode("utf-8", "surrogatepass") for w in new}
+        plain = [w for w, t in texts.items() if t.isalpha() and t == t.lower() and is_normalized("NFC", t)]
+        for i in range(0, len(plain), JOINED_WORDS):
+            self._learn_joined(plain[i : i + JOINED_WORDS], texts)
+        rest = [w for w in new if w not in known]
+        for word, got in zip(rest, self.tokenizer.encode_batch_fast([texts[w] for w in rest], add_special_tokens=False)):
             known[word] = array(TYPE_OF[self.width], got.ids).tobytes()
         for word, own in parts.items():
             if word not in known:
                 known[word] = b"".join(known[p] for p in own)
 
+    def _learn_joined(self, words: list[bytes], texts: dict[bytes, str]) -> None:
+        """Learns words of letters as one text: the ids of each end with the one id that closes a word."""
+        ids = self.tokenizer.encode_batch_fast([" ".join(texts[w] for w in words)], add_special_tokens=False)[0].ids
+        closed = [i + 1 for i, x in enumerate(ids) if x in self.closing]
+        if len(closed) == len(words) and closed[-1] == len(ids):
+            data, start = array(TYPE_OF[self.width], ids).tobytes(), 0
+            for word, end in zip(words, closed):
+                self.known[word] = data[start * self.width : end * self.width]
+                start = end
+
     def encoded(self, text: str | None) -> bytes:
         """The ids of the text and the end id, little-endian, width bytes each."""
         known = self.known
