@@ -12,15 +12,17 @@ Queries that find fewer than k take a blockwise exact search.
 
 Defined results: vectors that are null or zero or hold null or non-finite numbers take no part; a query meets only vectors
 of its own length; rows that share an id are one candidate, at its nearest, and never a candidate of that id's own query;
+of candidates whose cosines are equal to 1e-12 the smaller id comes first;
 fewer than k candidates give fewer rows; an empty table gives no row.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -34,6 +36,7 @@ SAMPLE_QUERIES = 256
 MAX_PROBES = 729
 BLOCK_ROWS = 8192
 BLOCK_QUERIES = 1024
+LEVELS = 1e12  # scores are ties within one of so many parts
 SEED = 5
 
 
@@ -94,19 +97,62 @@ def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return df.select(F.col(quoted(id_col)).cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull() & fine)
 
 
+def level(score):
+    """The score in steps of 1e-12: parallel vectors, whose cosines differ by rounding alone, are ties. For float, numpy and Column."""
+    return (math if isinstance(score, float) else F if isinstance(score, Column) else np).floor(score * LEVELS + 0.5)
+
+
+def close_ones(q_ids, q, c_ids, c, k: int) -> np.ndarray:
+    """Which candidates of each query may be among its k nearest distinct ids: all that rounding cannot tell from the k-th."""
+    near = (q @ c.T) / np.linalg.norm(q, axis=1)[:, None] / np.linalg.norm(c, axis=1)[None, :]
+    near[(q_ids[:, None] == c_ids[None, :]) | ~np.isfinite(near)] = -np.inf
+    order = np.argsort(c_ids, kind="stable")
+    starts = np.flatnonzero(np.r_[True, np.diff(c_ids[order]) != 0])
+    of_ids = near if len(starts) == len(c_ids) else np.maximum.reduceat(near[:, order], starts, axis=1)
+    if of_ids.shape[1] <= k:
+        return np.isfinite(near)
+    least = np.partition(of_ids, of_ids.shape[1] - k, axis=1)[:, -k]
+    return (near >= least[:, None] - 2 / LEVELS - 8 * q.shape[1] * np.finfo(float).eps) & np.isfinite(near)
+
+
+def without_equals(c_ids, c, k: int):
+    """The rows without those that more than k smaller ids equal: no query, whose own id is one of them at most, needs these."""
+    whole = np.ascontiguousarray(c + 0.0).view(np.dtype((np.void, c.shape[1] * c.itemsize))).ravel()
+    group = np.unique(whole, return_inverse=True)[1].ravel()
+    order = np.lexsort((c_ids, group))
+    group, ids = group[order], c_ids[order]
+    new = np.r_[True, (group[1:] != group[:-1]) | (ids[1:] != ids[:-1])]
+    order, group = order[new], group[new]
+    first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    place = np.arange(len(group)) - np.repeat(first, np.diff(np.r_[first, len(group)]))
+    kept = order[place <= k]
+    return c_ids[kept], c[kept]
+
+
 def best_of(q_ids, q, c_ids, c, k: int):
-    """(query, candidate, exact cosine) of the k nearest candidates of each query, among them never its own id."""
+    """(query, candidate, exact cosine) of the k nearest distinct candidates of each query, never its own id; of ties the smaller ids."""
+    close = close_ones(q_ids, q, c_ids, c, k)
+    if close.sum() > 4 * k * len(q_ids):
+        c_ids, c = without_equals(c_ids, c, k)
+        close = close_ones(q_ids, q, c_ids, c, k)
     q_len, c_len = np.linalg.norm(q, axis=1), np.linalg.norm(c, axis=1)
-    near = (q @ c.T) / q_len[:, None] / c_len[None, :]
-    near[q_ids[:, None] == c_ids[None, :]] = -np.inf
-    few = min(len(c_ids), 2 * k + 4)
-    top = np.argpartition(-near, few - 1, axis=1)[:, :few] if few < len(c_ids) else np.tile(np.arange(len(c_ids)), (len(q_ids), 1))
-    for i, some in enumerate(top):
-        some = some[np.isfinite(near[i, some])]
+    for i, kept in enumerate(close):
+        some = np.flatnonzero(kept)
         if len(some):
-            exact = (q[i] * c[some]).sum(1) / (q_len[i] * c_len[some])
-            for j in np.lexsort((c_ids[some], -exact))[: 2 * k]:
-                yield int(q_ids[i]), int(c_ids[some[j]]), float(min(1.0, max(-1.0, exact[j])))
+            exact = np.clip((q[i] * c[some]).sum(1) / (q_len[i] * c_len[some]), -1.0, 1.0)
+            order = np.lexsort((-exact, c_ids[some], -level(exact)))
+            some, exact = some[order], exact[order]
+            done: set = set()
+            for vec, score in zip(c_ids[some].tolist(), exact.tolist()):
+                if vec not in done:
+                    done.add(vec)
+                    yield int(q_ids[i]), vec, score
+                    if len(done) == k:
+                        break
+
+
+def best_first(found: dict) -> list[tuple[int, float]]:
+    return sorted(found.items(), key=lambda x: (-level(x[1]), x[0]))
 
 
 class Nearest:
@@ -120,12 +166,12 @@ class Nearest:
         if score > own.get(vec, -2):
             own[vec] = score
             if len(own) > 4 * self.k:
-                self.of[query] = dict(sorted(own.items(), key=lambda x: (-x[1], x[0]))[: self.k])
+                self.of[query] = dict(best_first(own)[: self.k])
 
     def batch(self):
         import pyarrow as pa
 
-        rows = [(q, v, s) for q, own in self.of.items() for v, s in sorted(own.items(), key=lambda x: (-x[1], x[0]))[: self.k]]
+        rows = [(q, v, s) for q, own in self.of.items() for v, s in best_first(own)[: self.k]]
         self.of = {}
         cols = list(zip(*rows)) or [(), (), ()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
@@ -164,7 +210,7 @@ def exact_search(queries: list[tuple[int, list[float]]], rows: DataFrame, k: int
 
 def ranked(found: DataFrame, k: int) -> DataFrame:
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = W.partitionBy("query_id").orderBy(level(F.col("score")).desc(), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

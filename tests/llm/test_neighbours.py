@@ -69,3 +69,31 @@ def test_probe_order_is_by_cost():
     assert sorted(map(sorted, got)) == sorted(map(sorted, every))
     costs = [cost(m) for m in got]
     assert costs == sorted(costs)
+
+
+def shown(spark, rows, is_query):
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    return {(r.query_id, r.rank): (r.vec_id, round(r.score, 9)) for r in nearest(frame, is_query).collect()}
+
+
+def test_equal_and_parallel_vectors_go_by_id(spark):
+    rng = np.random.default_rng(3)
+    one = rng.standard_normal(16)
+    for scale in (lambda i: 1.0, lambda i: 1.0 + i * 0.37):
+        rows = [(int(i), [float(x) for x in one * scale(i)]) for i in rng.permutation(100)]
+        out = shown(spark, rows, F.col("id") % 50 == 0)
+        assert [out[0, r][0] for r in range(1, 6)] == [1, 2, 3, 4, 5]
+        assert [out[50, r][0] for r in range(1, 6)] == [0, 1, 2, 3, 4]
+        assert len(out) == 10
+
+
+def test_rows_of_one_id_leave_room_for_others(spark):
+    rng = np.random.default_rng(4)
+    one = rng.standard_normal(16)
+    near = lambda by: [float(x) for x in one + by * rng.standard_normal(16)]
+    rows = [(0, near(0.0))] + [(7, near(0.0001)) for _ in range(30)] + [(i, near(0.02 * i)) for i in range(10, 16)]
+    out = shown(spark, rows, F.col("id") == 0)
+    assert out == {key: (i, round(s, 9)) for key, (i, s) in brute(rows, lambda i: i == 0).items()}
+    ids, matrix = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
+    got = [vec for _, vec, _ in neighbours.best_of(ids[:1], matrix[:1], ids, matrix, 5)]
+    assert len(set(got)) == len(got) == 5 and got[0] == 7
