@@ -1,8 +1,9 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries are trained, one on ordinary and one on toxic text. Both hold the strings that zstandard's own
-trainer finds in ordinary text; the toxic one also holds the segments that cover what recurs in many toxic texts and
-hardly ever in ordinary ones (cover selection by document frequency). Every overlapping window of a text is compressed
+trainer finds in ordinary text; the toxic one also holds those that it finds in the passages of toxic texts that ordinary
+ones hardly ever have, and behind them the segments that cover what recurs in many toxic texts and hardly ever in ordinary
+ones (cover selection by document frequency). Every overlapping window of a text is compressed
 with either; the bytes that the toxic dictionary saves are its distance. How many windows save how much, against
 thresholds calibrated on labelled texts that the dictionaries have not seen, gives the score.
 
@@ -28,11 +29,13 @@ WINDOW = 48
 STRIDE = 32
 GRAM = 5
 BASE_BYTES = 39999  # a multiple of FILL
-REACH = 45000  # the size that either dictionary's tables are laid out for
-SEGMENT_BYTES = 1024
+TOXIC_BYTES = 1500  # what the trainer is to find in toxic passages
+REACH = 45000  # the size that either dictionary's tables are laid out for, or that of the toxic one where this is larger
 FILL = 3  # positions between a dictionary's entries in the compressor's tables
-MIN_SHARE = 0.03  # of the toxic texts that a gram must be in
+MIN_SHARE = 0.03  # of the toxic texts that a gram of a segment must be in
 MIN_RATIO = 60.0  # of its shares in toxic and ordinary texts
+PASSAGE_TEXTS = 5  # toxic texts that a gram of a passage must be in
+PASSAGE_RATIO = 20.0
 LEVEL = 3
 SAVED = (1, 2, 3, 4, 5, 6)  # bytes saved, the thresholds
 PER_CLASS = 4000
@@ -118,17 +121,47 @@ def toxic_segments(toxic: list[bytes], ordinary: list[bytes]) -> bytes:
         return b""
     chosen: list[bytes] = []
     covered: set = set()
-    size = 0
     for segment, n in sorted(marked_segments(toxic, good, counts).items(), key=lambda x: (-x[1], x[0])):
         own = set(grams(segment).tolist())
-        if n < 2 or not own - covered or size + len(segment) > SEGMENT_BYTES:
+        if n < 2 or not own - covered:
             continue
         covered |= own
         chosen.append(segment)
-        size += len(segment)
     return b"".join(reversed(chosen))
 
 
+def toxic_passages(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
+    """The runs of toxic texts, a byte more at either end, whose grams ordinary texts lack or hardly ever have."""
+    if not toxic:
+        return []
+    values, inside = doc_frequency(toxic)
+    often = inside >= PASSAGE_TEXTS
+    values, inside = values[often], inside[often]
+    _, outside = doc_frequency(ordinary, values)
+    good = values[inside / len(toxic) >= PASSAGE_RATIO * outside / max(1, len(ordinary))]
+    out = []
+    for t in toxic if len(good) else []:
+        g = grams(t)
+        at = np.searchsorted(good, g)
+        at[at == len(good)] = 0
+        hits = np.flatnonzero(good[at] == g)
+        if len(hits):
+            out += [t[max(0, run[0] - 1) : run[-1] + GRAM + 1] for run in np.split(hits, np.flatnonzero(np.diff(hits) > 1) + 1)]
+    return out
+
+
+def toxic_strings(toxic: list[bytes], ordinary: list[bytes]) -> bytes:
+    """What zstandard's trainer finds in the toxic passages, a multiple of FILL; distinct passages where there is too little to train on."""
+    import zstandard
+
+    samples = [p for p in toxic_passages(toxic, ordinary) if len(p) >= 8]
+    try:
+        found = zstandard.train_dictionary(TOXIC_BYTES, samples, k=16, d=6).as_bytes()
+    except (zstandard.ZstdError, ValueError):
+        found = b"".join(dict.fromkeys(samples))[:TOXIC_BYTES]
+    return found + b" " * (-len(found) % FILL)
+
+
 def aligned(segments: bytes) -> bytes:
     """The segments at each remainder of FILL, and the whole a multiple of it.
 
@@ -155,18 +188,21 @@ def base_strings(ordinary: list[bytes]) -> bytes:
 @dataclass
 class ToxicityModel:
     base: bytes = b""
+    trained: bytes = b""
     segments: bytes = b""
     weights: list[float] = field(default_factory=list)
 
     def compressors(self):
         import zstandard
 
-        for content in (self.base, self.base + aligned(self.segments)):
+        marked = self.base + self.trained + aligned(self.segments)
+        reach = max(REACH, len(marked))
+        for content in (self.base, marked):
             if len(content) < 8:
                 content += b" " * 8
             own = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             params = zstandard.ZstdCompressionParameters.from_level(
-                LEVEL, source_size=WINDOW, dict_size=REACH, write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS
+                LEVEL, source_size=WINDOW, dict_size=reach, write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS
             )
             own.precompute_compress(compression_params=params)
             yield zstandard.ZstdCompressor(dict_data=own, compression_params=params).compress
@@ -210,7 +246,7 @@ def fit(sample: list[tuple[int, str]]) -> ToxicityModel:
     rest = [(y, folded(t)) for i, (y, t) in enumerate(sample) if not i % 3]
     toxic = without_copies([t for y, t in first if y == 1])
     ordinary = without_copies([t for y, t in first if y == 0])
-    model = ToxicityModel(base_strings(ordinary), toxic_segments(toxic, ordinary))
+    model = ToxicityModel(base_strings(ordinary), toxic_strings(toxic, ordinary), toxic_segments(toxic, ordinary))
     one, other = model.compressors()
     y = np.array([y for y, _ in rest], float)
     x = np.array([model.features(t, one, other) for _, t in rest])

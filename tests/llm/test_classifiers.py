@@ -96,3 +96,31 @@ def test_logistic_finds_the_line():
     x = rng.standard_normal((4000, 2))
     y = (rng.random(4000) < 1 / (1 + np.exp(-(2 * x[:, 0] - x[:, 1] + 0.5)))).astype(float)
     assert np.allclose(fit_logistic(x, y, np.ones(4000), 0.01), [2, -1, 0.5], atol=0.25)
+
+
+def test_rare_and_varied_wording_is_learnt():
+    rng = random.Random(5)
+    word = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    phrases = [word("bcdfghjklmnpqrstvwxz", 16) for _ in range(120)]  # each in 2.5 % of the toxic texts
+    usual = [word("aeiounrst", 6) for _ in range(400)]
+
+    def text(toxic):
+        words = [rng.choice(usual) for _ in range(60)]
+        for _ in range(3 * toxic):
+            words.insert(rng.randrange(len(words)), rng.choice(phrases))
+        return " ".join(words)
+
+    sample = [(i % 2, text(i % 2)) for i in range(1600)]
+    first = [(y, toxicity.folded(t)) for i, (y, t) in enumerate(sample) if i % 3]
+    held = toxicity.toxic_segments([t for y, t in first if y], [t for y, t in first if not y])
+    assert sum(p.encode() in held for p in phrases) < 40
+    score = toxicity.fit(sample).scorer()
+    assert sum((score(text(y)) >= 0.5) == y for y in [0, 1] * 150) >= 0.9 * 300
+
+
+def test_segments_grow_with_the_sample():
+    rng = random.Random(6)
+    marks = [bytes(rng.choice(b"bcdfgzxvkwqjlmp") for _ in range(40)) for _ in range(60)]
+    toxic = [b" ".join(rng.sample(marks, 12)) for _ in range(300)]
+    found = toxicity.toxic_segments(toxic, [b" aeiou"] * 300)
+    assert all(m in found for m in marks)
