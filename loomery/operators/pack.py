@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PAD, GO = 0, 1
+SLICE = 64  # texts encoded at a time
 # The reserved symbols, in the order of their ids.
 RESERVED = [
     "<pad>", "<go>", "<set>", "<read>", "<blink>", "<seq>", "<stop>", "<unknown>", "<alias>", "<pin>", "<all>", "<name>", "<nend>",
@@ -22,12 +24,17 @@ def encode_bytes(text: Column, path: str) -> Column:
 
     @F.pandas_udf("array<int>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import os
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # threads of its own would vie with the other tasks
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
         for s in batches:
-            got = tokenizer.encode_batch_fast(s.fillna("").tolist(), add_special_tokens=False)
-            yield pd.Series([None if x is None else g.ids for x, g in zip(s, got)], index=s.index)
+            texts, ids = s.fillna("").tolist(), []
+            for i in range(0, len(texts), SLICE):  # encodings are many times the size of their ids
+                ids += [np.array(g.ids, np.int32) for g in tokenizer.encode_batch_fast(texts[i : i + SLICE], add_special_tokens=False)]
+            yield pd.Series([None if x is None else g for x, g in zip(s, ids)], index=s.index)
 
     return run(text)
 
@@ -63,6 +70,16 @@ def pack(df: DataFrame, prompt: str, completion: str, width: int) -> DataFrame:
     )
 
 
+def in_parts(df: DataFrame, prompt: str, completion: str, width: int) -> DataFrame:
+    """df with prompts that leave no room cut into as many as fit, in order of part; the completion is with each."""
+    room = F.lit(width - 1) - F.size(F.col(completion))
+    parts = F.greatest(F.lit(1), F.ceil(F.size(F.col(prompt)) / room).cast("int"))
+    # as arrays: behind an explode of numbers the whole prompt would be repeated for each part
+    pieces = F.transform(F.sequence(F.lit(0), parts - 1), lambda i: F.slice(F.col(prompt), i * room + 1, room))
+    others = [c for c in df.columns if c != prompt]
+    return df.select(*others, F.posexplode(pieces).alias("part", prompt))
+
+
 def overlong(df: DataFrame, prompt: str, completion: str, width: int) -> DataFrame:
     size = F.size(F.col(prompt)) + 1 + F.size(F.col(completion))
     return df.agg(F.count_if(size <= width).alias("kept"), F.count_if(size > width).alias("dropped"), F.max(size).alias("longest"))

@@ -512,6 +512,22 @@ def pack_sequences(spark, sf_dir):
     return out.select("doc_id", F.array_join("tokens", ",").alias("tokens"), F.aggregate("mask", F.lit(0).cast("long"), lambda s, x: s + x).alias("masked"))
 
 
+PACK_WIDTH = 96  # of the model's sequences
+
+
+@query(None)
+def pack_whole_texts(spark, sf_dir):
+    """The byte-pair ids of whole texts: a text that does not fit one sequence goes on in the next, so no id is lost."""
+    import public_tokenizers
+
+    ids = F.coalesce(P.encode_bytes(F.col("text"), public_tokenizers.path("byte_bpe_50k.json")), F.array().cast("array<int>"))
+    rows = table(spark, sf_dir, "documents").select(
+        "doc_id", F.transform(ids, lambda i: i + len(P.RESERVED)).alias("p"), F.array((2 + F.col("doc_id") % 7).cast("int"), F.lit(18)).alias("c")
+    )
+    out = P.pack(P.in_parts(rows, "p", "c", PACK_WIDTH), "p", "c", PACK_WIDTH)
+    return out.select("doc_id", "part", F.array_join("tokens", ",").alias("tokens"), F.aggregate("mask", F.lit(0).cast("long"), lambda s, x: s + x).alias("masked"))
+
+
 @query("select count(*) filter (n <= 400) as kept, count(*) filter (n > 400) as dropped, max(n) as longest from (select len(string_split(text, ' ')) + 3 as n from documents)")
 def over_length(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select(F.split("text", " ", -1).alias("p"), F.array(F.lit(1), F.lit(2)).alias("c"))

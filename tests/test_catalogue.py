@@ -68,3 +68,21 @@ def test_generated_corpus(spark):
     assert set(counts) == {"template", *N.NEGATIVE_MIX}
     assert rows.count() == rows.select(F.lower(F.trim("text"))).distinct().count()
     assert os.path.exists(SF)
+
+
+def test_whole_texts_are_packed(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from loomery.operators import pack as P
+
+    tokenizer, width = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), catalogue.PACK_WIDTH
+    want = {}
+    for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        ids = [i + len(P.RESERVED) for i in tokenizer.encode(r.text or "", add_special_tokens=False).ids]
+        room = width - 3
+        for part in range(max(1, -(-len(ids) // room))):
+            row = [*ids[part * room : (part + 1) * room], P.GO, 2 + r.doc_id % 7, 18]
+            want[r.doc_id, part] = (",".join(map(str, row + [P.PAD] * (width - len(row)))), 2)
+    got = {(r.doc_id, r.part): (r.tokens, r.masked) for r in catalogue.pack_whole_texts(spark, SF).collect()}
+    assert got == want and max(part for _, part in got) > 0
