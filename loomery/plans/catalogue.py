@@ -135,6 +135,16 @@ def disjoint_sides(spark, sf_dir):
     return keys.agg(F.sum((F.col("a") & F.col("b")).cast("int")).alias("shared_keys"), F.count(F.lit(1)).alias("keys"))
 
 
+@query(f"""
+select sum(cast(a and b as int)) as shared_keys, count(*) as keys from (
+  select {sql_part_key('text')} as k, bool_or({sql_draw(sql_part_key('text'), 10)} < 4) as a,
+         bool_or({sql_draw(sql_part_key('text'), 10)} >= 4) as b from documents group by 1)""")
+def disjoint_sides_all(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.sha1(X.partition_key(F.col("text"))).alias("k"), X.is_held_out(F.col("text")).alias("h"))
+    keys = docs.groupBy("k").agg(F.bool_or("h").alias("a"), F.bool_or(~F.col("h")).alias("b"))
+    return keys.agg(F.sum((F.col("a") & F.col("b")).cast("int")).alias("shared_keys"), F.count(F.lit(1)).alias("keys"))
+
+
 @query("""
 with c as (select event_type, count(*) as n, min(event_id) as first_seen from events group by 1)
 select event_type, n, round(n / sum(n) over (), 9) as share, row_number() over (order by n desc, first_seen) as place from c""")
@@ -320,12 +330,31 @@ def run_split_matrix(spark, sf_dir):
     return rounded(out.select("run", "split", n.alias("n"), (F.coalesce("hits", F.lit(0)) / F.greatest(F.lit(1), n)).alias("rate")), "rate")
 
 
+@query("""
+with r as (select distinct user_id % 5 as run from events), s as (select distinct event_type as split from events),
+k as (select user_id % 5 as run, event_type as split, count(*) as n, count(*) filter (value > 50) as hits from events group by all)
+select r.run, s.split, coalesce(n, 0) as n, round(coalesce(hits, 0) / greatest(1, coalesce(n, 0)), 9) as rate from r cross join s left join k on k.run = r.run and k.split = s.split""")
+def run_split_matrix_all(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select((F.col("user_id") % 5).alias("run"), F.col("event_type").alias("split"), "value")
+    grid = events.select("run").distinct().crossJoin(events.select("split").distinct())
+    counts = events.groupBy("run", "split").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("value") > 50).alias("hits"))
+    out = grid.join(counts, ["run", "split"], "left")
+    n = F.coalesce("n", F.lit(0))
+    return rounded(out.select("run", "split", n.alias("n"), (F.coalesce("hits", F.lit(0)) / F.greatest(F.lit(1), n)).alias("rate")), "rate")
+
+
 @query(f"select doc_id from documents where {sql_key('text')} in (select {sql_key('text')} from documents where doc_id % 10 = 3) and doc_id % 10 <> 3")
 def leak_exact(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return C.leaks_exact(docs.where("doc_id % 10 <> 3"), docs.where("doc_id % 10 = 3")).select("doc_id")
 
 
+@query(None)
+def leak_exact_benchmark(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return C.leaks_exact(docs, table(spark, sf_dir, "benchmark")).select("doc_id")
+
+
 @query("select doc_id, item_id from documents d join benchmark b on contains(d.text, b.text) and b.text <> ''")
 def leak_contains(spark, sf_dir):
     return C.leaks_contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "item_id")
@@ -425,6 +454,17 @@ def positional_diff(spark, sf_dir):
     return rounded(out.agg(F.count(F.lit(1)).alias("lines"), F.count_if(~F.col("same")).alias("differ"), (100 * F.count_if("same") / F.count(F.lit(1))).alias("same_percent")), "same_percent")
 
 
+@query("""
+with b as (select conv_id, turn, case when conv_id % 4 = 0 then lower(text) else text end as text from conversations)
+select count(*) as lines, count(*) filter (a.text is distinct from b.text) as differ, round(100 * count(*) filter (a.text is not distinct from b.text) / count(*), 9) as same_percent
+from conversations a full join b on a.conv_id = b.conv_id and a.turn = b.turn""")
+def positional_diff_all(spark, sf_dir):
+    a = table(spark, sf_dir, "conversations")
+    b = a.withColumn("text", F.when(F.col("conv_id") % 4 == 0, F.lower("text")).otherwise(F.col("text")))
+    out = E.line_diff(a, b, ["conv_id", "turn"], "text")
+    return rounded(out.agg(F.count(F.lit(1)).alias("lines"), F.count_if(~F.col("same")).alias("differ"), (100 * F.count_if("same") / F.count(F.lit(1))).alias("same_percent")), "same_percent")
+
+
 @query("select doc_id, lang from documents qualify row_number() over (partition by lang order by sha1('q' || doc_id), doc_id) <= 40")
 def quota_fill(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
@@ -561,6 +601,15 @@ def running_best(spark, sf_dir):
     return rows.select("event_id", F.round(F.min("value").over(W.partitionBy("user_id").orderBy("event_id").rowsBetween(W.unboundedPreceding, 0)), 9).alias("best"))
 
 
+@query("""select user_id, event_id, round(min(value) over (partition by user_id order by event_id rows unbounded preceding), 9) as best from events""")
+def running_best_by_user(spark, sf_dir):
+    from pyspark.sql import Window as W
+
+    rows = table(spark, sf_dir, "events")
+    best = F.min("value").over(W.partitionBy("user_id").orderBy("event_id").rowsBetween(W.unboundedPreceding, 0))
+    return rows.select("user_id", "event_id", F.round(best, 9).alias("best"))
+
+
 @query("select count(*) as n, sort = range(0, 25) as contiguous from (select list_sort(list(n_nationkey)) as sort, count(*) as n from nation) group by all")
 def contiguous_ids(spark, sf_dir):
     return table(spark, sf_dir, "nation").agg(F.collect_list("n_nationkey").alias("ids")).select(F.lit(1).cast("long").alias("n"), P.contiguous(F.col("ids")).alias("contiguous"))

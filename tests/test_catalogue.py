@@ -86,3 +86,14 @@ def test_whole_texts_are_packed(spark):
             want[r.doc_id, part] = (",".join(map(str, row + [P.PAD] * (width - len(row)))), 2)
     got = {(r.doc_id, r.part): (r.tokens, r.masked) for r in catalogue.pack_whole_texts(spark, SF).collect()}
     assert got == want and max(part for _, part in got) > 0
+
+
+def test_whole_tables_are_read(spark, tmp_path):
+    read = lambda name: spark.read.parquet(f"{SF}/{name}.parquet")
+    assert catalogue.running_best_by_user(spark, SF).count() == read("events").count()
+    assert sum(r.n for r in catalogue.run_split_matrix_all(spark, SF).collect()) == read("events").count()
+    assert catalogue.positional_diff_all(spark, SF).first().lines == read("conversations").count()
+    read("benchmark").write.parquet(f"{tmp_path}/benchmark.parquet")
+    planted = read("benchmark").limit(4).select((F.col("item_id") * 10 + 3).alias("doc_id"), F.concat(F.lit(" "), F.upper("text")).alias("text"))
+    read("documents").select("doc_id", "text").where("doc_id < 0").unionByName(planted).write.parquet(f"{tmp_path}/documents.parquet")
+    assert catalogue.leak_exact_benchmark(spark, str(tmp_path)).count() == 4
