@@ -92,13 +92,16 @@ def leaks_exact(docs: DataFrame, held: DataFrame, text: str = "text") -> DataFra
 
 
 ANCHOR = 3
+BLOCK_ITEMS = 10_000
+BLOCK_BYTES = 64 << 20
 
 
 def leaks_contained(docs: DataFrame, held: DataFrame, doc_id: str, item_id: str, text: str = "text") -> DataFrame:
     """(doc_id, item_id) where the document contains the item's text.
 
     An equi-join: three whole words within an item (its first and last may be parts of longer words) must stand in the
-    document in a row. Items of fewer than five words are compared with every document, as a bounded broadcast.
+    document in a row. Items of fewer than five words are compared with every document, a broadcast block of
+    about BLOCK_ITEMS and BLOCK_BYTES at most at a time.
     """
     words = F.split(F.col(text), " ", -1)
     items = held.select(F.col(item_id), F.col(text).alias("_item"), words.alias("_w")).where("_item <> ''")
@@ -110,7 +113,9 @@ def leaks_contained(docs: DataFrame, held: DataFrame, doc_id: str, item_id: str,
     hits = spots.join(long, "_a").select(doc_id, item_id, "_item").distinct()
     found = hits.join(docs.select(doc_id, text), doc_id).where(F.contains(F.col(text), F.col("_item"))).select(doc_id, item_id)
     short = items.where(F.size("_w") < ANCHOR + 2).drop("_w")
-    if short.limit(10_001).count() > 10_000:
-        raise ValueError("more than 10,000 items of fewer than five words: raise their length or search them in blocks")
-    few = docs.join(F.broadcast(short), F.contains(F.col(text), F.col("_item"))).select(doc_id, item_id)
-    return found.unionByName(few).distinct()
+    size = short.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("_item")), F.lit(0)).alias("b")).first()
+    blocks = max(1, -(-size.n // BLOCK_ITEMS), -(-size.b // BLOCK_BYTES))
+    for i in range(blocks):
+        block = short if blocks == 1 else short.distinct().where(F.pmod(F.xxhash64("_item", item_id), F.lit(blocks)) == i)
+        found = found.unionByName(docs.join(F.broadcast(block), F.contains(F.col(text), F.col("_item"))).select(doc_id, item_id))
+    return found.distinct()

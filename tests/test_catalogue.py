@@ -97,3 +97,14 @@ def test_whole_tables_are_read(spark, tmp_path):
     planted = read("benchmark").limit(4).select((F.col("item_id") * 10 + 3).alias("doc_id"), F.concat(F.lit(" "), F.upper("text")).alias("text"))
     read("documents").select("doc_id", "text").where("doc_id < 0").unionByName(planted).write.parquet(f"{tmp_path}/documents.parquet")
     assert catalogue.leak_exact_benchmark(spark, str(tmp_path)).count() == 4
+
+
+def test_many_short_items_are_all_searched(spark):
+    from loomery.operators import curate as C
+
+    items = [(i, f"w{i} x") for i in range(10_050)]
+    texts = [(0, "a w7 x b w10049 x"), (1, "nothing"), (2, "w5000 xy and w70 xx"), (3, None)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    held = spark.createDataFrame(items, "item_id long, text string")
+    got = {tuple(r) for r in C.leaks_contained(docs, held, "doc_id", "item_id").collect()}
+    assert got == {(d, i) for d, t in texts for i, item in items if t and item in t} and len(got) == 4
