@@ -8,9 +8,11 @@ Spread over a cluster it goes as follows. A counting sketch of fixed size over a
 n - T + 1 rarest of a document are its short lists. Documents with equal sets are one class from here on. Short lists
 that classes share tie them into families, outside which no link can be: small lists by the pairs whose sizes and parities
 allow a link, large ones as a whole where sizes are near.
-A family is searched in one task, with inverted lists of its own; one beyond FAMILY_SHINGLES is not: there, each short
-list is a group of its own, dealt in blocks, and every pair of blocks is searched. No pairs are emitted, only the links that
-join parts not joined yet, so a group of k near copies costs k rows.
+A family is searched in one task, with inverted lists of its own: the short lists of a set are merged by a heap, the long ones
+probed. One beyond FAMILY_SHINGLES is not: there, each short list is a group of its own, dealt in blocks, and every pair of
+blocks is searched. For components no pairs are emitted, only the links that join parts not joined yet, and a list whose
+holders are all in the set's own part already is not read: a group of k near copies costs k short searches and k rows.
+jaccard_links() looks at every pair instead and counts them.
 
 Shingles are 64-bit hashes, classes 128-bit ones; a link is confirmed on the hashes of the whole sets.
 
@@ -21,24 +23,28 @@ a null doc_id takes no part and has a null component. Only id and text are read,
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomery.llm.components import components
-from loomery.llm.shared import partitions_for, quoted, written
+from loomery.llm.rolling import Powers
+from loomery.llm.shared import Scratch, lean, partitions_for, quoted
 
 WORDS = 5
 SIMILAR = 80  # per cent
 SKETCH_BITS = 22
 SKETCH_CHUNK = 1 << 16
-FAMILY_SHINGLES = 4_000_000
+FAMILY_SHINGLES = 2_000_000
 BLOOM_BITS = 1 << 26
 PARITY_BITS = 512
 PAIRED_LIST = 8
-BATCH_CHARS = 4 << 20
+FIRST_CANDIDATES, CANDIDATES = 16, 512  # verified at a time
+BATCH_BYTES = 512 << 10
 
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
@@ -51,50 +57,62 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+#: Byte by byte: A-Z to a-z, and which are blanks.
+_LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8).astype(np.uint64)
+_BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_powers = Powers()
+
+
 def utf8(column) -> Iterator[bytes]:
-    """The texts of an Arrow array, null ones empty."""
-    return ((x.as_py() or "").encode("utf-8", "surrogatepass") for x in column)
+    """The texts of an Arrow array of strings as bytes, null ones empty."""
+    import pyarrow as pa
+
+    kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
+    return (x.as_py() or b"" for x in column.cast(kind))
+
+
+def word_hashes(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the words of some texts in a row, and where each text's begin, with the end behind."""
+    data = np.frombuffer(b"".join(b" " + x for x in bodies) + b" ", np.uint8)
+    blank = _BLANK[data]
+    edges = np.flatnonzero(blank[1:] != blank[:-1]) + 1  # the first byte is a blank, and so is the last
+    starts, ends = edges[::2], edges[1::2]
+    size = np.fromiter(map(len, bodies), np.int64, len(bodies)) + 1
+    bounds = np.searchsorted(starts, np.r_[0, np.cumsum(size)])
+    with np.errstate(over="ignore"):
+        return _mixed(_powers.hashes(_LOWER[data], starts, ends)), bounds
 
 
 def shingle_sets(bodies: Iterator[bytes], words: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
-    import pandas as pd
-
-    bodies = iter(bodies)
-    more = True
-    while more:
-        total, flat, counts = 0, [], []
-        more = False
-        for body in bodies:
-            own = body.lower().split()  # of bytes: A-Z only, and ASCII blanks only
-            flat += own
-            counts.append(len(own))
-            total += len(body)
-            if total >= BATCH_CHARS:
-                more = True
-                break
-        w = np.zeros(0, np.uint64)
-        if flat:
-            column = np.empty(len(flat), object)
-            column[:] = flat
-            w = pd.util.hash_array(column, categorize=False)
-        bounds = np.r_[0, np.cumsum(counts)]
-        with np.errstate(over="ignore"):
-            h = np.zeros(max(0, len(w) - words + 1), np.uint64)
-            for j in range(words):
-                h = h * _ODD[0] + w[j : j + len(h)]
-            h = _mixed(h)
-            for i in range(len(counts)):
-                a, b = bounds[i], bounds[i + 1]
-                if b - a >= words:
-                    yield np.unique(h[a : b - words + 1])
-                elif b > a:
-                    short = np.uint64(b - a)
-                    for x in w[a:b]:
-                        short = short * _ODD[1] + x
-                    yield _mixed(np.array([short * _ODD[2]]))
-                else:
-                    yield np.zeros(0, np.uint64)
+    held, total = [], 0
+    for body in bodies:
+        held.append(body)
+        total += len(body)
+        if total >= BATCH_BYTES:
+            yield from _shingles(held, words)
+            held, total = [], 0
+    if held:
+        yield from _shingles(held, words)
+
+
+def _shingles(bodies: list[bytes], words: int) -> Iterator[np.ndarray]:
+    w, bounds = word_hashes(bodies)
+    with np.errstate(over="ignore"):
+        h = np.zeros(max(0, len(w) - words + 1), np.uint64)
+        for j in range(words):
+            h = h * _ODD[0] + w[j : j + len(h)]
+        h = _mixed(h)
+        for a, b in zip(bounds[:-1], bounds[1:]):
+            if b - a >= words:
+                yield np.unique(h[a : b - words + 1])
+            elif b > a:
+                short = np.uint64(b - a)
+                for x in w[a:b]:
+                    short = short * _ODD[1] + x
+                yield _mixed(np.array([short * _ODD[2]]))
+            else:
+                yield np.zeros(0, np.uint64)
 
 
 def needed(n: int, percent: int) -> int:
@@ -123,52 +141,52 @@ def frequency_levels(texts: DataFrame, words: int, bits: int = SKETCH_BITS) -> n
         import pyarrow as pa
         from pyspark import TaskContext
 
-        counts = np.zeros(1 << bits, np.int64)
+        counts = np.zeros(1 << bits, np.uint32)  # of one task's documents
         seen = False
         for batch in batches:
             for s in shingle_sets(utf8(batch.column(1)), words):
                 seen = True
-                where, n = np.unique(s >> np.uint64(64 - bits), return_counts=True)
-                counts[where.astype(np.int64)] += n
+                np.add.at(counts, (s >> np.uint64(64 - bits)).astype(np.int64), np.uint32(1))
         if seen:
             part = TaskContext.get().partitionId()
             rows = range((1 << bits) // chunk)
-            data = [zlib.compress(counts[i * chunk : (i + 1) * chunk].astype("<i8").tobytes(), 1) for i in rows]
+            data = [zlib.compress(counts[i * chunk : (i + 1) * chunk].astype("<u4").tobytes(), 1) for i in rows]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(rows), pa.int32()), pa.array([part % 64] * len(rows), pa.int32()), pa.array(data, pa.binary())], names=["chunk", "part", "counts"]
             )
 
+    def total_of(table, kind):
+        total = np.zeros(chunk, np.int64)
+        for data in table.column("counts"):
+            total += np.frombuffer(zlib.decompress(data.as_py()), kind)
+        return total
+
     def summed(key, table):
         import pyarrow as pa
 
-        total = np.zeros(chunk, np.int64)
-        for data in table.column("counts"):
-            total += np.frombuffer(zlib.decompress(data.as_py()), "<i8")
-        data = zlib.compress(total.astype("<i8").tobytes(), 1)
+        data = zlib.compress(total_of(table, "<u4").astype("<i8").tobytes(), 1)
         return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([data], pa.binary())})
 
-    def levels(batches):
+    def levelled(key, table):
         import pyarrow as pa
 
-        for batch in batches:
-            out = []
-            for data in batch.column(1):
-                total = np.frombuffer(zlib.decompress(data.as_py()), "<i8")
-                out.append((4 * np.log2(1 + total)).astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["chunk", "levels"])
+        data = (4 * np.log2(1 + total_of(table, "<i8"))).astype(np.uint8).tobytes()
+        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "levels": pa.array([data], pa.binary())})
 
-    parts = texts.mapInArrow(count, "chunk int, part int, counts binary")
+    parts = texts.mapInArrow(lean(count), "chunk int, part int, counts binary")
     half = parts.groupBy("chunk", "part").applyInArrow(summed, "chunk int, counts binary")
-    whole = half.groupBy("chunk").applyInArrow(summed, "chunk int, counts binary").mapInArrow(levels, "chunk int, levels binary")
+    whole = half.groupBy("chunk").applyInArrow(levelled, "chunk int, levels binary")
     out = np.zeros(1 << bits, np.uint8)
     for row in whole.collect():
         out[row.chunk * chunk : (row.chunk + 1) * chunk] = np.frombuffer(row.levels, np.uint8)
     return out
 
 
-def short_lists(texts: DataFrame, words: int, percent: int, levels: np.ndarray) -> DataFrame:
-    """doc, n, the set's digest (d1, d2), the hashes of the n - T + 1 rarest shingles, and the parities of all."""
-    shared = texts.sparkSession.sparkContext.broadcast(levels)
+def short_lists(texts: DataFrame, words: int, percent: int, shared) -> DataFrame:
+    """doc, n, the set's digest (d1, d2), the hashes of the n - T + 1 rarest shingles, and the parities of all.
+
+    shared is a broadcast of frequency_levels().
+    """
 
     def run(batches):
         import pyarrow as pa
@@ -194,7 +212,7 @@ def short_lists(texts: DataFrame, words: int, percent: int, levels: np.ndarray)
                 names=["doc", "n", "d1", "d2", "short", "parity"],
             )
 
-    return texts.mapInArrow(run, "doc long, n long, d1 long, d2 long, short array<long>, parity array<long>")
+    return texts.mapInArrow(lean(run), "doc long, n long, d1 long, d2 long, short array<long>, parity array<long>")
 
 
 def parities(shingles: np.ndarray) -> np.ndarray:
@@ -241,64 +259,131 @@ def banded(lists: DataFrame, percent: int) -> DataFrame:
     return out
 
 
-def linked(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links that join the similar sets of one group, no more than one less than there are sets (DivideSkip)."""
+class Lists:
+    """The inverted lists of some sets, of those shingles that two or more of them hold; sets by size."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.n = np.array([len(s) for s in sets])
+        flat, holder = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.int32), self.n)
+        by = np.argsort(flat, kind="stable")
+        first = np.r_[True, flat[by][1:] != flat[by][:-1]]
+        token = np.cumsum(first) - 1
+        length = np.bincount(token)
+        several = length > 1
+        kept = several[token]
+        token = (np.cumsum(several) - 1)[token[kept]]
+        by = by[kept]
+        self.many = int(several.sum())
+        self.length = length[several]
+        self.at = np.r_[0, np.cumsum(self.length)]
+        self.holders = holder[by]  # list by list, each ascending
+        # (set, shingle) in order: the target of binary probes, and the shingles of each set
+        back = np.argsort(by, kind="stable")
+        self.pairs = holder[by[back]].astype(np.int64) * self.many + token[back]
+        self.starts = np.searchsorted(self.pairs, np.arange(len(sets) + 1, dtype=np.int64) * self.many)
+
+    def shingles(self, a: int) -> np.ndarray:
+        """Those of a set, the shortest lists first."""
+        own = self.pairs[self.starts[a] : self.starts[a + 1]] - a * self.many
+        return own[np.argsort(self.length[own], kind="stable")]
+
+    def run(self, token: int, low: int, high: int) -> np.ndarray:
+        """The holders from low up to high, without it."""
+        own = self.holders[self.at[token] : self.at[token + 1]]
+        return own[np.searchsorted(own, low) : np.searchsorted(own, high)]
+
+    def probed(self, some: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+        """How many of the shingles each of some sets holds, by binary search."""
+        if not len(tokens):
+            return np.zeros(len(some), np.int64)
+        probes = (some.astype(np.int64)[:, None] * self.many + tokens[None, :]).ravel()
+        at = np.minimum(np.searchsorted(self.pairs, probes), len(self.pairs) - 1)
+        return (self.pairs[at] == probes).reshape(len(some), -1).sum(1)
+
+
+class Parts:
+    """Sets joined to parts; each part goes by its least set."""
+
+    def __init__(self, n: int):
+        self.above = np.arange(n)
+
+    def roots(self, some: np.ndarray) -> np.ndarray:
+        now = self.above[some]
+        while True:
+            up = self.above[now]
+            if (up == now).all():
+                self.above[some] = now
+                return now
+            now = up
+
+    def root(self, a: int) -> int:
+        return int(self.roots(np.array([a]))[0])
+
+    def join(self, a: int, b: int) -> None:
+        x, y = self.root(a), self.root(b)
+        self.above[max(x, y)] = min(x, y)
+
+
+def linked(ids: list[int], sets: list[np.ndarray], percent: int, every: bool = False) -> list[tuple[int, int]]:
+    """Links that join the similar sets of one group, less than there are sets; or every pair of similar sets (DivideSkip)."""
+    if len(sets) < 2:
+        return []
     order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), ids[i]))
-    sets = [sets[i] for i in order]
     ids = [ids[i] for i in order]
-    if len(sets) < 2:
+    lists = Lists([sets[i] for i in order])
+    if not lists.many:
         return []
-    n = np.array([len(s) for s in sets])
-    values, local = np.unique(np.concatenate(sets), return_inverse=True)
-    starts = np.r_[0, np.cumsum(n)]
-    holder = np.repeat(np.arange(len(sets)), n)
-    by_token = np.argsort(local, kind="stable")
-    list_of = holder[by_token]  # inverted lists, each ascending
-    length = np.bincount(local, minlength=len(values))
-    list_at = np.r_[0, np.cumsum(length)]
-    # sets as sorted (set, token) pairs: the target of binary probes
-    pairs = holder.astype(np.int64) * len(values) + local
-    above = list(range(len(sets)))
-
-    def root(i):
-        while above[i] != i:
-            above[i] = above[above[i]]
-            i = above[i]
-        return i
-
+    n, parts = lists.n, Parts(len(sets))
+    # of each list: a holder whose part has all holders so far, -1 if there is none yet, -2 if they are in several parts
+    of_part = np.full(lists.many, -1)
     links = []
-    for a in range(1, len(sets)):
-        tokens = local[starts[a] : starts[a + 1]]
-        tokens = tokens[np.argsort(length[tokens], kind="stable")]
-        skipped = needed(int(n[a]), percent) - 1  # L: the longest lists
-        short, long = tokens[: len(tokens) - skipped], tokens[len(tokens) - skipped :]
-        runs = [list_of[list_at[t] : list_at[t + 1]] for t in short if length[t] > 1]
-        if not runs:
-            continue
-        found, count = np.unique(np.concatenate(runs), return_counts=True)
-        least = -(-percent * int(n[a]) // 100)
-        fits = (found < a) & (n[found] >= least)
-        found, count = found[fits], count[fits]
-        for i in range(0, len(found), 512):
-            some, hits = found[i : i + 512], count[i : i + 512]
-            mine = root(a)
-            apart = np.array([root(int(b)) != mine for b in some], bool)
-            some, hits = some[apart], hits[apart]
-            if not len(some):
-                continue
-            probes = (some.astype(np.int64)[:, None] * len(values) + long[None, :]).ravel()
-            at = np.minimum(np.searchsorted(pairs, probes), len(pairs) - 1)
-            overlap = hits + (pairs[at] == probes).reshape(len(some), -1).sum(1)
-            similar = 100 * overlap >= percent * (n[a] + n[some] - overlap)
-            for b in some[similar].tolist():
-                x, y = root(a), root(b)
-                if x != y:
-                    above[max(x, y)] = min(x, y)
-                    links.append((ids[a], ids[b]))
+
+    def verify(a: int, some: np.ndarray, overlap: np.ndarray) -> None:
+        for b in some[100 * overlap >= percent * (n[a] + n[some] - overlap)].tolist():
+            if every:
+                links.append((ids[a], ids[b]))
+            elif parts.root(a) != parts.root(b):
+                parts.join(a, b)
+                links.append((ids[a], ids[b]))
+
+    for a in range(len(sets)):
+        tokens = lists.shingles(a)
+        need = needed(int(n[a]), percent)
+        few = max(0, len(tokens) - (need - 1))  # the short lists; L = need - 1 long ones are set aside
+        short, long = tokens[:few], tokens[few:]
+        least = int(np.searchsorted(n, need))  # smaller sets cannot be partners
+        if every:
+            waiting = short
+        else:
+            pivots = np.unique(of_part[short])
+            for b in pivots[pivots >= least].tolist():
+                if parts.root(a) != parts.root(b):
+                    verify(a, np.array([b]), lists.probed(np.array([b]), tokens))
+            state = of_part[short]
+            waiting = short[(state == -2) | ((state >= 0) & (parts.roots(np.maximum(state, 0)) != parts.root(a)))]
+        runs = [run.tolist() for t in waiting if len(run := lists.run(t, least, a))]
+        merged = [(b, sum(1 for _ in same)) for b, same in groupby(heapq.merge(*runs))] if len(runs) > 1 else [(b, 1) for run in runs for b in run]
+        step, i = (CANDIDATES if every else FIRST_CANDIDATES), 0
+        while i < len(merged):
+            some, hits = np.array(merged[i : i + step]).T
+            i, step = i + step, CANDIDATES
+            if not every:
+                apart = parts.roots(some) != parts.root(a)
+                some, hits = some[apart], hits[apart]
+            if len(some):
+                # none of them is on a list that was left out: such a list is of a's own part or empty
+                verify(a, some, hits + lists.probed(some, long))
+        if not every:
+            mine = parts.root(a)
+            for t in waiting:  # lists that have come to be of one part
+                if of_part[t] == -2 and (parts.roots(lists.run(t, 0, a)) == mine).all():
+                    of_part[t] = a
+            state = of_part[tokens]
+            of_part[tokens] = np.where((state == -1) | (state >= 0) & (parts.roots(np.maximum(state, 0)) == mine), a, -2)
     return links
 
 
-def _grouped_links(rows: DataFrame, words: int, percent: int) -> DataFrame:
+def _grouped_links(rows: DataFrame, words: int, percent: int, every: bool) -> DataFrame:
     """Links within each group of rows (group columns g1, g2, g3; doc; packed text)."""
     spark = rows.sparkSession
     rows = rows.repartition(partitions_for(spark), "g1", "g2", "g3").sortWithinPartitions("g1", "g2", "g3", "doc")
@@ -311,25 +396,28 @@ def _grouped_links(rows: DataFrame, words: int, percent: int) -> DataFrame:
         key, ids, sets, out = None, [], [], []
         for batch in batches:
             g = [batch.column(i).to_pylist() for i in range(3)]
-            every = shingle_sets((unpack(x.as_py()) for x in batch.column(4)), words)
-            for row_key, doc, own in zip(zip(*g), batch.column(3).to_pylist(), every):
+            found = shingle_sets((unpack(x.as_py()) for x in batch.column(4)), words)
+            for row_key, doc, own in zip(zip(*g), batch.column(3).to_pylist(), found):
                 if row_key != key:
-                    out += linked(ids, sets, percent)
+                    out += linked(ids, sets, percent, every)
                     key, ids, sets = row_key, [], []
                 ids.append(doc)
                 sets.append(own)
             if len(out) > 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
                 out = []
-        out += linked(ids, sets, percent)
+        out += linked(ids, sets, percent, every)
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
 
-    return rows.select("g1", "g2", "g3", "doc", "packed").mapInArrow(run, "a long, b long")
+    return rows.select("g1", "g2", "g3", "doc", "packed").mapInArrow(lean(run), "a long, b long")
 
 
-def _wanted_texts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc, text compressed) of the wanted docs and few others: a bit map of fixed size keeps most from the shuffle."""
+def _wanted_texts(texts: DataFrame, wanted: DataFrame):
+    """(doc, text compressed) of the wanted docs and few others, and a broadcast to destroy once they are read.
+
+    A bit map of fixed size keeps most from the shuffle.
+    """
     spot = F.pmod(F.xxhash64("doc"), F.lit(BLOOM_BITS))
     bits = (
         wanted.select(spot.alias("p"))
@@ -354,42 +442,55 @@ def _wanted_texts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
             some = batch.filter(pa.array(hit, pa.bool_()))
             docs = some.column(0)
             if len(docs):
-                data = [pack((x.as_py() or "").encode("utf-8", "surrogatepass")) for x in some.column(1)]
+                data = [pack(x) for x in utf8(some.column(1))]
                 yield pa.RecordBatch.from_arrays([docs, pa.array(data, pa.binary())], names=["doc", "packed"])
 
-    return placed.mapInArrow(run, "doc long, packed binary")
+    return placed.mapInArrow(lean(run), "doc long, packed binary"), marks
 
 
-def jaccard_classes(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = SIMILAR, family_shingles: int = FAMILY_SHINGLES
-) -> DataFrame:
-    """(doc, n_shingles, component_id) for each row: component_id is the least doc that links lead to, itself included.
+def _join(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, family_shingles: int, every: bool, steps: Scratch):
+    """(rows, classes, links): what is known of each row, the classes of equal sets, and links between classes' least docs.
 
-    Two documents link when 100 * intersection >= percent * union of their sets of distinct shingles of that many words.
+    Without every, the links join what is similar, directly or not; with it they are all pairs of classes that are.
     """
+    spark = docs.sparkSession
     texts = docs.select(F.col(quoted(id_col)).cast("long").alias("doc"), F.col(quoted(text_col)).alias("body"))
-    levels = frequency_levels(texts, words)
-    rows = written(short_lists(texts, words, percent, levels), "short-lists")
+    levels = spark.sparkContext.broadcast(frequency_levels(texts, words))
+    rows = steps.written(short_lists(texts, words, percent, levels), "short-lists")
+    levels.destroy()
     live = rows.where("doc is not null and n > 0")
 
     # classes of equal sets, and the short lists that two or more of them share
-    reps = written(live.groupBy("d1", "d2").agg(F.min("doc").alias("rep"), F.max("n").alias("n"), F.min("parity").alias("parity")), "classes")
+    reps = steps.written(live.groupBy("d1", "d2").agg(F.min("doc").alias("rep"), F.max("n").alias("n"), F.min("parity").alias("parity")), "classes")
     entries = live.select(F.explode("short").alias("token"), F.col("d1").alias("cls"), "n")
     shared = entries.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("token")
-    lists = written(entries.join(shared, "token", "left_semi").distinct(), "lists")
+    lists = steps.written(entries.join(shared, "token", "left_semi").distinct(), "lists")
 
     families = components(family_edges(lists, reps, percent)).select(F.col("node").alias("cls"), F.col("component").alias("family"))
-    members = written(reps.join(families, reps.d1 == families.cls).select("rep", "d1", "n", "family"), "members")
+    members = steps.written(reps.join(families, reps.d1 == families.cls).select("rep", "d1", "n", "family"), "members")
     weights = members.groupBy("family").agg(F.sum("n").alias("weight"), F.count(F.lit(1)).alias("size")).where("size > 1")
     members = members.join(weights, "family")
-    bodies = _wanted_texts(texts, members.select(F.col("rep").alias("doc")))
+    bodies, marks = _wanted_texts(texts, members.select(F.col("rep").alias("doc")))
     zero = F.lit(0).cast("long")
 
     small = members.where(F.col("weight") <= family_shingles).select(F.col("family").alias("g1"), zero.alias("g2"), zero.alias("g3"), F.col("rep").alias("doc"))
     large = members.where(F.col("weight") > family_shingles).select(F.col("rep").alias("doc"), F.col("d1").alias("cls"), "n")
     dealt = small.unionByName(_blocks(large, lists, family_shingles))
-    links = written(_grouped_links(dealt.join(bodies, "doc"), words, percent), "links")
+    links = steps.written(_grouped_links(dealt.join(bodies, "doc"), words, percent, every), "links")
+    marks.destroy()
+    return rows, reps, links
+
+
+def jaccard_classes(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = SIMILAR, family_shingles: int = FAMILY_SHINGLES
+) -> DataFrame:
+    """(doc, n_shingles, component_id) for each row: component_id is the least doc that links lead to, itself included.
 
+    Two documents link when 100 * intersection >= percent * union of their sets of distinct shingles of that many words.
+    """
+    steps = Scratch(docs.sparkSession)
+    rows, reps, links = _join(docs, id_col, text_col, words, percent, family_shingles, False, steps)
+    live = rows.where("doc is not null and n > 0")
     several = live.groupBy("doc").agg(F.min("d1").alias("lo"), F.max("d1").alias("hi")).where("lo <> hi").select("doc")
     again = live.join(several, "doc", "left_semi").join(reps.select("d1", "d2", "rep"), ["d1", "d2"]).select(F.col("doc").alias("a"), F.col("rep").alias("b"))
     groups = components(links.unionByName(again))
@@ -397,7 +498,29 @@ def jaccard_classes(
     named = rows.select("doc", "n", "d1", "d2").join(reps.select("d1", "d2", "rep"), ["d1", "d2"], "left")
     out = named.join(groups, F.coalesce("rep", "doc") == F.col("node"), "left")
     least = F.when(F.col("doc").isNotNull(), F.coalesce("component", "rep", "doc"))
-    return out.select("doc", F.col("n").alias("n_shingles"), least.alias("component_id"))
+    return steps.last(out.select("doc", F.col("n").alias("n_shingles"), least.alias("component_id")), "jaccard-classes")
+
+
+def jaccard_links(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = SIMILAR, family_shingles: int = FAMILY_SHINGLES
+) -> tuple[DataFrame, DataFrame]:
+    """Every link, without expanding copies: (doc, class_id, n_shingles, n_links) for each row, and (a, b) for each pair of classes.
+
+    A class is the rows of one set of shingles and goes by its least doc; it is null for rows without shingles or doc. a < b are
+    classes that link. n_links is the number of other rows that a row links with, those of its own class included.
+    """
+    steps = Scratch(docs.sparkSession)
+    rows, reps, links = _join(docs, id_col, text_col, words, percent, family_shingles, True, steps)
+    pairs = steps.last(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "jaccard-pairs", clear=False)
+    live = rows.where("doc is not null and n > 0")
+    sizes = live.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("size")).join(reps.select("d1", "d2", "rep"), ["d1", "d2"])
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    beside = both.join(sizes.select(F.col("rep").alias("b"), "size"), "b").groupBy("a").agg(F.sum("size").alias("beside"))
+    counted = sizes.join(beside, F.col("rep") == F.col("a"), "left").select("d1", "d2", "rep", (F.col("size") - 1 + F.coalesce("beside", F.lit(0))).alias("links"))
+    out = rows.select("doc", "n", "d1", "d2").join(counted, ["d1", "d2"], "left")
+    own = F.col("doc").isNotNull() & (F.col("n") > 0)
+    out = out.select("doc", F.when(own, F.col("rep")).alias("class_id"), F.col("n").alias("n_shingles"), F.when(own, F.col("links")).otherwise(0).alias("n_links"))
+    return steps.last(out, "jaccard-links"), pairs
 
 
 def _blocks(large: DataFrame, lists: DataFrame, family_shingles: int) -> DataFrame:

@@ -25,13 +25,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomery.llm.rolling import HASH_STEP, Powers
 from loomery.llm.shared import lean, quoted
 
 ALPHA = 0.5
 SHIFT = 10.0
 PATHS = 2
 SEED = 17
-HASH_STEP = 0x9E3779B97F4A7C15
 BATCH_CHARS = 300_000
 KEPT_STATES = 1_000_000
 SLOT_BITS = 19
@@ -115,21 +115,6 @@ class Grown:
         self.n += len(values)
 
 
-class Powers:
-    """Powers of an odd number and of its inverse, modulo 2 ** 64."""
-
-    def __init__(self):
-        self.up, self.down = np.ones(1, np.uint64), np.ones(1, np.uint64)
-
-    def upto(self, n: int):
-        if len(self.up) < n:
-            size = n + (n >> 2)
-            with np.errstate(over="ignore"):
-                self.up = np.cumprod(np.r_[np.uint64(1), np.full(size, HASH_STEP, np.uint64)])
-                self.down = np.cumprod(np.r_[np.uint64(1), np.full(size, pow(HASH_STEP, -1, 1 << 64), np.uint64)])
-        return self.up, self.down
-
-
 def part_starts(codes: np.ndarray, text_starts: np.ndarray) -> np.ndarray:
     """Where the parts begin: no piece crosses a line end, U+2581 or the front of a run of blanks."""
     alone = (codes == 10) | (codes == 0x2581)
@@ -204,10 +189,7 @@ class Lattice:
         """The numbers of the parts of a batch; new ones are added to the graph. Numbers hold until the next call."""
         if self._ended.n > KEPT_STATES:
             self._thin()
-        up, down = self.powers.upto(len(codes) + 1)
-        with np.errstate(over="ignore"):
-            upto = np.r_[np.uint64(0), np.cumsum((codes + np.uint64(1)) * up[: len(codes)])]
-            h = (upto[starts + sizes] - upto[starts]) * down[starts] + sizes.astype(np.uint64)
+        h = self.powers.hashes(codes, starts, starts + sizes)
         own, at, which = np.unique(h, return_index=True, return_inverse=True)
         place = np.searchsorted(self.keys, own)
         new = np.ones(len(own), bool)

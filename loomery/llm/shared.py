@@ -51,6 +51,28 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables that an operator writes on its way, deleted when its last one is written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def written(self, df: DataFrame, label: str) -> DataFrame:
+        self.paths.append(scratch(self.spark, label))
+        df.write.parquet(self.paths[-1])
+        release(self.spark)
+        return self.spark.read.schema(df.schema).parquet(self.paths[-1])
+
+    def last(self, df: DataFrame, label: str, clear: bool = True) -> DataFrame:
+        """df written and read again; it stays, and what was written before goes if clear."""
+        out = written(df, label)
+        for path in self.paths if clear else []:
+            fs, folder = file_system(path)
+            fs.delete_dir(folder)
+        self.paths = [] if clear else self.paths
+        return out
+
+
 def give_back() -> None:
     """Returns what a worker process has freed to the system; the allocators would keep it for as long as the worker lives."""
     import ctypes

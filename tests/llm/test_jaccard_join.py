@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from loomery.llm.components import components
-from loomery.llm.jaccard_join import jaccard_classes, linked
+from loomery.llm.jaccard_join import jaccard_classes, jaccard_links, linked
 
 
 def brute_sets(sets, percent):
@@ -60,6 +60,53 @@ def test_linked_equals_brute_force(percent):
     assert above == want
 
 
+@pytest.mark.parametrize("percent", [60, 80, 85, 100])
+def test_every_pair(percent):
+    rng = np.random.default_rng(percent + 1)
+    base = [rng.choice(300, 50, replace=False) for _ in range(3)]
+    sets = [np.unique(np.r_[base[i % 3][rng.random(50) > rng.choice([0.0, 0.04, 0.1])], rng.integers(0, 300, 2)]).astype(np.uint64) for i in range(60)]
+    plain = [set(s.tolist()) for s in sets]
+    similar = lambda a, b: 100 * len(a & b) >= percent * len(a | b)
+    want = {(i, j) for i in range(60) for j in range(i) if similar(plain[i], plain[j])}
+    assert {(max(p), min(p)) for p in linked(list(range(60)), sets, percent, every=True)} == want
+
+
+def test_five_thousand_near_copies():
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 1 << 62, 40).astype(np.uint64)
+    sets = []
+    for i in range(5000):
+        s = base.copy()
+        s[rng.integers(0, 40, i % 4)] = rng.integers(0, 1 << 62, 1).astype(np.uint64)[0]
+        sets.append(np.unique(s))
+    links = linked(list(range(5000)), sets, 80)
+    assert len(links) < 5000
+    above = list(range(5000))
+
+    def root(x):
+        while above[x] != x:
+            above[x] = x = above[above[x]]
+        return x
+
+    for a, b in links:
+        above[root(a)] = root(b)
+    # brute force: every set against every other, by the incidence of their shingles
+    values, which = np.unique(np.concatenate(sets), return_inverse=True)
+    common = np.flatnonzero(np.bincount(which) > 1)
+    held = np.zeros((5000, len(common)), np.float32)
+    for i, s in enumerate(sets):
+        held[i] = np.isin(values[common], s)
+    both, n = held @ held.T, np.array([len(s) for s in sets])
+    similar = 100 * both >= 80 * (n[:, None] + n[None, :] - both)
+    seen, todo = np.zeros(5000, bool), [0]
+    seen[0] = True
+    while todo:
+        more = similar[todo].any(0) & ~seen
+        seen |= more
+        todo = np.flatnonzero(more).tolist()
+    assert {root(i) == root(0) for i in np.flatnonzero(seen)} == {True} and not any(root(i) == root(0) for i in np.flatnonzero(~seen))
+
+
 def corpus():
     rng = random.Random(5)
     vocab = [f"w{i}" for i in range(300)]
@@ -85,6 +132,22 @@ def test_classes_equal_brute_force(spark, family_shingles):
     assert out == {i: (len(sets[i]), want[i]) for i in sets}
 
 
+@pytest.mark.parametrize("family_shingles", [2_000_000, 200])
+def test_links_equal_brute_force(spark, family_shingles):
+    docs = corpus()[:90] + [(900, None), (901, "one two"), (902, "ONE two"), (903, "two"), (None, "one two")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    rows, pairs = jaccard_links(frame, words=4, percent=85, family_shingles=family_shingles)
+    sets = {i: shingles(t, 4) for i, t in docs if i is not None}
+    similar = lambda a, b: bool(a and b) and 100 * len(a & b) >= 85 * len(a | b)
+    links = {i: sum(similar(sets[i], sets[j]) for j in sets if j != i) for i in sets}
+    least = {i: min(j for j in sets if sets[j] == sets[i]) if sets[i] else None for i in sets}
+    got = {r.doc: (r.class_id, r.n_shingles, r.n_links) for r in rows.collect()}
+    assert got.pop(None) == (None, 1, 0)
+    assert got == {i: (least[i], len(sets[i]), links[i]) for i in sets}
+    want = {(least[i], least[j]) for i in sets for j in sets if i != j and similar(sets[i], sets[j]) and least[i] < least[j]}
+    assert {(r.a, r.b) for r in pairs.collect()} == want
+
+
 def docs_one():
     return " ".join(f"long{i % 977}" for i in range(30_000))
 
