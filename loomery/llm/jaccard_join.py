@@ -29,6 +29,7 @@ from itertools import groupby
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomery.llm.components import components
@@ -185,13 +186,13 @@ def frequency_levels(texts: DataFrame, words: int, bits: int = SKETCH_BITS) -> n
 def short_lists(texts: DataFrame, words: int, percent: int, shared) -> DataFrame:
     """doc, n, the set's digest (d1, d2), the hashes of the n - T + 1 rarest shingles, and the parities of all.
 
-    shared is a broadcast of frequency_levels().
+    The last two are given once for each set and task: copies have the same. shared is a broadcast of frequency_levels().
     """
 
     def run(batches):
         import pyarrow as pa
 
-        level_of = shared.value
+        level_of, told = shared.value, set()
         shift = np.uint64(64 - int(np.log2(len(level_of))))
         for batch in batches:
             sizes, one, two, short, parity = [], [], [], [], []
@@ -201,8 +202,12 @@ def short_lists(texts: DataFrame, words: int, percent: int, shared) -> DataFrame
                 sizes.append(n)
                 one.append(a)
                 two.append(b)
-                odd = parities(s)
-                if n:
+                known = (a, b) in told
+                told.add((a, b))
+                odd = None if known else parities(s)
+                if n and known:
+                    s = s[:0]
+                elif n:
                     rank = np.lexsort((s, level_of[(s >> shift).astype(np.int64)]))
                     s = s[rank[: n - needed(n, percent) + 1]]
                 short.append(s.view(np.int64))
@@ -462,9 +467,11 @@ def _join(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int,
 
     # classes of equal sets, and the short lists that two or more of them share
     reps = steps.written(live.groupBy("d1", "d2").agg(F.min("doc").alias("rep"), F.max("n").alias("n"), F.min("parity").alias("parity")), "classes")
+    # (a window, so that the entries are shuffled once; an aggregate and a join would shuffle them twice)
     entries = live.select(F.explode("short").alias("token"), F.col("d1").alias("cls"), "n")
-    shared = entries.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("token")
-    lists = steps.written(entries.join(shared, "token", "left_semi").distinct(), "lists")
+    holders = W.partitionBy("token")
+    shared = entries.withColumn("lo", F.min("cls").over(holders)).withColumn("hi", F.max("cls").over(holders)).where("lo <> hi")
+    lists = steps.written(shared.select("token", "cls", "n").distinct(), "lists")
 
     families = components(family_edges(lists, reps, percent)).select(F.col("node").alias("cls"), F.col("component").alias("family"))
     members = steps.written(reps.join(families, reps.d1 == families.cls).select("rep", "d1", "n", "family"), "members")
