@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomery.functions.columns import free_name, staged
+
 # Boards and bounds.
 PINS_S3 = [1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 16, 17, 18, 21, 38, 39, 40, 41, 42, 48]
 PINS_WROOM = [2, 4, 5, 12, 13, 14, 15, 18, 19, 22, 23, 25, 26, 27, 32, 33]
@@ -38,30 +40,31 @@ def with_frame(df: DataFrame, symbols: str, out: str = "frame") -> DataFrame:
 
     In steps, so that each regular expression and each array is computed once a row and not wherever it is used.
     """
+    p, t, f = (free_name(c, df) for c in ("parts", "target_list", "parsed"))
     raw = F.col(symbols)
     part = lambda i: F.regexp_extract(raw, COMMAND, i)
     parts = F.when(raw.rlike(COMMAND), F.struct(*[part(i).alias(f"p{i}") for i in range(1, 6)]))
     targets = F.transform(
-        F.regexp_extract_all("_parts.p2", F.lit(f"({TARGET})"), F.lit(1)),
-        lambda t: F.struct(
-            F.regexp_extract(t, "^<(all|pin|name)>", 1).alias("kind"),
-            F.when(t.startswith("<pin>"), _number(F.substring(t, 7, 99))).alias("n"),
-            F.when(t.startswith("<name>"), F.regexp_extract(t, "^<name> (.*) <nend>$", 1)).alias("s"),
+        F.regexp_extract_all(F.col(p)["p2"], F.lit(f"({TARGET})"), F.lit(1)),
+        lambda x: F.struct(
+            F.regexp_extract(x, "^<(all|pin|name)>", 1).alias("kind"),
+            F.when(x.startswith("<pin>"), _number(F.substring(x, 7, 99))).alias("n"),
+            F.when(x.startswith("<name>"), F.regexp_extract(x, "^<name> (.*) <nend>$", 1)).alias("s"),
         ),
     )
     frame = F.struct(
-        F.col("_parts.p1").alias("action"), F.col("_targets").alias("targets"), _none_if_empty(F.col("_parts.p3")).alias("level"),
-        _number(F.col("_parts.p4")).alias("interval_ms"), _number(F.col("_parts.p5")).alias("count"),
+        F.col(p)["p1"].alias("action"), F.col(t).alias("targets"), _none_if_empty(F.col(p)["p3"]).alias("level"),
+        _number(F.col(p)["p4"]).alias("interval_ms"), _number(F.col(p)["p5"]).alias("count"),
     )
     unknown = F.struct(
         F.lit("unknown").alias("action"), F.array().cast(f"array<{TARGET_TYPE}>").alias("targets"), F.lit(None).cast("string").alias("level"),
         F.lit(None).cast("int").alias("interval_ms"), F.lit(None).cast("int").alias("count"),
     )
-    blank_name = F.exists(F.col("_frame.targets"), lambda t: t["s"].isNotNull() & (F.trim(t["s"]) == ""))
-    staged = df.withColumn("_parts", parts).withColumn("_targets", targets)
-    staged = staged.withColumn("_frame", F.when(raw == "<unknown> <end>", unknown).when(F.col("_parts").isNotNull(), frame))
-    shaped = F.when(F.col("_frame").isNotNull() & ~blank_name & well_shaped(F.col("_frame")), F.col("_frame"))
-    return staged.withColumn(out, shaped).drop("_parts", "_targets", "_frame")
+    blank_name = F.exists(F.col(f)["targets"], lambda x: x["s"].isNotNull() & (F.trim(x["s"]) == ""))
+    rows = staged(df.withColumn(p, parts)).withColumn(t, targets)
+    rows = rows.withColumn(f, F.when(raw == "<unknown> <end>", unknown).when(F.col(p).isNotNull(), frame))
+    shaped = F.when(F.col(f).isNotNull() & ~blank_name & well_shaped(F.col(f)), F.col(f))
+    return staged(rows.withColumn(out, shaped).drop(p, t, f))
 
 
 def well_shaped(f: Column, strict_device: bool = False) -> Column:
@@ -138,6 +141,54 @@ def to_symbols(f: Column) -> Column:
     )
 
 
+def describe(f: Column) -> Column:
+    """A frame in one line: action, all, pins, quoted names, level, interval and rounds; null for a null frame."""
+    every = F.exists(f["targets"], lambda t: t["kind"] == "all")
+    names = F.filter(f["targets"], lambda t: t["kind"] == "name")
+    return F.when(
+        f.isNotNull(),
+        F.concat_ws(
+            " ", f["action"], F.when(every, "all"), F.transform(pins_of(f), lambda n: F.concat(F.lit("pin"), n.cast("string"))),
+            F.transform(names, lambda t: F.concat(F.lit('"'), t["s"], F.lit('"'))), f["level"], F.concat(f["interval_ms"].cast("string"), F.lit("ms")), F.concat(F.lit("x"), f["count"].cast("string")),
+        ),
+    )
+
+
+def device_verdict(f: Column, pins: list[int] = PINS_S3) -> Column:
+    """range_verdict() as the device has it: to refuse is a verdict of its own, and a chase is as long as its pins."""
+    allowed = F.array(*map(F.lit, pins))
+    return (
+        F.when(f["action"] == "unknown", "unknown")
+        .when(F.exists(pins_of(f), lambda n: ~F.array_contains(allowed, n)), "bad_pin")
+        .when((f["action"] == "seq") & (F.size(pins_of(f)) > MAX_SEQ_PINS), "too_many_pins")
+        .when(f["interval_ms"].isNotNull() & ~f["interval_ms"].between(INTERVAL_MIN, INTERVAL_MAX), "bad_interval")
+        .otherwise("execute")
+    )
+
+
+def symbols_of(ids: Column, symbols: dict[int, str], texts: Column) -> Column:
+    """The symbols of generated ids; what stands between <name> and <nend> is one element, the trimmed texts of its ids.
+
+    texts is a map from id to text for ids within a name. A name that is not closed stays so; an unknown id is an empty symbol.
+    """
+    table = F.create_map(*[F.lit(x) for pair in symbols.items() for x in pair])
+    none = F.lit(None).cast("string")
+    start = F.struct(F.array().cast("array<string>").alias("out"), none.alias("name"))
+
+    def step(acc, i):
+        s = F.coalesce(F.try_element_at(table, i), F.lit(""))
+        longer = F.concat(acc["name"], F.coalesce(F.try_element_at(texts, i), s))
+        return (
+            F.when(acc["name"].isNotNull() & (s != "<nend>"), F.struct(acc["out"].alias("out"), longer.alias("name")))
+            .when(acc["name"].isNotNull(), F.struct(F.concat(acc["out"], F.array(F.trim(acc["name"]), s)).alias("out"), none.alias("name")))
+            .when(s == "<name>", F.struct(F.concat(acc["out"], F.array(s)).alias("out"), F.lit("").alias("name")))
+            .otherwise(F.struct(F.concat(acc["out"], F.array(s)).alias("out"), none.alias("name")))
+        )
+
+    end = lambda acc: F.when(acc["name"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(F.trim(acc["name"]))))
+    return F.aggregate(ids, start, step, end)
+
+
 def pins_of(f: Column) -> Column:
     return F.transform(F.filter(f["targets"], lambda t: t["kind"] == "pin"), lambda t: t["n"])
 

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from loomery.functions.templates import openings
+
 # Patterns and word lists that results depend on.
 WAKE_WORDS = r"(?i)\b(olly|ollie|hey olly)\b"
 LEAD_PREFIX = r"(?i)^(please |can you |could you |would you |i want you to |hey |ok |go ahead and |just |now )+"
@@ -23,19 +25,17 @@ COLLIDE_WORDS = (
 VARY_PREFIX = ["", "please ", "can you ", "could you ", "hey ", "ok ", "i want you to ", "go ahead and ", "just ", "now ", "so "]
 VARY_SUFFIX = ["", " please", " now", " for me", " thanks", " ok?"]
 HOLD_OUT_SHARE = 4
-DANGLING = (
-    "the a an my that this to at of in for every and with from is are was turn set make blink flash strobe pulse read check chase "
-    "cycle sweep scan name call label alias rename toggle flip switch power shut please can could would want go just state status "
-    "level interval speed count pin gpio pins gpios across through up rate start get give put have let run step walk cancel halt "
-    "leave keep i you me we it's"
-).split()
+DANGLING = [
+    "the", "a", "an", "my", "that", "this", "to", "at", "of", "in", "for", "every", "and", "with", "from", "is", "are", "was", "turn",
+    "set", "make", "blink", "flash", "strobe", "pulse", "read", "check", "chase", "cycle", "sweep", "scan", "name", "call", "label",
+    "alias", "rename", "toggle", "flip", "switch", "power", "shut", "please", "can", "could", "would", "want", "go", "just", "state",
+    "status", "level", "interval", "speed", "count", "pin", "gpio", "pins", "gpios", "across", "through", "up", "rate", "start",
+    "get", "give", "put", "have", "let", "run", "step", "walk", "cancel", "halt", "leave", "keep", "i", "you", "me", "we", "it's",
+]
 # End of fixed values.
 
-#: Openings of commands, of our own wording: what a template says before its target.
-OPENINGS = [
-    "turn on", "turn off", "switch on", "switch off", "power up", "power down", "set", "raise", "drop", "flip", "read", "check",
-    "flick", "wave across", "run through", "name", "call", "end", "let go of",
-]
+#: Openings of commands, from our own templates.
+OPENINGS = openings()
 
 
 def collapse(s: Column) -> Column:
@@ -121,21 +121,36 @@ def digit_runs(s: Column, longest: int = 6) -> Column:
     return F.transform(F.filter(runs, lambda r: F.length(r) <= longest), lambda r: r.cast("int"))
 
 
+def listed(options: list) -> Column:
+    """An array of constants, strings or whole numbers, as one expression."""
+    one = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'" if isinstance(x, str) else str(x)
+    return F.expr("array(" + ", ".join(map(one, options)) + ")")
+
+
 def pick(options: list[str], key: Column) -> Column:
-    return F.element_at(F.array(*map(F.lit, options)), (draw(key, len(options)) + 1).cast("int"))
+    return F.element_at(listed(options), (draw(key, len(options)) + 1).cast("int"))
 
 
 def vary(s: Column, key: Column) -> Column:
-    """The text dressed anew: first letter small, end marks off, a courtesy before and behind."""
+    """The text dressed anew: first letter small, end marks off, a courtesy before and behind, then case and end mark."""
     body = F.regexp_replace(F.concat(F.lower(F.substring(s, 1, 1)), F.substring(s, 2, 1 << 30)), r"[?.!]+$", "")
-    return collapse(F.concat(pick(VARY_PREFIX, F.concat(F.lit("head"), key)), body, pick(VARY_SUFFIX, F.concat(F.lit("tail"), key))))
+    dressed = collapse(F.concat(pick(VARY_PREFIX, F.concat(F.lit("head"), key)), body, pick(VARY_SUFFIX, F.concat(F.lit("tail"), key))))
+    return case_and_punctuate(dressed, key, 0.10)
+
+
+def dressed(s: Column, key: Column, prefixes: list[str], suffixes: list[str], question: float) -> Column:
+    """The text with a prefix and a suffix of its mood, then case and end mark."""
+    whole = F.concat(pick(prefixes, F.concat(F.lit("head"), key)), s, pick(suffixes, F.concat(F.lit("tail"), key)))
+    return case_and_punctuate(collapse(whole), key, question)
 
 
-def case_and_punctuate(s: Column, key: Column, question: float = 0.1) -> Column:
+def case_and_punctuate(s: Column, key: Column, question: float = 0.05) -> Column:
     """Of 100 texts 30 get a capital, 4 all capitals; a share ends in ?, of the rest 18 in 100 in . or !"""
     c, q, p = (draw(F.concat(F.lit(x), key), 1000) for x in ("case", "question", "point"))
-    s = F.when(c < 300, F.concat(F.upper(F.substring(s, 1, 1)), F.substring(s, 2, 1 << 30))).when(c < 340, F.upper(s)).otherwise(s)
-    return F.when(q < int(question * 1000), F.concat(s, F.lit("?"))).when(p < 90, F.concat(s, F.lit("."))).when(p < 180, F.concat(s, F.lit("!"))).otherwise(s)
+    mark = F.when(q < int(question * 1000), "?").when(p < 90, ".").when(p < 180, "!").otherwise("")
+    # the first letter or none, or all letters in capitals, so that the text stands here twice only
+    cut = F.when(c < 300, 1).when(c < 340, 1 << 30).otherwise(0)
+    return F.transform(F.array(s), lambda x: F.concat(F.upper(F.substring(x, F.lit(1), cut)), F.substring(x, cut + 1, F.lit(1 << 30)), mark))[0]
 
 
 def truncate(s: Column, key: Column) -> Column:
@@ -160,6 +175,9 @@ def interval_words(ms: Column) -> Column:
         F.when(ms % 1000 == 500, F.concat(F.lit("every "), sec.cast("string"), F.lit(".5 seconds"))),
         F.when(ms % 60000 == 0, F.concat(F.lit("every "), minute.cast("string"), F.lit(" "), one(minute, "minute"))),
         F.when((ms > 0) & (F.lit(1000) % F.nullif(ms, F.lit(0)) == 0), F.concat(F.lit("at "), hertz.cast("string"), F.lit(" Hz"))),
+        F.when(ms % 1000 == 0, F.concat(F.lit("every "), sec.cast("string"), F.lit(" s"))),
+        F.when((ms > 0) & (F.lit(1000) % F.nullif(ms, F.lit(0)) == 0) & (ms < 1000), F.concat(hertz.cast("string"), F.lit(" times a second"))),
+        F.when(ms == 100, "very fast").when(ms == 250, "fast").when(ms == 500, "twice a second").when(ms == 1000, "once a second").when(ms == 2000, "slowly"),
     ]
     return F.array_compact(F.array(*forms))
 

@@ -5,32 +5,51 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomery.functions.columns import free_name, quoted, staged
 from loomery.functions.grammar import DEVICE_PINS
 from loomery.functions.text import alias_norm
 
 
 def resolve(commands: DataFrame, aliases: DataFrame, *keys: str) -> DataFrame:
-    """commands (id, action, pins, names) with verdict and resolved pins.
+    """commands (action, pins, names and any others) with verdict and resolved pins, row by row.
 
     Each name, in order, adds its pins. The first that is unknown, or that brings more than a device holds, decides the
     verdict and empties the pins; a chase of fewer than two pins is refused. Defining a name resolves nothing. keys are
-    further columns that both tables share (such as the device), for tables with a set of aliases each.
+    columns that both tables share (such as the device), for tables with a set of aliases each.
+
+    The aliases of a device, 16 at most, become one map, so commands are neither exploded nor regrouped, and rows that
+    repeat stay as many as they are. Defined results: aliases that fold alike are one, with the least pins; aliases with a
+    null name or null pins are none; a null name in a command is unknown; null pins or names are empty arrays; null keys
+    match null keys. Extra columns stay, but for verdict and resolved.
     """
-    table = aliases.select(*keys, alias_norm(F.col("name")).alias("_n"), F.col("pins").alias("_p"))
-    named = commands.where((F.col("action") != "alias") & (F.size("names") > 0))
-    looked = named.select("id", *keys, F.posexplode("names").alias("_i", "_name")).withColumn("_n", alias_norm(F.col("_name"))).join(table, [*keys, "_n"], "left")
-    found = looked.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("_i", "_p"))).alias("_found"))
-    joined = commands.join(found, "id", "left")
+    none = F.array().cast("array<int>")
+    folded = aliases.select(*[F.col(quoted(k)).alias(f"k{i}") for i, k in enumerate(keys)], alias_norm(F.col("name")).alias("norm"), F.col("pins").cast("array<int>").alias("pins"))
+    groups = [f"k{i}" for i in range(len(keys))]
+    single = folded.where("norm is not null and pins is not null").groupBy(*groups, "norm").agg(F.min("pins").alias("pins"))
+    table, mine = free_name("aliases", commands), [free_name(f"alias_key_{i}", commands) for i in range(len(keys))]
+    maps = single.groupBy(*groups).agg(F.map_from_entries(F.collect_list(F.struct("norm", "pins"))).alias(table))
+    maps = maps.select(*[F.col(g).alias(m) for g, m in zip(groups, mine)], table)
+    if keys:
+        same = F.lit(True)
+        for k, m in zip(keys, mine):
+            same = same & commands[quoted(k)].eqNullSafe(maps[m])
+        joined = commands.join(maps, same, "left")
+    else:
+        joined = commands.crossJoin(F.broadcast(maps))  # one row
+    names, step = (free_name(c, joined) for c in ("looked_up", "step"))
+    looked = F.transform(F.coalesce("names", F.array().cast("array<string>")), lambda n: F.try_element_at(F.col(table), alias_norm(n)))
+    joined = staged(joined).withColumn(names, F.when(F.col("action") == "alias", F.array().cast("array<array<int>>")).otherwise(looked))
     # what the names before the first failure, and that one, add up to
-    step = F.aggregate(
-        F.coalesce("_found", F.array().cast("array<struct<_i:int,_p:array<int>>>")),
-        F.struct(F.coalesce(F.col("pins").cast("array<int>"), F.array().cast("array<int>")).alias("p"), F.lit("execute").alias("v")),
+    total = F.aggregate(
+        names,
+        F.struct(F.coalesce(F.col("pins").cast("array<int>"), none).alias("p"), F.lit("execute").alias("v")),
         lambda acc, x: F.when(acc["v"] != "execute", acc)
-        .when(x["_p"].isNull(), F.struct(F.array().cast("array<int>").alias("p"), F.lit("unknown_name").alias("v")))
-        .when(F.size(acc["p"]) + F.size(x["_p"]) > DEVICE_PINS, F.struct(F.array().cast("array<int>").alias("p"), F.lit("too_many_pins").alias("v")))
-        .otherwise(F.struct(F.concat(acc["p"], x["_p"]).alias("p"), F.lit("execute").alias("v"))),
+        .when(x.isNull(), F.struct(none.alias("p"), F.lit("unknown_name").alias("v")))
+        .when(F.size(acc["p"]) + F.size(x) > DEVICE_PINS, F.struct(none.alias("p"), F.lit("too_many_pins").alias("v")))
+        .otherwise(F.struct(F.concat(acc["p"], x).alias("p"), F.lit("execute").alias("v"))),
     )
-    out = joined.withColumn("_s", step)
-    few = (F.col("action") == "seq") & (F.col("_s.v") == "execute") & (F.size("_s.p") < 2)
-    verdict = F.when(few, "name_too_few_pins").otherwise(F.col("_s.v"))
-    return out.withColumn("verdict", verdict).withColumn("resolved", F.when(few, F.array().cast("array<int>")).otherwise(F.col("_s.p"))).drop("_s", "_found")
+    out = staged(staged(joined).withColumn(step, total))
+    few = (F.col("action") == "seq") & (F.col(step)["v"] == "execute") & (F.size(names) > 0) & (F.size(F.col(step)["p"]) < 2)
+    verdict = F.when(few, "name_too_few_pins").otherwise(F.col(step)["v"])
+    kept = [F.col(quoted(c)) for c in commands.columns if c not in ("verdict", "resolved")]
+    return out.select(*kept, verdict.alias("verdict"), F.when(few, none).otherwise(F.col(step)["p"]).alias("resolved"))

@@ -1,6 +1,10 @@
 """Curation: first-wins deduplication, leak-safe splits, quotas and precedence.
 
-Order is always an explicit column. Keys are hashed to 20 bytes before they are shuffled, so long texts move once at most.
+Order is always an explicit column. Keys are hashed to 20 bytes before they are shuffled; callers that need no text behind a
+step leave it out in front of it, so that long texts are not shuffled at all.
+
+Defined results, for all of them: a null key is a key of its own; empty tables give empty ones; extra columns stay, helper
+columns have free names.
 """
 
 from __future__ import annotations
@@ -10,21 +14,32 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomery.functions import text as X
+from loomery.functions.columns import free_name, quoted
+
+EDGE_ROWS = 100_000  # ranked in one task at most
 
 
-def first_wins(df: DataFrame, key: Column, *order: str) -> DataFrame:
-    """The earliest row of each key. A pre-aggregated minimum finds it, so a key that many rows share is no burden."""
-    digest = F.sha1(key)
-    marked = df.withColumn("_key", digest).withColumn("_order", F.struct(*order))
-    first = marked.groupBy("_key").agg(F.min("_order").alias("_first"))
-    return marked.join(first, (marked["_key"] == first["_key"]) & (marked["_order"] == first["_first"])).select(*df.columns)
+def first_wins(df: DataFrame, key: Column, *order: str, drop_blank: bool = False) -> DataFrame:
+    """One row a key: the earliest, by a pre-aggregated minimum, so a key that many rows share is no burden.
+
+    Of rows whose order columns are equal that of the least hash stays; of identical rows, one. drop_blank leaves out null
+    and empty keys, which is what a corpus build wants; else they are keys like others.
+    """
+    digest, row = free_name("key_digest", df), free_name("row", df)
+    columns = [F.col(quoted(c)) for c in df.columns]
+    marked = df.where(key.isNotNull() & (key != "")) if drop_blank else df
+    marked = marked.select(F.sha1(key).alias(digest), *columns)
+    rank = F.struct(*[F.col(quoted(c)) for c in order], F.xxhash64(*columns))
+    return marked.groupBy(digest).agg(F.min_by(F.struct(*columns), rank).alias(row)).select(f"{row}.*")
 
 
 def any_of_key(df: DataFrame, key: Column, flag: Column, out: str) -> DataFrame:
-    """Every row with the OR of a flag over its key."""
-    marked = df.withColumn("_key", F.sha1(key))
-    groups = marked.groupBy("_key").agg(F.bool_or(flag).alias(out))
-    return marked.join(groups, "_key").select(*df.columns, out)
+    """Every row with the OR of a flag over its key: is its key among those of a flagged row? Null flags are false."""
+    digest, hit, other = free_name("key_digest", df), free_name("hit", df), free_name("flagged_digest", df)
+    marked = df.withColumn(digest, F.sha1(key))
+    flagged = marked.where(flag).select(F.col(digest).alias(other)).distinct().withColumn(hit, F.lit(True))
+    joined = marked.join(flagged, F.col(digest).eqNullSafe(F.col(other)), "left")
+    return joined.select(*[F.col(quoted(c)) for c in df.columns if c != out], F.coalesce(hit, F.lit(False)).alias(out))
 
 
 def split_rows(df: DataFrame, text: str = "text") -> DataFrame:
@@ -44,51 +59,86 @@ def precedence_union(frames: list[DataFrame], key: str, order: str) -> DataFrame
 
 
 def without(df: DataFrame, drop: DataFrame, key: Column, drop_key: Column) -> DataFrame:
-    """df but for the rows whose key is on the drop list."""
-    return df.withColumn("_k", key).join(drop.select(drop_key.alias("_d")), F.col("_k") == F.col("_d"), "left_anti").drop("_k")
+    """df but for the rows whose key is on the drop list; null keys are on no list."""
+    mine, listed = free_name("key", df), free_name("dropped_key", df)
+    return df.withColumn(mine, key).join(drop.select(drop_key.alias(listed)).distinct(), F.col(mine) == F.col(listed), "left_anti").drop(mine)
+
+
+def quarantine(df: DataFrame, ok: Column, message: Column, id_col: str, shown: int = 5) -> tuple[DataFrame, DataFrame]:
+    """(good rows, report): the report is one row, how many are bad and the messages of the first few by id. Null is not ok."""
+    bad = df.where(~F.coalesce(ok, F.lit(False)))
+    first = bad.select(F.col(quoted(id_col)).alias("at"), message.alias("said")).orderBy("at", "said").limit(shown)
+    told = first.agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "said"))), lambda x: x["said"]).alias("messages"))
+    return df.where(ok), bad.agg(F.count(F.lit(1)).alias("bad")).crossJoin(told)
+
+
+def clean_lines(df: DataFrame, text: str = "text") -> DataFrame:
+    """The rows whose text can stand as one line of a line protocol: not null or blank, without line ends and tabs."""
+    t = F.col(quoted(text))
+    return df.where(t.isNotNull() & (F.trim(t) != "") & ~t.rlike("[\\n\\r\\t]"))
+
+
+def with_reasons(df: DataFrame, drop: DataFrame, key: Column, drop_key: Column, reason: str) -> DataFrame:
+    """The rows that without() drops, each with the least reason the list gives for it."""
+    mine, listed, why = free_name("key", df), free_name("dropped_key", df), free_name("why", df)
+    reasons = drop.select(drop_key.alias(listed), F.col(quoted(reason)).alias(why)).groupBy(listed).agg(F.min(why).alias(why))
+    joined = df.withColumn(mine, key).join(reasons, F.col(mine) == F.col(listed))
+    return joined.select(*[F.col(quoted(c)) for c in df.columns if c != reason], F.col(why).alias(reason))
 
 
 def quota(df: DataFrame, by: str, limit: int, key: Column, id_col: str) -> DataFrame:
     """At most limit rows of each group, chosen by hash. The limit is the operator's purpose."""
+    rank = free_name("rank", df)
     order = W.partitionBy(by).orderBy(F.sha1(key), id_col)
-    return df.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= limit).drop("_rank")
+    return df.withColumn(rank, F.row_number().over(order)).where(F.col(rank) <= limit).drop(rank)
 
 
 def top_up(df: DataFrame, by: str, target: int, key: Column, id_col: str, text: str) -> DataFrame:
-    """target rows of each group: its own first, then those dressed anew, in turns."""
-    sizes = df.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
-    copies = F.explode(F.sequence(F.lit(0), F.ceil(F.lit(target) / F.col("_n")).cast("int") - 1)).alias("turn")
-    rows = df.join(sizes, by).select(*df.columns, copies)
+    """target rows of each group: its own first, then those dressed anew, in turns; turn says in which."""
+    many, rank = free_name("many", df), free_name("rank", df)
+    sizes = df.groupBy(by).agg(F.count(F.lit(1)).alias(many)).withColumnRenamed(by, free_name("group", df))
+    copies = F.explode(F.sequence(F.lit(0), F.ceil(F.lit(target) / F.col(many)).cast("int") - 1)).alias("turn")
+    rows = df.join(sizes, df[by].eqNullSafe(F.col(free_name("group", df)))).select(*[F.col(quoted(c)) for c in df.columns if c != "turn"], copies)
     dressed = rows.withColumn(text, F.when(F.col("turn") == 0, F.col(text)).otherwise(X.vary(F.col(text), F.concat(key, F.lit("#"), F.col("turn")))))
     order = W.partitionBy(by).orderBy("turn", F.sha1(key), id_col)
-    return dressed.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= target).drop("_rank")
+    return dressed.withColumn(rank, F.row_number().over(order)).where(F.col(rank) <= target).drop(rank)
 
 
 def ordinal_split(df: DataFrame, key: Column, id_col: str, share: float) -> DataFrame:
-    """is_val for the first share of rows in hash order, to the row, without sorting all rows in one task.
+    """is_val for the first share of rows, rounded down, in the order of the key's hash and then the id's.
 
-    The bound is found level by level: counts of hash prefixes say in which one it falls, then its rows are ranked.
+    The bound is found level by level: counts by the next three digits of the hash say where it falls, until those beside it
+    are few enough to be ranked; no step sorts all rows. Rows that share key and id share their fate's order at random.
     """
-    hashed = df.withColumn("_h", F.sha1(key))
-    counts = hashed.groupBy(F.substring("_h", 1, 3).alias("p")).agg(F.count(F.lit(1)).alias("n")).orderBy("p").collect()  # 4096 at most
-    want = int(sum(r.n for r in counts) * share)
-    seen, edge = 0, None
-    for r in counts:
-        if seen + r.n > want:
-            edge = r.p
+    h, r = free_name("hash", df), free_name("rank", df)
+    text = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
+    hashed = df.withColumn(h, F.concat(F.sha1(text(key)), F.sha1(text(F.col(quoted(id_col))))))
+    want, edge = None, ""
+    while want is None or len(edge) < 80:
+        here = hashed.where(F.col(h).startswith(edge)) if edge else hashed
+        counts = here.groupBy(F.substring(h, len(edge) + 1, 3).alias("p")).agg(F.count(F.lit(1)).alias("n")).orderBy("p").collect()  # 4096 at most
+        if want is None:
+            want = int(sum(c.n for c in counts) * share)
+        for c in counts:
+            if c.n > want:
+                break
+            want -= c.n
+        else:  # all of them
+            return hashed.withColumn("is_val", F.lit(bool(counts))).drop(h)
+        edge += c.p
+        if c.n <= EDGE_ROWS or not c.p:
             break
-        seen += r.n
-    if edge is None:
-        return hashed.withColumn("is_val", F.lit(True)).drop("_h")
-    at_edge = hashed.where(F.substring("_h", 1, 3) == edge).withColumn("_r", F.row_number().over(W.orderBy("_h", id_col)))
-    rest = hashed.where(F.substring("_h", 1, 3) != edge).withColumn("is_val", F.substring("_h", 1, 3) < edge)
-    return rest.unionByName(at_edge.withColumn("is_val", F.col("_r") <= want - seen).drop("_r")).drop("_h")
+    part = F.substring(h, 1, len(edge))
+    at_edge = hashed.where(part == edge).withColumn(r, F.row_number().over(W.orderBy(h, id_col)))
+    rest = hashed.where(part != edge).withColumn("is_val", part < edge)
+    return rest.unionByName(at_edge.withColumn("is_val", F.col(r) <= want).drop(r)).drop(h)
 
 
 def leaks_exact(docs: DataFrame, held: DataFrame, text: str = "text") -> DataFrame:
     """The documents whose text, trimmed and in small letters, is that of a held-out row."""
-    keys = held.select(F.sha1(X.dedup_key(F.col(text))).alias("_d")).distinct()
-    return docs.join(keys, F.sha1(X.dedup_key(F.col(text))) == F.col("_d"), "left_semi")
+    digest = free_name("digest", docs)
+    keys = held.select(F.sha1(X.dedup_key(F.col(text))).alias(digest)).distinct()
+    return docs.join(keys, F.sha1(X.dedup_key(F.col(text))) == F.col(digest), "left_semi")
 
 
 ANCHOR = 3

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomery.functions import grammar as G
+from loomery.functions.columns import free_name
 
 Z = 1.96
 OUTCOMES = ["correct", "refused", "refused_by_range", "refused_by_name", "wrong_action"]
@@ -86,14 +87,103 @@ def open_details(df: DataFrame, locked: str = "locked", unlock: bool = False) ->
 
 def spread(df: DataFrame, run: str, group: str, k: str, n: str) -> DataFrame:
     """Mean and half the range over runs of k / n (0 without cases); the spread of one run is null."""
-    rates = df.withColumn("_r", F.col(k) / F.greatest(F.lit(1), F.col(n)))
+    rate = free_name("run_rate", df)
+    rates = df.withColumn(rate, F.col(k) / F.greatest(F.lit(1), F.col(n)))
     out = rates.groupBy(group).agg(
-        F.count(run).alias("n_runs"), F.avg("_r").alias("mean_rate"),
-        F.when(F.count(run) > 1, (F.max("_r") - F.min("_r")) / 2).alias("half_range"), F.max(n).alias("cases"),
+        F.count(run).alias("n_runs"), F.avg(rate).alias("mean_rate"),
+        F.when(F.count(run) > 1, (F.max(rate) - F.min(rate)) / 2).alias("half_range"), F.max(n).alias("cases"),
     )
     return with_interval(out.withColumn("hits", F.bround(F.col("mean_rate") * F.col("cases")).cast("bigint")), "hits", "cases")
 
 
+def sweep(df: DataFrame, run: str, group: str, metrics: dict[str, tuple[str, str]]) -> DataFrame:
+    """spread() of several rates (name: hits and cases) at once: a row for each group and metric, in one pass over the runs."""
+    many, hits, cases, metric = (free_name(c, df) for c in ("metric_rows", "metric_hits", "metric_cases", "metric"))
+    rows = F.explode(F.array(*[F.struct(F.lit(m).alias(metric), F.col(k).cast("double").alias(hits), F.col(n).cast("bigint").alias(cases)) for m, (k, n) in metrics.items()]))
+    long = df.select(run, F.col(group).alias(group), rows.alias(many)).select(run, F.struct(group, F.col(many)[metric].alias("metric")).alias(metric), F.col(many)[hits].alias(hits), F.col(many)[cases].alias(cases))
+    out = spread(long, run, metric, hits, cases)
+    return out.select(F.col(metric)[group].alias(group), F.col(metric)["metric"].alias("metric"), *[c for c in out.columns if c != metric])
+
+
+def top1(values: Column) -> Column:
+    """The place, from 0, of the largest element; of equal ones the first. Null for null and empty arrays; nulls are passed over."""
+    return F.nullif(F.array_position(values, F.array_max(values)), F.lit(0)) - 1
+
+
+def log_softmax(values: Column) -> Column:
+    """The logarithms of the shares that numbers have as exponents, free of overflow; null for null and empty arrays."""
+    low = F.array_max(values)
+    total = F.aggregate(values, F.lit(0.0), lambda s, x: s + F.exp(x - low))
+    return F.when(F.size(values) > 0, F.transform(values, lambda x: x - low - F.log(total)))
+
+
+def mean_log_prob(steps: Column) -> Column:
+    """The confidence of a greedy choice: over steps (arrays of numbers) the mean of the largest log share; 0 without steps."""
+    best = F.transform(steps, lambda v: F.array_max(log_softmax(v)))
+    return F.aggregate(best, F.lit(0.0), lambda s, x: s + x) / F.greatest(F.lit(1), F.size(steps))
+
+
+def predicted(df: DataFrame, predictor, text: str = "text", out: str = "predicted") -> DataFrame:
+    """df with what a predictor says to its texts: it gets a list of texts, null ones empty, and gives as many strings or None.
+
+    predictor() is called once a task and returns the function, so that a model is loaded where it runs. Of a taken column
+    name the new one takes its place.
+    """
+    columns = [c for c in df.columns if c != out]
+    at = columns.index(text)
+    schema = df.select(*columns).schema.add(out, "string")
+
+    def run(batches):
+        import pyarrow as pa
+
+        answer = predictor()
+        for batch in batches:
+            said = answer([t or "" for t in batch.column(at).to_pylist()])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(said, pa.string())], names=[*batch.schema.names, out])
+
+    return df.select(*columns).mapInArrow(run, schema)
+
+
+def greedy(step, prompt: list[int], end: int, most: int = 40, width: int = 96, first: set[int] | None = None) -> tuple[list[int], float]:
+    """The ids that a step function (ids so far: a number for each next id) leads to, and their mean log-probability.
+
+    The prompt is cut to its last width - most ids. first, if given, are the only ids the answer may open with. It ends with
+    the end id or after `most` ids; of equal numbers the first wins.
+    """
+    import math
+
+    ids, out, total = prompt[-(width - most):], [], 0.0
+    while len(out) < most:
+        scores = list(step((ids + out)[-width:]))
+        if first is not None and not out:
+            scores = [x if i in first else -math.inf for i, x in enumerate(scores)]
+        best = max(range(len(scores)), key=lambda i: (scores[i], -i))
+        total -= math.log(sum(math.exp(x - scores[best]) for x in scores))
+        out.append(best)
+        if best == end:
+            break
+    return out, total / max(1, len(out))
+
+
+def report(scored: DataFrame, details: dict[str, DataFrame], rows: DataFrame, locked: str = "locked", unlock: bool = False) -> DataFrame:
+    """(section, label, value) for people to read: each number of scored, a table of one row, and the rows of details (label, value).
+
+    While a locked row is among rows, the details are left out, unless unlock says otherwise.
+    """
+    number = F.explode(F.array(*[F.struct(F.lit(c).alias("label"), F.col(c).cast("string").alias("value")) for c in scored.columns]))
+    out = scored.select(F.lit("score").alias("section"), number.alias("x")).select("section", "x.label", "x.value")
+    if open_details(rows, locked, unlock):
+        for section, df in details.items():
+            out = out.unionByName(df.select(F.lit(section).alias("section"), F.col("label").cast("string").alias("label"), F.col("value").cast("string").alias("value")))
+    return out
+
+
+def require_same(have: str, want: str, what: str) -> None:
+    """Refuses an artefact that was made from other data or settings than those at hand."""
+    if have != want:
+        raise ValueError(f"{what} was made with {have}, but {want} is at hand: make it anew")
+
+
 def line_diff(a: DataFrame, b: DataFrame, ordinal: list[str], line: str) -> DataFrame:
     """Two ordered streams side by side; a missing line is a difference."""
     x, y = a.select(*ordinal, F.col(line).alias("left_line")), b.select(*ordinal, F.col(line).alias("right_line"))

@@ -1,149 +1,263 @@
-"""Generators of frames and utterances. Every number comes from a hash of seed, id and slot: the same in any partitioning."""
+"""Generators of frames, utterances and corpora.
+
+Every choice comes from a SHA-1 of seed, id and slot: the same in any partitioning, and in any engine that has SHA-1.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomery.functions import grammar as G
-from loomery.functions.text import pick
+from loomery.functions import text as X
+from loomery.functions.banks import SCALE, choice
+from loomery.functions.columns import free_name, staged
+from loomery.functions.templates import HEADS
+from loomery.operators.curate import first_wins, top_up
+from loomery.operators.vocabulary import GROUP_NAME, KINDS, MOODS, NAME, REFUSALS
 
-# Shares of the actions, and of the kinds of refusals.
+# Shares of the actions, of the kinds of refusals and of shapes.
 ACTION_WEIGHTS = {"set": 38, "blink": 22, "read": 14, "stop": 12, "seq": 14, "alias": 8}
+LEVEL_WEIGHTS = {"high": 45, "low": 45, "toggle": 10}
 NEGATIVE_SHARE = 0.30
 NEGATIVE_MIX = {"near": 0.23, "far": 0.26, "synthetic": 0.34, "truncated": 0.17}
+NEAR_PINS = [0, 19, 20, 22, 23, 24, 27, 30, 35, 36, 37, 43, 44, 45, 46, 47, 49, 50]
+ROUND_MS = [50, 100, 150, 200, 250, 300, 400, 500, 750, 1000, 1500, 2000, 2500, 3000, 4000, 5000, 6000, 7000, 8000, 9000, 10000]
+LONG_MS = [11000, 12000, 15000, 20000, 25000, 30000, 40000, 45000, 50000, 60000, 75000, 90000, 120000, 180000]
+MINUTES_MS = [120000, 180000, 240000, 300000, 600000]
+COMMON_COUNTS = [0, 0, 0, 0, 1, 2, 3, 4, 5, 6, 10, 12, 20]
+SHARES = {
+    "legal pin": 0.82, "odd interval": 0.10, "named": 0.30, "every": 0.08, "several": 0.18, "names": 0.14, "mixed": 0.06, "long chase": 0.10,
+    "timed chase": 0.72, "group of chase": 0.70, "one pin named": 0.78, "bare stop": 0.45, "terse": 0.26,
+}
 # End of fixed values.
 
-PLACES = ["kitchen", "hall", "garden", "attic", "bench", "porch", "shed", "stairs"]
-THINGS = ["lamp", "pump", "heater", "valve", "sign", "vent", "bell", "strip"]
-HEADS = {
-    "set": {"high": ["turn on {r}", "{r} on", "power up {r}"], "low": ["turn off {r}", "{r} off", "power down {r}"], "toggle": ["flip {r}", "switch {r} over"]},
-    "read": ["read {r}", "what does {r} say"], "blink": ["flicker {r}", "make {r} wink"], "seq": ["run through {r}", "a wave across {r}"],
-    "stop": ["enough of {r}", "end {r}"], "alias": ["from now on {r}", "remember {r}"],
-}
-REFUSALS = {
-    "near": ["dim the room a little", "make it cosier in here", "a warmer tone please"],
-    "far": ["who won the match", "tell me a story", "how far is the moon"],
-    "synthetic": ["after that do the other one too", "all but the last of them", "if it rains leave it"],
-}
+OVER = 3  # times as many rows are drawn as a quota wants
+
+PIN_STYLES = ["pin {n}", "gpio {n}", "pin number {n}", "io {n}", "{n}"]
+DETERMINERS = {"the ": 6, "my ": 2, "": 2, "that ": 1}
+EVERY = ["everything", "all of them", "every pin"]
+JOINERS = [" and ", " plus ", " & "]
+WHERE = {"": 8, " over there": 1, " by the door": 1}
 
 
 class Draws:
-    """Numbers for the slots of a row."""
+    """Choices for the slots of a row."""
 
     def __init__(self, seed: int, id_col: str = "id"):
         self.seed, self.id = seed, F.col(id_col)
 
+    def key(self, slot: str) -> Column:
+        return F.concat(F.lit(f"{self.seed}|"), F.coalesce(self.id.cast("string"), F.lit("")), F.lit(f"|{slot}"))
+
     def below(self, slot: str, n: int) -> Column:
-        return F.pmod(F.xxhash64(F.lit(self.seed), self.id, F.lit(slot)), F.lit(n))
+        return X.draw(self.key(slot), n)
+
+    def between(self, slot: str, low: int, high: int) -> Column:
+        return (self.below(slot, high - low + 1) + low).cast("int")
 
     def chance(self, slot: str, share: float) -> Column:
-        return self.below(slot, 1_000_000) < int(share * 1_000_000)
+        return self.below(slot, SCALE) < int(share * SCALE)
 
-    def key(self, slot: str) -> Column:
-        return F.concat_ws("|", F.lit(str(self.seed)), self.id.cast("string"), F.lit(slot))
+    def one_of(self, slot: str, options: list) -> Column:
+        return F.element_at(X.listed(options), (self.below(slot, len(options)) + 1).cast("int"))
 
     def weighted(self, slot: str, weights: dict[str, float]) -> Column:
-        total, upto, out = sum(weights.values()), 0.0, None
-        u = self.below(slot, 1_000_000)
-        for name, w in list(weights.items())[:-1]:
-            upto += w
-            edge = u < int(1_000_000 * upto / total)
-            out = F.when(edge, name) if out is None else out.when(edge, name)
-        return out.otherwise(list(weights)[-1])
+        return choice(weights, self.key(slot))
 
 
 def pin_number(d: Draws, slot: str) -> Column:
-    """82 of 100 on the board; of the rest most near it, some far, some with three digits."""
-    legal = F.element_at(F.array(*map(F.lit, G.PINS_S3)), (d.below(slot + "p", len(G.PINS_S3)) + 1).cast("int"))
+    """82 of 100 on the board; of the rest 55 near its pins, 25 elsewhere below 60, 20 with three digits."""
     kind = d.below(slot + "k", 100)
-    near = F.lit(19) + d.below(slot + "n", 19)
-    return F.when(d.chance(slot + "legal", 0.82), legal).when(kind < 55, near).when(kind < 80, F.lit(43) + d.below(slot + "f", 17)).otherwise(F.lit(100) + d.below(slot + "t", 100)).cast("int")
+    far = [n for n in range(60) if n not in G.PINS_S3]
+    odd = F.when(kind < 55, d.one_of(slot + "n", NEAR_PINS)).when(kind < 80, d.one_of(slot + "f", far)).otherwise(d.between(slot + "t", 100, 199))
+    return F.when(d.chance(slot + "legal", SHARES["legal pin"]), d.one_of(slot + "p", G.PINS_S3)).otherwise(odd).cast("int")
 
 
 def interval(d: Draws) -> Column:
-    """One in ten outside the bounds; most of the others round."""
-    low, high = F.lit(1) + d.below("il", 49), (F.lit(11) + d.below("ih", 110)) * 1000
-    round_ms = F.element_at(F.array(*map(F.lit, [50, 100, 150, 200, 250, 300, 500, 750, 1000, 1500, 2000, 5000, 10000])), (d.below("ir", 13) + 1).cast("int"))
-    return F.when(d.chance("io", 0.10), F.when(d.chance("is", 0.4), low).otherwise(high)).when(d.chance("iq", 0.75), round_ms).otherwise(F.lit(50) + d.below("iu", 9951)).cast("int")
+    """One in ten outside the bounds: too short, or too long in seconds, minutes or anyhow; most of the others round."""
+    kind = d.below("ik", 100)
+    high = F.when(kind < 55, d.one_of("il", LONG_MS)).when(kind < 75, d.one_of("im", MINUTES_MS)).otherwise(d.between("ia", G.INTERVAL_MAX + 1, 200_000))
+    odd = F.when(d.chance("is", 0.4), d.between("iw", 1, G.INTERVAL_MIN - 1)).otherwise(high)
+    fine = F.when(d.chance("iq", 0.75), d.one_of("ir", ROUND_MS)).otherwise(d.between("iu", G.INTERVAL_MIN, G.INTERVAL_MAX))
+    return F.when(d.chance("io", SHARES["odd interval"]), odd).otherwise(fine).cast("int")
+
+
+def count(d: Draws) -> Column:
+    return F.when(d.chance("cc", 0.85), d.one_of("cn", COMMON_COUNTS)).otherwise(d.between("cu", 1, 99)).cast("int")
+
+
+def name(d: Draws, slot: str) -> Column:
+    return NAME.column(d.key(slot))
+
+
+def group_name(d: Draws, slot: str) -> Column:
+    return GROUP_NAME.column(d.key(slot))
+
+
+def _target(kind: str, n: Column | None = None, s: Column | None = None) -> Column:
+    null = lambda t: F.lit(None).cast(t)
+    return F.struct(F.lit(kind).alias("kind"), (null("int") if n is None else n).alias("n"), (null("string") if s is None else s).alias("s"))
 
 
 def frames(spark: SparkSession, n: int, seed: int = 1) -> DataFrame:
     """(id, frame): n well-shaped frames."""
+    return with_frames(spark.range(n), seed)
+
+
+def with_frames(df: DataFrame, seed: int = 1) -> DataFrame:
+    """(id, frame) for each id, in steps so that each draw is made once."""
     d = Draws(seed)
-    df = spark.range(n).withColumn("action", d.weighted("action", ACTION_WEIGHTS))
-    null = lambda t: F.lit(None).cast(t)
-    target = lambda kind, num=None, s=None: F.struct(
-        F.lit(kind).alias("kind"), (null("int") if num is None else num).alias("n"), (null("string") if s is None else s).alias("s")
+    as_pins = lambda numbers: F.transform(numbers, lambda x: _target("pin", x.cast("int")))
+    df = df.select(
+        "id", d.weighted("action", ACTION_WEIGHTS).alias("a"), d.chance("named", SHARES["named"]).alias("named"),
+        F.array(*[pin_number(d, f"m{i}") for i in range(10)]).alias("numbers"), F.array(*[name(d, f"name{i}") for i in range(3)]).alias("words"), group_name(d, "group").alias("group"),
+        F.when(d.chance("long", SHARES["long chase"]), d.between("longer", G.MAX_SEQ_PINS + 1, G.MAX_SEQ_PINS + 4)).otherwise(d.between("chase", 2, G.MAX_SEQ_PINS)).alias("chase"),
+    )
+    df = staged(df)
+    board = X.listed(G.PINS_S3)
+    as_names = lambda many: F.transform(F.slice("words", F.lit(1), many), lambda x: _target("name", s=x))
+    one_name, one_pin = F.array(_target("name", s=F.get("words", F.lit(0)))), as_pins(F.slice("numbers", 1, 1))
+    named = (
+        F.when(d.chance("names", SHARES["names"]), as_names(d.between("many names", 2, 3)))
+        .when(d.chance("mixed", SHARES["mixed"]), F.when(d.chance("turned", 0.5), F.concat(one_name, one_pin)).otherwise(F.concat(one_pin, one_name)))
+        .otherwise(one_name)
     )
-    pins = lambda slot, most: F.transform(F.sequence(F.lit(1), F.lit(most)), lambda i: F.struct(F.lit("pin").alias("kind"), F.element_at(F.array(*[pin_number(d, f"{slot}{j}") for j in range(most)]), i).alias("n"), null("string").alias("s")))
-    name = F.concat(pick(PLACES, d.key("place")), F.lit(" "), pick(THINGS, d.key("thing")))
-    count = F.when(d.chance("cc", 0.85), F.element_at(F.array(*map(F.lit, [0, 1, 2, 3, 5, 10])), (d.below("cn", 6) + 1).cast("int"))).otherwise((F.lit(1) + d.below("cu", 99)).cast("int"))
-    a = F.col("action")
-    several = F.slice(pins("m", 6), 1, (F.lit(2) + d.below("size", 5)).cast("int"))
-    one = F.slice(pins("o", 1), 1, 1)
+    plain = F.when(d.chance("several", SHARES["several"]), as_pins(F.slice("numbers", F.lit(1), d.between("many", 2, G.MAX_SEQ_PINS)))).otherwise(one_pin)
+    every = d.chance("every", SHARES["every"]) & F.col("a").isin("set", "blink")
+    listed = F.when(F.col("named"), named).when(every, F.array(_target("all"))).otherwise(plain)
+    # a chase runs along the board, or over some of its pins in order, or anywhere
+    start = d.below("start", 1 << 30) % (F.size(board) - F.col("chase") + 1)
+    shuffled = F.array_sort(F.transform(board, lambda p: F.struct(F.sha1(F.concat(d.key("sample"), p.cast("string"))).alias("h"), p.alias("p"))))
+    sampled = F.array_sort(F.transform(F.slice(shuffled, F.lit(1), F.col("chase")), lambda x: x["p"]))
+    path = d.below("path", 100)
+    chased = F.when(path < 50, F.slice(board, start.cast("int") + 1, F.col("chase"))).when(path < 70, sampled).otherwise(F.slice("numbers", F.lit(1), F.col("chase")))
+    named_chase = F.when(d.chance("group", SHARES["group of chase"]), F.array(_target("name", s=F.col("group")))).otherwise(as_names(d.between("chase names", 2, 3)))
+    # distinct pins and a name, of a group where there are several
+    own = F.slice(F.array_distinct("numbers"), F.lit(1), F.when(d.chance("one", SHARES["one pin named"]), 1).otherwise(d.between("given", 2, 4)))
+    given = F.concat(as_pins(own), F.array(_target("name", s=F.when(F.size(own) > 1, F.col("group")).otherwise(F.get("words", F.lit(0))))))
+    a, roll = F.col("a"), d.below("roll", 100)
     targets = (
-        F.when(a == "stop", F.when(d.chance("all", 0.5), F.slice(one, 1, 0)).otherwise(one))
-        .when(a == "seq", several)
-        .when(a == "alias", F.concat(one, F.array(target("name", s=name))))
-        .when(a.isin("set", "blink") & d.chance("every", 0.08), F.array(target("all")))
-        .when(d.chance("named", 0.30), F.array(target("name", s=name)))
-        .when(d.chance("multi", 0.18), several)
-        .otherwise(one)
+        F.when(a == "seq", F.when(F.col("named"), named_chase).otherwise(as_pins(chased)))
+        .when(a == "alias", given)
+        .when((a == "stop") & d.chance("bare", SHARES["bare stop"]), F.slice(one_pin, 1, 0))
+        .otherwise(listed)
     )
-    timed = a.isin("blink", "seq") & d.chance("timed", 0.6)
+    timed = ((a == "blink") & (roll < 70)) | ((a == "seq") & d.chance("timed", SHARES["timed chase"]))
+    rounds = F.when(timed, count(d)).when((a == "blink") & (roll < 84), d.between("blinks", 1, 20))
     frame = F.struct(
-        a.alias("action"), targets.alias("targets"), F.when(a == "set", pick(["high", "low", "toggle"], d.key("level"))).alias("level"),
-        F.when(timed, interval(d)).alias("interval_ms"), F.when(timed | (a.isin("blink", "seq") & d.chance("counted", 0.3)), count).alias("count"),
-    )
-    return df.select("id", frame.alias("frame"))
+        a.alias("action"), targets.alias("targets"), F.when(a == "set", d.weighted("level", LEVEL_WEIGHTS)).alias("level"), F.when(timed, interval(d)).alias("interval_ms"), rounds.alias("count")
+    )
+    return staged(df.select("id", frame.alias("frame")))
 
 
 def realize(df: DataFrame, seed: int = 1) -> DataFrame:
-    """(id, frame, text): each frame in words of our own."""
+    """df (id, frame, ...) with text: each frame in words, in one style a row, a quarter of them in a machine's register."""
     d = Draws(seed)
+    said_, ref_, style_, head_, terse_, mood_, tail_ = (free_name(c, df) for c in ("said", "ref", "style", "head", "terse", "mood", "tail"))
     f = F.col("frame")
-    said = F.transform(f["targets"], lambda t: F.when(t["kind"] == "all", F.lit("everything")).when(t["kind"] == "pin", F.concat(F.lit("pin "), t["n"].cast("string"))).otherwise(F.concat(F.lit("the "), t["s"])))
-    ref = F.when(F.size(said) == 0, F.lit("it all")).when(
-        f["action"] == "alias", F.concat(F.get(said, F.lit(0)), F.lit(" is "), F.get(said, F.size(said) - 1))
-    ).otherwise(F.regexp_replace(F.array_join(said, ", "), ", ([^,]*)$", " and $1"))
+    rows = staged(df.withColumn(style_, F.struct(d.one_of("pin style", PIN_STYLES).alias("pin"), d.weighted("determiner", DETERMINERS).alias("det"), d.one_of("every word", EVERY).alias("all"), d.one_of("joiner", JOINERS).alias("and"))))
+    style = F.col(style_)
+    said = F.transform(f["targets"], lambda t: F.when(t["kind"] == "all", style["all"]).when(t["kind"] == "pin", F.replace(style["pin"], F.lit("{n}"), t["n"].cast("string"))).otherwise(F.concat(style["det"], t["s"])))
+    rows = staged(rows.withColumn(said_, said))
+    many = F.size(said_)
+    joined = F.when(many < 2, F.array_join(said_, "")).otherwise(F.concat(F.array_join(F.slice(said_, F.lit(1), F.greatest(F.lit(1), many - 1)), ", "), style["and"], F.get(said_, many - 1)))
+    named = F.concat(F.array_join(F.slice(said_, F.lit(1), F.greatest(F.lit(0), many - 1)), ", "), F.lit(" is "), F.get(said_, many - 1))
+    rows = rows.withColumn(ref_, F.when(many == 0, "it all").when(f["action"] == "alias", named).otherwise(joined))
     head = F.lit(None).cast("string")
     for action, bank in HEADS.items():
-        if isinstance(bank, dict):
-            for level, forms in bank.items():
-                head = F.when((f["action"] == action) & (f["level"] == level), pick(forms, d.key("head"))).otherwise(head)
-        else:
-            head = F.when(f["action"] == action, pick(bank, d.key("head"))).otherwise(head)
-    body = F.concat_ws(
-        " ", F.replace(head, F.lit("{r}"), ref), F.when(f["interval_ms"].isNotNull(), F.concat(F.lit("every "), f["interval_ms"].cast("string"), F.lit(" ms"))),
-        F.when(f["count"] == 0, F.lit("for ever")).when(f["count"].isNotNull(), F.concat(f["count"].cast("string"), F.lit(" times"))),
-    )
-    return df.withColumn("text", body)
+        for level, forms in bank.items() if isinstance(bank, dict) else [(None, bank)]:
+            head = F.when((f["action"] == action) & (F.lit(True) if level is None else f["level"] == level), X.pick(forms, d.key("head"))).otherwise(head)
+    rows = staged(rows.withColumn(head_, head))
+    wordings = lambda options, slot: F.get(options, (d.below(slot, 1 << 30) % F.greatest(F.lit(1), F.size(options))).cast("int"))
+    rows = rows.withColumn(tail_, F.struct(wordings(X.interval_words(f["interval_ms"]), "rate words").alias("ms"), wordings(X.count_words(f["count"]), "count words").alias("times")))
+    rows = staged(rows)
+    body = F.concat_ws(" ", F.concat(F.replace(head_, F.lit("{r}"), F.col(ref_)), F.when(f["action"].isin("set", "read"), d.weighted("where", WHERE)).otherwise("")), F.col(tail_)["ms"], F.nullif(F.col(tail_)["times"], F.lit("")))
+    short = F.transform(f["targets"], lambda t: F.when(t["kind"] == "all", "all").when(t["kind"] == "pin", t["n"].cast("string")).otherwise(t["s"]))
+    terse = F.concat_ws(" ", f["action"], F.array_join(short, " "), f["level"], F.concat(f["interval_ms"].cast("string"), F.lit("ms")), F.concat(F.lit("x"), f["count"].cast("string")))
+    rows = rows.withColumn(terse_, d.chance("terse", SHARES["terse"]))
+    rows = rows.withColumn(mood_, F.when(F.col(terse_), "terse").when(F.col(head_).rlike("^(what|is) "), "question").when(F.col(head_).startswith("{r}"), "bare").otherwise("imperative"))
+    return decorated(staged(rows.withColumn("text", F.when(F.col(terse_), terse).otherwise(body))), mood_, d.key("dress")).drop(said_, ref_, style_, head_, terse_, mood_, tail_)
 
 
-def refusals(spark: SparkSession, n: int, seed: int = 1) -> DataFrame:
-    """(id, text, source): utterances to refuse, by the mix; the truncated ones are cut from commands."""
-    from loomery.functions.text import truncate, vary
+def decorated(df: DataFrame, mood: str, key: Column) -> DataFrame:
+    """df with its text dressed in its mood."""
+    out = F.col("text")
+    for m, (prefixes, suffixes, question) in MOODS.items():
+        out = F.when(F.col(mood) == m, X.dressed(F.col("text"), key, prefixes, suffixes, question)).otherwise(out)
+    return staged(df.withColumn("text", out))
 
+
+def negatives(df: DataFrame, seed: int = 1) -> DataFrame:
+    """df (id, ...) with generator and text: utterances to refuse, of eight generators and five banks by weight."""
     d = Draws(seed)
-    commands = realize(frames(spark, n, seed + 1), seed).select("id", F.col("text").alias("command"))
-    rows = spark.range(n).withColumn("source", d.weighted("source", NEGATIVE_MIX)).join(commands, "id")
-    said = F.lit(None).cast("string")
-    for source, bank in REFUSALS.items():
-        said = F.when(F.col("source") == source, vary(pick(bank, d.key("bank")), d.key("dress"))).otherwise(said)
-    return rows.select("id", "source", F.when(F.col("source") == "truncated", truncate(F.col("command"), d.key("cut"))).otherwise(said).alias("text")).where("text is not null")
+    kind, mood = free_name("generator", df), free_name("mood", df)
+    text = said_as = F.lit(None).cast("string")
+    for k, (bank, m) in REFUSALS.items():
+        text = F.when(F.col(kind) == k, bank.column(d.key(k))).otherwise(text)
+        said_as = F.when(F.col(kind) == k, m).otherwise(said_as)
+    rows = staged(staged(df.withColumn(kind, d.weighted("generator", KINDS))).withColumn("text", text).withColumn(mood, said_as))
+    return decorated(rows, mood, d.key("dress")).drop(mood)
+
+
+def filled(df: DataFrame, by: str, quotas: dict[str, int]) -> DataFrame:
+    """The first rows of each group by id, as many as its quota; the limit is the operator's purpose."""
+    rank, limit = free_name("rank", df), F.lit(0)
+    for k, n in quotas.items():
+        limit = F.when(F.col(by) == k, n).otherwise(limit)
+    most = max(quotas.values(), default=0)
+    ranked = df.withColumn(rank, F.row_number().over(W.partitionBy(by).orderBy("id"))).where(F.col(rank) <= most)
+    return ranked.where(F.col(rank) <= limit).drop(rank)
+
 
+def refusal_rows(df: DataFrame) -> DataFrame:
+    """df (text, source, ...) as rows whose label is to refuse, with the flags of held-out rows where df has them."""
+    flags = {"stratum": "string", "in_train": "boolean", "locked": "boolean"}
+    label = F.array(F.lit("<unknown>"), F.lit("<end>"))
+    own = [F.col(c).cast(t).alias(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in flags.items()]
+    return df.select("text", label.alias("symbols"), F.lit("unknown").alias("action"), "source", *own)
 
-def corpus(spark: SparkSession, n: int, seed: int = 1) -> DataFrame:
-    """(text, symbols, action, source): commands and refusals, one row a normalised text, commands first."""
-    from loomery.functions.text import dedup_key
-    from loomery.operators.curate import first_wins
 
+def corpus(spark: SparkSession, n: int, seed: int = 1, pools: dict[str, DataFrame] | None = None, over: int = OVER) -> DataFrame:
+    """(text, symbols, action, source): n rows, one a normalised text, NEGATIVE_SHARE of them to refuse, by NEGATIVE_MIX.
+
+    over times as many as wanted are drawn, repeated texts go (commands win over refusals, and sources in the order of the
+    mix), and each source is filled to its quota by id. What then is missing is missing because the templates have too few
+    texts: short() says so. pools has the texts (text) of outside utterances for the sources near and far, which come first
+    and are topped up by dressing them anew; without it generators stand in.
+    """
+    quotas = quotas_of(n)
+    want = over * quotas["template"]
+    every = realize(frames(spark, want, seed), seed).select("id", "text", F.array_join(G.to_symbols(F.col("frame")), "\x1f").alias("label"), F.col("frame.action").alias("action"), F.lit("template").alias("source"), F.lit(0).alias("prio"))
+    for prio, k in enumerate(NEGATIVE_MIX, 1):
+        part = _refusals(spark, k, over * quotas[k], seed + 10 * prio, (pools or {}).get(k))
+        every = every.unionByName(part.withColumn("source", F.lit(k)).withColumn("prio", F.lit(prio)))
+    out = filled(first_wins(every, X.dedup_key(F.col("text")), "prio", "id", drop_blank=True), "source", quotas)
+    return out.select("text", F.split("label", "\x1f").alias("symbols"), "action", "source")
+
+
+def quotas_of(n: int) -> dict[str, int]:
+    """How many rows of n each source has."""
     n_neg = int(n * NEGATIVE_SHARE)
-    good = realize(frames(spark, n - n_neg, seed), seed).select(
-        "text", G.to_symbols(F.col("frame")).alias("symbols"), F.col("frame.action").alias("action"), F.lit("template").alias("source"), F.lit(0).alias("prio"), "id"
-    )
-    bad = refusals(spark, n_neg, seed).select(
-        "text", F.array(F.lit("<unknown>"), F.lit("<end>")).alias("symbols"), F.lit("unknown").alias("action"), "source", F.lit(1).alias("prio"), "id"
-    )
-    return first_wins(good.unionByName(bad), dedup_key(F.col("text")), "prio", "id").drop("prio", "id")
+    return {"template": n - n_neg, **{k: int(n_neg * share) for k, share in NEGATIVE_MIX.items()}}
+
+
+def short(rows: DataFrame, n: int) -> dict[str, int]:
+    """How many rows of n each source lacks, those that lack none left out."""
+    got = {r.source: r.n for r in rows.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return {k: want - got.get(k, 0) for k, want in quotas_of(n).items() if got.get(k, 0) < want}
+
+
+def _refusals(spark: SparkSession, kind: str, n: int, seed: int, pool: DataFrame | None) -> DataFrame:
+    """(id, text, label, action): n of one source."""
+    if kind == "truncated":
+        rows = realize(frames(spark, 2 * n, seed), seed)
+        rows = rows.select("id", X.truncate(F.col("text"), Draws(seed).key("cut")).alias("text"))
+    elif pool is not None:
+        texts = first_wins(pool.select("text"), X.dedup_key(F.col("text")), "text", drop_blank=True).withColumn("pool", F.lit(0))
+        key = F.sha1("text")
+        rows = staged(top_up(texts, "pool", n, key, "text", "text")).withColumn("id", F.col("turn") * (1 << 32) + X.draw(F.concat(F.lit("order"), F.sha1("text")), 1 << 32))
+    else:
+        rows = negatives(spark.range(n), seed)
+    return rows.select("id", "text", F.lit("<unknown>\x1f<end>").alias("label"), F.lit("unknown").alias("action"))

@@ -57,6 +57,20 @@ def symbol_ids(symbols: Column) -> Column:
     return F.transform(symbols, lambda s: F.try_element_at(table, s))
 
 
+def completion_ids(symbols: Column, digit_ids: list[int], name_ids: Column) -> Column:
+    """Ids of a label: reserved symbols, single digits, and name_ids in the place of the one name; null if anything else is there."""
+    table = F.create_map(*[F.lit(x) for i, s in enumerate(RESERVED) for x in (s, i)], *[F.lit(x) for d, i in enumerate(digit_ids) for x in (str(d), i)])
+    inside = F.transform(symbols, lambda s, i: F.when((i > 0) & (F.get(symbols, i - 1) == "<name>"), name_ids).otherwise(F.array(F.try_element_at(table, s))))
+    flat = F.flatten(inside)
+    return F.when(F.forall(flat, lambda x: x.isNotNull()), flat)
+
+
+def byte_symbols(spark) -> DataFrame:
+    """(byte, code): the character that stands for each byte in byte-pair files: itself where it prints, else those from 256 on."""
+    printing = "(id between 33 and 126 or id between 161 and 172 or id between 174 and 255)"
+    return spark.range(256).selectExpr("cast(id as int) as byte", f"cast(if({printing}, id, 256 + sum(if({printing}, 0, 1)) over (order by id) - 1) as int) as code")
+
+
 def pack(df: DataFrame, prompt: str, completion: str, width: int) -> DataFrame:
     """tokens and mask of a fixed width: prompt, mark, completion, padding; the mask is on the completion alone.
 

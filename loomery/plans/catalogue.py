@@ -5,17 +5,19 @@ documents stands for utterances, labels for labels, benchmark for the held-out s
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomery.functions import grammar as G
 from loomery.functions import text as X
+from loomery.functions.columns import staged
+from loomery.functions.banks import sql_choice, sql_draw
 from loomery.operators import alias as A
 from loomery.operators import curate as C
 from loomery.operators import evaluate as E
 from loomery.operators import generate as N
 from loomery.operators import pack as P
+from loomery.operators import vocabulary as V
 from loomery.sources.tables import table
 
 QUERIES: dict = {}
@@ -54,10 +56,6 @@ def sql_part_key(s: str) -> str:
     return sql_collapse(f"regexp_replace(regexp_replace({head}, '{X.VARY_TAIL}', ''), '^[ .,!?]+|[ .,!?]+$', '', 'g')")
 
 
-def sql_draw(s: str, n: int) -> str:
-    return f"(cast('0x' || substr(sha1({s}), 1, 8) as bigint) % {n})"
-
-
 FIRST = "select * from documents qualify row_number() over (partition by {key} order by doc_id) = 1"
 WILSON = """
   coalesce(p, 0) as rate,
@@ -71,9 +69,10 @@ def rounded(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def near_miss(spark, sf_dir: str) -> DataFrame:
-    """Documents cleaned, first of each text, keyed and split."""
+    """Documents cleaned, keyed and split, the first of each text: flags and a digest are taken first, so no text is shuffled."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", X.clean(F.col("text")).alias("text"))
-    return C.split_rows(C.first_wins(docs, X.dedup_key(F.col("text")), "doc_id"))
+    split = C.split_rows(docs).select("doc_id", "lang", "part", F.sha1(X.dedup_key(F.col("text"))).alias("digest"))
+    return C.first_wins(split, F.col("digest"), "doc_id")
 
 
 @query(f"""
@@ -93,8 +92,8 @@ def clean_wake_words(spark, sf_dir):
 
 @query(f"select doc_id, lang from ({FIRST.format(key=sql_key('text'))})")
 def dedup_first_wins(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return C.first_wins(docs, X.dedup_key(F.col("text")), "doc_id").select("doc_id", "lang")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.sha1(X.dedup_key(F.col("text"))).alias("digest"))
+    return C.first_wins(docs, F.col("digest"), "doc_id").select("doc_id", "lang")
 
 
 @query(f"select doc_id, sha1({sql_part_key('text')}) as key_sha1, {sql_draw(sql_part_key('text'), 10)} as bucket from documents")
@@ -120,26 +119,16 @@ with d as ({FIRST.format(key=sql_key('text'))})
 select d.doc_id, bool_or(coalesce(l.toxic = 1, false)) over (partition by {sql_part_key('text')}) as held
 from d left join labels l on d.doc_id = l.doc_id""")
 def side_or_by_key(spark, sf_dir):
-    docs = C.first_wins(table(spark, sf_dir, "documents"), X.dedup_key(F.col("text")), "doc_id")
-    rows = docs.join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    return C.any_of_key(rows, X.partition_key(F.col("text")), F.coalesce(F.col("toxic") == 1, F.lit(False)), "held").select("doc_id", "held")
-
-
-@query(f"""
-select sum(cast(a and b as int)) as shared_keys, count(*) as keys from (
-  select {sql_part_key('text')} as k, bool_or(doc_id % 2 = 0 and {sql_draw(sql_part_key('text'), 10)} < 4) as a,
-         bool_or({sql_draw(sql_part_key('text'), 10)} >= 4) as b from documents group by 1)""")
-def disjoint_sides(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha1(X.partition_key(F.col("text"))).alias("k"), X.is_held_out(F.col("text")).alias("h"))
-    keys = docs.groupBy("k").agg(F.bool_or((F.col("doc_id") % 2 == 0) & F.col("h")).alias("a"), F.bool_or(~F.col("h")).alias("b"))
-    return keys.agg(F.sum((F.col("a") & F.col("b")).cast("int")).alias("shared_keys"), F.count(F.lit(1)).alias("keys"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha1(X.dedup_key(F.col("text"))).alias("digest"), F.sha1(X.partition_key(F.col("text"))).alias("part"))
+    rows = C.first_wins(docs, F.col("digest"), "doc_id").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    return C.any_of_key(rows, F.col("part"), F.coalesce(F.col("toxic") == 1, F.lit(False)), "held").select("doc_id", "held")
 
 
 @query(f"""
 select sum(cast(a and b as int)) as shared_keys, count(*) as keys from (
   select {sql_part_key('text')} as k, bool_or({sql_draw(sql_part_key('text'), 10)} < 4) as a,
          bool_or({sql_draw(sql_part_key('text'), 10)} >= 4) as b from documents group by 1)""")
-def disjoint_sides_all(spark, sf_dir):
+def disjoint_sides(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.sha1(X.partition_key(F.col("text"))).alias("k"), X.is_held_out(F.col("text")).alias("h"))
     keys = docs.groupBy("k").agg(F.bool_or("h").alias("a"), F.bool_or(~F.col("h")).alias("b"))
     return keys.agg(F.sum((F.col("a") & F.col("b")).cast("int")).alias("shared_keys"), F.count(F.lit(1)).alias("keys"))
@@ -191,8 +180,7 @@ def sql_commands(dialect: str) -> str:
 
 def commands(spark, sf_dir: str) -> DataFrame:
     lines = spark.sql(sql_commands("spark").replace("from events", "from {events}"), events=table(spark, sf_dir, "events"))
-    # kept: gold and predictions are both taken from it, and what is above it need not carry the grammar's expressions
-    return G.with_frame(lines, "cmd").persist(StorageLevel.MEMORY_AND_DISK)
+    return G.with_frame(lines, "cmd")
 
 
 _RX = _q(G.COMMAND)
@@ -252,7 +240,7 @@ def judged(spark, sf_dir: str) -> DataFrame:
     other = rows.select((F.col("event_id") - 3).alias("event_id"), F.col("frame").alias("other"))
     pick = X.draw(F.col("event_id").cast("string"), 10)
     gold = rows.where("frame is not null").select("event_id", "user_id", "event_type", F.col("frame").alias("gold")).join(other, "event_id", "left")
-    return E.judged(gold.withColumn("got", F.when(pick < 6, F.col("gold")).when(pick < 9, F.col("other"))))
+    return staged(E.judged(staged(gold.withColumn("got", F.when(pick < 6, F.col("gold")).when(pick < 9, F.col("other"))))))
 
 
 SQL_JUDGED = f"""{SQL_PARSED},
@@ -316,25 +304,11 @@ def seed_spread(spark, sf_dir):
     return rounded(E.spread(runs, "run", "event_type", "pos_ok", "pos_n"), "mean_rate", "half_range", "rate", "low", "high")
 
 
-@query("""
-with r as (select distinct user_id % 5 as run from events), s as (select distinct event_type as split from events),
-k as (select user_id % 5 as run, event_type as split, count(*) as n, count(*) filter (value > 50) as hits from events where user_id % 7 <> 0 or event_type <> 'view' group by all)
-select r.run, s.split, coalesce(n, 0) as n, round(coalesce(hits, 0) / greatest(1, coalesce(n, 0)), 9) as rate from r cross join s left join k on k.run = r.run and k.split = s.split""")
-def run_split_matrix(spark, sf_dir):
-    events = table(spark, sf_dir, "events").select((F.col("user_id") % 5).alias("run"), F.col("event_type").alias("split"), "value", "user_id")
-    grid = events.select("run").distinct().crossJoin(events.select("split").distinct())
-    some = events.where((F.col("user_id") % 7 != 0) | (F.col("split") != "view"))
-    counts = some.groupBy("run", "split").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("value") > 50).alias("hits"))
-    out = grid.join(counts, ["run", "split"], "left")
-    n = F.coalesce("n", F.lit(0))
-    return rounded(out.select("run", "split", n.alias("n"), (F.coalesce("hits", F.lit(0)) / F.greatest(F.lit(1), n)).alias("rate")), "rate")
-
-
 @query("""
 with r as (select distinct user_id % 5 as run from events), s as (select distinct event_type as split from events),
 k as (select user_id % 5 as run, event_type as split, count(*) as n, count(*) filter (value > 50) as hits from events group by all)
 select r.run, s.split, coalesce(n, 0) as n, round(coalesce(hits, 0) / greatest(1, coalesce(n, 0)), 9) as rate from r cross join s left join k on k.run = r.run and k.split = s.split""")
-def run_split_matrix_all(spark, sf_dir):
+def run_split_matrix(spark, sf_dir):
     events = table(spark, sf_dir, "events").select((F.col("user_id") % 5).alias("run"), F.col("event_type").alias("split"), "value")
     grid = events.select("run").distinct().crossJoin(events.select("split").distinct())
     counts = events.groupBy("run", "split").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("value") > 50).alias("hits"))
@@ -343,16 +317,11 @@ def run_split_matrix_all(spark, sf_dir):
     return rounded(out.select("run", "split", n.alias("n"), (F.coalesce("hits", F.lit(0)) / F.greatest(F.lit(1), n)).alias("rate")), "rate")
 
 
-@query(f"select doc_id from documents where {sql_key('text')} in (select {sql_key('text')} from documents where doc_id % 10 = 3) and doc_id % 10 <> 3")
+@query(f"select lang, count(*) as n, count(*) filter ({sql_key('text')} in (select {sql_key('text')} from benchmark where text is not null)) as leaked from documents group by 1")
 def leak_exact(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return C.leaks_exact(docs.where("doc_id % 10 <> 3"), docs.where("doc_id % 10 = 3")).select("doc_id")
-
-
-@query(None)
-def leak_exact_benchmark(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return C.leaks_exact(docs, table(spark, sf_dir, "benchmark")).select("doc_id")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    leaked = C.leaks_exact(docs, table(spark, sf_dir, "benchmark")).groupBy("lang").agg(F.count(F.lit(1)).alias("leaked"))
+    return docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).join(leaked, "lang", "left").select("lang", "n", F.coalesce("leaked", F.lit(0)).cast("long").alias("leaked"))
 
 
 @query("select doc_id, item_id from documents d join benchmark b on contains(d.text, b.text) and b.text <> ''")
@@ -366,11 +335,22 @@ def leak_flag_count(spark, sf_dir):
     return found.agg(F.count_distinct("doc_id").alias("leaked"))
 
 
-@query(f"select lang, count(*) as kept from documents where {sql_key('text')} not in (select {sql_key('text')} from documents where doc_id % 17 = 0) group by 1")
+@query(f"""select lang, count(*) as kept from documents where text is null or {sql_key('text')} not in (
+  select {sql_key('text')} from documents join labels using (doc_id) where toxic = 1 and text is not null) group by 1""")
 def drop_list_anti(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    key = F.sha1(X.dedup_key(F.col("text")))
-    return C.without(docs, docs.where("doc_id % 17 = 0"), key, key).groupBy("lang").agg(F.count(F.lit(1)).alias("kept"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.sha1(X.dedup_key(F.col("text"))).alias("key"))
+    drop = docs.join(table(spark, sf_dir, "labels").where("toxic = 1"), "doc_id")
+    return C.without(docs, drop, F.col("key"), F.col("key")).groupBy("lang").agg(F.count(F.lit(1)).alias("kept"))
+
+
+@query(f"""
+with d as (select {sql_key('text')} as k, min(case when toxic = 1 then 'toxic' else 'poor' end) as reason from documents join labels using (doc_id) where toxic = 1 or quality = 0 group by 1)
+select doc_id, reason from documents join d on {sql_key('text')} = d.k""")
+def hand_drop_reasons(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha1(X.dedup_key(F.col("text"))).alias("key"))
+    reason = F.when(F.col("toxic") == 1, "toxic").otherwise("poor").alias("reason")
+    drop = docs.join(table(spark, sf_dir, "labels").where("toxic = 1 or quality = 0"), "doc_id").select("key", reason)
+    return C.with_reasons(docs, drop, F.col("key"), F.col("key"), "reason").select("doc_id", "reason")
 
 
 _OPENS = " or ".join(f"starts_with(trim(regexp_replace(lower(text), '{X.LEAD_PREFIX}', '')), '{o} ')" for o in X.OPENINGS)
@@ -427,7 +407,9 @@ def alias_resolve(spark, sf_dir):
   case when ms % 1000 = 0 then 'every ' || ms // 1000 || case when ms = 1000 then ' second' else ' seconds' end end,
   case when ms % 1000 = 500 then 'every ' || ms // 1000 || '.5 seconds' end,
   case when ms % 60000 = 0 then 'every ' || ms // 60000 || case when ms = 60000 then ' minute' else ' minutes' end end,
-  case when ms > 0 and 1000 % nullif(ms, 0) = 0 then 'at ' || 1000 // ms || ' Hz' end], lambda x: x is not null), '|') as forms, count(*) as n
+  case when ms > 0 and 1000 % nullif(ms, 0) = 0 then 'at ' || 1000 // ms || ' Hz' end, case when ms % 1000 = 0 then 'every ' || ms // 1000 || ' s' end,
+  case when ms > 0 and 1000 % nullif(ms, 0) = 0 and ms < 1000 then 1000 // ms || ' times a second' end,
+  case ms when 100 then 'very fast' when 250 then 'fast' when 500 then 'twice a second' when 1000 then 'once a second' when 2000 then 'slowly' end], lambda x: x is not null), '|') as forms, count(*) as n
 from (select doc_id, doc_id % 200 * 250 as ms from documents) as documents group by all""")
 def interval_words(spark, sf_dir):
     ms = (F.col("doc_id") % 200 * 250).alias("ms")
@@ -442,23 +424,11 @@ def count_words(spark, sf_dir):
     return rows.select("k", F.array_join(X.count_words(F.col("k")), "|").alias("forms"))
 
 
-@query("""
-with a as (select conv_id, turn, text from conversations where turn % 3 <> 1), b as (select conv_id, turn, case when conv_id % 4 = 0 then lower(text) else text end as text from conversations where turn % 5 <> 2)
-select count(*) as lines, count(*) filter (a.text is distinct from b.text) as differ, round(100 * count(*) filter (a.text is not distinct from b.text) / count(*), 9) as same_percent
-from a full join b on a.conv_id = b.conv_id and a.turn = b.turn""")
-def positional_diff(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations")
-    a = rows.where("turn % 3 <> 1")
-    b = rows.where("turn % 5 <> 2").withColumn("text", F.when(F.col("conv_id") % 4 == 0, F.lower("text")).otherwise(F.col("text")))
-    out = E.line_diff(a, b, ["conv_id", "turn"], "text")
-    return rounded(out.agg(F.count(F.lit(1)).alias("lines"), F.count_if(~F.col("same")).alias("differ"), (100 * F.count_if("same") / F.count(F.lit(1))).alias("same_percent")), "same_percent")
-
-
 @query("""
 with b as (select conv_id, turn, case when conv_id % 4 = 0 then lower(text) else text end as text from conversations)
 select count(*) as lines, count(*) filter (a.text is distinct from b.text) as differ, round(100 * count(*) filter (a.text is not distinct from b.text) / count(*), 9) as same_percent
 from conversations a full join b on a.conv_id = b.conv_id and a.turn = b.turn""")
-def positional_diff_all(spark, sf_dir):
+def positional_diff(spark, sf_dir):
     a = table(spark, sf_dir, "conversations")
     b = a.withColumn("text", F.when(F.col("conv_id") % 4 == 0, F.lower("text")).otherwise(F.col("text")))
     out = E.line_diff(a, b, ["conv_id", "turn"], "text")
@@ -530,26 +500,43 @@ def truncate_dangling(spark, sf_dir):
     return rows.select("conv_id", "turn", X.truncate(F.col("text"), F.concat_ws("-", "conv_id", "turn")).alias("cut"))
 
 
-_PRE = "[" + ", ".join("'" + _q(w) + "'" for w in X.VARY_PREFIX) + "]"
-_SUF = "[" + ", ".join("'" + _q(w) + "'" for w in X.VARY_SUFFIX) + "]"
+def sql_list(options: list[str]) -> str:
+    return "[" + ", ".join("'" + _q(w) + "'" for w in options) + "]"
+
 
+def sql_case(s: str, key: str, question: float) -> str:
+    """X.case_and_punctuate; s and key are columns."""
+    c, q, p = (sql_draw(f"'{x}' || {key}", 1000) for x in ("case", "question", "point"))
+    up = lambda x: f"replace(upper({x}), 'ẞ', 'SS')"  # noqa: E731  (DuckDB has one letter for it, Java two)
+    cased = f"case when {c} < 300 then {up(f'substr({s}, 1, 1)')} || substr({s}, 2) when {c} < 340 then {up(s)} else {s} end"
+    return f"({cased}) || case when {q} < {int(question * 1000)} then '?' when {p} < 90 then '.' when {p} < 180 then '!' else '' end"
 
-@query(f"""select item_id, {sql_collapse(f"{_PRE}[1 + {sql_draw("'head' || item_id", 11)}] || regexp_replace(lower(substr(text, 1, 1)) || substr(text, 2), '[?.!]+$', '') || {_SUF}[1 + {sql_draw("'tail' || item_id", 6)}]")} as dressed from benchmark""")
+
+def sql_dressed(s: str, key: str, prefixes: list[str], suffixes: list[str]) -> str:
+    head, tail = (f"{sql_list(o)}[1 + {sql_draw(f"'{x}' || {key}", len(o))}]" for x, o in (("head", prefixes), ("tail", suffixes)))
+    return sql_collapse(f"{head} || {s} || {tail}")
+
+
+_BARE = "regexp_replace(lower(substr(text, 1, 1)) || substr(text, 2), '[?.!]+$', '')"
+
+
+@query(f"""with k as (select item_id, cast(item_id as varchar) as key, text from benchmark), d as (select item_id, key, {sql_dressed(_BARE, "key", X.VARY_PREFIX, X.VARY_SUFFIX)} as d from k)
+  select item_id, {sql_case("d", "key", 0.10)} as dressed from d""")
 def vary_decorate(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", X.vary(F.col("text"), F.col("item_id").cast("string")).alias("dressed"))
 
 
 @query("""
-with t as (select doc_id, list_transform(string_split(substr(text, 1, 24 + doc_id % 60), ''), lambda c: ascii(c) % 1000 + 2) as p from documents),
-c as (select doc_id, p, [2 + doc_id % 7, 18] as q from t), f as (select doc_id, len(p) + 1 + len(q) as n, list_concat(list_concat(p, [1]), q) as s, len(p) as lp from c)
-select doc_id, array_to_string(list_concat(s, list_transform(range(64 - n), lambda i: 0)), ',') as tokens, cast(n - lp - 1 as bigint) as masked from f where n <= 64""")
+with t as (select doc_id, list_transform(list_filter(string_split(coalesce(text, ''), ' '), lambda w: w <> ''), lambda w: ascii(w) % 1000 + 2) as p, [2 + doc_id % 7, 18] as q from documents),
+c as (select doc_id, p, q, unnest(range(greatest(1, cast(ceil(len(p) / 61.0) as bigint)))) as part from t),
+f as (select doc_id, part, p[part * 61 + 1 : part * 61 + 61] as p, q from c), g as (select doc_id, part, list_concat(list_concat(p, [1]), q) as s, len(q) as masked from f)
+select doc_id, cast(part as int) as part, array_to_string(list_concat(s, list_transform(range(64 - len(s)), lambda i: 0)), ',') as tokens, cast(masked as bigint) as masked from g""")
 def pack_sequences(spark, sf_dir):
-    chars = F.array_compact(F.split(F.substring(F.col("text"), F.lit(1), (24 + F.col("doc_id") % 60).cast("int")), ""))
-    rows = table(spark, sf_dir, "documents").select(
-        "doc_id", F.transform(chars, lambda c: (F.ascii(c) % 1000 + 2).cast("int")).alias("p"), F.array((2 + F.col("doc_id") % 7).cast("int"), F.lit(18)).alias("c")
-    )
-    out = P.pack(rows, "p", "c", 64)
-    return out.select("doc_id", F.array_join("tokens", ",").alias("tokens"), F.aggregate("mask", F.lit(0).cast("long"), lambda s, x: s + x).alias("masked"))
+    """Whole texts, a number a word, in as many sequences of 64 as they need."""
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), " ", -1), lambda w: w != "")
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.transform(words, lambda w: (F.ascii(w) % 1000 + 2).cast("int")).alias("p"), F.array((2 + F.col("doc_id") % 7).cast("int"), F.lit(18)).alias("c"))
+    out = P.pack(P.in_parts(rows, "p", "c", 64), "p", "c", 64)
+    return out.select("doc_id", "part", F.array_join("tokens", ",").alias("tokens"), F.aggregate("mask", F.lit(0).cast("long"), lambda s, x: s + x).alias("masked"))
 
 
 PACK_WIDTH = 96  # of the model's sequences
@@ -593,16 +580,8 @@ def lr_schedule(spark, sf_dir):
     return steps.select("step", F.round(E.learning_rate(F.col("step"), 0.003, 20, 200, 0.0003), 9).alias("lr"))
 
 
-@query("""select event_id, round(min(value) over (order by event_id rows unbounded preceding), 9) as best from events where user_id = 1""")
-def running_best(spark, sf_dir):
-    from pyspark.sql import Window as W
-
-    rows = table(spark, sf_dir, "events").where("user_id = 1")
-    return rows.select("event_id", F.round(F.min("value").over(W.partitionBy("user_id").orderBy("event_id").rowsBetween(W.unboundedPreceding, 0)), 9).alias("best"))
-
-
 @query("""select user_id, event_id, round(min(value) over (partition by user_id order by event_id rows unbounded preceding), 9) as best from events""")
-def running_best_by_user(spark, sf_dir):
+def running_best(spark, sf_dir):
     from pyspark.sql import Window as W
 
     rows = table(spark, sf_dir, "events")
@@ -610,9 +589,9 @@ def running_best_by_user(spark, sf_dir):
     return rows.select("user_id", "event_id", F.round(best, 9).alias("best"))
 
 
-@query("select count(*) as n, sort = range(0, 25) as contiguous from (select list_sort(list(n_nationkey)) as sort, count(*) as n from nation) group by all")
+@query("select count(*) as n, list_sort(list(n_nationkey)) = range(0, count(*)) as contiguous from nation")
 def contiguous_ids(spark, sf_dir):
-    return table(spark, sf_dir, "nation").agg(F.collect_list("n_nationkey").alias("ids")).select(F.lit(1).cast("long").alias("n"), P.contiguous(F.col("ids")).alias("contiguous"))
+    return table(spark, sf_dir, "nation").agg(F.collect_list("n_nationkey").alias("ids")).select(F.size("ids").cast("long").alias("n"), P.contiguous(F.col("ids")).alias("contiguous"))
 
 
 @query(None)
@@ -626,12 +605,41 @@ def bpe_encode(spark, sf_dir):
 
 @query(None)
 def generated_frames(spark, sf_dir):
-    n = table(spark, sf_dir, "events").count()
-    rows = N.frames(spark, n)
+    rows = N.with_frames(table(spark, sf_dir, "events").select(F.col("event_id").alias("id")))
     f = F.col("frame")
     return rows.groupBy(f["action"].alias("action"), G.range_verdict(f).alias("verdict")).agg(F.count(F.lit(1)).alias("n"), F.count_if(~G.well_shaped(f)).alias("misshapen"))
 
 
+def sql_key_of(slot: str, seed: int = 1) -> str:
+    return f"'{seed}|' || doc_id || '|{_q(slot)}'"
+
+
+@query(f"select doc_id, {V.NAME.sql(sql_key_of('name'))} as name, {V.GROUP_NAME.sql(sql_key_of('group'))} as group_name from documents")
+def generated_names(spark, sf_dir):
+    d = N.Draws(1, "doc_id")
+    return table(spark, sf_dir, "documents").select("doc_id", N.name(d, "name").alias("name"), N.group_name(d, "group").alias("group_name"))
+
+
+_SAID = " ".join(f"when '{k}' then {bank.sql(sql_key_of(k))}" for k, (bank, _) in V.REFUSALS.items())
+_MOOD = " ".join(f"when '{k}' then '{mood}'" for k, (_, mood) in V.REFUSALS.items())
+_DRESSED = " ".join(f"when '{m}' then {sql_dressed('said', 'key', p, s)}" for m, (p, s, _) in V.MOODS.items())
+_CASED = " ".join(f"when '{m}' then {sql_case('dressed', 'key', q)}" for m, (_, _, q) in V.MOODS.items())
+
+
+@query(f"""with g as (select doc_id, {sql_choice(V.KINDS, sql_key_of('generator'))} as generator from documents),
+  s as (select doc_id, generator, case generator {_SAID} end as said, case generator {_MOOD} end as mood, {sql_key_of('dress')} as key from g),
+  d as (select doc_id, generator, mood, key, case mood {_DRESSED} end as dressed from s)
+  select doc_id, generator, case mood {_CASED} end as text from d""")
+def generated_refusals(spark, sf_dir):
+    ids = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
+    return N.negatives(ids).select(F.col("id").alias("doc_id"), "generator", "text")
+
+
 @query(None)
 def generated_corpus(spark, sf_dir):
-    return N.corpus(spark, table(spark, sf_dir, "documents").count())
+    """A corpus as large as documents; what users say in conversations is the pool of utterances far from commands."""
+    pools = {"far": table(spark, sf_dir, "conversations").where("role = 'user'").select("text")}
+    return N.corpus(spark, table(spark, sf_dir, "documents").count(), pools=pools)
+
+
+from loomery.plans import surface  # noqa: E402, F401  (further queries, in the same tables)

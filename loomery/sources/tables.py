@@ -10,6 +10,7 @@ HELD_OUT_SCHEMA = (
     "text string, symbols array<string>, action string, source string, stratum string, in_train boolean, "
     "v2_class string, v2_deferred boolean, locked boolean"
 )
+META_SCHEMA = "vocab int, seq_len int, pad int, go int, reserved map<string,int>, n_train long, n_val long"
 MIN_WORDS = 1000
 
 
@@ -37,13 +38,42 @@ def write_report(lines: DataFrame, path: str) -> None:
     lines.select(F.col(lines.columns[0]).cast("string").alias("value")).write.mode("overwrite").text(path)
 
 
-def read_external(frames: list[DataFrame], intent: str = "label_text", text: str = "text") -> DataFrame:
-    """(intent, text, ord) of the splits of an outside dataset, in the order of the list and of ids within it."""
+def read_external(frames: list[DataFrame], intent: str = "label_text", text: str = "text", order: str = "id") -> DataFrame:
+    """(intent, text, ord) of the splits of an outside dataset, in the order of the list and of a column within it."""
     out = None
     for i, df in enumerate(frames):
-        part = df.select(F.col(intent).alias("intent"), F.col(text).alias("text"), F.lit(i).alias("part"), F.monotonically_increasing_id().alias("at"))
+        part = df.select(F.col(intent).alias("intent"), F.col(text).alias("text"), F.struct(F.lit(i).alias("part"), F.col(order).alias("at")).alias("ord"))
         out = part if out is None else out.unionByName(part)
-    return out.select("intent", "text", F.struct("part", "at").alias("ord"))
+    return out
+
+
+def by_intent(df: DataFrame, kept: list[str] | None = None, family: str | None = None, intent: str = "intent") -> DataFrame:
+    """The rows of some intents, or those outside a family of intents, by its prefix; rows without an intent are in neither."""
+    i = F.col(intent)
+    return df.where((i.isin(kept) if kept is not None else F.lit(True)) & (~i.startswith(family) if family else F.lit(True)) & i.isNotNull())
+
+
+def first_rows(df: DataFrame, order: str, limit: int) -> DataFrame:
+    """The first rows in file order; the limit is the operator's purpose."""
+    return df.orderBy(order).limit(limit)
+
+
+def write_matrix(df: DataFrame, path: str, width: int, tokens: str = "tokens", mask: str = "mask") -> None:
+    """Packed sequences of one width as Parquet; a row of another width fails the write."""
+    checked = lambda c: F.when(F.size(c) == width, F.col(c)).otherwise(F.raise_error(F.lit(f"{c} is not {width} wide")))
+    df.withColumns({tokens: checked(tokens), mask: checked(mask)}).write.mode("overwrite").parquet(path)
+
+
+def write_meta(spark: SparkSession, path: str, meta: dict) -> None:
+    """The settings of a matrix as one line of JSON."""
+    spark.createDataFrame([meta], META_SCHEMA).coalesce(1).write.mode("overwrite").json(path)
+
+
+def read_meta(spark: SparkSession, path: str) -> dict:
+    row = spark.read.schema(META_SCHEMA).json(path).first()
+    if row is None or row.vocab is None or row.seq_len is None:
+        raise ValueError(f"no settings in {path}")
+    return row.asDict()
 
 
 def read_words(spark: SparkSession, path: str, least: int = MIN_WORDS) -> DataFrame:
@@ -68,5 +98,3 @@ def stream_lines(spark: SparkSession, folder: str, longest: int = 255) -> DataFr
     lines = spark.readStream.text(folder).select(F.substring(F.regexp_replace("value", "\r", ""), 1, longest).alias("line"))
     return lines.where(F.trim("line") != "")
 
-
-META_SCHEMA = "vocab int, seq_len int, pad int, go int, reserved map<string,int>, n_train long, n_val long"

@@ -8,31 +8,56 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-MAX_ALIASES = 16
+# The device's bounds.
+MAX_ALIASES, ALIAS_PINS, NAME_BYTES = 16, 6, 48
+# End of fixed values.
+_FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ\t_-", "abcdefghijklmnopqrstuvwxyz   ")
 OUT = "device long, event_id long, op string, name string, ok boolean, n_aliases int, pins array<int>"
 STATE = "names array<string>, pins array<array<int>>"
 
 
 def fold(name: str) -> str:
-    return " ".join(name.replace("_", " ").replace("-", " ").split()).lower()
+    """The device's one folding, as alias_norm() has it: ASCII alone, blanks collapsed."""
+    return " ".join(w for w in name.translate(_FOLD).split(" ") if w)
 
 
-def step(table: dict[str, list[int]], op: str, name: str, pins) -> tuple[bool, list[int]]:
-    """Applies one command to a table in place: (did it work, the pins of the name)."""
-    name = fold(name)
-    if op == "define":
-        if name in table or len(table) < MAX_ALIASES:
-            table[name] = [int(p) for p in pins]
-            return True, table[name]
+def step(table: dict[str, list[int]], op: str, name: str | None, pins) -> tuple[bool, list[int]]:
+    """Applies one command to a table in place: (did it work, the pins of the name).
+
+    A null or blank name, one longer than NAME_BYTES, and a definition without pins, with a null one or with more than
+    ALIAS_PINS do nothing.
+    """
+    name = fold(name or "")
+    if not name or len(name.encode("utf-8", "surrogatepass")) > NAME_BYTES:
         return False, []
+    if op == "define":
+        wanted = [int(p) for p in pins if p is not None and p == p] if pins is not None else []
+        fits = 0 < len(wanted) <= ALIAS_PINS and len(wanted) == len(pins) and (name in table or len(table) < MAX_ALIASES)
+        if fits:
+            table[name] = wanted
+        return fits, wanted if fits else []
     if op == "forget":
-        return table.pop(name, None) is not None, []
+        if name not in table:
+            return False, []
+        last = list(table)[-1]  # the last one takes the place of the one that goes
+        rows = [(last, table[last]) if n == name else (n, v) for n, v in table.items() if n == name or n != last]
+        rows = [r for r in rows if r[0] != name]
+        table.clear()
+        table.update(rows)
+        return True, []
     return name in table, table.get(name, [])
 
 
+def restored(names, pins) -> dict[str, list[int]]:
+    """A table from its stored form; one that breaks the device's bounds is refused."""
+    table = dict(zip(list(names), [[int(p) for p in own] for own in pins]))
+    if len(names) != len(pins) or len(table) > MAX_ALIASES or any(len(v) > ALIAS_PINS for v in table.values()):
+        raise ValueError("the stored table of aliases is damaged")
+    return table
+
+
 def _update(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    names, pins = state.get if state.exists else ([], [])
-    table = dict(zip(list(names), [list(p) for p in pins]))
+    table = restored(*(state.get if state.exists else ([], [])))
     rows = pd.concat(list(batches)).sort_values("event_id")
     out = []
     for r in rows.itertuples():

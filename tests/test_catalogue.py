@@ -63,11 +63,38 @@ def test_generated_frames(spark):
 
 
 def test_generated_corpus(spark):
-    rows = N.corpus(spark, 3000)
+    n = 3000
+    rows = N.corpus(spark, n).cache()
     counts = {r.source: r["count"] for r in rows.groupBy("source").count().collect()}
-    assert set(counts) == {"template", *N.NEGATIVE_MIX}
+    assert counts == N.quotas_of(n) and N.short(rows, n) == {}
     assert rows.count() == rows.select(F.lower(F.trim("text"))).distinct().count()
-    assert os.path.exists(SF)
+    assert rows.where("source <> 'template' and array_join(symbols, ' ') <> '<unknown> <end>'").count() == 0
+    assert rows.where("source = 'template' and action = 'unknown'").count() == 0
+    pool = spark.createDataFrame([(f"outside text {i}",) for i in range(20)] + [(None,), ("",)], "text string")
+    far = N.corpus(spark, 1000, pools={"far": pool}).where("source = 'far'").collect()
+    assert len(far) == N.quotas_of(1000)["far"] and sum(r.text in {f"outside text {i}" for i in range(20)} for r in far) == 20
+
+
+def test_pins_and_intervals_are_out_of_bounds_as_said(spark):
+    d = N.Draws(3)
+    rows = spark.range(20_000).select(N.pin_number(d, "p").alias("p"), N.interval(d).alias("ms")).collect()
+    legal = sum(r.p in G.PINS_S3 for r in rows) / len(rows)
+    assert abs(legal - 0.82) < 0.01 and not set(N.NEAR_PINS) & set(G.PINS_S3)
+    inside = sum(G.INTERVAL_MIN <= r.ms <= G.INTERVAL_MAX for r in rows) / len(rows)
+    assert abs(inside - 0.9) < 0.01
+
+
+def test_names_and_refusals_follow_their_shares(spark):
+    from loomery.operators import vocabulary as V
+
+    rows = N.negatives(spark.range(8000)).collect()
+    total = sum(V.KINDS.values())
+    for kind, weight in V.KINDS.items():
+        assert abs(sum(r.generator == kind for r in rows) / len(rows) - weight / total) < 0.02
+    assert not any("{" in r.text or not r.text for r in rows)
+    names = spark.range(8000).select(N.name(N.Draws(1), "n").alias("n"), N.group_name(N.Draws(1), "g").alias("g")).collect()
+    assert not any("{" in r.n + r.g for r in names) and len({r.n for r in names}) > 3000
+    assert abs(sum(r.n.endswith(tuple("0123456789")) for r in names) / 8000 - 0.091) < 0.02
 
 
 def test_whole_texts_are_packed(spark):
@@ -90,13 +117,13 @@ def test_whole_texts_are_packed(spark):
 
 def test_whole_tables_are_read(spark, tmp_path):
     read = lambda name: spark.read.parquet(f"{SF}/{name}.parquet")
-    assert catalogue.running_best_by_user(spark, SF).count() == read("events").count()
-    assert sum(r.n for r in catalogue.run_split_matrix_all(spark, SF).collect()) == read("events").count()
-    assert catalogue.positional_diff_all(spark, SF).first().lines == read("conversations").count()
+    assert catalogue.running_best(spark, SF).count() == read("events").count()
+    assert sum(r.n for r in catalogue.run_split_matrix(spark, SF).collect()) == read("events").count()
+    assert catalogue.positional_diff(spark, SF).first().lines == read("conversations").count()
     read("benchmark").write.parquet(f"{tmp_path}/benchmark.parquet")
-    planted = read("benchmark").limit(4).select((F.col("item_id") * 10 + 3).alias("doc_id"), F.concat(F.lit(" "), F.upper("text")).alias("text"))
-    read("documents").select("doc_id", "text").where("doc_id < 0").unionByName(planted).write.parquet(f"{tmp_path}/documents.parquet")
-    assert catalogue.leak_exact_benchmark(spark, str(tmp_path)).count() == 4
+    planted = read("benchmark").limit(4).select((F.col("item_id") * 10 + 3).alias("doc_id"), F.lit("xx").alias("lang"), F.concat(F.lit(" "), F.upper("text")).alias("text"))
+    read("documents").select("doc_id", "lang", "text").where("doc_id < 0").unionByName(planted).write.parquet(f"{tmp_path}/documents.parquet")
+    assert sum(r.leaked for r in catalogue.leak_exact(spark, str(tmp_path)).collect()) == 4
 
 
 def test_many_short_items_are_all_searched(spark):
