@@ -178,3 +178,28 @@ def test_fold_and_fingerprint(spark):
     line = F.col("id").cast("string")
     assert E.content_fingerprint(numbers, line).first() == E.content_fingerprint(numbers.repartition(7), line).first()
     assert E.content_fingerprint(numbers.limit(99), line).first() != E.content_fingerprint(numbers, line).first()
+
+
+def test_refusal_rows(spark):
+    from loomery.operators import generate as N
+
+    df = spark.createDataFrame([("dim it", "near", True), (None, "far", None)], "text string, source string, locked boolean")
+    rows = N.refusal_rows(df).collect()
+    assert rows[0].asDict() == {"text": "dim it", "symbols": ["<unknown>", "<end>"], "action": "unknown", "source": "near", "stratum": None, "in_train": None, "locked": True}
+    assert rows[1].locked is None and N.refusal_rows(df.limit(0)).count() == 0
+
+
+def test_a_stream_of_lines(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("turn on pin 4\r\n\n   \n" + "x" * 300 + "\n")
+    query = S.stream_lines(spark, f"{tmp_path}/in").writeStream.format("memory").queryName("typed").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/cp").start()
+    query.awaitTermination()
+    assert sorted(r.line for r in spark.table("typed").collect()) == ["turn on pin 4", "x" * 255]
+
+
+def test_openings_come_from_the_templates():
+    from loomery.functions.templates import HEADS, openings
+
+    found = openings()
+    assert found == X.OPENINGS and found == sorted(found, key=lambda o: (-len(o), o)) and "turn on" in found and "{r} on" not in found
+    assert all(o + " {r}" in str(HEADS) for o in found)
