@@ -441,12 +441,6 @@ def quota_fill(spark, sf_dir):
     return C.quota(docs, "lang", 40, F.concat(F.lit("q"), F.col("doc_id").cast("string")), "doc_id")
 
 
-@query(None)
-def quota_top_up(spark, sf_dir):
-    items = table(spark, sf_dir, "benchmark").withColumn("half", F.col("item_id") % 2)
-    return C.top_up(items, "half", 1000, F.col("item_id").cast("string"), "item_id", "text")
-
-
 @query("select doc_id, row_number() over (order by sha1('s' || doc_id), doc_id) <= (select cast(floor(count(*) * 0.02e0) as bigint) from documents) as is_val from documents")
 def ordinal_split(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id")
@@ -526,6 +520,17 @@ def vary_decorate(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", X.vary(F.col("text"), F.col("item_id").cast("string")).alias("dressed"))
 
 
+@query(f"""
+with b as (select item_id, text, item_id % 2 as half from benchmark), s as (select half, count(*) as n from b group by 1),
+r as (select item_id, text, b.half, cast(unnest(range(cast(ceil(1000 / n) as bigint))) as int) as turn from b join s on s.half = b.half),
+k as (select *, item_id || '#' || turn as key from r), d as (select *, {sql_dressed(_BARE, "key", X.VARY_PREFIX, X.VARY_SUFFIX)} as d from k)
+select item_id, case when turn = 0 then text else {sql_case("d", "key", 0.10)} end as text, half, turn from d
+qualify row_number() over (partition by half order by turn, sha1(cast(item_id as varchar)), item_id) <= 1000""")
+def quota_top_up(spark, sf_dir):
+    items = table(spark, sf_dir, "benchmark").withColumn("half", F.col("item_id") % 2)
+    return C.top_up(items, "half", 1000, F.col("item_id").cast("string"), "item_id", "text")
+
+
 @query("""
 with t as (select doc_id, list_transform(list_filter(string_split(coalesce(text, ''), ' '), lambda w: w <> ''), lambda w: ascii(w) % 1000 + 2) as p, [2 + doc_id % 7, 18] as q from documents),
 c as (select doc_id, p, q, unnest(range(greatest(1, cast(ceil(len(p) / 61.0) as bigint)))) as part from t),
