@@ -28,7 +28,7 @@ from unicodedata import is_normalized
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomery.llm.shared import file_system, partitions_for, quoted, scratch
+from loomery.llm.shared import file_system, lean, partitions_for, quoted, scratch
 
 END_ID = 2
 CACHE_WORDS = 900_000
@@ -36,6 +36,7 @@ MARKS = b".,;:!?"
 JOINED_WORDS = 256
 TYPE_OF = {2: "H", 4: "I"}
 INDEX_ENTRY = "<QQQQ"
+READ_BYTES = 4 << 20
 
 
 def masked(data: bytes) -> int:
@@ -77,7 +78,8 @@ class WordEncoder:
 
     No token of such a tokenizer crosses white space, so a text's ids are those of its blank-separated words in order.
     Only ASCII blanks are split at; anything else is left to the tokenizer, which lower-cases. A word that ends in a run of
-    common marks after an ASCII letter or digit is its core and that run. The cache is emptied when it is full.
+    common marks after an ASCII letter or digit is its core and that run. Added tokens are matched before the tokenizer
+    lower-cases, so a word that holds one in any case is handed over as it is. The cache is emptied when it is full.
     """
 
     def __init__(self, path: str, end_id: int = END_ID):
@@ -90,6 +92,7 @@ class WordEncoder:
         self.end = end_id.to_bytes(self.width, "little")
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         self.closing = {i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if suffix and t.endswith(suffix)}
+        self.added = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[bytes, bytes] = {}
 
     def learn(self, words: list[bytes]) -> None:
@@ -99,9 +102,11 @@ class WordEncoder:
             known.clear()
         parts = {}
         for word in words:
-            core = word.rstrip(MARKS)
-            if not core or core == word or not core[-1:].isalnum():
-                parts[word] = (word.lower(),)
+            core, small = word.rstrip(MARKS), word.lower()
+            if any(x in small for x in self.added):
+                parts[word] = (word,)
+            elif not core or core == word or not core[-1:].isalnum():
+                parts[word] = (small,)
             else:
                 parts[word] = (core.lower(), word[len(core) :])
         new = [w for w in dict.fromkeys(p for own in parts.values() for p in own) if w not in known]
@@ -205,7 +210,7 @@ def write_records(
     names = ["shard", "name", "records", "tokens", "bytes", "first_id", "last_id"]
     types = [pa.int32(), pa.string(), *[pa.int64()] * 5]
     schema = "shard int, name string, records long, tokens long, bytes long, first_id long, last_id long"
-    done = sorted(rows.mapInArrow(write, schema).collect(), key=lambda r: r.shard)  # a row for each shard
+    done = sorted(rows.mapInArrow(lean(write), schema).collect(), key=lambda r: r.shard)  # a row for each shard
     starts = [0, *accumulate(r.tokens for r in done)]
     manifest = {"end_id": end_id, "shards": [r.asDict() | {"start": s} for r, s in zip(done, starts)], "tokens": starts[-1]}
     fs, folder = file_system(path)
@@ -236,12 +241,13 @@ def read_records(spark: SparkSession, path: str, with_ids: bool = True) -> DataF
     def rows_of(fs, folder, name, start):
         with fs.open_input_stream(f"{folder}/{name}.idx") as f:
             entries = f.read()
-        with fs.open_input_file(f"{folder}/{name}.rec") as f:
+        at = 0
+        with fs.open_input_stream(f"{folder}/{name}.rec", buffer_size=READ_BYTES) as f:  # the records stand in the index's order
             for offset, size, before, count in struct.iter_unpack(INDEX_ENTRY, entries):
-                f.seek(offset)
                 doc, ids = read_payload(unframed(f.read(size))[0])
-                if len(ids) != count:
+                if len(ids) != count or offset != at:
                     raise ValueError(f"the index and the record at {offset} of {name} differ")
+                at += size
                 yield (doc, start + before, count, zlib.crc32(ids.tobytes()), *([ids.astype("i4")] if with_ids else []))
 
     def read(batches):
@@ -263,7 +269,19 @@ def read_records(spark: SparkSession, path: str, with_ids: bool = True) -> DataF
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), kinds)], names=fields)
 
-    return frame.mapInArrow(read, schema)
+    return frame.mapInArrow(lean(read), schema)
+
+
+def read_some(path: str, shard: str, places: list[int]) -> list[tuple]:
+    """(doc_id, ids) of some records of a shard, by their places in its index and in any order: for shuffled reads."""
+    fs, folder = file_system(path)
+    size = struct.calcsize(INDEX_ENTRY)
+    out = []
+    with fs.open_input_file(f"{folder}/{shard}.idx") as index, fs.open_input_file(f"{folder}/{shard}.rec") as data:
+        for place in places:
+            offset, length, _, _ = struct.unpack(INDEX_ENTRY, index.read_at(size, place * size))
+            out.append(read_payload(unframed(data.read_at(length, offset))[0]))
+    return out
 
 
 def op4_token_records(spark, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from loomery.llm.shared import file_system
-from loomery.llm.token_records import WordEncoder, framed, read_manifest, read_records, unframed, write_records
+from loomery.llm.token_records import WordEncoder, framed, read_manifest, read_records, read_some, unframed, write_records
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -24,6 +24,13 @@ def test_words_equal_whole_texts():
         assert encoder.ids(t) + [2] == whole(t), t
 
 
+def test_added_tokens_in_any_case():
+    encoder = WordEncoder(PATH)
+    for t in ["<|ENDOFTEXT|>", "x <|EndOfText|>.", "A<|STARTOFTEXT|>b", "<|endoftext|>", "a<|endoftext|>B.", "<|startoftext|>x.", "<|ENDOFTEXT|> <|endoftext|>,", "<|x|>"]:
+        assert encoder.ids(t) + [2] == whole(t), t
+        assert WordEncoder(PATH).ids(t) + [2] == whole(t), t
+
+
 def test_frames():
     data = framed(b"one") + framed(b"") + framed(b"x" * 70000)
     at, got = 0, []
@@ -61,3 +68,16 @@ def test_empty(spark, tmp_path):
     none = spark.createDataFrame([], "doc_id long, text string")
     write_records(none, f"file://{tmp_path}/e", PATH)
     assert read_records(spark, f"file://{tmp_path}/e").count() == 0
+
+
+def test_shuffled_reads(spark, tmp_path):
+    path = f"file://{tmp_path}/out"
+    rows = [(i, f"text number {i} " * (i % 7)) for i in range(60)]
+    write_records(spark.createDataFrame(rows, "doc_id long, text string"), path, PATH, shards=3)
+    seen = {}
+    for shard in read_manifest(path)["shards"]:
+        places = list(range(shard["records"]))
+        random.Random(3).shuffle(places)
+        for doc, ids in read_some(path, shard["name"], places):
+            seen[doc] = ids.tolist()
+    assert seen == {i: whole(t) for i, t in rows}
