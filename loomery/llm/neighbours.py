@@ -8,7 +8,7 @@ all tables are ranked by their exact cosine in double precision on the original
 The number of probes is the least that reaches TARGET_RECALL on a bounded sample of queries, whose true neighbours are
 found by comparing the sample with every row. Every row is indexed. Bucket by bucket, queries and rows meet in a task as
 matrices; a bucket with more rows or queries than fit is dealt in blocks, each block of rows meeting each of queries.
-Queries that find fewer than k take a blockwise exact search.
+Queries that find fewer than k take a blockwise exact search, and so do all if the sample's recall stays below LEAST_RECALL.
 
 Defined results: vectors that are null or zero or hold null or non-finite numbers take no part; a query meets only vectors
 of its own length; rows that share an id are one candidate, at its nearest, and never a candidate of that id's own query;
@@ -26,14 +26,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomery.llm.shared import partitions_for, quoted, written
+from loomery.llm.shared import lean, partitions_for, quoted, written
 
 TABLES = 8
 PROJECTIONS = 8
 WIDTH = 2.0
 TARGET_RECALL = 0.96
 SAMPLE_QUERIES = 256
+LEAST_RECALL = 0.9  # below it, every query takes the exact way
 MAX_PROBES = 729
+NEVER = 1 << 40
 BLOCK_ROWS = 8192
 BLOCK_QUERIES = 1024
 LEVELS = 1e12  # scores are ties within one of so many parts
@@ -92,7 +94,9 @@ def own_keys(vectors: np.ndarray, table: int) -> np.ndarray:
 
 
 def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    v = F.col(quoted(vector_col)).cast("array<double>")
+    v = F.col(quoted(vector_col))
+    if df.schema[vector_col].dataType.simpleString() != "array<float>":  # these are shuffled as they are, half the size
+        v = v.cast("array<double>")
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("v", lambda x: x != 0)
     return df.select(F.col(quoted(id_col)).cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull() & fine)
 
@@ -139,7 +143,7 @@ def best_of(q_ids, q, c_ids, c, k: int):
     for i, kept in enumerate(close):
         some = np.flatnonzero(kept)
         if len(some):
-            exact = np.clip((q[i] * c[some]).sum(1) / (q_len[i] * c_len[some]), -1.0, 1.0)
+            exact = (q[i] * c[some]).sum(1) / (q_len[i] * c_len[some])
             order = np.lexsort((-exact, c_ids[some], -level(exact)))
             some, exact = some[order], exact[order]
             done: set = set()
@@ -181,7 +185,7 @@ FOUND = "query_id long, vec_id long, score double"
 
 
 def vectors_of(column, dim: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64, copy=False)
 
 
 def exact_search(queries: list[tuple[int, list[float]]], rows: DataFrame, k: int) -> DataFrame:
@@ -205,7 +209,22 @@ def exact_search(queries: list[tuple[int, list[float]]], rows: DataFrame, k: int
                         found.add(*hit)
         yield found.batch()
 
-    return rows.mapInArrow(run, FOUND)
+    return rows.mapInArrow(lean(run), FOUND)
+
+
+def exact_of(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame | None:
+    """exact_search() of any number of queries, a block of them at the driver at a time."""
+    out, block = None, []
+
+    def searched():
+        found = written(ranked(exact_search(block, rows, k), k).select("query_id", "vec_id", "score"), "exact")
+        return found if out is None else out.unionByName(found)
+
+    for r in queries.toLocalIterator():
+        block.append((r.id, r.v))
+        if len(block) == BLOCK_QUERIES:
+            out, block = searched(), []
+    return searched() if block else out
 
 
 def ranked(found: DataFrame, k: int) -> DataFrame:
@@ -214,18 +233,21 @@ def ranked(found: DataFrame, k: int) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def probes_needed(rows: DataFrame, is_query, k: int) -> int:
-    """The least number of probes that finds TARGET_RECALL of the true neighbours of SAMPLE_QUERIES queries."""
+def probes_needed(rows: DataFrame, is_query, k: int) -> tuple[int, float]:
+    """The least number of probes that finds TARGET_RECALL of the true neighbours of SAMPLE_QUERIES queries, and what it finds.
+
+    No more than MAX_PROBES; the share then says how far these come.
+    """
     sample = [(r.id, r.v) for r in rows.where(is_query).orderBy(F.xxhash64("id"), "id").limit(SAMPLE_QUERIES).collect()]
     if not sample:
-        return 1
+        return 1, 1.0
     truth = ranked(exact_search(sample, rows, k), k).select("query_id", F.col("vec_id").alias("id"))
     pairs = truth.join(rows, "id").dropDuplicates(["query_id", "id"]).collect()  # k vectors for each sampled query
     if not pairs:
-        return 1
+        return 1, 1.0
     asked = dict(sample)
     pairs = [r for r in pairs if len(r.v) == len(asked[r.query_id])]
-    at = np.full(len(pairs), MAX_PROBES, int)
+    at = np.full(len(pairs), NEVER, int)
     for table in range(TABLES):
         for dim in {len(v) for v in asked.values()}:
             mine = [i for i, v in sample if len(v) == dim]
@@ -236,14 +258,17 @@ def probes_needed(rows: DataFrame, is_query, k: int) -> int:
                     hit = np.flatnonzero(keys[pairs[j].query_id] == key)
                     if len(hit):
                         at[j] = min(at[j], hit[0])
-    return int(min(MAX_PROBES, np.sort(at)[min(len(at) - 1, int(np.ceil(TARGET_RECALL * len(at))))] + 1))
+    probes = int(min(MAX_PROBES, np.sort(at)[min(len(at) - 1, int(np.ceil(TARGET_RECALL * len(at))))] + 1))
+    return probes, float((at < probes).mean())
 
 
 def nearest(df: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows by cosine of each row for which is_query, a condition on id."""
     spark = df.sparkSession
     rows = usable(df, id_col, vector_col)
-    probes = probes_needed(rows, is_query, k)
+    probes, recall = probes_needed(rows, is_query, k)
+    if recall < LEAST_RECALL:
+        return ranked(exact_of(rows.where(is_query), rows, k) or spark.createDataFrame([], FOUND), k)
 
     def keyed(as_query: bool):
         def run(batches):
@@ -272,10 +297,10 @@ def nearest(df: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_
         return run
 
     names = ["dim", "tab", "bucket", "id", "v"]
-    schema = "dim long, tab long, bucket long, id long, v array<double>"
+    schema = f"dim long, tab long, bucket long, id long, v {rows.schema['v'].dataType.simpleString()}"
     key = ["dim", "tab", "bucket"]
-    index = rows.mapInArrow(keyed(False), schema)
-    asked = rows.where(is_query).mapInArrow(keyed(True), schema)
+    index = rows.mapInArrow(lean(keyed(False)), schema)
+    asked = rows.where(is_query).mapInArrow(lean(keyed(True)), schema)
 
     # buckets with more than a block of rows or queries are dealt in blocks
     held = index.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK_ROWS)
@@ -337,19 +362,11 @@ def nearest(df: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_
         meet()
         yield found.batch()
 
-    hits = written(ranked(met.mapInArrow(search, FOUND), k), "neighbours")
+    hits = written(ranked(met.mapInArrow(lean(search), FOUND), k), "neighbours")
 
     # those that found fewer than k: exact, a block of queries at a time
     few = rows.where(is_query).join(hits.where(F.col("rank") == k).select(F.col("query_id").alias("id")), "id", "left_anti")
-    out, block = None, []
-    for r in few.toLocalIterator():
-        block.append((r.id, r.v))
-        if len(block) == BLOCK_QUERIES:
-            exact = exact_search(block, rows, k)
-            out, block = exact if out is None else out.unionByName(exact), []
-    if block:
-        exact = exact_search(block, rows, k)
-        out = exact if out is None else out.unionByName(exact)
+    out = exact_of(few, rows, k)
     if out is None:
         return hits
     return ranked(hits.select("query_id", "vec_id", "score").unionByName(out), k)

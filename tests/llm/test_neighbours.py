@@ -97,3 +97,14 @@ def test_rows_of_one_id_leave_room_for_others(spark):
     ids, matrix = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
     got = [vec for _, vec, _ in neighbours.best_of(ids[:1], matrix[:1], ids, matrix, 5)]
     assert len(set(got)) == len(got) == 5 and got[0] == 7
+
+
+def test_low_recall_takes_the_exact_way(spark, monkeypatch):
+    rows = rows_of(400, 24)
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    monkeypatch.setattr(neighbours, "MAX_PROBES", 1)
+    monkeypatch.setattr(neighbours, "TABLES", 1)
+    probes, recall = neighbours.probes_needed(neighbours.usable(frame, "vec_id", "embedding"), F.col("id") % 50 == 0, 5)
+    assert probes == 1 and recall < neighbours.LEAST_RECALL
+    got = {(r.query_id, r.rank): r.vec_id for r in nearest(frame, F.col("id") % 50 == 0).collect()}
+    assert got == {k: i for k, (i, _) in brute(rows, lambda i: i % 50 == 0).items()}
