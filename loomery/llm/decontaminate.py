@@ -3,7 +3,8 @@
 The patterns are windows of consecutive benchmark words. For each length of pattern there is a block shift table (how far
 the search may jump, by the last two words of the current window) and buckets of patterns by their closing block; a jump
 of zero opens the bucket, and comparing all words confirms an occurrence. Texts are streamed in Arrow batches without any
-shuffle. The benchmark is read in blocks of a bounded size, and every block scans all documents.
+shuffle. A benchmark beyond BLOCK_BYTES is searched in blocks of that size: a task holds HOLD_BYTES of texts, builds the tables
+of one block after the other and scans what it holds with each, so a worker has the tables of one block at a time.
 
 Words are runs of ASCII letters and digits and of characters beyond ASCII, A-Z lower-cased. A document word inside any
 occurrence is hit.
@@ -15,17 +16,19 @@ answered row by row; extra columns stay, and new columns whose names are taken g
 
 from __future__ import annotations
 
-import hashlib
+import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomery.llm.shared import free_name, quoted
+from loomery.llm.shared import free_name, lean, quoted
 
 WINDOW_WORDS = 10
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 1 << 20  # about 120 MB of tables
+HOLD_BYTES = 32 << 20
+SLICE_ROWS = 512
 
 #: Byte by byte: A-Z to a-z, other ASCII that is no letter or digit to a space.
 WORD_BYTES = bytes(
@@ -122,11 +125,12 @@ def benchmark_blocks(benchmark: DataFrame, item_col: str = "item_id", text_col:
     block: list[tuple[str, str]] = []
     size = 0
     for row in items.toLocalIterator():
-        if block and size + len(row.body) > block_bytes:
+        own = len(row.body.encode("utf-8", "surrogatepass"))
+        if block and size + own > block_bytes:
             yield block
             block, size = [], 0
         block.append((row.item, row.body))
-        size += len(row.body)
+        size += own
     if block:
         yield block
 
@@ -145,7 +149,7 @@ def find_hits(
 ) -> DataFrame:
     """docs with n_words, hit_spans (array of start and end, in words, disjoint) and items (sorted ids) added.
 
-    Further blocks of the benchmark, if it exceeds block_bytes, are scanned in the same pass over the documents' rows.
+    The documents are read once, however many blocks of block_bytes the benchmark has.
     """
     n_words, spans, items = (free_name(docs, c) for c in (n_words, spans, items))
     pair = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
@@ -156,40 +160,73 @@ def find_hits(
     )
     sc = docs.sparkSession.sparkContext
     text_at = docs.columns.index(text_col)
-    blocks = benchmark_blocks(benchmark, item_col, item_text_col, block_bytes)
-    out = _scan_block(out, sc.broadcast(next(blocks, [])), text_at, window)
-    for block in blocks:
-        out = _scan_block(out, sc.broadcast(block), text_at, window)
-    return out
+    blocks = [sc.broadcast(b) for b in benchmark_blocks(benchmark, item_col, item_text_col, block_bytes)] or [sc.broadcast([])]
+    return _scanned(out, blocks, text_at, window)
 
 
-def _scan_block(frame: DataFrame, block, text_at: int, window: int) -> DataFrame:
-    def scan(batches):
+_built: dict = {}
+
+
+def _search_of(run: str, block, window: int) -> Search:
+    """One search for each worker process and run, so that its tables outlast a task."""
+    if run not in _built:
+        _built.clear()
+        _built[run] = Search(block.value, window)
+    return _built[run]
+
+
+def _scanned(frame: DataFrame, blocks: list, text_at: int, window: int) -> DataFrame:
+    run_id = uuid.uuid4().hex
+
+    def found_in(texts, searches):
+        """(number of words, spans, items) of each text."""
+        spans: list[list] = [[] for _ in texts]
+        items: list[set] = [set() for _ in texts]
+        counts = [0] * len(texts)
+        for search in searches:
+            for i, text in enumerate(texts):
+                words = clean_words(text)
+                counts[i] = len(words)
+                more, own = search.scan(words)
+                spans[i] += more
+                items[i] |= own
+        return counts, spans, items
+
+    def answered(held, searches):
         import pyarrow as pa
 
-        search = Search(block.value, window)
-        for batch in batches:
-            counts, all_spans, all_items = [], [], []
-            before = zip(batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist())
-            for text, (old_spans, old_items) in zip(batch.column(text_at), before):
-                words = clean_words(text.as_py())
-                found, items = search.scan(words)
-                counts.append(len(words))
-                if found:
-                    found = merged(found + [(s["start"], s["end"]) for s in old_spans])
-                    all_spans.append([{"start": a, "end": b} for a, b in found])
-                    all_items.append(sorted({*old_items, *items}))
-                else:
-                    all_spans.append(old_spans)
-                    all_items.append(old_items)
+        texts = [t for batch in held for t in batch.column(text_at).to_pylist()]
+        counts, spans, items = found_in(texts, searches)
+        at = 0
+        for batch in held:
+            part = slice(at, at := at + batch.num_rows)
             arrays = batch.columns[:-3] + [
-                pa.array(counts, pa.int64()),
-                pa.array(all_spans, batch.schema.types[-2]),
-                pa.array(all_items, batch.schema.types[-1]),
+                pa.array(counts[part], pa.int64()),
+                pa.array([[{"start": a, "end": b} for a, b in merged(s)] for s in spans[part]], batch.schema.types[-2]),
+                pa.array([sorted(x) for x in items[part]], batch.schema.types[-1]),
             ]
             yield pa.RecordBatch.from_arrays(arrays, schema=batch.schema)
 
-    return frame.mapInArrow(scan, frame.schema)
+    def scan(batches):
+        held, size = [], 0
+        for batch in batches:
+            for i in range(0, batch.num_rows, SLICE_ROWS):
+                held.append(batch.slice(i, SLICE_ROWS))
+                size += held[-1].nbytes
+                if len(blocks) == 1 or size >= HOLD_BYTES:
+                    yield from answered(held, searches())
+                    held, size = [], 0
+        if held:
+            yield from answered(held, searches())
+
+    def searches():
+        if len(blocks) == 1:
+            yield _search_of(run_id, blocks[0], window)
+        else:
+            for block in blocks:
+                yield Search(block.value, window)
+
+    return frame.mapInArrow(lean(scan), frame.schema)
 
 
 def n_hit(spans) -> F.Column:

@@ -57,3 +57,15 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert find_hits(docs, none).collect()[0].hit_spans == []
     assert find_hits(docs.limit(0), none).count() == 0
+
+
+def test_held_texts_and_blocks(spark, case, monkeypatch):
+    from loomery.llm import decontaminate
+
+    monkeypatch.setattr(decontaminate, "HOLD_BYTES", 1)
+    monkeypatch.setattr(decontaminate, "SLICE_ROWS", 3)
+    docs, items = case
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    few, many = (sorted((str(r.doc_id), r.text or "", r.hit_spans, r.items) for r in find_hits(frame, bench, block_bytes=b).collect()) for b in (1 << 20, 40))
+    assert few == many
