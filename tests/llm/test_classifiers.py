@@ -124,3 +124,62 @@ def test_segments_grow_with_the_sample():
     toxic = [b" ".join(rng.sample(marks, 12)) for _ in range(300)]
     found = toxicity.toxic_segments(toxic, [b" aeiou"] * 300)
     assert all(m in found for m in marks)
+
+
+def some_texts():
+    rng = random.Random(8)
+    odd = [None, "", " ", "x", "aa aa aa", "grimblot snarkle", "日本 語", "w " * 300, "\n\t a\n"]
+    return odd + [t for _, t, _, _ in rng.sample(corpus(400, 5), 41)]
+
+
+def test_quality_scores_restated():
+    sample = [(q, t) for _, t, q, _ in corpus(300, 3)]
+    model = quality.fit(sample, slots=1 << 12)
+    step, full = 0x9E3779B97F4A7C15, (1 << 64) - 1
+
+    def mixed(h):
+        h ^= h >> 30
+        h = h * 0xBF58476D1CE4E5B9 & full
+        h ^= h >> 27
+        h = h * 0x94D049BB133111EB & full
+        return h ^ (h >> 31)
+
+    def score(text):
+        words, slots, hashes = (text or "").split(), [], []
+        for w in words:
+            marked = f" {w} "
+            for n in quality.N_GRAMS:
+                for i in range(len(marked) - n + 1):
+                    h = n
+                    for c in marked[i : i + n]:
+                        h = (h * step + ord(c)) & full
+                    slots.append(mixed(h) % len(model.table))
+            hashes.append(mixed(sum((ord(c) + 1) * pow(step, k + 1, 1 << 64) for k, c in enumerate(w)) & full))
+        slots += [h % len(model.table) for h in hashes]
+        slots += [(quality.REPEATED if a == b else mixed((a * step + b) & full)) % len(model.table) for a, b in zip(hashes, hashes[1:])]
+        z = sum(float(model.table[s]) for s in slots) / (quality.PADDING + len(slots)) + model.bias
+        return 1 / (1 + np.exp(-min(30, max(-30, z))))
+
+    texts = some_texts()
+    assert np.allclose(model.scores(texts), [score(t) for t in texts], atol=1e-9)
+    assert np.allclose(model.scores(texts), [model.scores([t])[0] for t in texts], atol=1e-12)
+
+
+def test_toxicity_scores_restated():
+    model = toxicity.fit([(x, t) for _, t, _, x in corpus(300, 4)])
+    plain, toxic = model.compressors()
+    score = model.scorer()
+    for text in some_texts():
+        data = b" " + (text or "").encode().lower() + b" "
+        saved, at = [], 0
+        while True:
+            window = data[at : at + 48]
+            saved.append(len(plain(window)) - len(toxic(window)))
+            at += 32
+            if at >= max(1, len(data) - 48 + 32):
+                break
+        x = [np.log1p(sum(s >= t for s in saved)) for t in (6, 5, 4, 3, 2, 1)]
+        n = np.log1p(len(data) / 32)
+        x += [min(max(0, *saved, 0), 12) / 4, x[3] / n, n / 4]
+        z = sum(a * b for a, b in zip(x, model.weights)) + model.weights[-1]
+        assert abs(score(text) - 1 / (1 + np.exp(-min(30, max(-30, z))))) < 1e-9, text

@@ -1,3 +1,5 @@
+import public_tokenizers
+
 import corpus_pipeline
 from loomery.llm import decontaminate, sampled_pieces, toxicity
 from test_jaccard_join import brute_sets, shingles
@@ -47,7 +49,7 @@ def test_each_stage_against_brute_force(spark, tmp_path):
 
             assert got == {i: t for i, t in texts.items() if clean(t)}
         else:
-            sampler = sampled_pieces.Sampler(corpus_pipeline.PIECES)
+            sampler = sampled_pieces.Sampler(public_tokenizers.path(corpus_pipeline.PIECES))
             rows = {(r.doc_id, r.path): r for r in after}
             assert all(r.round_trip for r in after)
             for i, t in list(texts.items())[:40]:
@@ -59,3 +61,26 @@ def test_each_stage_against_brute_force(spark, tmp_path):
 def test_run_gives_the_last_stage(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.columns[:2] == ["doc_id", "path"] and out.count() > 100
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, score string, doc int, copy int, bm_doc int, hit_spans int"
+
+
+def test_odd_rows_come_through(spark, tmp_path):
+    same = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, None), (2, ""), (3, same), (4, same), (4, same), (None, same), (None, None), (5, " "), (6, "long " * 50_000)]
+    docs = spark.createDataFrame([(i, t, "en", "web", len(t or ""), "s", 1, 2, 3, 4) for i, t in rows], ODD)
+    for n, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        out.write.parquet(f"{tmp_path}/{n}")
+        docs = spark.read.parquet(f"{tmp_path}/{n}")
+    assert sorted(str(r.doc_id) for r in docs.collect()) == ["1", "2", "3", "5", "6", "None", "None"]
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert last.where("doc_id = 1").count() == 1 and last.where("not round_trip").count() == 0
+
+
+def test_empty_tables_stay_empty(spark):
+    docs = spark.createDataFrame([], ODD)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, SF).count() == 0
