@@ -26,14 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomery.llm.rolling import HASH_STEP, Powers
-from loomery.llm.shared import lean, quoted
+from loomery.llm.shared import lean, quoted, trim
 
 ALPHA = 0.5
 SHIFT = 10.0
 PATHS = 2
 SEED = 17
-BATCH_CHARS = 300_000
-KEPT_STATES = 1_000_000
+BATCH_CHARS = 150_000
+KEPT_STATES = 500_000
 SLOT_BITS = 19
 SPACE = "▁"
 NO_SET = -np.inf
@@ -512,6 +512,7 @@ def sample_pieces(
                         rows.append((key, r + 1, len(ids), logp, score, zlib.crc32(ids.astype("<u4").tobytes()), decode(ids) == body, ids))
                 columns = list(zip(*rows))[: 8 if with_ids else 7]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names[: len(columns)])
+                trim()
         sampler.lattice.forget()
 
     return docs.select(F.col(quoted(id_col)), F.col(quoted(text_col))).mapInArrow(lean(run), schema)

@@ -8,16 +8,22 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+ARROW_ROWS, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 LOWER_FROM = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER_TO = "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a fresh local one where none is set."""
+    """The folder that driver and executors share: spark.checkpoint.dir; in local mode, where none is set, a fresh one.
+
+    A cluster must name one: a folder of the driver's machine would be seen by no executor.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="loomery-shared-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -73,22 +79,35 @@ class Scratch:
         return out
 
 
-def give_back() -> None:
-    """Returns what a worker process has freed to the system; the allocators would keep it for as long as the worker lives."""
+def trim() -> None:
+    """Returns the free parts of a worker's heap to the system; the allocator would keep them for as long as the worker lives."""
     import ctypes
 
-    import pyarrow as pa
-
-    gc.collect()
-    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):  # not glibc
         pass
 
 
+def give_back() -> None:
+    """Returns all that a worker process has freed."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim()
+
+
+def small_batches() -> None:
+    """Sends texts to Python BATCH_ROWS at a time, where the session has Spark's default of 10,000: rows may be long."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.conf.get(ARROW_ROWS) == "10000":
+        spark.conf.set(ARROW_ROWS, str(BATCH_ROWS))
+
+
 def lean(run):
-    """A function for mapInArrow that gives memory back when its task is done."""
+    """A function for mapInArrow that gets small batches and gives memory back when its task is done."""
+    small_batches()
 
     def ended(batches):
         try:

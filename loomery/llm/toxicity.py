@@ -8,7 +8,7 @@ with either; the bytes that the toxic dictionary saves are its distance. How man
 thresholds calibrated on labelled texts that the dictionaries have not seen, gives the score.
 
 Defined results: null and empty texts, having no window that saves anything, get the score of the intercept; a label
-table with one class only gives that class' share to every document; repeated rows are scored alike; extra columns stay
+table with one class only gives that class' share, 0.0 or 1.0, to every document, and one without usable labels 0.0; repeated rows are scored alike; extra columns stay
 and a taken name gets underscores in front. Whole texts are read, however long, a window at a time.
 """
 
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomery.llm.labelled import fit_logistic, fold_of, labelled_sample
-from loomery.llm.shared import free_name
+from loomery.llm.shared import free_name, lean
 
 WINDOW = 48
 STRIDE = 32
@@ -269,7 +269,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text"
             scores = pa.array([of(t.as_py()) for t in batch.column(at)], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*batch.schema.names, score])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(score, T.DoubleType())]))
+    return docs.mapInArrow(lean(run), T.StructType([*docs.schema.fields, T.StructField(score, T.DoubleType())]))
 
 
 def held_out(id_col):
