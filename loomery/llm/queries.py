@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL, by name."""
 
-from loomery.llm import decontaminate, jaccard_join, line_dedup, neighbours, quality, sampled_pieces, sharding, token_records, toxicity, warc
+from loomery.llm import decontaminate, jaccard_join, line_dedup, neighbours, packing, quality, sampled_pieces, sharding, token_records, toxicity, warc
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_decontamination": decontaminate.op8_decontamination,
     "op9_ngram_jaccard": jaccard_join.op9_ngram_jaccard,
     "op10_line_dedup": line_dedup.op10_line_dedup,
+    "op11_packing": packing.op11_packing,
 }
 
 ORACLE_SQL = {
