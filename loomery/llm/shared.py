@@ -72,11 +72,15 @@ class Scratch:
     def last(self, df: DataFrame, label: str, clear: bool = True) -> DataFrame:
         """df written and read again; it stays, and what was written before goes if clear."""
         out = written(df, label)
-        for path in self.paths if clear else []:
+        if clear:
+            self.clear()
+        return out
+
+    def clear(self) -> None:
+        for path in self.paths:
             fs, folder = file_system(path)
             fs.delete_dir(folder)
-        self.paths = [] if clear else self.paths
-        return out
+        self.paths = []
 
 
 def trim() -> None:
