@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL, by name."""
 
-from loomery.llm import decontaminate, jaccard_join, line_dedup, neighbours, packing, quality, sampled_pieces, sharding, token_records, toxicity, warc, whitening
+from loomery.llm import decontaminate, jaccard_join, line_dedup, neighbours, packing, quality, sampled_pieces, sharding, source_audit, token_records, toxicity, warc, whitening
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_ngram_jaccard": jaccard_join.op9_ngram_jaccard,
     "op10_line_dedup": line_dedup.op10_line_dedup,
     "op11_packing": packing.op11_packing,
+    "op12_source_audit": source_audit.op12_source_audit,
     "op13_whitening": whitening.op13_whitening,
 }
 
@@ -22,4 +23,5 @@ ORACLE_SQL = {
     "op8_decontamination": decontaminate.OP8_SQL,
     "op9_ngram_jaccard": jaccard_join.OP9_SQL,
     "op10_line_dedup": line_dedup.OP10_SQL,
+    "op12_source_audit": source_audit.OP12_SQL,
 }
