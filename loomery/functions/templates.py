@@ -2,11 +2,15 @@
 
 HEADS = {
     "set": {
-        "high": ["turn on {r}", "switch on {r}", "{r} on", "power up {r}", "raise {r}"], "low": ["turn off {r}", "switch off {r}", "{r} off", "power down {r}", "drop {r}"],
-        "toggle": ["flip {r}", "switch {r} over", "change over {r}"],
+        "high": ["turn on {r}", "switch on {r}", "{r} on", "wake {r}", "let {r} shine", "send current through {r}", "give {r} its signal", "i need {r} alight"],
+        "low": ["turn off {r}", "switch off {r}", "{r} off", "put {r} to sleep", "silence {r}", "take the signal from {r}", "let {r} go dark", "no more current for {r}"],
+        "toggle": ["turn {r} about", "switch {r} over", "the opposite for {r}", "trade places on {r}", "whatever {r} is now, change it"],
     },
-    "read": ["read {r}", "check {r}", "what does {r} say", "is {r} on"], "blink": ["flicker {r}", "make {r} wink", "blink {r}"], "seq": ["run through {r}", "a wave across {r}", "chase {r}"],
-    "stop": ["enough of {r}", "end {r}", "let go of {r}"], "alias": ["from now on {r}", "remember {r}", "call {r}"],
+    "read": ["read {r}", "look at {r}", "what does {r} say", "does {r} carry a signal", "is there anything on {r}", "listen to {r}", "take a reading of {r}", "let me know about {r}"],
+    "blink": ["flicker {r}", "make {r} wink", "blink {r}", "let {r} come and go", "have {r} glimmer", "keep tapping {r}", "twinkle with {r}"],
+    "seq": ["run through {r}", "send a wave over {r}", "one by one {r}", "pass the light along {r}", "hand it down the line of {r}", "wander over {r}"],
+    "stop": ["enough of {r}", "end {r}", "let go of {r}", "leave off with {r}", "have {r} rest", "no more of {r}"],
+    "alias": ["make a note that {r}", "as of today {r}", "be aware that {r}", "let it stand that {r}", "you should know {r}"],
 }
 
 

@@ -34,55 +34,61 @@ _MADE = {
     **{f"c{i}": CONSONANTS for i in (1, 2, 3)}, **{f"v{i}": VOWELS for i in (1, 2, 3)}, **{f"e{i}": CONSONANTS + [""] * len(CONSONANTS) for i in (1, 2, 3)},
 }
 NAME = Bank(NAME_FORMS, **_MADE, w1=WORD, w2=WORD, adj=ADJ, place=PLACE, head=ADJ + PLACE, device=DEVICE, n9=(1, 9), n12=(1, 12))
-GROUP_NAME = Bank(GROUP_FORMS, set=["{place} row", "{adj} bank", "{device} bank", "{device} array", "{place} group", "{device} cluster"], w1=WORD, adj=ADJ, place=PLACE, device=DEVICE)
+GROUP_NAME = Bank(GROUP_FORMS, set=["pair of {device}s", "{place} lot", "{adj} crew", "{device} family", "everything by the {place}", "{adj} half"], w1=WORD, adj=ADJ, place=PLACE, device=DEVICE)
 
 _PINS = list(map(str, PINS_S3))
-_VERB = ["turn on", "turn off", "switch on", "power down", "blink", "flip", "sweep across", "read"]
-_TARGET = ["pin {p}", "the {adj} {device}", "gpio {p}", "the {place} {device}"]
+_VERB = ["light", "darken", "wink", "swap", "ripple through", "look at", "wake", "silence"]
+_TARGET = ["pin {p}", "the {adj} {device}", "output {p}", "the {device} of the {place}"]
 _COMMON = {"target": _TARGET, "adj": ADJ, "place": PLACE, "device": DEVICE, "p": _PINS, "q": _PINS[::-1]}
 REFUSALS: dict[str, tuple[Bank, str]] = {
     "errand": (Bank(["order two pizzas", "book a table for four", "play the next song", "call my sister", "add milk to the list", "remind me to water the plants", "find a route to the airport", "send the report again"]), "imperative"),
     "smalltalk": (Bank(["good morning", "that was quick", "nice to meet you", "see you later", "well done", "never mind then", "i am back"]), "neutral"),
     "about_you": (Bank(["what are you able to do", "who made you", "do you ever sleep", "which board is this", "are you listening", "how many words do you know"]), "question"),
     "opinion": (Bank(["it is too warm in here", "i like this colour", "this room feels gloomy", "the neighbours are noisy", "that took far too long"]), "neutral"),
-    "unfinished": (Bank(["turn the", "set pin", "could you make", "every", "switch the {place}", "from pin {p} to", "and then", "blink it for", "read the {adj}"], **_COMMON), "imperative"),
+    "unfinished": (Bank(["let pin", "bring the {adj}", "between {p} and", "whichever of the", "and once", "wink the {place}", "starting with {p} and", "look at the", "i need the {adj} {device} to", "have output"], **_COMMON), "imperative"),
+    # strengths, colours, tones, clocks, sensors and links between pins: nothing that a level on a pin can say
     "capability": (
         Bank(
-            ["dim {target} to {n} percent", "fade {target} in over {n} seconds", "set {target} to {n} percent duty", "make {target} glow {colour}", "measure the voltage on pin {p}", "give pin {p} {volts} volts",
-             "turn on {target} at sunset", "switch {target} off in {n} minutes", "if pin {p} goes high turn on pin {q}", "mirror pin {p} on pin {q}", "blink {target} in morse", "play a heartbeat on {target}"],
-            colour=["red", "teal", "violet", "warm white", "lime"], volts=["1.2", "2.5", "3.3"], n=(2, 90), **_COMMON,
+            ["bring {target} up little by little", "run {target} at {part} of its strength", "mix a {colour} tone on {target}", "let {target} breathe", "hum at {n} hertz through {target}", "hold {target} at {n} degrees",
+             "spell my name with {target}", "feed {target} no more than {volts} volts", "count the pulses that reach pin {p}", "rouse {target} when my alarm rings", "tie {target} to whatever pin {q} shows", "write a diary of pin {p}", "balance {target} against pin {q}"],
+            colour=["crimson", "teal", "violet", "ivory", "lime"], part=["a third", "a tenth", "two fifths", "most"], volts=["1.1", "2.2", "4.4"], n=(2, 90), **_COMMON,
         ),
         "imperative",
     ),
+    # a command that hangs on a state, a clock or an event
     "condition": (
         Bank(
-            ["{when} {command}", "{command} {when}"],
-            when=["if pin {q} is high", "once pin {q} drops", "unless pin {q} is on", "in {n} minutes", "at {hour}:30", "every evening", "tomorrow at dawn", "while the door is open", "after {n} seconds"],
-            command=["blink {target}", "turn on {target}", "turn off {target}", "read pin {p}", "flip {target}"], n=(2, 90), hour=(1, 23), **_COMMON,
+            ["{clause} {command}", "{command}, {clause}"],
+            clause=["as soon as pin {q} lets go", "provided the lid is shut", "the moment it rains", "not before {hour} o'clock", "given that pin {q} answers", "only with pin {q} pulled up", "{n} heartbeats from now", "on the first of the month", "each time somebody knocks", "should pin {q} ever move"],
+            command=["wink {target}", "light {target}", "darken {target}", "look at pin {p}", "swap {target}"], n=(2, 90), hour=(1, 23), **_COMMON,
         ),
         "imperative",
     ),
+    # sums and facts
     "question": (
         Bank(
-            ["what is {thing}", "tell me {thing}", "how much is {a} times {b}", "what is {a} minus {b}", "who {who}", "where is {where}"],
-            thing=["the capital of peru", "the boiling point of lead", "the height of the eiffel tower", "the plot of faust", "the exchange rate of the yen"],
-            who=["painted the night watch", "won the last regatta", "invented the zip"], where=["the next bakery", "my umbrella", "lake titicaca"], a=(2, 99), b=(2, 99),
+            ["how far is it to {place}", "which is more, {a} or {b}", "do {a} and {b} share a divisor", "add {a} to {b}", "explain {topic}", "has {person} ever won a prize", "when did {event} begin", "give me a synonym of {word}"],
+            place=["lisbon", "the next bakery", "saturn", "lake titicaca"], topic=["tides", "compound interest", "the plot of faust", "why bread rises"], person=["my neighbour", "clara schumann", "the mayor"],
+            event=["the bronze age", "the last regatta", "jazz"], word=["gloomy", "brisk", "tender"], a=(2, 99), b=(2, 99),
         ),
         "question",
     ),
-    "relative": (Bank(["the other one too", "do it once more", "put that back", "same again for the one beside it", "undo the last step", "make it as it was", "now the previous one"]), "imperative"),
+    "relative": (Bank(["once more, but slower", "the one beside it as well", "as you did a minute ago", "take back what you just changed", "its neighbour likewise", "what i said before, word for word", "and then that one", "as it had been"]), "imperative"),
+    # a stretch of pins that is not spelt out
     "pin_range": (
-        Bank(["{verb} {pair}"], verb=_VERB, pair=["pins {low}{to}{high}", "gpio {low}{to}{high}", "{low}{to}{high}", "the pins from {low}{to}{high}"], to=["-", " to ", " through ", " up to "], low=_PINS[:8], high=_PINS[10:18]),
+        Bank(["{verb} {stretch}"], verb=_VERB, stretch=["all from {low} as far as {high}", "whatever lies between {low} and {high}", "{low} and onwards until {high}", "pin {low} and the {n} after it", "the stretch that begins at {low} and ends at {high}", "outputs {low} .. {high}"], low=_PINS[:8], high=_PINS[10:18], n=(2, 8)),
         "imperative",
     ),
+    # a time as the end
     "duration": (
-        Bank(["{verb} pin {p} for {n} {unit}", "{verb} pin {p} for the next {n} {unit}", "keep pin {p} high for {n} {unit}", "{verb} pin {p} over {n} {unit}", "{verb} pin {p} for half a minute"],
-             verb=["blink", "flicker", "run", "power up"], n={str(i): 0.6 / 11 + 0.4 / 89 if i <= 12 else 0.4 / 89 for i in range(2, 91)}, unit=["seconds", "secs", "minutes", "hours"], p=_PINS),
+        Bank(["let pin {p} {act} until {n} {unit} have gone by", "{n} {unit} of light on pin {p}", "give pin {p} {n} {unit}, then stop", "have pin {p} {act}, {n} {unit} in all", "after {n} {unit} pin {p} should be done"],
+             act=["shine", "wink", "flicker", "rest"], n={str(i): 0.6 / 11 + 0.4 / 89 if i <= 12 else 0.4 / 89 for i in range(2, 91)}, unit=["seconds", "minutes", "hours", "quarters of an hour"], p=_PINS),
         "imperative",
     ),
+    # a whole with something taken from it
     "exception": (
-        Bank(["{verb} {every} except {some}", "{verb} {every} but not {some}", "{verb} {every} apart from pin {low}", "{verb} the rest of the pins", "{verb} the first {n} pins", "{verb} every other pin", "{verb} the even pins"],
-             verb=_VERB, every=["all pins", "everything", "every pin", "all of them"], some=["{low}", "{low} and {high}", "pin {high}"], low=_PINS[:12], high=_PINS[12:], n=(2, 5)),
+        Bank(["leave {some} out and {verb} what remains", "skip {some} but {verb} its neighbours", "{verb} the whole board minus {some}", "spare {some} while you {verb} the board", "{verb} one half of the board", "{some} may stay as it is, {verb} whatever is left over", "{verb} each second output", "{verb} as many as {n} of them"],
+             verb=_VERB, some=["pin {low}", "{low} along with {high}", "output {high}"], low=_PINS[:12], high=_PINS[12:], n=(2, 5)),
         "imperative",
     ),
     "gibberish": (Bank(["{a}", "{a} {b}", "{a} {b} {c}", "{a} {b} {c} {d}"], a=Letters(2, 9), b=Letters(2, 9), c=Letters(2, 9), d=Letters(2, 9)), "terse"),
@@ -92,7 +98,7 @@ KINDS = {**BANK_WEIGHTS, **GENERATOR_WEIGHTS}
 #: What is said before and behind, and how often a question mark ends it.
 MOODS = {
     "imperative": (["", "please ", "can you ", "could you ", "hey ", "ok "], ["", " please", " now", " for me", " thanks"], 0.05),
-    "question": (["", "hey ", "so ", "tell me, "], ["", " please", " then"], 0.65),
+    "question": (["", "hey ", "so ", "say, "], ["", " please", " then"], 0.65),
     "neutral": (["", "well ", "hey "], ["", " then", " ok"], 0.10),
     "bare": ([""], ["", " then", " ok"], 0.0),
     "terse": ([""], [""], 0.0),
