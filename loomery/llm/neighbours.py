@@ -8,25 +8,25 @@ all tables are ranked by their exact cosine in double precision on the original
 The number of probes is the least that reaches TARGET_RECALL on a bounded sample of queries, whose true neighbours are
 found by comparing the sample with every row. Every row is indexed. Bucket by bucket, queries and rows meet in a task as
 matrices; a bucket with more rows or queries than fit is dealt in blocks, each block of rows meeting each of queries.
-Queries that find fewer than k take a blockwise exact search, and so do all if the sample's recall stays below LEAST_RECALL.
+Queries that find fewer than k take an exact search, and so do all if the sample's recall stays below LEAST_RECALL: they are
+written in blocks to the shared folder, and each task holds its rows against one block after the other, in one pass.
 
 Defined results: vectors that are null or zero or hold null or non-finite numbers take no part; a query meets only vectors
 of its own length; rows that share an id are one candidate, at its nearest, and never a candidate of that id's own query;
-of candidates whose cosines are equal to 1e-12 the smaller id comes first;
-fewer than k candidates give fewer rows; an empty table gives no row.
+of candidates whose cosines are equal the smaller id comes first, where a cosine is the double next to the true one, so that
+parallel vectors are ties; fewer than k candidates give fewer rows; an empty table gives no row.
 """
 
 from __future__ import annotations
 
 import heapq
-import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomery.llm.shared import lean, partitions_for, quoted, written
+from loomery.llm.shared import file_system, lean, partitions_for, quoted, scratch, written
 
 TABLES = 8
 PROJECTIONS = 8
@@ -38,7 +38,8 @@ MAX_PROBES = 729
 NEVER = 1 << 40
 BLOCK_ROWS = 8192
 BLOCK_QUERIES = 1024
-LEVELS = 1e12  # scores are ties within one of so many parts
+MARGIN = 2e-12  # what a matrix product may be off by
+HELD_BYTES = 64 << 20  # of rows that a task of the exact way holds at a time
 SEED = 5
 
 
@@ -101,9 +102,10 @@ def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return df.select(F.col(quoted(id_col)).cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull() & fine)
 
 
-def level(score):
-    """The score in steps of 1e-12: parallel vectors, whose cosines differ by rounding alone, are ties. For float, numpy and Column."""
-    return (math if isinstance(score, float) else F if isinstance(score, Column) else np).floor(score * LEVELS + 0.5)
+def cosines(q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The cosine of one vector with each of several: in extended precision, then as the nearest double."""
+    q, c = q.astype(np.longdouble), c.astype(np.longdouble)
+    return ((q * c).sum(1) / np.sqrt((q * q).sum() * (c * c).sum(1))).astype(np.float64)
 
 
 def close_ones(q_ids, q, c_ids, c, k: int) -> np.ndarray:
@@ -116,7 +118,7 @@ def close_ones(q_ids, q, c_ids, c, k: int) -> np.ndarray:
     if of_ids.shape[1] <= k:
         return np.isfinite(near)
     least = np.partition(of_ids, of_ids.shape[1] - k, axis=1)[:, -k]
-    return (near >= least[:, None] - 2 / LEVELS - 8 * q.shape[1] * np.finfo(float).eps) & np.isfinite(near)
+    return (near >= least[:, None] - MARGIN - 8 * q.shape[1] * np.finfo(float).eps) & np.isfinite(near)
 
 
 def without_equals(c_ids, c, k: int):
@@ -139,12 +141,11 @@ def best_of(q_ids, q, c_ids, c, k: int):
     if close.sum() > 4 * k * len(q_ids):
         c_ids, c = without_equals(c_ids, c, k)
         close = close_ones(q_ids, q, c_ids, c, k)
-    q_len, c_len = np.linalg.norm(q, axis=1), np.linalg.norm(c, axis=1)
     for i, kept in enumerate(close):
         some = np.flatnonzero(kept)
         if len(some):
-            exact = (q[i] * c[some]).sum(1) / (q_len[i] * c_len[some])
-            order = np.lexsort((-exact, c_ids[some], -level(exact)))
+            exact = cosines(q[i], c[some])
+            order = np.lexsort((c_ids[some], -exact))
             some, exact = some[order], exact[order]
             done: set = set()
             for vec, score in zip(c_ids[some].tolist(), exact.tolist()):
@@ -156,7 +157,7 @@ def best_of(q_ids, q, c_ids, c, k: int):
 
 
 def best_first(found: dict) -> list[tuple[int, float]]:
-    return sorted(found.items(), key=lambda x: (-level(x[1]), x[0]))
+    return sorted(found.items(), key=lambda x: (-x[1], x[0]))
 
 
 class Nearest:
@@ -212,24 +213,63 @@ def exact_search(queries: list[tuple[int, list[float]]], rows: DataFrame, k: int
     return rows.mapInArrow(lean(run), FOUND)
 
 
-def exact_of(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame | None:
-    """exact_search() of any number of queries, a block of them at the driver at a time."""
-    out, block = None, []
+def exact_of(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """exact_search() of any number of queries: written in blocks, and read block by block by each task that holds rows."""
+    path = scratch(rows.sparkSession, "queries")
+    queries.select("id", F.col("v").cast("array<double>").alias("v")).write.option("parquet.block.size", 8 << 20).parquet(path)
 
-    def searched():
-        found = written(ranked(exact_search(block, rows, k), k).select("query_id", "vec_id", "score"), "exact")
-        return found if out is None else out.unionByName(found)
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.parquet as pq
+        from pyarrow import fs as afs
+
+        fs, folder = file_system(path)
+        files = [f.path for f in fs.get_file_info(afs.FileSelector(folder)) if f.path.endswith(".parquet")]
+
+        def asked():
+            for name in files:
+                with fs.open_input_file(name) as f:
+                    for block in pq.ParquetFile(f).iter_batches(BLOCK_QUERIES, columns=["id", "v"]):
+                        yield block.column(0).to_numpy(), block.column(1)
+
+        def lengths(lists):
+            return np.diff(lists.offsets.to_numpy())
+
+        def met(parts):
+            """The rows held, by length, against every query."""
+            by_dim: dict[int, list] = {}
+            for ids, lists in parts:
+                sizes = lengths(lists)
+                for dim in np.unique(sizes).tolist():
+                    some = np.flatnonzero(sizes == dim)
+                    by_dim.setdefault(dim, []).append((ids[some], lists.take(pa.array(some)).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)))
+            held = {d: (np.concatenate([i for i, _ in x]), np.concatenate([v for _, v in x])) for d, x in by_dim.items()}
+            for ids, lists in asked():
+                found, sizes = Nearest(k), lengths(lists)
+                for dim in set(np.unique(sizes).tolist()) & held.keys():
+                    some = np.flatnonzero(sizes == dim)
+                    q, (c_ids, c) = vectors_of(lists.take(pa.array(some)), dim), held[dim]
+                    for at in range(0, len(c), BLOCK_ROWS):
+                        for hit in best_of(ids[some], q, c_ids[at : at + BLOCK_ROWS], c[at : at + BLOCK_ROWS].astype(np.float64), k):
+                            found.add(*hit)
+                yield found.batch()
+
+        parts, size = [], 0
+        for batch in batches:
+            parts.append((batch.column(0).to_numpy(), batch.column(1)))
+            size += batch.nbytes
+            if size > HELD_BYTES:
+                yield from met(parts)
+                parts, size = [], 0
+        if parts:
+            yield from met(parts)
 
-    for r in queries.toLocalIterator():
-        block.append((r.id, r.v))
-        if len(block) == BLOCK_QUERIES:
-            out, block = searched(), []
-    return searched() if block else out
+    return rows.mapInArrow(lean(run), FOUND)
 
 
 def ranked(found: DataFrame, k: int) -> DataFrame:
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = W.partitionBy("query_id").orderBy(level(F.col("score")).desc(), "vec_id")
+    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -262,13 +302,18 @@ def probes_needed(rows: DataFrame, is_query, k: int) -> tuple[int, float]:
     return probes, float((at < probes).mean())
 
 
-def nearest(df: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest rows by cosine of each row for which is_query, a condition on id."""
+def nearest(df: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", told: dict | None = None) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k nearest rows by cosine of each row for which is_query, a condition on id.
+
+    told, if given, gets the probes and the recall of the sample that they were chosen by.
+    """
     spark = df.sparkSession
     rows = usable(df, id_col, vector_col)
     probes, recall = probes_needed(rows, is_query, k)
+    if told is not None:
+        told.update(probes=probes, recall=recall)
     if recall < LEAST_RECALL:
-        return ranked(exact_of(rows.where(is_query), rows, k) or spark.createDataFrame([], FOUND), k)
+        return ranked(exact_of(rows.where(is_query), rows, k), k)
 
     def keyed(as_query: bool):
         def run(batches):
@@ -364,12 +409,11 @@ def nearest(df: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_
 
     hits = written(ranked(met.mapInArrow(lean(search), FOUND), k), "neighbours")
 
-    # those that found fewer than k: exact, a block of queries at a time
-    few = rows.where(is_query).join(hits.where(F.col("rank") == k).select(F.col("query_id").alias("id")), "id", "left_anti")
-    out = exact_of(few, rows, k)
-    if out is None:
+    # those that found fewer than k
+    few = written(rows.where(is_query).join(hits.where(F.col("rank") == k).select(F.col("query_id").alias("id")), "id", "left_anti"), "few")
+    if few.isEmpty():
         return hits
-    return ranked(hits.select("query_id", "vec_id", "score").unionByName(out), k)
+    return ranked(hits.select("query_id", "vec_id", "score").unionByName(exact_of(few, rows, k)), k)
 
 
 def op5_nearest_neighbours(spark, sf_dir: str) -> DataFrame:

@@ -108,3 +108,25 @@ def test_low_recall_takes_the_exact_way(spark, monkeypatch):
     assert probes == 1 and recall < neighbours.LEAST_RECALL
     got = {(r.query_id, r.rank): r.vec_id for r in nearest(frame, F.col("id") % 50 == 0).collect()}
     assert got == {k: i for k, (i, _) in brute(rows, lambda i: i % 50 == 0).items()}
+
+
+def test_scores_a_hair_apart_go_by_score(spark):
+    """Cosines that differ by some 1e-13 are no ties: the nearer comes first, whatever the ids."""
+    rows = [(0, [1.0, 0.0, 0.0])] + [(i, [1.0, (9 - i) * 1e-7, 0.0]) for i in range(1, 8)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = {r.rank: (r.vec_id, r.score) for r in nearest(frame, F.col("id") == 0).collect()}
+    assert [out[r][0] for r in range(1, 6)] == [7, 6, 5, 4, 3]
+    assert all(1e-15 < out[r][1] - out[r + 1][1] < 1e-12 for r in range(1, 5))
+
+
+def test_exact_way_in_parts(spark, monkeypatch):
+    rows = rows_of(420, 6) + [(1000 + i, [float(i % 7), 1.0]) for i in range(120)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    monkeypatch.setattr(neighbours, "LEAST_RECALL", 2.0)
+    want = {k: i for k, (i, _) in brute(rows, lambda i: i % 10 == 0).items()}
+    for held, block in ((64 << 20, 1024), (2000, 7)):
+        monkeypatch.setattr(neighbours, "HELD_BYTES", held)
+        monkeypatch.setattr(neighbours, "BLOCK_QUERIES", block)
+        told = {}
+        assert {(r.query_id, r.rank): r.vec_id for r in nearest(frame, F.col("id") % 10 == 0, told=told).collect()} == want
+        assert told["probes"] >= 1 and 0 <= told["recall"] <= 1
