@@ -9,14 +9,17 @@ columns have free names.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomery.functions import text as X
 from loomery.functions.columns import free_name, quoted
+from loomery.sources.scratch import fixed
 
 EDGE_ROWS = 100_000  # ranked in one task at most
+FEW_GROUPS, SALTS = 100_000, 16  # groups whose bounds are broadcast at most; parts of a large group beyond that
+TIER_DIGITS = 10
 
 
 def first_wins(df: DataFrame, key: Column, *order: str, drop_blank: bool = False) -> DataFrame:
@@ -64,12 +67,40 @@ def without(df: DataFrame, drop: DataFrame, key: Column, drop_key: Column) -> Da
     return df.withColumn(mine, key).join(drop.select(drop_key.alias(listed)).distinct(), F.col(mine) == F.col(listed), "left_anti").drop(mine)
 
 
+class QuarantineError(ValueError):
+    """Some rows were bad; the good ones and the bad ones are written all the same."""
+
+
 def quarantine(df: DataFrame, ok: Column, message: Column, id_col: str, shown: int = 5) -> tuple[DataFrame, DataFrame]:
-    """(good rows, report): the report is one row, how many are bad and the messages of the first few by id. Null is not ok."""
-    bad = df.where(~F.coalesce(ok, F.lit(False)))
-    first = bad.select(F.col(quoted(id_col)).alias("at"), message.alias("said")).orderBy("at", "said").limit(shown)
-    told = first.agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "said"))), lambda x: x["said"]).alias("messages"))
-    return df.where(ok), bad.agg(F.count(F.lit(1)).alias("bad")).crossJoin(told)
+    """(good rows, report): the report is one row, how many are bad and the messages of the first few by id. Null is not ok.
+
+    The report is made here, in one pass: the bad rows are counted on their way to the top few.
+    """
+    counted = Observation()
+    bad = df.where(~F.coalesce(ok, F.lit(False))).select(F.col(quoted(id_col)).alias("at"), message.alias("said"))
+    first = bad.observe(counted, F.count(F.lit(1)).alias("bad")).orderBy("at", "said").limit(shown).collect()
+    report = df.sparkSession.createDataFrame([(counted.get["bad"], [r.said for r in first])], "bad long, messages array<string>")
+    return df.where(ok), report
+
+
+def write_checked(df: DataFrame, ok: Column, message: Column, id_col: str, path: str, shown: int = 5, fmt: str = "parquet") -> int:
+    """Writes df below path, the good rows in quarantined=false and the bad ones, with said, in quarantined=true; the number of good ones.
+
+    One pass: rows are judged and counted while they are written. If any is bad, QuarantineError is raised at the end, with
+    the number and the messages of the first few by id, which are read from what was written. Null is not ok.
+    """
+    flag, said = "quarantined", free_name("said", df)
+    counted = Observation()
+    bad = ~F.coalesce(ok, F.lit(False))
+    judged = df.select(*[F.col(quoted(c)) for c in df.columns if c != flag], F.when(bad, message).alias(said), bad.alias(flag))
+    judged = judged.observe(counted, F.count(F.lit(1)).alias("all"), F.count_if(flag).alias("bad"))
+    judged.write.mode("overwrite").partitionBy(flag).format(fmt).save(path)
+    n = counted.get
+    if n["bad"]:
+        rows = df.sparkSession.read.schema(judged.schema).format(fmt).load(path).where(F.col(flag).cast("boolean"))
+        first = [str(r[0]) for r in rows.orderBy(F.col(quoted(id_col)), said).limit(shown).select(said).collect()]
+        raise QuarantineError(f"{n['bad']} of {n['all']} rows are bad: " + "; ".join(first))
+    return n["all"]
 
 
 def clean_lines(df: DataFrame, text: str = "text") -> DataFrame:
@@ -86,22 +117,64 @@ def with_reasons(df: DataFrame, drop: DataFrame, key: Column, drop_key: Column,
     return joined.select(*[F.col(quoted(c)) for c in df.columns if c != reason], F.col(why).alias(reason))
 
 
+def cut(df: DataFrame, by: str, limit: Column, key: Column, id_col: str, tier: Column | None = None, edge_rows: int = EDGE_ROWS, few: int = FEW_GROUPS) -> DataFrame:
+    """The first rows of each group, as many as limit says: by tier, the key's hash, the id's hash, and a hash of the row.
+
+    No group is sorted. Counts by the first digits of the hash say, group by group, where its bound falls; beside the bound
+    three digits more are counted, then all of them, until the rows there are few enough to be ranked. Beyond edge_rows only
+    rows of one hash are ranked together. limit is a number or an expression of by; groups whose limit is null or below 1 give nothing.
+    """
+    g, h, most, n, upto, bound, want = (free_name(c, df) for c in ("cut_group", "cut_hash", "cut_most", "cut_n", "cut_upto", "cut_bound", "cut_want"))
+    text = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
+    head = F.lpad(tier.cast("string"), TIER_DIGITS, "0") if tier is not None else F.lit("")
+    hashed = df.select(
+        "*", F.coalesce(F.concat(F.lit("="), F.col(quoted(by)).cast("string")), F.lit("")).alias(g),
+        F.concat(head, F.sha1(text(key)), F.sha1(text(F.col(quoted(id_col))))).alias(h), limit.cast("long").alias(most),
+    ).where(F.col(most) > 0)
+    ahead = TIER_DIGITS if tier is not None else 0
+    sizes = [ahead or 3, ahead + (3 if ahead else 6), *([ahead + 6] if ahead else []), ahead + 80]
+    rows, bounds = hashed.select(g, h, F.lit("").alias(bound), F.col(most).alias(want)), None
+    for size in sizes:
+        counts = rows.groupBy(g, F.substring(h, 1, size).alias(bound)).agg(F.count(F.lit(1)).alias(n), F.max(want).alias(want))
+        summed = counts.withColumn(upto, F.sum(n).over(W.partitionBy(g).orderBy(bound)))  # a row for each next digits
+        last = summed.where(F.col(upto) > F.col(want)).groupBy(g).agg(F.min_by(F.struct(bound, (F.col(want) - F.col(upto) + F.col(n)).alias(want), n), bound).alias(upto)).select(g, f"{upto}.*")
+        done = last if bounds is None else bounds.join(last.select(g), g, "left_anti").unionByName(last)
+        bounds = fixed(done)
+        wide = (F.col(want) > 0) & (F.col(n) > edge_rows)
+        if size == sizes[-1] or not bounds.where(wide).limit(1).count():
+            break
+        edges = bounds.where(wide).select(g, bound, want)
+        rows = _looked_up(hashed.select(g, h, F.substring(h, 1, size).alias(bound)), edges, [g, bound], few)
+    kept = [F.col(quoted(c)) for c in df.columns]
+    looked = _looked_up(hashed, bounds.drop(n), [g], few, "left")
+    inside = looked.where(F.col(bound).isNull() | (F.col(h) < F.col(bound))).select(*kept)
+    edge = looked.where(F.startswith(F.col(h), F.col(bound)) & (F.col(want) > 0))
+    rank = F.row_number().over(W.partitionBy(g).orderBy(h, F.xxhash64(*kept)))
+    return inside.unionByName(edge.withColumn(n, rank).where(F.col(n) <= F.col(want)).select(*kept))
+
+
+def _looked_up(rows: DataFrame, small: DataFrame, on: list[str], few: int, how: str = "inner") -> DataFrame:
+    """rows joined with a table that has one row a key: broadcast if that has few rows; else keys of many rows are salted."""
+    if small.count() <= few:
+        return rows.join(F.broadcast(small), on, how)
+    salt = free_name("salt", rows, small)
+    salted = small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn(salt, F.pmod(F.xxhash64(*[F.col(quoted(c)) for c in rows.columns]), F.lit(SALTS)).cast("int")).join(salted, [*on, salt], how).drop(salt)
+
+
 def quota(df: DataFrame, by: str, limit: int, key: Column, id_col: str) -> DataFrame:
     """At most limit rows of each group, chosen by hash. The limit is the operator's purpose."""
-    rank = free_name("rank", df)
-    order = W.partitionBy(by).orderBy(F.sha1(key), id_col)
-    return df.withColumn(rank, F.row_number().over(order)).where(F.col(rank) <= limit).drop(rank)
+    return cut(df, by, F.lit(limit), key, id_col)
 
 
 def top_up(df: DataFrame, by: str, target: int, key: Column, id_col: str, text: str) -> DataFrame:
     """target rows of each group: its own first, then those dressed anew, in turns; turn says in which."""
-    many, rank = free_name("many", df), free_name("rank", df)
-    sizes = df.groupBy(by).agg(F.count(F.lit(1)).alias(many)).withColumnRenamed(by, free_name("group", df))
+    many, group = free_name("many", df), free_name("group", df)
+    sizes = df.groupBy(by).agg(F.count(F.lit(1)).alias(many)).withColumnRenamed(by, group)
     copies = F.explode(F.sequence(F.lit(0), F.ceil(F.lit(target) / F.col(many)).cast("int") - 1)).alias("turn")
-    rows = df.join(sizes, df[by].eqNullSafe(F.col(free_name("group", df)))).select(*[F.col(quoted(c)) for c in df.columns if c != "turn"], copies)
+    rows = df.join(sizes, df[by].eqNullSafe(F.col(group))).select(*[F.col(quoted(c)) for c in df.columns if c != "turn"], copies)
     dressed = rows.withColumn(text, F.when(F.col("turn") == 0, F.col(text)).otherwise(X.vary(F.col(text), F.concat(key, F.lit("#"), F.col("turn")))))
-    order = W.partitionBy(by).orderBy("turn", F.sha1(key), id_col)
-    return dressed.withColumn(rank, F.row_number().over(order)).where(F.col(rank) <= target).drop(rank)
+    return cut(dressed, by, F.lit(target), key, id_col, tier=F.col("turn"))
 
 
 def ordinal_split(df: DataFrame, key: Column, id_col: str, share: float) -> DataFrame:

@@ -6,7 +6,6 @@ Every choice comes from a SHA-1 of seed, id and slot: the same in any partitioni
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomery.functions import grammar as G
@@ -14,7 +13,7 @@ from loomery.functions import text as X
 from loomery.functions.banks import SCALE, choice
 from loomery.functions.columns import free_name, staged
 from loomery.functions.templates import HEADS
-from loomery.operators.curate import first_wins, top_up
+from loomery.operators.curate import cut, first_wins, top_up
 from loomery.operators.vocabulary import GROUP_NAME, KINDS, MOODS, NAME, REFUSALS
 
 # Shares of the actions, of the kinds of refusals and of shapes.
@@ -36,10 +35,10 @@ SHARES = {
 OVER = 3  # times as many rows are drawn as a quota wants
 
 PIN_STYLES = ["pin {n}", "gpio {n}", "pin number {n}", "io {n}", "{n}"]
-DETERMINERS = {"the ": 6, "my ": 2, "": 2, "that ": 1}
+DETERMINERS = {"the ": 6, "my ": 2, "": 2, "that ": 1, "our ": 1}
 EVERY = ["everything", "all of them", "every pin"]
 JOINERS = [" and ", " plus ", " & "]
-WHERE = {"": 8, " over there": 1, " by the door": 1}
+WHERE = {"": 14, " over there": 1, " by the door": 1, " upstairs": 1, " out back": 1, " next to the table": 1, " on this side": 1}
 
 
 class Draws:
@@ -177,7 +176,7 @@ def realize(df: DataFrame, seed: int = 1) -> DataFrame:
     short = F.transform(f["targets"], lambda t: F.when(t["kind"] == "all", "all").when(t["kind"] == "pin", t["n"].cast("string")).otherwise(t["s"]))
     terse = F.concat_ws(" ", f["action"], F.array_join(short, " "), f["level"], F.concat(f["interval_ms"].cast("string"), F.lit("ms")), F.concat(F.lit("x"), f["count"].cast("string")))
     rows = rows.withColumn(terse_, d.chance("terse", SHARES["terse"]))
-    rows = rows.withColumn(mood_, F.when(F.col(terse_), "terse").when(F.col(head_).rlike("^(what|is) "), "question").when(F.col(head_).startswith("{r}"), "bare").otherwise("imperative"))
+    rows = rows.withColumn(mood_, F.when(F.col(terse_), "terse").when(F.col(head_).rlike("^(what does|is|does) "), "question").when(F.col(head_).startswith("{r}"), "bare").otherwise("imperative"))
     return decorated(staged(rows.withColumn("text", F.when(F.col(terse_), terse).otherwise(body))), mood_, d.key("dress")).drop(said_, ref_, style_, head_, terse_, mood_, tail_)
 
 
@@ -202,13 +201,12 @@ def negatives(df: DataFrame, seed: int = 1) -> DataFrame:
 
 
 def filled(df: DataFrame, by: str, quotas: dict[str, int]) -> DataFrame:
-    """The first rows of each group by id, as many as its quota; the limit is the operator's purpose."""
-    rank, limit = free_name("rank", df), F.lit(0)
+    """Rows of each group, as many as its quota: by turn (the upper half of id), then by a hash of id and text. The limit is the purpose."""
+    limit = F.lit(0)
     for k, n in quotas.items():
         limit = F.when(F.col(by) == k, n).otherwise(limit)
-    most = max(quotas.values(), default=0)
-    ranked = df.withColumn(rank, F.row_number().over(W.partitionBy(by).orderBy("id"))).where(F.col(rank) <= most)
-    return ranked.where(F.col(rank) <= limit).drop(rank)
+    key = F.concat_ws("|", F.col("id").cast("string"), "text")
+    return cut(df, by, limit, key, "id", tier=F.greatest(F.lit(0), F.shiftright("id", 32)))
 
 
 def refusal_rows(df: DataFrame) -> DataFrame:

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomery.operators.bytepairs import byte_letters
+
 PAD, GO = 0, 1
-SLICE = 64  # texts encoded at a time
 # The reserved symbols, in the order of their ids.
 RESERVED = [
     "<pad>", "<go>", "<set>", "<read>", "<blink>", "<seq>", "<stop>", "<unknown>", "<alias>", "<pin>", "<all>", "<name>", "<nend>",
@@ -19,38 +16,6 @@ RESERVED = [
 # End of fixed values.
 
 
-def encode_bytes(text: Column, path: str) -> Column:
-    """Byte-pair ids by a tokenizers file, an Arrow batch at a time."""
-
-    @F.pandas_udf("array<int>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import os
-
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # threads of its own would vie with the other tasks
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        for s in batches:
-            texts, ids = s.fillna("").tolist(), []
-            for i in range(0, len(texts), SLICE):  # encodings are many times the size of their ids
-                ids += [np.array(g.ids, np.int32) for g in tokenizer.encode_batch_fast(texts[i : i + SLICE], add_special_tokens=False)]
-            yield pd.Series([None if x is None else g for x, g in zip(s, ids)], index=s.index)
-
-    return run(text)
-
-
-def decode_bytes(ids: Column, path: str) -> Column:
-    @F.pandas_udf("string")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        for s in batches:
-            yield pd.Series([None if x is None else tokenizer.decode(list(x)) for x in s], index=s.index)
-
-    return run(ids)
-
-
 def symbol_ids(symbols: Column) -> Column:
     """Ids of symbols, null where one is not reserved."""
     table = F.create_map(*[F.lit(x) for i, s in enumerate(RESERVED) for x in (s, i)])
@@ -65,10 +30,10 @@ def completion_ids(symbols: Column, digit_ids: list[int], name_ids: Column) -> C
     return F.when(F.forall(flat, lambda x: x.isNotNull()), flat)
 
 
-def byte_symbols(spark) -> DataFrame:
-    """(byte, code): the character that stands for each byte in byte-pair files: itself where it prints, else those from 256 on."""
-    printing = "(id between 33 and 126 or id between 161 and 172 or id between 174 and 255)"
-    return spark.range(256).selectExpr("cast(id as int) as byte", f"cast(if({printing}, id, 256 + sum(if({printing}, 0, 1)) over (order by id) - 1) as int) as code")
+def byte_symbols(byte: Column) -> Column:
+    """The character that stands for a byte in byte-pair files, as its code: itself where it prints, else those from 256 on in order."""
+    table = F.create_map(*[F.lit(x) for c, b in byte_letters().items() for x in (b, ord(c))])
+    return F.element_at(table, byte)
 
 
 def pack(df: DataFrame, prompt: str, completion: str, width: int) -> DataFrame:
@@ -102,8 +67,3 @@ def overlong(df: DataFrame, prompt: str, completion: str, width: int) -> DataFra
 def last_tokens(ids: Column, budget: int) -> Column:
     """The end of a sequence that is longer than its budget."""
     return F.when(F.size(ids) > budget, F.slice(ids, F.lit(-budget), F.lit(budget))).otherwise(ids)
-
-
-def contiguous(ids: Column) -> Column:
-    """Are the ids 0 to n - 1, each once?"""
-    return F.array_sort(ids) == F.sequence(F.lit(0), F.size(ids) - 1)

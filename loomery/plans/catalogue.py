@@ -15,7 +15,9 @@ from loomery.functions.banks import sql_choice, sql_draw
 from loomery.operators import alias as A
 from loomery.operators import curate as C
 from loomery.operators import evaluate as E
+from loomery.operators import bytepairs as B
 from loomery.operators import generate as N
+from loomery.operators import ordinals as O
 from loomery.operators import pack as P
 from loomery.operators import vocabulary as V
 from loomery.sources.tables import table
@@ -552,7 +554,7 @@ def pack_whole_texts(spark, sf_dir):
     """The byte-pair ids of whole texts: a text that does not fit one sequence goes on in the next, so no id is lost."""
     import public_tokenizers
 
-    ids = F.coalesce(P.encode_bytes(F.col("text"), public_tokenizers.path("byte_bpe_50k.json")), F.array().cast("array<int>"))
+    ids = F.coalesce(B.encode(F.col("text"), public_tokenizers.path("byte_bpe_50k.json")), F.array().cast("array<int>"))
     rows = table(spark, sf_dir, "documents").select(
         "doc_id", F.transform(ids, lambda i: i + len(P.RESERVED)).alias("p"), F.array((2 + F.col("doc_id") % 7).cast("int"), F.lit(18)).alias("c")
     )
@@ -596,7 +598,7 @@ def running_best(spark, sf_dir):
 
 @query("select count(*) as n, list_sort(list(n_nationkey)) = range(0, count(*)) as contiguous from nation")
 def contiguous_ids(spark, sf_dir):
-    return table(spark, sf_dir, "nation").agg(F.collect_list("n_nationkey").alias("ids")).select(F.size("ids").cast("long").alias("n"), P.contiguous(F.col("ids")).alias("contiguous"))
+    return O.contiguous(table(spark, sf_dir, "nation"), "n_nationkey")
 
 
 @query(None)
@@ -604,8 +606,8 @@ def bpe_encode(spark, sf_dir):
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.json")
-    rows = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("ids", P.encode_bytes(F.col("text"), path))
-    return rows.select("doc_id", F.size("ids").alias("n_ids"), (P.decode_bytes(F.col("ids"), path) == F.col("text")).alias("same"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("ids", B.encode(F.col("text"), path))
+    return rows.select("doc_id", F.size("ids").alias("n_ids"), (B.decode(F.col("ids"), path).cast("string") == F.col("text")).alias("same"))
 
 
 @query(None)

@@ -8,6 +8,8 @@ from loomery.functions import grammar as G
 from loomery.functions import text as X
 from loomery.operators import curate as C
 from loomery.operators import evaluate as E
+from loomery.operators import bytepairs as B
+from loomery.operators import ordinals as O
 from loomery.operators import pack as P
 from loomery.plans.catalogue import SQL_JUDGED, SQL_PARSED, WILSON, _SCORE, commands, judged, query, rounded, sql_case, sql_draw, sql_key
 from loomery.sources import tables as S
@@ -48,24 +50,83 @@ def head_limit(spark, sf_dir):
     return S.first_rows(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id", 25)
 
 
-@query("select w as opening, row_number() over (order by length(w) desc, w) as place from (values " + ", ".join(f"('{o}')" for o in sorted(X.OPENINGS)) + ") t(w)")
+@query("""
+with o as (select w, row_number() over (order by length(w) desc, w) as place from (values """ + ", ".join(f"('{o}')" for o in sorted(X.OPENINGS)) + """) t(w)),
+t as (select trim(regexp_replace(lower(text), '""" + X.LEAD_PREFIX + """', '')) as body from conversations)
+select w as opening, place, count(body) as n from o left join t on starts_with(body, w || ' ') group by all""")
 def openings_longest_first(spark, sf_dir):
-    return spark.createDataFrame([(o, i) for i, o in enumerate(X.OPENINGS, 1)], "opening string, place long")
+    """The openings of commands, the longest first, and how many turns open with each."""
+    openings = spark.createDataFrame([(o, i) for i, o in enumerate(X.OPENINGS, 1)], "opening string, place long")
+    body = F.trim(F.regexp_replace(F.lower("text"), X.LEAD_PREFIX, ""))
+    opened = F.filter(X.listed(X.OPENINGS), lambda o: F.startswith(body, F.concat(o, F.lit(" "))))
+    counts = table(spark, sf_dir, "conversations").select(F.explode(opened).alias("opening")).groupBy("opening").agg(F.count(F.lit(1)).alias("n"))
+    return openings.join(counts, "opening", "left").select("opening", "place", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 @query("select p_partkey, p_size * 65536 + p_partkey % 65536 as packed, row_number() over (order by p_size * 65536 + p_partkey % 65536, p_partkey) as place from part")
 def packed_pairs(spark, sf_dir):
-    """Pairs packed in one number and sorted by it, as a merge table has them. For tables of settings: one task sorts them."""
-    from pyspark.sql import Window as W
-
+    """Pairs packed in one number and sorted by it, as a merge table has them."""
     packed = (F.shiftleft(F.col("p_size").cast("long"), 16) + F.col("p_partkey") % 65536).alias("packed")
-    return table(spark, sf_dir, "part").select("p_partkey", packed).withColumn("place", F.row_number().over(W.orderBy("packed", "p_partkey")))
+    return O.with_ordinal(table(spark, sf_dir, "part").select("p_partkey", packed), "packed", "p_partkey")
+
+
+@query("select doc_id, row_number() over (order by sha1('7|' || doc_id), doc_id) as place from documents")
+def seeded_shuffle(spark, sf_dir):
+    return O.shuffled(table(spark, sf_dir, "documents").select("doc_id"), 7, "doc_id")
+
+
+@query("select conv_id, turn, row_number() over (order by conv_id, turn) as line from conversations")
+def line_numbers(spark, sf_dir):
+    return O.with_ordinal(table(spark, sf_dir, "conversations").select("conv_id", "turn"), "conv_id", "turn", out="line")
+
+
+def sql_merkle(source: str, line: str, order: str, fanout: int, levels: int = 7) -> str:
+    """O.merkle_root over a table of fewer than fanout ** levels rows."""
+    steps = [f"l0 as (select row_number() over (order by {order}, sha256('=' || {line})) - 1 as i, sha256('=' || {line}) as d from {source})"]
+    for k in range(1, levels + 1):
+        steps.append(f"l{k} as (select i // {fanout} as i, sha256(string_agg(d, '' order by i)) as d from l{k - 1} group by i // {fanout})")
+    tops = " union all ".join(f"select {k} as depth, d from l{k} where (select count(*) from l{k}) = 1" for k in range(1, levels + 1))
+    return f"with {', '.join(steps)} select (select count(*) from l0) as n, cast(depth as int) as depth, d as root from ({tops}) order by depth limit 1"
+
+
+@query(sql_merkle("documents", "concat_ws('|', doc_id, lang, text)", "doc_id", 16))
+def merkle_documents(spark, sf_dir):
+    """A digest of documents in the order of their ids, by whole texts."""
+    return O.merkle_root(table(spark, sf_dir, "documents"), F.concat_ws("|", "doc_id", "lang", "text"), "doc_id", fanout=16)
 
 
-@query("""select b as byte, case when p then b else 256 + cast(sum(cast(not p as int)) over (order by b) as int) - 1 end as code
-  from (select cast(i as int) as b, (i between 33 and 126 or i between 161 and 172 or i between 174 and 255) as p from (select unnest(range(256)) as i))""")
+@query(sql_merkle("lineitem", "concat_ws('|', l_orderkey, l_linenumber, l_quantity::int)", "l_orderkey, l_linenumber", O.FANOUT))
+def merkle_lines(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem")
+    return O.merkle_root(rows, F.concat_ws("|", "l_orderkey", "l_linenumber", F.col("l_quantity").cast("int")), "l_orderkey", "l_linenumber")
+
+
+@query("select count(*) as n, count(distinct o_orderkey) = count(*) and min(o_orderkey) = 0 and max(o_orderkey) = count(*) - 1 as contiguous from orders")
+def contiguous_orders(spark, sf_dir):
+    return O.contiguous(table(spark, sf_dir, "orders"), "o_orderkey")
+
+
+_PIECES = r"""regexp_extract_all(regexp_replace(text, '(\s+)(\s\S)', '\1' || chr(1) || '\2', 'g'), '''s|''t|''re|''ve|''m|''ll|''d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}\x01]+|\s+')"""
+
+
+@query(f"select doc_id, len(w) as n_words, sha256(array_to_string(w, chr(31))) as words_sha256 from (select doc_id, {_PIECES} as w from documents where text is not null)")
+def bpe_words(spark, sf_dir):
+    """What a byte-level tokenizer splits whole texts into."""
+    rows = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", B.words(F.col("text")).alias("w"))
+    return rows.select("doc_id", F.size("w").cast("long").alias("n_words"), F.sha2(F.array_join("w", "\x1f"), 256).alias("words_sha256"))
+
+
+@query("""
+with b as (select cast('0x' || unnest(regexp_extract_all(hex(encode(text)), '..')) as int) as byte from benchmark),
+s as (select i as byte, case when p then i else 256 + cast(sum(cast(not p as int)) over (order by i) as int) - 1 end as code
+  from (select cast(i as int) as i, (i between 33 and 126 or i between 161 and 172 or i between 174 and 255) as p from (select unnest(range(256)) as i)))
+select byte, code, count(*) as n from b join s using (byte) group by all""")
 def byte_symbols(spark, sf_dir):
-    return P.byte_symbols(spark)
+    """The bytes of the benchmark's texts, the characters that stand for them in byte-pair files, and how often each is there."""
+    pairs = F.regexp_extract_all(F.hex(F.encode("text", "UTF-8")), F.lit(".."), F.lit(0))
+    rows = table(spark, sf_dir, "benchmark").select(F.explode(pairs).alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("n"))
+    byte = F.conv("x", 16, 10).cast("int")
+    return rows.select(byte.alias("byte"), P.byte_symbols(byte).alias("code"), "n")
 
 
 @query("select vec_id, list_position(embedding, list_max(embedding)) - 1 as top from embeddings")

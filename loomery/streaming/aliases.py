@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 # The device's bounds.
 MAX_ALIASES, ALIAS_PINS, NAME_BYTES = 16, 6, 48
 # End of fixed values.
 _FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ\t_-", "abcdefghijklmnopqrstuvwxyz   ")
 OUT = "device long, event_id long, op string, name string, ok boolean, n_aliases int, pins array<int>"
-STATE = "names array<string>, pins array<array<int>>"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def fold(name: str) -> str:
@@ -56,17 +56,55 @@ def restored(names, pins) -> dict[str, list[int]]:
     return table
 
 
-def _update(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    table = restored(*(state.get if state.exists else ([], [])))
-    rows = pd.concat(list(batches)).sort_values("event_id")
-    out = []
-    for r in rows.itertuples():
-        ok, found = step(table, r.op, r.name, r.pins)
-        out.append((key[0], r.event_id, r.op, r.name, ok, len(table), found))
-    state.update((list(table), list(table.values())))
-    yield pd.DataFrame(out, columns=["device", "event_id", "op", "name", "ok", "n_aliases", "pins"])
+class AliasTable(StatefulProcessor):
+    """The table of a device as map state: a name's pins, and its place in the table."""
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.entries = handle.getMapState("aliases", "norm string", "pins array<int>, place int")
 
-def alias_stream(commands: DataFrame) -> DataFrame:
-    """commands (device, event_id, op, name, pins), a stream, answered in order of event_id within a trigger and device."""
-    return commands.groupBy("device").applyInPandasWithState(_update, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    def _table(self) -> dict[str, list[int]]:
+        held = sorted((v[1], k[0], list(v[0])) for k, v in self.entries.iterator())
+        return restored([name for _, name, _ in held], [pins for _, _, pins in held])
+
+    def _keep(self, before: dict, after: dict) -> None:
+        """Writes what changed: a name's pins or its place."""
+        placed = {name: (pins, i) for i, (name, pins) in enumerate(before.items())}
+        for name in before.keys() - after.keys():
+            self.entries.removeKey((name,))
+        for i, (name, pins) in enumerate(after.items()):
+            if placed.get(name) != (pins, i):
+                self.entries.updateValue((name,), (pins, i))
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:  # noqa: N802, N803 (Spark's names)
+        before = self._table()
+        after = dict(before)
+        step(after, "define", initialState["name"], initialState["pins"])
+        self._keep(before, after)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        before = self._table()
+        table = {name: list(pins) for name, pins in before.items()}
+        for r in sorted(rows, key=lambda r: r["event_id"]):
+            ok, found = step(table, r["op"], r["name"], r["pins"])
+            yield Row(device=key[0], event_id=r["event_id"], op=r["op"], name=r["name"], ok=ok, n_aliases=len(table), pins=found)
+        self._keep(before, table)
+
+    def close(self) -> None:
+        pass
+
+
+def alias_stream(commands: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """commands (device, event_id, op, name, pins), answered in order of event_id within a trigger and device.
+
+    A stream or a table; a table is one trigger. known (device, name, pins) is what devices know before a stream's first
+    trigger, in no certain order. The state is kept by RocksDB, which this sets for the session.
+    """
+    commands.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    start = None if known is None else known.select("device", "name", "pins").groupBy("device")
+    return commands.groupBy("device").transformWithState(AliasTable(), OUT, "append", "none", start)
+
+
+def stored_aliases(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """(device, name, pins, place): the tables of all devices as a stream's checkpoint has them, for any reader of tables."""
+    state = spark.read.format("statestore").option("stateVarName", "aliases").load(checkpoint)
+    return state.select(F.col("key.device").alias("device"), F.col("user_map_key.norm").alias("name"), F.col("user_map_value.pins").alias("pins"), F.col("user_map_value.place").alias("place"))
