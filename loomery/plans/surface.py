@@ -11,9 +11,10 @@ from loomery.operators import evaluate as E
 from loomery.operators import bytepairs as B
 from loomery.operators import ordinals as O
 from loomery.operators import pack as P
-from loomery.plans.catalogue import SQL_JUDGED, SQL_PARSED, WILSON, _SCORE, commands, judged, query, rounded, sql_case, sql_draw, sql_key
+from loomery.plans.catalogue import SQL_JUDGED, SQL_PARSED, WILSON, _SCORE, commands, judged, query, rounded, sql_case, sql_draw, sql_key, sql_list
 from loomery.sources import tables as S
 from loomery.sources.tables import table
+from loomery.streaming.aliases import alias_stream
 from loomery.streaming.device import device_replay
 
 METRICS = {
@@ -233,3 +234,25 @@ def device_events(spark, sf_dir):
         F.exists(f["targets"], lambda t: t["kind"] == "all").alias("every"), f["level"].alias("level"), f["interval_ms"].alias("interval_ms"), f["count"].alias("rounds"),
     )
     return device_replay(rows)
+
+
+# Names given, forgotten and looked up by users: five names a device, so that its bound of 16 is never met.
+_ALIAS_OPS, _ALIAS_NAMES = ["define", "look", "define", "forget"], ["Desk Lamp", "porch", "Status-LED", "pump", "wall_lights"]
+
+
+@query(f"""
+with c as (select user_id as device, event_id, {sql_list(_ALIAS_OPS)}[1 + event_id % 4] as op, {sql_list(_ALIAS_NAMES)}[1 + event_id // 4 % 5] as name, [cast(event_id % 20 as int), cast(user_id % 7 as int)] as pins from events),
+b as (select *, coalesce(last_value(case op when 'define' then 1 when 'forget' then 0 end ignore nulls) over w, 0) as live,
+    last_value(case when op = 'define' then pins end ignore nulls) over w as last_pins
+  from c window w as (partition by device, name order by event_id rows between unbounded preceding and 1 preceding))
+select event_id, op, name, op = 'define' or live = 1 as ok,
+  cast(sum(case when op = 'define' and live = 0 then 1 when op = 'forget' and live = 1 then -1 else 0 end) over (partition by device order by event_id) as int) as n_aliases,
+  case when op = 'define' then array_to_string(pins, ',') when op = 'look' and live = 1 then array_to_string(last_pins, ',') else '' end as pins from b""")
+def alias_state_stream(spark, sf_dir):
+    one = lambda words, n: F.element_at(X.listed(words), (n + 1).cast("int"))
+    e = F.col("event_id")
+    rows = table(spark, sf_dir, "events").select(
+        F.col("user_id").cast("long").alias("device"), e.cast("long").alias("event_id"), one(_ALIAS_OPS, e % 4).alias("op"),
+        one(_ALIAS_NAMES, F.floor(e / 4) % 5).alias("name"), F.array((e % 20).cast("int"), (F.col("user_id") % 7).cast("int")).alias("pins"),
+    )
+    return alias_stream(rows).select("event_id", "op", "name", "ok", "n_aliases", F.array_join("pins", ",").alias("pins"))

@@ -100,6 +100,7 @@ def alias_stream(commands: DataFrame, known: DataFrame | None = None) -> DataFra
     trigger, in no certain order. The state is kept by RocksDB, which this sets for the session.
     """
     commands.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    _ = commands.sparkSession.streams.active  # a table needs the coordinator of state stores too, which the session's streams start
     start = None if known is None else known.select("device", "name", "pins").groupBy("device")
     return commands.groupBy("device").transformWithState(AliasTable(), OUT, "append", "none", start)
 
