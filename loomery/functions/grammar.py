@@ -17,6 +17,7 @@ PINS_WROOM = [2, 4, 5, 12, 13, 14, 15, 18, 19, 22, 23, 25, 26, 27, 32, 33]
 INTERVAL_MIN, INTERVAL_MAX = 50, 10000
 MAX_SEQ_PINS = 6
 DEVICE_PINS, DEVICE_NAMES = 16, 4
+MAX_DIGITS, NAME_CHARS = 6, 48
 # End of fixed values.
 
 TARGET = r"<all>|<pin>(?: [0-9]){1,6}|<name> [^<>]{1,48} <nend>"
@@ -67,6 +68,64 @@ def with_frame(df: DataFrame, symbols: str, out: str = "frame") -> DataFrame:
     return staged(rows.withColumn(out, shaped).drop(p, t, f))
 
 
+# What may follow what. 1: targets, 2: a pin's digits, 3: a name, 4: its end, 5: after the level, 6 and 8: digits of interval and
+# count, 7 and 9: after them, 10: the end, 11: after <unknown>.
+_NEXT = {
+    0: {"<set>": 1, "<read>": 1, "<blink>": 1, "<seq>": 1, "<stop>": 1, "<alias>": 1, "<unknown>": 11},
+    1: {"<all>": 1, "<pin>": 2, "<name>": 3, "<high>": 5, "<low>": 5, "<toggle>": 5, "<int>": 6, "<cnt>": 8, "<end>": 10},
+    4: {"<nend>": 1}, 5: {"<int>": 6, "<cnt>": 8, "<end>": 10}, 7: {"<cnt>": 8, "<end>": 10}, 9: {"<end>": 10}, 11: {"<end>": 10},
+}
+_BEHIND, _WRONG = {2: 1, 6: 7, 8: 9}, 99
+_OWN = ["<set>", "<read>", "<blink>", "<seq>", "<stop>", "<unknown>", "<alias>", "<pin>", "<all>", "<name>", "<nend>", "<high>", "<low>", "<toggle>", "<int>", "<cnt>", "<end>"]
+_SPACE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+
+
+def frame_of(symbols: Column, strict_device: bool = False) -> Column:
+    """The frame of an array of symbols, null where they are malformed or break a shape rule; a state machine as a fold.
+
+    Unlike with_frame(), which reads a line, it takes every name the grammar knows: with < and >, and with blanks at its
+    ends, as long as it is no symbol, is not blank and has NAME_CHARS characters at most. An element of several digits counts
+    as so many; digits beyond ASCII are none. A null array, an empty one and a null element are malformed.
+    """
+    none = lambda t: F.lit(None).cast(t)
+    moves = F.expr("map(" + ", ".join(f"'{st}{s}', {to}" for st, own in _NEXT.items() for s, to in own.items()) + ")")
+    target = lambda kind, n=None, s=None: F.array(F.struct(F.lit(kind).alias("kind"), (none("int") if n is None else n).alias("n"), (none("string") if s is None else s).alias("s")))
+    start = F.struct(
+        F.lit(0).alias("st"), none("string").alias("action"), F.array().cast(f"array<{TARGET_TYPE}>").alias("targets"), none("string").alias("level"),
+        none("int").alias("interval_ms"), none("int").alias("count"), F.lit("").alias("run"),
+    )
+
+    def step(acc, s):
+        st, run = acc["st"], acc["run"]
+        digit = F.coalesce(s.rlike("^[0-9]+$"), F.lit(False))
+        counting = st.isin(2, 6, 8)
+        closes = counting & ~digit & (run != "")
+        number = run.cast("int")
+        at = F.when(closes & (st == 2), 1).when(closes & (st == 6), 7).when(closes & (st == 8), 9).otherwise(st)
+        longer = F.concat(run, s)
+        to = (
+            F.when(s.isNull() | (counting & ~digit & (run == "")), _WRONG)
+            .when(counting & digit, F.when(F.length(longer) <= MAX_DIGITS, st).otherwise(_WRONG))
+            .when(st == 3, F.when(F.array_contains(F.expr("array(" + ", ".join(f"'{x}'" for x in _OWN) + ")"), s), _WRONG).otherwise(4))
+            .otherwise(F.coalesce(F.try_element_at(moves, F.concat(at.cast("string"), s)), F.lit(_WRONG)))
+        )
+        nothing = F.array().cast(f"array<{TARGET_TYPE}>")
+        closed = F.when(closes & (st == 2), target("pin", number)).otherwise(nothing)
+        named = F.when((st == 4) & (s == "<nend>"), target("name", s=run)).when((at == 1) & (s == "<all>"), target("all")).otherwise(nothing)
+        return F.struct(
+            to.alias("st"), F.when(st == 0, F.substring(s, F.lit(2), F.length(s) - 2)).otherwise(acc["action"]).alias("action"), F.concat(acc["targets"], closed, named).alias("targets"),
+            F.when((at == 1) & (to == 5), F.substring(s, F.lit(2), F.length(s) - 2)).otherwise(acc["level"]).alias("level"),
+            F.when(closes & (st == 6), number).otherwise(acc["interval_ms"]).alias("interval_ms"), F.when(closes & (st == 8), number).otherwise(acc["count"]).alias("count"),
+            F.when(counting & digit, longer).when(st == 3, s).otherwise("").alias("run"),
+        )
+
+    parsed = F.aggregate(symbols, start, step)
+    odd = lambda x: F.exists(x["targets"], lambda t: (t["kind"] == "name") & (~F.coalesce(t["s"].rlike(f"^{_SPACE}*+."), F.lit(False)) | (F.length(t["s"]) > NAME_CHARS)))
+    frame = lambda x: F.struct(*[x[c].alias(c) for c in ("action", "targets", "level", "interval_ms", "count")])
+    # a lambda's variable holds what the fold gives, so that it is folded once
+    return F.get(F.transform(F.array(parsed), lambda x: F.when((x["st"] == 10) & ~odd(x) & well_shaped(frame(x), strict_device), frame(x))), F.lit(0))
+
+
 def well_shaped(f: Column, strict_device: bool = False) -> Column:
     """The slots that each action takes. strict_device adds the device's own limits."""
     n = F.size(f["targets"])

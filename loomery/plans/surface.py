@@ -256,3 +256,37 @@ def alias_state_stream(spark, sf_dir):
         one(_ALIAS_NAMES, F.floor(e / 4) % 5).alias("name"), F.array((e % 20).cast("int"), (F.col("user_id") % 7).cast("int")).alias("pins"),
     )
     return alias_stream(rows).select("event_id", "op", "name", "ok", "n_aliases", F.array_join("pins", ",").alias("pins"))
+
+
+# Names that a line of symbols cannot hold: with marks, with blanks at their ends, like symbols, blank, or too long.
+_ODD_NAMES = ["Desk <1> lamp", " led ", "<pin", "a>b", "", "   ", "<pin>", "n" * 49, "m" * 48, "<<>>", "plain"]
+
+
+@query(f"""
+with e as (select event_id, event_id % 6 as kind, {sql_list(_ODD_NAMES)}[1 + user_id % {len(_ODD_NAMES)}] as name, event_id % 60 as pin, event_id % 900 as ms from events),
+f as (select *, trim(name) <> '' and length(name) <= 48 and name <> '<pin>' and kind < 4 as ok from e)
+select event_id, ok as parsed, case when ok then ['alias', 'set', 'blink', 'seq'][1 + kind] end as action, case when ok then case when kind = 0 then cast(pin as varchar) else '' end end as pins,
+  case when ok then case when kind = 3 then name || '|other' else name end end as names, case when ok and kind = 1 then 'toggle' end as level,
+  case when ok and kind = 2 then cast(ms as int) end as interval_ms, case when ok and kind = 2 then 0 end as rounds from f""")
+def parse_any_names(spark, sf_dir):
+    """Arrays of symbols with names that lines cannot hold, some without their end and some with symbols too many."""
+    e, kind = F.col("event_id"), F.col("event_id") % 6
+    name = F.element_at(X.listed(_ODD_NAMES), (F.col("user_id") % len(_ODD_NAMES) + 1).cast("int"))
+    digits = lambda n: F.array_compact(F.split(n.cast("string"), ""))
+    one = lambda *s: F.array(*[F.lit(x) for x in s])
+    named = F.concat(one("<name>"), F.array(name), one("<nend>"))
+    symbols = (
+        F.when(kind == 0, F.concat(one("<alias>", "<pin>"), digits(e % 60), named, one("<end>")))
+        .when(kind == 1, F.concat(one("<set>"), named, one("<toggle>", "<end>")))
+        .when(kind == 2, F.concat(one("<blink>"), named, one("<int>"), digits(e % 900), one("<cnt>", "0", "<end>")))
+        .when(kind == 3, F.concat(one("<seq>"), named, one("<name>", "other", "<nend>", "<end>")))
+        .when(kind == 4, F.concat(one("<set>", "<name>"), F.array(name), one("<toggle>", "<end>")))
+        .otherwise(F.concat(one("<set>"), named, one("<toggle>", "<end>", "<end>")))
+    )
+    rows = table(spark, sf_dir, "events").select("event_id", G.frame_of(symbols).alias("frame"))
+    f = F.col("frame")
+    names = F.transform(F.filter(f["targets"], lambda t: t["kind"] == "name"), lambda t: t["s"])
+    return rows.select(
+        "event_id", f.isNotNull().alias("parsed"), f["action"].alias("action"), F.array_join(G.pins_of(f), ",").alias("pins"), F.array_join(names, "|").alias("names"),
+        f["level"].alias("level"), f["interval_ms"].alias("interval_ms"), f["count"].alias("rounds"),
+    )
