@@ -77,7 +77,6 @@ _NEXT = {
 }
 _BEHIND, _WRONG = {2: 1, 6: 7, 8: 9}, 99
 _OWN = ["<set>", "<read>", "<blink>", "<seq>", "<stop>", "<unknown>", "<alias>", "<pin>", "<all>", "<name>", "<nend>", "<high>", "<low>", "<toggle>", "<int>", "<cnt>", "<end>"]
-_SPACE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
 def frame_of(symbols: Column, strict_device: bool = False) -> Column:
@@ -87,6 +86,8 @@ def frame_of(symbols: Column, strict_device: bool = False) -> Column:
     ends, as long as it is no symbol, is not blank and has NAME_CHARS characters at most. An element of several digits counts
     as so many; digits beyond ASCII are none. A null array, an empty one and a null element are malformed.
     """
+    from loomery.functions.text import SPACES
+
     none = lambda t: F.lit(None).cast(t)
     moves = F.expr("map(" + ", ".join(f"'{st}{s}', {to}" for st, own in _NEXT.items() for s, to in own.items()) + ")")
     target = lambda kind, n=None, s=None: F.array(F.struct(F.lit(kind).alias("kind"), (none("int") if n is None else n).alias("n"), (none("string") if s is None else s).alias("s")))
@@ -120,7 +121,7 @@ def frame_of(symbols: Column, strict_device: bool = False) -> Column:
         )
 
     parsed = F.aggregate(symbols, start, step)
-    odd = lambda x: F.exists(x["targets"], lambda t: (t["kind"] == "name") & (~F.coalesce(t["s"].rlike(f"^{_SPACE}*+."), F.lit(False)) | (F.length(t["s"]) > NAME_CHARS)))
+    odd = lambda x: F.exists(x["targets"], lambda t: (t["kind"] == "name") & (~F.coalesce(t["s"].rlike(f"^{SPACES}*+."), F.lit(False)) | (F.length(t["s"]) > NAME_CHARS)))
     frame = lambda x: F.struct(*[x[c].alias(c) for c in ("action", "targets", "level", "interval_ms", "count")])
     # a lambda's variable holds what the fold gives, so that it is folded once
     return F.get(F.transform(F.array(parsed), lambda x: F.when((x["st"] == 10) & ~odd(x) & well_shaped(frame(x), strict_device), frame(x))), F.lit(0))

@@ -5,9 +5,8 @@ White space is ASCII here (Java's \\s) unless a function says otherwise; lower()
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import cache
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,6 +33,8 @@ DANGLING = [
 ]
 # End of fixed values.
 
+#: White space as Unicode has it, and the separators of ASCII.
+SPACES = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 #: Openings of commands, from our own templates.
 OPENINGS = openings()
 
@@ -98,15 +99,22 @@ def name_norm(s: Column) -> Column:
     return collapse(F.translate(F.lower(s), "_-", "  "))
 
 
-def name_fold(s: Column) -> Column:
-    """name_norm by full case folding and Unicode white space, for names beyond ASCII; in Arrow batches."""
+@cache
+def folding() -> tuple[str, str, list[tuple[str, str]]]:
+    """What full case folding does to single characters: those that become one other, these, and those that become several."""
+    folded = {c: c.casefold() for c in map(chr, range(0x110000)) if c.casefold() != c}
+    one = {c: f for c, f in folded.items() if len(f) == 1}
+    return "".join(one), "".join(one.values()), [(c, f) for c, f in folded.items() if len(f) > 1]
 
-    @F.pandas_udf("string")
-    def fold(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for names in batches:
-            yield names.map(lambda x: None if x is None else " ".join(x.replace("_", " ").replace("-", " ").split()).casefold())
 
-    return fold(s)
+def name_fold(s: Column) -> Column:
+    """name_norm by full case folding and Unicode white space, for names beyond ASCII: characters by a table, no Python on rows."""
+    before, after, longer = folding()
+    pairs = F.expr("array(" + ", ".join(f"struct('{c}' as c, '{f}' as f)" for c, f in longer) + ")")
+    spread = F.when(s.rlike("[" + "".join(c for c, _ in longer) + "]"), F.aggregate(pairs, s, lambda acc, x: F.replace(acc, x["c"], x["f"]))).otherwise(s)
+    wide = F.translate(spread, before, after)
+    folded = F.when(F.octet_length(s) == F.length(s), F.lower(s)).otherwise(wide)
+    return F.regexp_replace(F.regexp_replace(F.translate(folded, "_-", "  "), f"{SPACES}+", " "), "^ | $", "")
 
 
 def alias_norm(s: Column) -> Column:

@@ -144,16 +144,16 @@ def cut(df: DataFrame, by: str, limit: Column, key: Column, id_col: str, tier: C
         if size == sizes[-1] or not bounds.where(wide).limit(1).count():
             break
         edges = bounds.where(wide).select(g, bound, want)
-        rows = _looked_up(hashed.select(g, h, F.substring(h, 1, size).alias(bound)), edges, [g, bound], few)
+        rows = looked_up(hashed.select(g, h, F.substring(h, 1, size).alias(bound)), edges, [g, bound], few)
     kept = [F.col(quoted(c)) for c in df.columns]
-    looked = _looked_up(hashed, bounds.drop(n), [g], few, "left")
+    looked = looked_up(hashed, bounds.drop(n), [g], few, "left")
     inside = looked.where(F.col(bound).isNull() | (F.col(h) < F.col(bound))).select(*kept)
     edge = looked.where(F.startswith(F.col(h), F.col(bound)) & (F.col(want) > 0))
     rank = F.row_number().over(W.partitionBy(g).orderBy(h, F.xxhash64(*kept)))
     return inside.unionByName(edge.withColumn(n, rank).where(F.col(n) <= F.col(want)).select(*kept))
 
 
-def _looked_up(rows: DataFrame, small: DataFrame, on: list[str], few: int, how: str = "inner") -> DataFrame:
+def looked_up(rows: DataFrame, small: DataFrame, on: list[str], few: int, how: str = "inner") -> DataFrame:
     """rows joined with a table that has one row a key: broadcast if that has few rows; else keys of many rows are salted."""
     if small.count() <= few:
         return rows.join(F.broadcast(small), on, how)

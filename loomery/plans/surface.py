@@ -8,6 +8,7 @@ from loomery.functions import grammar as G
 from loomery.functions import text as X
 from loomery.operators import curate as C
 from loomery.operators import evaluate as E
+from loomery.operators import alias as A
 from loomery.operators import bytepairs as B
 from loomery.operators import ordinals as O
 from loomery.operators import pack as P
@@ -290,3 +291,37 @@ def parse_any_names(spark, sf_dir):
         "event_id", f.isNotNull().alias("parsed"), f["action"].alias("action"), F.array_join(G.pins_of(f), ",").alias("pins"), F.array_join(names, "|").alias("names"),
         f["level"].alias("level"), f["interval_ms"].alias("interval_ms"), f["count"].alias("rounds"),
     )
+
+
+def sql_fold(s: str) -> str:
+    """text.name_fold for the letters of the documents' languages."""
+    return f"trim(regexp_replace(translate(replace(lower({s}), 'ß', 'ss'), '_-', '  '), '\\s+', ' ', 'g'))"
+
+
+def _word(n: int):
+    return F.get(F.split("text", " ", -1), F.lit(n))
+
+
+@query(f"""
+with w as (select doc_id, string_split(text, ' ') as w from documents where text is not null)
+select {sql_fold("w[1] || '_' || upper(w[2])")} as name, count(*) as n, min(doc_id) as first from w where len(w) > 1 group by 1""")
+def fold_unicode_names(spark, sf_dir):
+    """The first two words of documents as names, folded alike whatever their case, beyond ASCII too."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", _word(0).alias("a"), _word(1).alias("b")).where("b is not null")
+    name = X.name_fold(F.concat_ws("_", "a", F.upper("b")))
+    return rows.groupBy(name.alias("name")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"))
+
+
+@query(f"""
+with w as (select doc_id, lang, string_split(text, ' ') as w from documents where text is not null),
+a as (select {sql_fold("upper(w[1])")} as name, min(doc_id % 25) as pin from w where lang <> 'en' group by 1),
+c as (select doc_id, {sql_fold("w[1]")} as x, {sql_fold("w[2]")} as y from w)
+select doc_id, case when p.pin is null or q.pin is null then 'unknown_name' else 'execute' end as verdict,
+  case when p.pin is null or q.pin is null then '' else p.pin || ',' || q.pin end as resolved from c left join a p on p.name = x left join a q on q.name = y""")
+def resolve_unicode_names(spark, sf_dir):
+    """Two words of each document as names of pins, against the words that documents in other languages begin with, in capitals."""
+    rows = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "lang", _word(0).alias("a"), _word(1).alias("b"))
+    names = rows.where("lang <> 'en'").select(F.upper("a").alias("name"), F.array((F.col("doc_id") % 25).cast("int")).alias("pins"))
+    commands = rows.select("doc_id", F.lit("set").alias("action"), F.array().cast("array<int>").alias("pins"), F.array("a", "b").alias("names"))
+    out = A.resolve(commands, names, fold=X.name_fold, most=100)
+    return out.select("doc_id", "verdict", F.array_join("resolved", ",").alias("resolved"))
