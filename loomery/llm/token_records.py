@@ -133,17 +133,12 @@ class WordEncoder:
 
     def encoded(self, text: str | None) -> bytes:
         """The ids of the text and the end id, little-endian, width bytes each."""
-        known = self.known
         words = text.encode("utf-8", "surrogatepass").split() if text else []
-        try:
-            return b"".join(map(known.__getitem__, words)) + self.end
-        except KeyError:
-            self.learn([w for w in dict.fromkeys(words) if w not in known])
-            for word in words:  # the cache may have been emptied
-                if word not in known:
-                    self.learn([w for w in dict.fromkeys(words) if w not in known])
-                    break
-            return b"".join(map(known.__getitem__, words)) + self.end
+        got = list(map(self.known.get, words))
+        if None in got:
+            self.learn(list({w for w, ids in zip(words, got) if ids is None}))  # which may forget others, but not these
+            got = [ids if ids is not None else self.known[w] for w, ids in zip(words, got)]
+        return b"".join(got) + self.end
 
     def ids(self, text: str | None) -> list[int]:
         return array(TYPE_OF[self.width], self.encoded(text)).tolist()[:-1]
