@@ -67,6 +67,15 @@ def without(df: DataFrame, drop: DataFrame, key: Column, drop_key: Column) -> Da
     return df.withColumn(mine, key).join(drop.select(drop_key.alias(listed)).distinct(), F.col(mine) == F.col(listed), "left_anti").drop(mine)
 
 
+def drop_summary(df: DataFrame, drop: DataFrame, key: Column, drop_key: Column, by: str) -> DataFrame:
+    """(by, n, kept, dropped): how many rows of each group without() keeps and drops, counted at once."""
+    mine, listed, hit = free_name("key", df), free_name("dropped_key", df), free_name("hit", df)
+    keys = drop.select(drop_key.alias(listed)).where(F.col(listed).isNotNull()).distinct().withColumn(hit, F.lit(True))
+    marked = df.select(F.col(quoted(by)).alias(by), key.alias(mine)).join(keys, F.col(mine) == F.col(listed), "left")
+    gone = F.col(hit).isNotNull()
+    return marked.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.count_if(~gone).alias("kept"), F.count_if(gone).alias("dropped"))
+
+
 class QuarantineError(ValueError):
     """Some rows were bad; the good ones and the bad ones are written all the same."""
 
@@ -219,26 +228,29 @@ BLOCK_ITEMS = 10_000
 BLOCK_BYTES = 64 << 20
 
 
-def leaks_contained(docs: DataFrame, held: DataFrame, doc_id: str, item_id: str, text: str = "text") -> DataFrame:
-    """(doc_id, item_id) where the document contains the item's text.
+def leaks_contained(docs: DataFrame, held: DataFrame, doc_id: str, item_id: str, text: str = "text", few: int = FEW_GROUPS) -> DataFrame:
+    """(doc_id, item_id) where the document contains the item's text; null ids and texts are in no pair.
 
     An equi-join: three whole words within an item (its first and last may be parts of longer words) must stand in the
-    document in a row. Items of fewer than five words are compared with every document, a broadcast block of
-    about BLOCK_ITEMS and BLOCK_BYTES at most at a time.
+    document in a row. The items' words are broadcast if they are few; else words that very many documents hold are salted.
+    Items of fewer than five words are compared with every document, a broadcast block of about BLOCK_ITEMS and BLOCK_BYTES at
+    most at a time.
     """
-    words = F.split(F.col(text), " ", -1)
-    items = held.select(F.col(item_id), F.col(text).alias("_item"), words.alias("_w")).where("_item <> ''")
+    body, item, anchor, doc, at = "body", "item", "anchor", "doc", "at"
+    texts = docs.select(F.col(quoted(doc_id)).alias(doc), F.col(quoted(text)).alias(body)).where("doc is not null and body is not null")
+    words = F.split(body, " ", -1)
+    items = held.select(F.col(quoted(item_id)).alias(at), F.col(quoted(text)).alias(item)).where("at is not null and item <> ''").withColumn("w", F.split(item, " ", -1))
     # the array beside itself, shifted: inside a lambda the split would be done anew for every word
     shifted = F.arrays_zip(*[F.slice(words, 1 + i, 1 << 30).alias(f"w{i}") for i in range(ANCHOR)])
     grams = F.array_distinct(F.transform(shifted, lambda t: F.xxhash64(F.concat_ws(" ", *[t.getField(f"w{i}") for i in range(ANCHOR)]))))
-    spots = docs.select(F.col(doc_id), F.explode(grams).alias("_a"))
-    long = items.where(F.size("_w") >= ANCHOR + 2).withColumn("_a", F.xxhash64(F.array_join(F.slice("_w", 2, ANCHOR), " ")))
-    hits = spots.join(long, "_a").select(doc_id, item_id, "_item").distinct()
-    found = hits.join(docs.select(doc_id, text), doc_id).where(F.contains(F.col(text), F.col("_item"))).select(doc_id, item_id)
-    short = items.where(F.size("_w") < ANCHOR + 2).drop("_w")
-    size = short.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("_item")), F.lit(0)).alias("b")).first()
-    blocks = max(1, -(-size.n // BLOCK_ITEMS), -(-size.b // BLOCK_BYTES))
+    spots = texts.select(doc, F.explode(grams).alias(anchor))
+    long = items.where(F.size("w") >= ANCHOR + 2).select(at, item, F.xxhash64(F.array_join(F.slice("w", 2, ANCHOR), " ")).alias(anchor)).distinct()
+    hits = looked_up(spots, long, [anchor], few).select(doc, at, item).distinct()
+    found = hits.join(texts, doc).where(F.contains(F.col(body), F.col(item))).select(doc, at)
+    short = fixed(items.where(F.size("w") < ANCHOR + 2).select(at, item).distinct())
+    size = short.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length(item)), F.lit(0)).alias("b")).first()
+    blocks = -(-size.n // BLOCK_ITEMS) and max(-(-size.n // BLOCK_ITEMS), -(-size.b // BLOCK_BYTES))
     for i in range(blocks):
-        block = short if blocks == 1 else short.distinct().where(F.pmod(F.xxhash64("_item", item_id), F.lit(blocks)) == i)
-        found = found.unionByName(docs.join(F.broadcast(block), F.contains(F.col(text), F.col("_item"))).select(doc_id, item_id))
-    return found.distinct()
+        block = short if blocks == 1 else short.where(F.pmod(F.xxhash64(item, at), F.lit(blocks)) == i)
+        found = found.unionByName(texts.join(F.broadcast(block), F.contains(F.col(body), F.col(item))).select(doc, at))
+    return found.distinct().select(F.col(doc).alias(doc_id), F.col(at).alias(item_id))

@@ -211,7 +211,7 @@ def filled(df: DataFrame, by: str, quotas: dict[str, int]) -> DataFrame:
 
 def refusal_rows(df: DataFrame) -> DataFrame:
     """df (text, source, ...) as rows whose label is to refuse, with the flags of held-out rows where df has them."""
-    flags = {"stratum": "string", "in_train": "boolean", "locked": "boolean"}
+    flags = {"stratum": "string", "in_train": "boolean", "v2_class": "string", "v2_deferred": "boolean", "locked": "boolean"}
     label = F.array(F.lit("<unknown>"), F.lit("<end>"))
     own = [F.col(c).cast(t).alias(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in flags.items()]
     return df.select("text", label.alias("symbols"), F.lit("unknown").alias("action"), "source", *own)

@@ -540,10 +540,14 @@ f as (select doc_id, part, p[part * 61 + 1 : part * 61 + 61] as p, q from c), g
 select doc_id, cast(part as int) as part, array_to_string(list_concat(s, list_transform(range(64 - len(s)), lambda i: 0)), ',') as tokens, cast(masked as bigint) as masked from g""")
 def pack_sequences(spark, sf_dir):
     """Whole texts, a number a word, in as many sequences of 64 as they need."""
+    out = packed_words(spark, sf_dir)
+    return out.select("doc_id", "part", F.array_join("tokens", ",").alias("tokens"), F.aggregate("mask", F.lit(0).cast("long"), lambda s, x: s + x).alias("masked"))
+
+
+def packed_words(spark, sf_dir: str) -> DataFrame:
     words = F.filter(F.split(F.coalesce("text", F.lit("")), " ", -1), lambda w: w != "")
     rows = table(spark, sf_dir, "documents").select("doc_id", F.transform(words, lambda w: (F.ascii(w) % 1000 + 2).cast("int")).alias("p"), F.array((2 + F.col("doc_id") % 7).cast("int"), F.lit(18)).alias("c"))
-    out = P.pack(P.in_parts(rows, "p", "c", 64), "p", "c", 64)
-    return out.select("doc_id", "part", F.array_join("tokens", ",").alias("tokens"), F.aggregate("mask", F.lit(0).cast("long"), lambda s, x: s + x).alias("masked"))
+    return P.pack(P.in_parts(rows, "p", "c", 64), "p", "c", 64)
 
 
 PACK_WIDTH = 96  # of the model's sequences

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from loomery.functions import grammar as G
@@ -10,10 +12,13 @@ from loomery.operators import curate as C
 from loomery.operators import evaluate as E
 from loomery.operators import alias as A
 from loomery.operators import bytepairs as B
+from loomery.operators import history as H
 from loomery.operators import ordinals as O
 from loomery.operators import pack as P
-from loomery.plans.catalogue import SQL_JUDGED, SQL_PARSED, WILSON, _SCORE, commands, judged, query, rounded, sql_case, sql_draw, sql_key, sql_list
+from loomery.plans.catalogue import ORACLE_SQL, SQL_JUDGED, SQL_PARSED, WILSON, _SCORE, commands, judged, packed_words, query, rounded, sql_case, sql_draw, sql_key, sql_list
+from loomery.sources import formats as F_
 from loomery.sources import tables as S
+from loomery.sources.scratch import shared_root
 from loomery.sources.tables import table
 from loomery.streaming.aliases import alias_stream
 from loomery.streaming.device import device_replay
@@ -182,15 +187,22 @@ def describe_commands(spark, sf_dir):
     return commands(spark, sf_dir).where("frame is not null").select("event_id", G.describe(F.col("frame")).alias("line"))
 
 
-@query(f"""with {SQL_JUDGED}, s as (select {_SCORE} from j), l as (select bool_or(event_id % 2 = 0 and {sql_draw('cast(event_id as varchar)', 10)} = 11) as locked from j)
-select 'score' as section, label, cast(value as varchar) as value from (unpivot s on columns(*) into name label value value)
-union all select 'outcome', outcome, cast(count(*) as varchar) from j, l where not l.locked group by 2""")
+_LOCKED = f"{sql_draw('cast(event_id as varchar)', 10)} = 3"
+
+
+@query(f"""with {SQL_JUDGED}, hv as (select 'all' as half, * from j union all select 'open', * from j where not {_LOCKED}), s as (select half, {_SCORE} from hv group by half),
+  l as (select half, bool_or({_LOCKED}) as locked from hv group by half)
+select half, 'score' as section, label, cast(value as varchar) as value from (unpivot s on columns(* exclude half) into name label value value)
+union all select half, 'outcome', outcome, cast(count(*) as varchar) from hv join l using (half) where not l.locked group by half, outcome""")
 def report_lines(spark, sf_dir):
-    """No row is locked here, so the details are shown; tests lock one."""
-    rows = judged(spark, sf_dir)
-    lock = (F.col("event_id") % 2 == 0) & (X.draw(F.col("event_id").cast("string"), 10) == 11)
-    details = rows.groupBy(F.col("outcome").alias("label")).agg(F.count(F.lit(1)).alias("value"))
-    return E.report(E.score(rows), {"outcome": details}, rows.withColumn("locked", lock))
+    """Two reports: of all rows, a tenth of which is locked, so that no details are shown, and of the rest, with them."""
+    every = judged(spark, sf_dir).withColumn("locked", X.draw(F.col("event_id").cast("string"), 10) == 3)
+    out = None
+    for half, rows in (("all", every), ("open", every.where("not locked"))):
+        details = rows.groupBy(F.col("outcome").alias("label")).agg(F.count(F.lit(1)).alias("value"))
+        part = E.report(E.score(rows), {"outcome": details}, rows).select(F.lit(half).alias("half"), "*")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query(f"select conv_id, turn, {sql_case('text', "conv_id || '-' || turn", 0.05)} as dressed from conversations where text is not null")
@@ -325,3 +337,76 @@ def resolve_unicode_names(spark, sf_dir):
     commands = rows.select("doc_id", F.lit("set").alias("action"), F.array().cast("array<int>").alias("pins"), F.array("a", "b").alias("names"))
     out = A.resolve(commands, names, fold=X.name_fold, most=100)
     return out.select("doc_id", "verdict", F.array_join("resolved", ",").alias("resolved"))
+
+
+@query("""select cast(user_id as varchar) as run, event_id as step, round(value, 9) as val, case when user_id % 2 = 1 then round(value / 2, 9) end as sym_acc,
+  round(min(value) over (partition by user_id order by event_id), 9) as best from events""")
+def history_best(spark, sf_dir):
+    """Users as runs and events as their steps: written as histories of two generations, read again, and the best so far."""
+    rows = table(spark, sf_dir, "events")
+    path = f"{shared_root(spark)}/loomery/history-{uuid.uuid4().hex}"
+    new = rows.where("user_id % 2 = 1").select(F.col("user_id").alias("run"), F.col("event_id").alias("step"), F.col("value").alias("val"), (F.col("value") / 2).alias("sym_acc"))
+    old = rows.where("user_id % 2 = 0").select(F.col("user_id").alias("run"), F.col("event_id").alias("iter"), F.col("value").cast("string").alias("val_loss"))
+    H.write_runs(new, path)
+    H.write_runs(old, path)
+    out = H.best_so_far(H.read_steps(spark, path))
+    return rounded(out.select("run", "step", "val", "sym_acc", "best"), "val", "sym_acc", "best")
+
+
+@query("""
+with b as (select user_id, user_id % 4 as g, min(value) as v from events group by all)
+select cast(g as int) as g, count(*) as n_runs, round(avg(v), 9) as mean_best, round(case when count(*) > 1 then (max(v) - min(v)) / 2 end, 9) as half_range from b group by g""")
+def history_spread(spark, sf_dir):
+    steps = table(spark, sf_dir, "events").select(F.col("user_id").alias("run"), F.col("event_id").alias("step"), F.col("value").alias("val"))
+    out = H.spread_of_best(steps, (F.col("run") % 4).cast("int"), F.lit(1))
+    return rounded(out.select(F.col("group").alias("g"), "n_runs", F.col("mean_rate").alias("mean_best"), "half_range"), "mean_best", "half_range")
+
+
+@query("select doc_id, lang, sha256(text) as text_sha256 from documents")
+def lines_there_and_back(spark, sf_dir):
+    """Whole documents written as JSON lines by the data source, and read again."""
+    F_.register(spark)
+    path = f"{shared_root(spark)}/loomery/lines-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    docs.write.format("split_lines").option("split", "train").mode("append").save(path)
+    back = spark.read.format("split_lines").schema(docs.schema).option("split", "train").load(path)
+    return back.select("doc_id", "lang", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query(f"""with p as ({ORACLE_SQL["pack_sequences"]}) select masked, count(*) as n,
+  cast(sum(list_sum(list_transform(string_split(tokens, ','), lambda x: cast(x as bigint)))) as bigint) as total from p group by 1""")
+def matrix_there_and_back(spark, sf_dir):
+    """The packed sequences of whole documents as a matrix of 16-bit tokens and 8-bit masks, written and read again."""
+    F_.register(spark)
+    path = f"{shared_root(spark)}/loomery/matrix-{uuid.uuid4().hex}"
+    packed_words(spark, sf_dir).select("tokens", "mask").write.format("token_matrix").option("width", 64).mode("append").save(path)
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + x)
+    rows = spark.read.format("token_matrix").load(path).select(total("mask").alias("masked"), total("tokens").alias("t"))
+    return rows.groupBy("masked").agg(F.count(F.lit(1)).alias("n"), F.sum("t").alias("total"))
+
+
+@query(f"""
+with k as (select distinct {sql_key('text')} as k from documents join labels using (doc_id) where toxic = 1 and text is not null)
+select lang, count(*) as n, count(*) filter (k is null) as kept, count(*) filter (k is not null) as dropped from documents left join k on {sql_key('text')} = k.k group by 1""")
+def drop_summary(spark, sf_dir):
+    """How many rows a drop list leaves and takes, by language, in one pass."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.sha1(X.dedup_key(F.col("text"))).alias("key"))
+    drop = docs.join(table(spark, sf_dir, "labels").where("toxic = 1"), "doc_id")
+    return C.drop_summary(docs, drop, F.col("key"), F.col("key"), "lang")
+
+
+@query("""
+with d as (select doc_id, ['<set>', '<read>', '<blink>'][1 + doc_id % 3] as act, doc_id % 2 = 0 as named, doc_id % 50 as pin, coalesce(source, '') as source from documents),
+i as (select doc_id, case act when '<set>' then 2 when '<read>' then 3 else 4 end as a, named, list_transform(string_split(cast(pin as varchar), ''), lambda x: cast(x as int) + 100) as digits,
+  list_transform(string_split(source, ''), lambda x: ascii(x) + 300) as letters, source from d)
+select doc_id, array_to_string(list_concat(list_concat([a], case when named then list_concat(list_concat([11], case when source = '' then [] else letters end), [12]) else list_concat([9], digits) end), [18]), ',') as ids from i""")
+def completion_names(spark, sf_dir):
+    """Labels with pins of one or two digits, or with a name, whose ids are those of its letters."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("source"))
+    one = lambda *s: F.array(*[F.lit(x) for x in s])
+    action = F.element_at(X.listed(["<set>", "<read>", "<blink>"]), (F.col("doc_id") % 3 + 1).cast("int"))
+    digits = F.array_compact(F.split((F.col("doc_id") % 50).cast("string"), ""))
+    target = F.when(F.col("doc_id") % 2 == 0, F.concat(one("<name>"), F.array("source"), one("<nend>"))).otherwise(F.concat(one("<pin>"), digits))
+    letters = F.transform(F.filter(F.split("source", ""), lambda x: x != ""), lambda x: F.ascii(x) + 300)
+    ids = P.completion_ids(F.concat(F.array(action), target, one("<end>")), list(range(100, 110)), letters)
+    return docs.select("doc_id", F.array_join(ids, ",").alias("ids"))

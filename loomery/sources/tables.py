@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomery.sources.formats import register
+
 CORPUS_SCHEMA = "text string, symbols array<string>, action string, source string, split string"
 HELD_OUT_SCHEMA = (
     "text string, symbols array<string>, action string, source string, stratum string, in_train boolean, "
@@ -20,12 +24,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def read_jsonl(spark: SparkSession, schema: str, *folders: str, split: str) -> DataFrame:
     """One JSON object a line, from the first folder that has the split."""
-    for folder in folders:
-        path = f"{folder}/{split}.jsonl"
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        if hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
-            return spark.read.schema(schema).json(path)
-    raise FileNotFoundError(f"no {split}.jsonl in {', '.join(folders)}")
+    register(spark)
+    return spark.read.format("split_lines").schema(schema).option("folders", json.dumps(folders)).option("split", split).load()
 
 
 def write_corpus(df: DataFrame, path: str, by: str = "split", fmt: str = "json") -> None:
