@@ -75,7 +75,9 @@ class Bank:
         """The text that a row's key gives; the key is a string."""
         out = choice(self.templates, F.concat(key, F.lit("|")))
         for name, options in self.slots.items():
-            out = F.replace(out, F.lit("{" + name + "}"), choice(options, F.concat(key, F.lit("|" + name))))
+            slot, filled = F.lit("{" + name + "}"), choice(options, F.concat(key, F.lit("|" + name)))
+            # as a lambda's variable the text so far stands here once, and what fills a slot is only drawn where the slot is
+            out = F.get(F.transform(F.array(out), lambda x: F.when(F.contains(x, slot), F.replace(x, slot, filled)).otherwise(x)), F.lit(0))  # noqa: B023
         return out
 
     def sql(self, key: str) -> str:

@@ -15,6 +15,7 @@ from loomery.functions.columns import free_name, staged
 from loomery.functions.templates import HEADS
 from loomery.operators.curate import cut, first_wins, top_up
 from loomery.operators.vocabulary import GROUP_NAME, KINDS, MOODS, NAME, REFUSALS
+from loomery.sources.scratch import fixed
 
 # Shares of the actions, of the kinds of refusals and of shapes.
 ACTION_WEIGHTS = {"set": 38, "blink": 22, "read": 14, "stop": 12, "seq": 14, "alias": 8}
@@ -47,8 +48,9 @@ class Draws:
     def __init__(self, seed: int, id_col: str = "id"):
         self.seed, self.id = seed, F.col(id_col)
 
-    def key(self, slot: str) -> Column:
-        return F.concat(F.lit(f"{self.seed}|"), F.coalesce(self.id.cast("string"), F.lit("")), F.lit(f"|{slot}"))
+    def key(self, slot: str | Column) -> Column:
+        own = F.lit(f"|{slot}") if isinstance(slot, str) else F.concat(F.lit("|"), slot)
+        return F.concat(F.lit(f"{self.seed}|"), F.coalesce(self.id.cast("string"), F.lit("")), own)
 
     def below(self, slot: str, n: int) -> Column:
         return X.draw(self.key(slot), n)
@@ -66,12 +68,17 @@ class Draws:
         return choice(weights, self.key(slot))
 
 
-def pin_number(d: Draws, slot: str) -> Column:
+def numbered(slot: str, i: Column) -> Column:
+    return F.concat(F.lit(slot), i.cast("string"))
+
+
+def pin_number(d: Draws, slot: str | Column) -> Column:
     """82 of 100 on the board; of the rest 55 near its pins, 25 elsewhere below 60, 20 with three digits."""
-    kind = d.below(slot + "k", 100)
+    of = lambda x: slot + x if isinstance(slot, str) else F.concat(slot, F.lit(x))
+    kind = d.below(of("k"), 100)
     far = [n for n in range(60) if n not in G.PINS_S3]
-    odd = F.when(kind < 55, d.one_of(slot + "n", NEAR_PINS)).when(kind < 80, d.one_of(slot + "f", far)).otherwise(d.between(slot + "t", 100, 199))
-    return F.when(d.chance(slot + "legal", SHARES["legal pin"]), d.one_of(slot + "p", G.PINS_S3)).otherwise(odd).cast("int")
+    odd = F.when(kind < 55, d.one_of(of("n"), NEAR_PINS)).when(kind < 80, d.one_of(of("f"), far)).otherwise(d.between(of("t"), 100, 199))
+    return F.when(d.chance(of("legal"), SHARES["legal pin"]), d.one_of(of("p"), G.PINS_S3)).otherwise(odd).cast("int")
 
 
 def interval(d: Draws) -> Column:
@@ -111,7 +118,8 @@ def with_frames(df: DataFrame, seed: int = 1) -> DataFrame:
     as_pins = lambda numbers: F.transform(numbers, lambda x: _target("pin", x.cast("int")))
     df = df.select(
         "id", d.weighted("action", ACTION_WEIGHTS).alias("a"), d.chance("named", SHARES["named"]).alias("named"),
-        F.array(*[pin_number(d, f"m{i}") for i in range(10)]).alias("numbers"), F.array(*[name(d, f"name{i}") for i in range(3)]).alias("words"), group_name(d, "group").alias("group"),
+        F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: pin_number(d, numbered("m", i))).alias("numbers"),
+        F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: NAME.column(d.key(numbered("name", i)))).alias("words"), group_name(d, "group").alias("group"),
         F.when(d.chance("long", SHARES["long chase"]), d.between("longer", G.MAX_SEQ_PINS + 1, G.MAX_SEQ_PINS + 4)).otherwise(d.between("chase", 2, G.MAX_SEQ_PINS)).alias("chase"),
     )
     df = staged(df)
@@ -231,7 +239,7 @@ def corpus(spark: SparkSession, n: int, seed: int = 1, pools: dict[str, DataFram
     for prio, k in enumerate(NEGATIVE_MIX, 1):
         part = _refusals(spark, k, over * quotas[k], seed + 10 * prio, (pools or {}).get(k))
         every = every.unionByName(part.withColumn("source", F.lit(k)).withColumn("prio", F.lit(prio)))
-    out = filled(first_wins(every, X.dedup_key(F.col("text")), "prio", "id", drop_blank=True), "source", quotas)
+    out = filled(fixed(first_wins(every, X.dedup_key(F.col("text")), "prio", "id", drop_blank=True)), "source", quotas)  # drawn once
     return out.select("text", F.split("label", "\x1f").alias("symbols"), "action", "source")
 
 
