@@ -34,6 +34,7 @@ SHARES = {
 # End of fixed values.
 
 OVER = 3  # times as many rows are drawn as a quota wants
+SOURCES = ["template", *NEGATIVE_MIX]
 
 PIN_STYLES = ["pin {n}", "gpio {n}", "pin number {n}", "io {n}", "{n}"]
 DETERMINERS = {"the ": 6, "my ": 2, "": 2, "that ": 1, "our ": 1}
@@ -233,16 +234,35 @@ def corpus(spark: SparkSession, n: int, seed: int = 1, pools: dict[str, DataFram
     texts: short() says so. pools has the texts (text) of outside utterances for the sources near and far, which come first
     and are topped up by dressing them anew; without it generators stand in.
     """
-    quotas = quotas_of(n)
-    want = over * quotas["template"]
-    every = realize(frames(spark, want, seed), seed).select("id", "text", F.array_join(G.to_symbols(F.col("frame")), "\x1f").alias("label"), F.col("frame.action").alias("action"), F.lit("template").alias("source"), F.lit(0).alias("prio"))
-    for prio, k in enumerate(NEGATIVE_MIX, 1):
-        part = _refusals(spark, k, over * quotas[k], seed + 10 * prio, (pools or {}).get(k))
-        every = every.unionByName(part.withColumn("source", F.lit(k)).withColumn("prio", F.lit(prio)))
+    quotas, pools = quotas_of(n), pools or {}
+    source = F.element_at(X.listed(SOURCES), (F.shiftright("id", 40) + 1).cast("int"))
+    refused = F.lit("<unknown>\x1f<end>")
+    # commands, and those cut short, in one go: a row's source is in its id
+    said = realize(with_frames(_ids(spark, {"template": over * quotas["template"], "truncated": 2 * over * quotas["truncated"]}), seed), seed)
+    whole = source == "template"
+    every = said.select(
+        "id", F.when(whole, F.col("text")).otherwise(X.truncate(F.col("text"), Draws(seed).key("cut"))).alias("text"),
+        F.when(whole, F.array_join(G.to_symbols(F.col("frame")), "\x1f")).otherwise(refused).alias("label"), F.when(whole, F.col("frame.action")).otherwise("unknown").alias("action"),
+    )
+    made = {k: over * quotas[k] for k in NEGATIVE_MIX if k != "truncated" and k not in pools}
+    parts = [negatives(_ids(spark, made), seed).select("id", "text")] if made else []
+    parts += [_of_pool(pool, over * quotas[k]).select((F.col("id") + (SOURCES.index(k) << 40)).alias("id"), "text") for k, pool in pools.items()]
+    for part in parts:
+        every = every.unionByName(part.select("id", "text", refused.alias("label"), F.lit("unknown").alias("action")))
+    every = every.withColumn("source", source).withColumn("prio", F.shiftright("id", 40))
     out = filled(fixed(first_wins(every, X.dedup_key(F.col("text")), "prio", "id", drop_blank=True)), "source", quotas)  # drawn once
     return out.select("text", F.split("label", "\x1f").alias("symbols"), "action", "source")
 
 
+def _ids(spark: SparkSession, counts: dict[str, int]) -> DataFrame:
+    """(id): as many ids of each source as it wants, the source's place in front."""
+    out = None
+    for k, n in counts.items():
+        part = spark.range(n).select((F.col("id") + (SOURCES.index(k) << 40)).alias("id"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def quotas_of(n: int) -> dict[str, int]:
     """How many rows of n each source has."""
     n_neg = int(n * NEGATIVE_SHARE)
@@ -255,15 +275,8 @@ def short(rows: DataFrame, n: int) -> dict[str, int]:
     return {k: want - got.get(k, 0) for k, want in quotas_of(n).items() if got.get(k, 0) < want}
 
 
-def _refusals(spark: SparkSession, kind: str, n: int, seed: int, pool: DataFrame | None) -> DataFrame:
-    """(id, text, label, action): n of one source."""
-    if kind == "truncated":
-        rows = realize(frames(spark, 2 * n, seed), seed)
-        rows = rows.select("id", X.truncate(F.col("text"), Draws(seed).key("cut")).alias("text"))
-    elif pool is not None:
-        texts = first_wins(pool.select("text"), X.dedup_key(F.col("text")), "text", drop_blank=True).withColumn("pool", F.lit(0))
-        key = F.sha1("text")
-        rows = staged(top_up(texts, "pool", n, key, "text", "text")).withColumn("id", F.col("turn") * (1 << 32) + X.draw(F.concat(F.lit("order"), F.sha1("text")), 1 << 32))
-    else:
-        rows = negatives(spark.range(n), seed)
-    return rows.select("id", "text", F.lit("<unknown>\x1f<end>").alias("label"), F.lit("unknown").alias("action"))
+def _of_pool(pool: DataFrame, n: int) -> DataFrame:
+    """(id, text): n texts of a pool, its own first, then dressed anew; the turn is the id's upper half."""
+    texts = first_wins(pool.select("text"), X.dedup_key(F.col("text")), "text", drop_blank=True).withColumn("pool", F.lit(0))
+    rows = staged(top_up(texts, "pool", n, F.sha1("text"), "text", "text"))
+    return rows.select((F.col("turn") * (1 << 32) + X.draw(F.concat(F.lit("order"), F.sha1("text")), 1 << 32)).alias("id"), "text")
