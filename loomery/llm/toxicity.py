@@ -1,11 +1,12 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on ordinary and one on toxic text. Both hold the strings that zstandard's own
-trainer finds in ordinary text; the toxic one also holds those that it finds in the passages of toxic texts that ordinary
-ones hardly ever have, and behind them the segments that cover what recurs in many toxic texts and hardly ever in ordinary
-ones (cover selection by document frequency). Every overlapping window of a text is compressed
-with either; the bytes that the toxic dictionary saves are its distance. How many windows save how much, against
-thresholds calibrated on labelled texts that the dictionaries have not seen, gives the score.
+zstandard dictionaries are trained on ordinary and on toxic text, the toxic ones in two breadths. All hold the strings that
+zstandard's own trainer finds in ordinary text, so that only what sets toxic text apart makes a difference. The broad toxic one
+also holds what the trainer finds in those passages of toxic texts that are more frequent there, the narrow one the segments
+that recur in many toxic texts and hardly ever in ordinary ones (cover selection by document frequency). One word of
+the narrow kind tells much; of the broad kind it takes several. Every overlapping window of a text is compressed with each;
+the bytes that a toxic dictionary saves are its distance. How many windows save how much, of how many, and what is saved in
+all, against thresholds calibrated on labelled texts that the dictionaries have not seen, gives the score.
 
 Defined results: null and empty texts, having no window that saves anything, get the score of the intercept; a label
 table with one class only gives that class' share, 0.0 or 1.0, to every document, and one without usable labels 0.0; repeated rows are scored alike; extra columns stay
@@ -29,15 +30,18 @@ WINDOW = 48
 STRIDE = 32
 GRAM = 5
 BASE_BYTES = 39999  # a multiple of FILL
-TOXIC_BYTES = 1500  # what the trainer is to find in toxic passages
+TOXIC_BYTES = 1500  # what the trainer is to find in toxic passages, a multiple of FILL
 REACH = 45000  # the size that either dictionary's tables are laid out for, or that of the toxic one where this is larger
 FILL = 3  # positions between a dictionary's entries in the compressor's tables
 MIN_SHARE = 0.03  # of the toxic texts that a gram of a segment must be in
 MIN_RATIO = 60.0  # of its shares in toxic and ordinary texts
 PASSAGE_TEXTS = 5  # toxic texts that a gram of a passage must be in
-PASSAGE_RATIO = 20.0
+PASSAGE_RATIO = 8.0  # of its occurrences a text in toxic and ordinary ones
+OCCURRENCES = 8  # that count in one text
 LEVEL = 3
 SAVED = (1, 2, 3, 4, 5, 6)  # bytes saved, the thresholds
+SHARES = (2, 4)  # those of them at which the share of windows counts as well
+CHANCE = 0.02  # of the windows, which may save as much by chance
 PER_CLASS = 4000
 
 
@@ -130,15 +134,34 @@ def toxic_segments(toxic: list[bytes], ordinary: list[bytes]) -> bytes:
     return b"".join(reversed(chosen))
 
 
+def occurrences(texts: list[bytes], wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Grams, how often each occurs, OCCURRENCES in a text at most, and in how many texts; of the wanted ones (sorted) if given."""
+    if wanted is not None:
+        often, held = np.zeros(len(wanted)), np.zeros(len(wanted), np.int64)
+        for t in texts:
+            g, n = np.unique(grams(t), return_counts=True)
+            at = np.searchsorted(wanted, g)
+            inside = at < len(wanted)
+            same = inside.copy()
+            same[inside] = wanted[at[inside]] == g[inside]
+            often[at[same]] += np.minimum(n[same], OCCURRENCES)
+            held[at[same]] += 1
+        return wanted, often, held
+    parts = [np.unique(grams(t), return_counts=True) for t in texts]
+    values, place = np.unique(np.concatenate([g for g, _ in parts] or [np.zeros(0, np.uint64)]), return_inverse=True)
+    counts = np.concatenate([np.minimum(n, OCCURRENCES) for _, n in parts] or [np.zeros(0)])
+    return values, np.bincount(place, weights=counts, minlength=len(values)), np.bincount(place, minlength=len(values))
+
+
 def toxic_passages(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
-    """The runs of toxic texts, a byte more at either end, whose grams ordinary texts lack or hardly ever have."""
+    """The runs of toxic texts, a byte more at either end, whose grams are more frequent there; each once a text."""
     if not toxic:
         return []
-    values, inside = doc_frequency(toxic)
-    often = inside >= PASSAGE_TEXTS
+    values, inside, held = occurrences(toxic)
+    often = held >= PASSAGE_TEXTS
     values, inside = values[often], inside[often]
-    _, outside = doc_frequency(ordinary, values)
-    good = values[inside / len(toxic) >= PASSAGE_RATIO * outside / max(1, len(ordinary))]
+    _, outside, _ = occurrences(ordinary, values)
+    good = values[inside / len(toxic) >= PASSAGE_RATIO * (outside + 1) / max(1, len(ordinary))]
     out = []
     for t in toxic if len(good) else []:
         g = grams(t)
@@ -146,7 +169,7 @@ def toxic_passages(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
         at[at == len(good)] = 0
         hits = np.flatnonzero(good[at] == g)
         if len(hits):
-            out += [t[max(0, run[0] - 1) : run[-1] + GRAM + 1] for run in np.split(hits, np.flatnonzero(np.diff(hits) > 1) + 1)]
+            out += sorted({t[max(0, run[0] - 1) : run[-1] + GRAM + 1] for run in np.split(hits, np.flatnonzero(np.diff(hits) > 1) + 1)})
     return out
 
 
@@ -159,7 +182,7 @@ def toxic_strings(toxic: list[bytes], ordinary: list[bytes]) -> bytes:
         found = zstandard.train_dictionary(TOXIC_BYTES, samples, k=16, d=6).as_bytes()
     except (zstandard.ZstdError, ValueError):
         found = b"".join(dict.fromkeys(samples))[:TOXIC_BYTES]
-    return found + b" " * (-len(found) % FILL)
+    return found
 
 
 def aligned(segments: bytes) -> bytes:
@@ -193,11 +216,12 @@ class ToxicityModel:
     weights: list[float] = field(default_factory=list)
 
     def compressors(self):
+        """Of the ordinary, the narrow toxic and the broad toxic dictionary."""
         import zstandard
 
-        marked = self.base + self.trained + aligned(self.segments)
-        reach = max(REACH, len(marked))
-        for content in (self.base, marked):
+        contents = [self.base, self.base + aligned(self.segments), self.base + aligned(self.trained)]
+        reach = max(REACH, *map(len, contents))
+        for content in contents:
             if len(content) < 8:
                 content += b" " * 8
             own = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -208,30 +232,36 @@ class ToxicityModel:
             yield zstandard.ZstdCompressor(dict_data=own, compression_params=params).compress
 
     @staticmethod
-    def features(data: bytes, ordinary, toxic) -> list[float]:
-        saved = Counter()
-        most = 0
+    def features(data: bytes, ordinary, *toxic) -> list[float]:
+        saved, most, net, windows = [Counter() for _ in toxic], [0] * len(toxic), [0] * len(toxic), 0
         for i in range(0, max(1, len(data) - WINDOW + STRIDE), STRIDE):
             window = data[i : i + WINDOW]
-            won = len(ordinary(window)) - len(toxic(window))
-            if won > 0:
-                saved[min(won, SAVED[-1])] += 1
-                most = max(most, won)
-        out, total = [], 0
-        for t in reversed(SAVED):
-            total += saved[t]
-            out.append(float(np.log1p(total)))
-        windows = np.log1p(len(data) / STRIDE)
-        return [*out, min(most, 12) / 4, out[3] / windows, windows / 4]
+            plain, windows = len(ordinary(window)), windows + 1
+            for k, compress in enumerate(toxic):
+                won = plain - len(compress(window))
+                net[k] += won
+                if won > 0:
+                    saved[k][min(won, SAVED[-1])] += 1
+                    most[k] = max(most[k], won)
+        out, size = [], np.log1p(windows)
+        for own, top, all_in_all in zip(saved, most, net):
+            out += [3 * all_in_all / windows, np.sign(all_in_all) * np.log1p(abs(all_in_all)), min(top, 12) / 4]
+            total = 0
+            for t in reversed(SAVED):
+                total += own[t]
+                out.append(np.log1p(total))
+                if t in SHARES:
+                    out += [10 * total / windows, np.log1p(total) / size, max(0.0, np.log1p(total) - np.log1p(CHANCE * windows))]
+        return [float(x) for x in [*out, size / 4]]
 
     def scorer(self):
-        ordinary, toxic = self.compressors()
+        compressors = list(self.compressors())
         weights = self.weights
 
         def score(text: str | None) -> float:
             if len(weights) == 1:
                 return weights[0]
-            x = self.features(folded(text), ordinary, toxic)
+            x = self.features(folded(text), *compressors)
             z = sum(a * b for a, b in zip(x, weights)) + weights[-1]
             return float(1 / (1 + np.exp(-min(30, max(-30, z)))))
 
@@ -247,11 +277,11 @@ def fit(sample: list[tuple[int, str]]) -> ToxicityModel:
     toxic = without_copies([t for y, t in first if y == 1])
     ordinary = without_copies([t for y, t in first if y == 0])
     model = ToxicityModel(base_strings(ordinary), toxic_strings(toxic, ordinary), toxic_segments(toxic, ordinary))
-    one, other = model.compressors()
+    compressors = list(model.compressors())
     y = np.array([y for y, _ in rest], float)
-    x = np.array([model.features(t, one, other) for _, t in rest])
+    x = np.array([model.features(t, *compressors) for _, t in rest])
     share = min(max(y.mean(), 1e-6), 1 - 1e-6)
-    model.weights = fit_logistic(x, y, np.where(y == 1, np.sqrt((1 - share) / share), 1.0), ridge=0.3).tolist()
+    model.weights = fit_logistic(x, y, np.where(y == 1, np.sqrt((1 - share) / share), 1.0), ridge=1.0).tolist()
     return model
 
 

@@ -167,19 +167,26 @@ def test_quality_scores_restated():
 
 def test_toxicity_scores_restated():
     model = toxicity.fit([(x, t) for _, t, _, x in corpus(300, 4)])
-    plain, toxic = model.compressors()
+    plain, *toxic = model.compressors()
+    assert len(toxic) == 2
     score = model.scorer()
     for text in some_texts():
         data = b" " + (text or "").encode().lower() + b" "
-        saved, at = [], 0
+        windows, at = [], 0
         while True:
-            window = data[at : at + 48]
-            saved.append(len(plain(window)) - len(toxic(window)))
+            windows.append(data[at : at + 48])
             at += 32
             if at >= max(1, len(data) - 48 + 32):
                 break
-        x = [np.log1p(sum(s >= t for s in saved)) for t in (6, 5, 4, 3, 2, 1)]
-        n = np.log1p(len(data) / 32)
-        x += [min(max(0, *saved, 0), 12) / 4, x[3] / n, n / 4]
+        n, x = len(windows), []
+        for compress in toxic:
+            saved = [len(plain(w)) - len(compress(w)) for w in windows]
+            x += [3 * sum(saved) / n, np.sign(sum(saved)) * np.log1p(abs(sum(saved))), min(max(0, *saved, 0), 12) / 4]
+            for t in (6, 5, 4, 3, 2, 1):
+                many = sum(s >= t for s in saved)
+                x.append(np.log1p(many))
+                if t in (2, 4):
+                    x += [10 * many / n, np.log1p(many) / np.log1p(n), max(0, np.log1p(many) - np.log1p(0.02 * n))]
+        x.append(np.log1p(n) / 4)
         z = sum(a * b for a, b in zip(x, model.weights)) + model.weights[-1]
         assert abs(score(text) - 1 / (1 + np.exp(-min(30, max(-30, z))))) < 1e-9, text
