@@ -74,6 +74,13 @@ def histogram(df: DataFrame) -> DataFrame:
     return df.groupBy(F.when(F.col("valid"), "valid").otherwise("refusal").alias("half"), "outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
+def failure_lines(counts: DataFrame) -> DataFrame:
+    """The histogram without what is correct, with each line's place in its half: in the order of OUTCOMES."""
+    at = F.array_position(F.array(*map(F.lit, OUTCOMES)), F.col("outcome"))
+    order = W.partitionBy("half").orderBy(at)  # a row for each outcome
+    return counts.where("outcome <> 'correct' and n > 0").withColumn("place", F.row_number().over(order))
+
+
 def samples(df: DataFrame, where: Column, by: str, limit: int, id_col: str) -> DataFrame:
     """The first failures of each kind, by id: a report, so the limit is its purpose."""
     order = W.partitionBy(by).orderBy(id_col)

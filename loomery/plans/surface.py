@@ -12,6 +12,7 @@ from loomery.operators import curate as C
 from loomery.operators import evaluate as E
 from loomery.operators import alias as A
 from loomery.operators import bytepairs as B
+from loomery.operators import generate as N
 from loomery.operators import history as H
 from loomery.operators import ordinals as O
 from loomery.operators import pack as P
@@ -410,3 +411,89 @@ def completion_names(spark, sf_dir):
     letters = F.transform(F.filter(F.split("source", ""), lambda x: x != ""), lambda x: F.ascii(x) + 300)
     ids = P.completion_ids(F.concat(F.array(action), target, one("<end>")), list(range(100, 110)), letters)
     return docs.select("doc_id", F.array_join(ids, ",").alias("ids"))
+
+
+def _shared(spark, label: str) -> str:
+    return f"{shared_root(spark)}/loomery/{label}-{uuid.uuid4().hex}"
+
+
+@query("""
+with w as (select unnest(string_split(p_name, ' ')) as word, p_partkey from part), c as (select word, count(*) as n from w group by 1)
+select word, case when n % 3 = 0 then null else n end as weight from c where word <> ''""")
+def word_list(spark, sf_dir):
+    """The words of parts' names and their counts as a list in a text file, with comments and blank lines, and as the table it is read as."""
+    words = table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ", -1)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("word <> ''")
+    line = F.when(F.col("n") % 3 == 0, F.concat(F.lit("  "), "word")).otherwise(F.concat_ws("\t", "word", "n"))
+    path = _shared(spark, "words")
+    S.write_report(words.select(F.explode(F.array(line, F.lit("# a comment"), F.lit("  ")))), path)
+    return S.read_words(spark, path, least=1).select("word", F.col("weight").cast("long").alias("weight"))
+
+
+@query("""select case role when 'user' then 0 else 1 end as part, conv_id * 1000 + turn as at, role as intent, sha256(coalesce(text, '')) as text_sha256 from conversations
+  union all select 2, item_id, 'benchmark', sha256(coalesce(text, '')) from benchmark""")
+def external_rows(spark, sf_dir):
+    """Three outside sets as one, in the order of the list and of each set."""
+    turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("role").alias("label_text"), "text")
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.lit("benchmark").alias("label_text"), "text")
+    rows = S.read_external([turns.where("label_text = 'user'"), turns.where("label_text <> 'user'"), items])
+    return rows.select("ord.part", "ord.at", "intent", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+@query("select 'item ' || item_id || ': ' || length(text) || ' characters' as line, count(*) as n from benchmark where text is not null group by 1")
+def review_lines(spark, sf_dir):
+    """A report for people as a text file, read again line by line."""
+    path = _shared(spark, "review")
+    items = table(spark, sf_dir, "benchmark").where("text is not null")
+    S.write_report(items.select(F.concat(F.lit("item "), "item_id", F.lit(": "), F.length("text"), F.lit(" characters"))), path)
+    return spark.read.text(path).groupBy(F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+with l as (select unnest(string_split(text, chr(10))) as line from conversations where text is not null), s as (select substr(replace(line, chr(13), ''), 1, 255) as line from l)
+select sha256(line) as line_sha256, length(line) as size, count(*) as n from s where trim(line) <> '' group by all""")
+def streamed_lines(spark, sf_dir):
+    """The lines of all turns through the line stream: written to a folder, streamed once, and counted."""
+    folder, out, check = (_shared(spark, f"lines-{x}") for x in ("in", "out", "check"))
+    table(spark, sf_dir, "conversations").where("text is not null").select(F.concat("text", F.lit("\r"))).write.text(folder)
+    query_ = S.stream_lines(spark, folder).writeStream.format("parquet").option("checkpointLocation", check).trigger(availableNow=True).start(out)
+    query_.awaitTermination()
+    lines = spark.read.schema("line string").parquet(out)
+    return lines.groupBy(F.sha2("line", 256).alias("line_sha256"), F.length("line").cast("long").alias("size")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""select doc_id, case when doc_id % 2 = 0 then '<set>|<name>|' || lang || '|<nend>|<end>' else '<read>|<pin>|' || doc_id % 10 || '|<end>' end as symbols from documents where lang is not null""")
+def symbols_of_ids(spark, sf_dir):
+    """Ids as a model gives them, back to symbols: a name's letters become one."""
+    docs = table(spark, sf_dir, "documents").where("lang is not null").select("doc_id", "lang")
+    letters = F.transform(F.filter(F.split("lang", ""), lambda c: c != ""), lambda c: F.ascii(c) + 300)
+    one = lambda *ids: F.array(*[F.lit(i) for i in ids])
+    number = {s: i for i, s in enumerate(P.RESERVED)}
+    digit = F.array((F.col("doc_id") % 10 + 100).cast("int"))
+    named = F.concat(one(number["<set>"], number["<name>"]), letters, one(number["<nend>"], number["<end>"]))
+    ids = F.when(F.col("doc_id") % 2 == 0, named).otherwise(F.concat(one(number["<read>"], number["<pin>"]), digit, one(number["<end>"])))
+    texts = F.expr("map(" + ", ".join(f"{300 + c}, '{chr(c)}'" for c in range(97, 123)) + ")")
+    known = dict(enumerate(P.RESERVED)) | {100 + d: str(d) for d in range(10)}
+    return docs.select("doc_id", F.array_join(G.symbols_of(ids, known, texts), "|").alias("symbols"))
+
+
+_PLACES = "case outcome " + " ".join(f"when '{o}' then {i}" for i, o in enumerate(E.OUTCOMES)) + " end"
+
+
+@query(f"""with {SQL_JUDGED}, oc as (select case when valid then 'valid' else 'refusal' end as half, outcome, count(*) as n from j where outcome <> 'correct' group by all)
+select half, outcome, n, row_number() over (partition by half order by {_PLACES}) as place from oc""")
+def outcome_lines(spark, sf_dir):
+    """The failures of each half in the order they are printed in."""
+    return E.failure_lines(E.histogram(judged(spark, sf_dir)))
+
+
+@query("""select item_id, '<unknown>,<end>' as symbols, 'unknown' as action, case when item_id % 2 = 0 then 'even' end as stratum, item_id % 3 = 0 as in_train,
+  'class ' || item_id % 4 as v2_class, item_id % 5 = 0 as v2_deferred, case when text is null then null else item_id % 7 = 0 end as locked from benchmark""")
+def refusal_flags(spark, sf_dir):
+    """Held-out rows whose label is to refuse, with all their flags."""
+    i = F.col("item_id")
+    rows = table(spark, sf_dir, "benchmark").select(
+        "text", i.cast("string").alias("source"), F.when(i % 2 == 0, "even").alias("stratum"), (i % 3 == 0).alias("in_train"), F.concat(F.lit("class "), i % 4).alias("v2_class"),
+        (i % 5 == 0).alias("v2_deferred"), F.when(F.col("text").isNotNull(), i % 7 == 0).alias("locked"),
+    )
+    out = N.refusal_rows(rows)
+    return out.select(F.col("source").cast("long").alias("item_id"), F.array_join("symbols", ",").alias("symbols"), "action", "stratum", "in_train", "v2_class", "v2_deferred", "locked")
