@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from loomery.functions import grammar as G
 from loomery.functions import text as X
+from loomery.functions.banks import SCALE, sql_choice
+from loomery.functions.templates import HEADS
 from loomery.operators import curate as C
 from loomery.operators import evaluate as E
 from loomery.operators import alias as A
@@ -16,7 +18,8 @@ from loomery.operators import generate as N
 from loomery.operators import history as H
 from loomery.operators import ordinals as O
 from loomery.operators import pack as P
-from loomery.plans.catalogue import ORACLE_SQL, SQL_JUDGED, SQL_PARSED, WILSON, _SCORE, commands, judged, packed_words, query, rounded, sql_case, sql_draw, sql_key, sql_list
+from loomery.operators import vocabulary as V
+from loomery.plans.catalogue import _CASED, _DRESSED, ORACLE_SQL, SQL_JUDGED, SQL_PARSED, WILSON, _SCORE, commands, judged, packed_words, query, rounded, sql_case, sql_draw, sql_key, sql_list
 from loomery.sources import formats as F_
 from loomery.sources import tables as S
 from loomery.sources.scratch import shared_root
@@ -497,3 +500,101 @@ def refusal_flags(spark, sf_dir):
     )
     out = N.refusal_rows(rows)
     return out.select(F.col("source").cast("long").alias("item_id"), F.array_join("symbols", ",").alias("symbols"), "action", "stratum", "in_train", "v2_class", "v2_deferred", "locked")
+
+
+def _sql_frames(ids: str, id_col: str, seed: int = 1) -> str:
+    """CTEs that end in fr: what with_frames() draws, from the definition of each draw; names as their number."""
+    key = lambda slot: f"'{seed}|' || {id_col} || '|{slot}'"
+    of = lambda slot, i: f"'{seed}|' || {id_col} || '|m' || {i} || '{slot}'"
+    below = lambda slot, n: sql_draw(key(slot), n)
+    chance = lambda slot, share: f"{below(slot, SCALE)} < {int(share * SCALE)}"
+    between = lambda slot, low, high: f"({below(slot, high - low + 1)} + {low})"
+    one_of = lambda slot, options: f"({options}[1 + {below(slot, len(options))}])"
+    s, far = N.SHARES, [n for n in range(60) if n not in G.PINS_S3]
+    pin = f"""case when {sql_draw(of('legal', 'i'), SCALE)} < {int(s['legal pin'] * SCALE)} then ({G.PINS_S3})[1 + {sql_draw(of('p', 'i'), len(G.PINS_S3))}]
+      when {sql_draw(of('k', 'i'), 100)} < 55 then ({N.NEAR_PINS})[1 + {sql_draw(of('n', 'i'), len(N.NEAR_PINS))}] when {sql_draw(of('k', 'i'), 100)} < 80 then ({far})[1 + {sql_draw(of('f', 'i'), len(far))}]
+      else 100 + {sql_draw(of('t', 'i'), 100)} end"""
+    high = f"case when {below('ik', 100)} < 55 then {one_of('il', N.LONG_MS)} when {below('ik', 100)} < 75 then {one_of('im', N.MINUTES_MS)} else {between('ia', G.INTERVAL_MAX + 1, 200_000)} end"
+    odd = f"case when {chance('is', 0.4)} then {between('iw', 1, G.INTERVAL_MIN - 1)} else {high} end"
+    fine = f"case when {chance('iq', 0.75)} then {one_of('ir', N.ROUND_MS)} else {between('iu', G.INTERVAL_MIN, G.INTERVAL_MAX)} end"
+    return f"""
+  d0 as (select {id_col}, {sql_choice(N.ACTION_WEIGHTS, key('action'))} as a, {chance('named', s['named'])} as named, list_transform(range(10), lambda i: {pin}) as numbers,
+    case when {chance('long', s['long chase'])} then {between('longer', G.MAX_SEQ_PINS + 1, G.MAX_SEQ_PINS + 4)} else {between('chase', 2, G.MAX_SEQ_PINS)} end as chase,
+    {below('roll', 100)} as roll, {below('path', 100)} as path, {G.PINS_S3} as board from {ids}),
+  d1 as (select *, list_transform(list_sort(list_transform(board, lambda p: sha1({key('sample')} || p) || lpad(p::varchar, 2, '0')))[1 : chase], lambda x: substr(x, 41)::int) as sampled,
+    {below('start', 1 << 30)} % (len(board) - chase + 1) as start, list_filter(numbers, lambda x, i: list_position(numbers, x) = i) as own,
+    case when {chance('one', s['one pin named'])} then 1 else {between('given', 2, 4)} end as given,
+    (a = 'blink' and roll < 70) or (a = 'seq' and {chance('timed', s['timed chase'])}) as timed, a = 'stop' and {chance('bare', s['bare stop'])} as bare,
+    {chance('names', s['names'])} as many_names, {chance('mixed', s['mixed'])} as mixed, {chance('every', s['every'])} and a in ('set', 'blink') as every from d0),
+  fr as (select {id_col}, a as action,
+    case when a = 'seq' then case when named then [] when path < 50 then board[start + 1 : start + chase] when path < 70 then list_sort(sampled) else numbers[1 : chase] end
+      when a = 'alias' then own[1 : given] when bare then [] when named then case when many_names then [] when mixed then numbers[1:1] else [] end
+      when every then [] when {chance('several', s['several'])} then numbers[1 : {between('many', 2, G.MAX_SEQ_PINS)}] else numbers[1:1] end as pins,
+    case when a = 'seq' then case when not named then 0 when {chance('group', s['group of chase'])} then 1 else {between('chase names', 2, 3)} end
+      when a = 'alias' then 1 when bare or not named then 0 when many_names then {between('many names', 2, 3)} else 1 end as names,
+    case when a = 'seq' then case when not named then [] when {chance('group', s['group of chase'])} then ['g'] else ['0', '1', '2'][1 : {between('chase names', 2, 3)}] end
+      when a = 'alias' then case when len(own[1 : given]) > 1 then ['g'] else ['0'] end when bare or not named then [] when many_names then ['0', '1', '2'][1 : {between('many names', 2, 3)}] else ['0'] end as which,
+    a not in ('seq', 'alias') and not bare and named and mixed and not many_names and {chance('turned', 0.5)} as turned, a not in ('seq', 'alias') and not bare and not named and every as every, case when a = 'set' then {sql_choice(N.LEVEL_WEIGHTS, key('level'))} end as level,
+    case when timed then case when {chance('io', s['odd interval'])} then {odd} else {fine} end end as interval_ms,
+    case when timed then case when {chance('cc', 0.85)} then {one_of('cn', N.COMMON_COUNTS)} else {between('cu', 1, 99)} end when a = 'blink' and roll < 84 then {between('blinks', 1, 20)} end as rounds
+    from d1)"""
+
+
+@query(f"""with {_sql_frames('events', 'event_id')} select event_id, action, array_to_string(pins, ',') as pins, cast(names as int) as names, every, level,
+  cast(interval_ms as int) as interval_ms, cast(rounds as int) as rounds from fr""")
+def generated_frame_rows(spark, sf_dir):
+    """A frame for each event, slot by slot."""
+    f = F.col("frame")
+    rows = N.with_frames(table(spark, sf_dir, "events").select(F.col("event_id").alias("id")))
+    return rows.select(
+        F.col("id").alias("event_id"), f["action"].alias("action"), F.array_join(G.pins_of(f), ",").alias("pins"), F.size(F.filter(f["targets"], lambda t: t["kind"] == "name")).alias("names"),
+        F.exists(f["targets"], lambda t: t["kind"] == "all").alias("every"), f["level"].alias("level"), f["interval_ms"].alias("interval_ms"), f["count"].alias("rounds"),
+    )
+
+
+ORACLE_SQL["generated_frames"] = f"""with {_sql_frames('events', 'event_id')},
+  v as (select action, case when len(list_filter(pins, lambda x: not list_contains({G.PINS_S3}, x))) > 0 then 'bad_pin' when action = 'seq' and len(pins) + names > {G.MAX_SEQ_PINS} then 'too_many_pins'
+    when interval_ms is not null and interval_ms not between {G.INTERVAL_MIN} and {G.INTERVAL_MAX} then 'bad_interval' else 'execute' end as verdict from fr)
+  select action, verdict, count(*) as n, 0 as misshapen from v group by all"""
+
+
+_FORMS = """list_filter(['every ' || ms || ' ms', 'every ' || ms || ' milliseconds', case when ms % 1000 = 0 then 'every ' || ms // 1000 || case when ms = 1000 then ' second' else ' seconds' end end,
+  case when ms % 1000 = 500 then 'every ' || ms // 1000 || '.5 seconds' end, case when ms % 60000 = 0 then 'every ' || ms // 60000 || case when ms = 60000 then ' minute' else ' minutes' end end,
+  case when ms > 0 and 1000 % nullif(ms, 0) = 0 then 'at ' || 1000 // ms || ' Hz' end, case when ms % 1000 = 0 then 'every ' || ms // 1000 || ' s' end,
+  case when ms > 0 and 1000 % nullif(ms, 0) = 0 and ms < 1000 then 1000 // ms || ' times a second' end,
+  case ms when 100 then 'very fast' when 250 then 'fast' when 500 then 'twice a second' when 1000 then 'once a second' when 2000 then 'slowly' end], lambda x: x is not null)"""
+_TIMES = """case k when 0 then ['', 'forever', 'without end'] when 1 then ['once', 'one time'] when 2 then ['twice', 'two times'] when 3 then ['three times', 'thrice']
+  else [k || ' times', 'for ' || k || ' cycles', k || 'x'] end"""
+
+
+def _sql_texts(ids: str, id_col: str, seed: int = 1) -> str:
+    """CTEs that end in tx: what realize() says for the frames, from the definition of each choice."""
+    key = lambda slot: f"'{seed}|' || {id_col} || '|{slot}'"
+    below = lambda slot, n: sql_draw(key(slot), n)
+    one_of = lambda slot, options: f"{sql_list(options)}[1 + {below(slot, len(options))}]"
+    heads = " ".join(
+        f"when action = '{a}'{f" and level = '{v}'" if v else ''} then {one_of('head', forms)}"
+        for a, bank in HEADS.items() for v, forms in (bank.items() if isinstance(bank, dict) else [(None, bank)])
+    )
+    spelt = f"list_transform(which, lambda w: case w when 'g' then {V.GROUP_NAME.sql(key('group'))} " + " ".join(f"when '{i}' then {V.NAME.sql(key(f'name{i}'))}" for i in range(3)) + " end)"
+    return f"""{_sql_frames(ids, id_col, seed)},
+  t0 as (select *, {spelt} as spelt, cast(interval_ms as bigint) as ms, cast(rounds as bigint) as k, case {heads} end as head, {one_of('pin style', N.PIN_STYLES)} as style,
+    {sql_choice(N.DETERMINERS, key('determiner'))} as det, {one_of('every word', N.EVERY)} as every_word, {one_of('joiner', N.JOINERS)} as joiner, {below('terse', SCALE)} < {int(N.SHARES['terse'] * SCALE)} as terse from fr),
+  t1 as (select *, list_transform(pins, lambda p: replace(style, '{{n}}', p::varchar)) as said_pins, list_transform(spelt, lambda n: det || n) as said_names, {_FORMS} as forms, {_TIMES} as times from t0),
+  t2 as (select *, case when every then [every_word] when turned then list_concat(said_names, said_pins) else list_concat(said_pins, said_names) end as said,
+    case when every then ['all'] when turned then list_concat(spelt, list_transform(pins, lambda p: p::varchar)) else list_concat(list_transform(pins, lambda p: p::varchar), spelt) end as short from t1),
+  t3 as (select *, case when len(said) = 0 then 'it all' when action = 'alias' then array_to_string(said[1 : len(said) - 1], ', ') || ' is ' || said[len(said)] when len(said) < 2 then said[1]
+    else array_to_string(said[1 : len(said) - 1], ', ') || joiner || said[len(said)] end as ref from t2),
+  t4 as (select {id_col}, case when terse then concat_ws(' ', action, array_to_string(short, ' '), level, ms || 'ms', 'x' || k)
+      else concat_ws(' ', replace(head, '{{r}}', ref) || case when action in ('set', 'read') then {sql_choice(N.WHERE, key('where'))} else '' end,
+        forms[1 + {below('rate words', 1 << 30)} % greatest(1, len(forms))], nullif(case when k is not null then times[1 + {below('count words', 1 << 30)} % greatest(1, len(times))] end, '')) end as said,
+    case when terse then 'terse' when regexp_matches(head, '^(what does|is|does) ') then 'question' when starts_with(head, '{{r}}') then 'bare' else 'imperative' end as mood, {key('dress')} as key from t3),
+  t5 as (select *, case mood {_DRESSED} end as dressed from t4),
+  tx as (select {id_col}, mood, case mood {_CASED} end as text from t5)"""
+
+
+@query(f"with {_sql_texts('events', 'event_id')} select event_id, text from tx")
+def generated_texts(spark, sf_dir):
+    """A frame for each event, in words."""
+    rows = N.realize(N.with_frames(table(spark, sf_dir, "events").select(F.col("event_id").alias("id"))))
+    return rows.select(F.col("id").alias("event_id"), "text")
