@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomery.llm.labelled import fit_logistic, fold_of, labelled_sample
-from loomery.llm.shared import free_name, lean
+from loomery.llm.shared import free_name, give_back, lean
 
 WINDOW = 48
 STRIDE = 32
@@ -38,6 +38,7 @@ MIN_RATIO = 60.0  # of its shares in toxic and ordinary texts
 PASSAGE_TEXTS = 5  # toxic texts that a gram of a passage must be in
 PASSAGE_RATIO = 8.0  # of its occurrences a text in toxic and ordinary ones
 OCCURRENCES = 8  # that count in one text
+GATHERED = 1 << 20  # grams that are held until they are summed up
 LEVEL = 3
 SAVED = (1, 2, 3, 4, 5, 6)  # bytes saved, the thresholds
 SHARES = (2, 4)  # those of them at which the share of windows counts as well
@@ -80,8 +81,8 @@ def without_copies(texts: list[bytes]) -> list[bytes]:
 def doc_frequency(texts: list[bytes], wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Grams and the number of texts each is in; of the wanted ones (sorted) if given."""
     if wanted is None:
-        parts = [np.unique(grams(t)) for t in texts]
-        return np.unique(np.concatenate(parts or [np.zeros(0, np.uint64)]), return_counts=True)
+        values, _, held = occurrences(texts)
+        return values, held
     counts = np.zeros(len(wanted), np.int64)
     for t in texts:
         g = np.unique(grams(t))
@@ -147,10 +148,27 @@ def occurrences(texts: list[bytes], wanted: np.ndarray | None = None) -> tuple[n
             often[at[same]] += np.minimum(n[same], OCCURRENCES)
             held[at[same]] += 1
         return wanted, often, held
-    parts = [np.unique(grams(t), return_counts=True) for t in texts]
-    values, place = np.unique(np.concatenate([g for g, _ in parts] or [np.zeros(0, np.uint64)]), return_inverse=True)
-    counts = np.concatenate([np.minimum(n, OCCURRENCES) for _, n in parts] or [np.zeros(0)])
-    return values, np.bincount(place, weights=counts, minlength=len(values)), np.bincount(place, minlength=len(values))
+    whole = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    waiting, size = [], 0
+    for i, t in enumerate(texts):
+        g, n = np.unique(grams(t), return_counts=True)
+        waiting.append((g, np.minimum(n, OCCURRENCES), np.ones(len(g), np.int64)))
+        size += len(g)
+        if size > GATHERED or i == len(texts) - 1:
+            whole = added([whole, *waiting])
+            waiting, size = [], 0
+    return whole
+
+
+def added(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts of grams, those of equal grams summed."""
+    values, place = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    out = []
+    for k in (1, 2):
+        counts = np.zeros(len(values), np.int64)
+        np.add.at(counts, place, np.concatenate([p[k] for p in parts]))
+        out.append(counts)
+    return values, *out
 
 
 def toxic_passages(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
@@ -276,7 +294,12 @@ def fit(sample: list[tuple[int, str]]) -> ToxicityModel:
     rest = [(y, folded(t)) for i, (y, t) in enumerate(sample) if not i % 3]
     toxic = without_copies([t for y, t in first if y == 1])
     ordinary = without_copies([t for y, t in first if y == 0])
-    model = ToxicityModel(base_strings(ordinary), toxic_strings(toxic, ordinary), toxic_segments(toxic, ordinary))
+    model = ToxicityModel(base_strings(ordinary))
+    give_back()  # of the driver's memory, step by step
+    model.trained = toxic_strings(toxic, ordinary)
+    give_back()
+    model.segments = toxic_segments(toxic, ordinary)
+    give_back()
     compressors = list(model.compressors())
     y = np.array([y for y, _ in rest], float)
     x = np.array([model.features(t, *compressors) for _, t in rest])
