@@ -483,7 +483,7 @@ _PLACES = "case outcome " + " ".join(f"when '{o}' then {i}" for i, o in enumerat
 
 
 @query(f"""with {SQL_JUDGED}, oc as (select case when valid then 'valid' else 'refusal' end as half, outcome, count(*) as n from j where outcome <> 'correct' group by all)
-select half, outcome, n, row_number() over (partition by half order by {_PLACES}) as place from oc""")
+select half, outcome, n, cast(row_number() over (partition by half order by {_PLACES}) as int) as place from oc""")
 def outcome_lines(spark, sf_dir):
     """The failures of each half in the order they are printed in."""
     return E.failure_lines(E.histogram(judged(spark, sf_dir)))
@@ -555,7 +555,7 @@ def generated_frame_rows(spark, sf_dir):
 ORACLE_SQL["generated_frames"] = f"""with {_sql_frames('events', 'event_id')},
   v as (select action, case when len(list_filter(pins, lambda x: not list_contains({G.PINS_S3}, x))) > 0 then 'bad_pin' when action = 'seq' and len(pins) + names > {G.MAX_SEQ_PINS} then 'too_many_pins'
     when interval_ms is not null and interval_ms not between {G.INTERVAL_MIN} and {G.INTERVAL_MAX} then 'bad_interval' else 'execute' end as verdict from fr)
-  select action, verdict, count(*) as n, 0 as misshapen from v group by all"""
+  select action, verdict, count(*) as n, 0::bigint as misshapen from v group by all"""
 
 
 _FORMS = """list_filter(['every ' || ms || ' ms', 'every ' || ms || ' milliseconds', case when ms % 1000 = 0 then 'every ' || ms // 1000 || case when ms = 1000 then ' second' else ' seconds' end end,
