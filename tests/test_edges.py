@@ -185,7 +185,7 @@ def test_refusal_rows(spark):
 
     df = spark.createDataFrame([("dim it", "near", True), (None, "far", None)], "text string, source string, locked boolean")
     rows = N.refusal_rows(df).collect()
-    assert rows[0].asDict() == {"text": "dim it", "symbols": ["<unknown>", "<end>"], "action": "unknown", "source": "near", "stratum": None, "in_train": None, "locked": True}
+    assert rows[0].asDict() == {"text": "dim it", "symbols": ["<unknown>", "<end>"], "action": "unknown", "source": "near", "stratum": None, "in_train": None, "v2_class": None, "v2_deferred": None, "locked": True}
     assert rows[1].locked is None and N.refusal_rows(df.limit(0)).count() == 0
 
 
