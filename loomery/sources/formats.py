@@ -171,6 +171,21 @@ class LinesReader(DataSourceReader):
         return data
 
 
+def files_of(folders: list[str], split: str) -> list[tuple[str, int]]:
+    """The files of a split and their sizes, in the first folder that has it; FileNotFoundError if none has."""
+    from pyarrow import fs as afs
+
+    for folder in folders:
+        files = listing(folder, split)
+        if files is not None:
+            return [(f"{folder}/{f['names'][0]}", f["bytes"]) for f in files]
+        fs, path = opened(f"{folder}/{split}.jsonl")
+        info = fs.get_file_info(path)
+        if info.type == afs.FileType.File:
+            return [(f"{folder}/{split}.jsonl", info.size)]
+    raise FileNotFoundError(f"no {split}.jsonl in {', '.join(folders)}")
+
+
 class SplitLines(DataSource):
     """JSON lines of a split: what a committed write left, or a plain file {split}.jsonl."""
 
@@ -187,18 +202,7 @@ class SplitLines(DataSource):
         return json.loads(self.options["folders"]) if "folders" in self.options else [self.options["path"]]
 
     def reader(self, schema: StructType) -> LinesReader:
-        from pyarrow import fs as afs
-
-        split = self.options.get("split", "train")
-        for folder in self._folders():
-            files = listing(folder, split)
-            if files is not None:
-                return LinesReader(schema, [(f"{folder}/{f['names'][0]}", f["bytes"]) for f in files])
-            fs, path = opened(f"{folder}/{split}.jsonl")
-            info = fs.get_file_info(path)
-            if info.type == afs.FileType.File:
-                return LinesReader(schema, [(f"{folder}/{split}.jsonl", info.size)])
-        raise FileNotFoundError(f"no {split}.jsonl in {', '.join(self._folders())}")
+        return LinesReader(schema, files_of(self._folders(), self.options.get("split", "train")))
 
     def writer(self, schema: StructType, overwrite: bool) -> LinesWriter:
         return LinesWriter(self._folders()[0], self.options.get("split", "train"), overwrite)

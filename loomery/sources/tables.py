@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomery.sources.formats import register
+from loomery.sources.formats import files_of, register
 
 CORPUS_SCHEMA = "text string, symbols array<string>, action string, source string, split string"
 HELD_OUT_SCHEMA = (
@@ -23,7 +23,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def read_jsonl(spark: SparkSession, schema: str, *folders: str, split: str) -> DataFrame:
-    """One JSON object a line, from the first folder that has the split."""
+    """One JSON object a line, from the first folder that has the split; if none has, FileNotFoundError at once."""
+    files_of(list(folders), split)
     register(spark)
     return spark.read.format("split_lines").schema(schema).option("folders", json.dumps(folders)).option("split", split).load()
 
