@@ -6,11 +6,14 @@ the long lists are only probed, by binary search, for the partners found.
 
 Spread over a cluster it goes as follows. A counting sketch of fixed size over all shingles orders them by frequency; the
 n - T + 1 rarest of a document are its short lists. Documents with equal sets are one class from here on. Short lists
-that classes share tie them into families, outside which no link can be: small lists by the pairs whose sizes and parities
-allow a link, large ones as a whole where sizes are near.
+that classes share tie them into families, outside which no link can be, by those pairs whose sizes and parities allow a
+link: of small lists all pairs are made, a large one is searched by parities in a task (in blocks beyond LIST_BLOCK), which
+gives no more ties than there are classes. A set has as many parities as shingles or half of them, at least PARITY_BITS:
+with fewer, chance meetings of long documents would tie a large part of the table into one family.
 A family is searched in one task, with inverted lists of its own: the short lists of a set are merged by a heap, the long ones
-probed. One beyond FAMILY_SHINGLES is not: there, each short list is a group of its own, dealt in blocks, and every pair of
-blocks is searched. For components no pairs are emitted, only the links that join parts not joined yet, and a list whose
+probed. One beyond FAMILY_SHINGLES is not: its classes are first searched in bounded groups, each with a class that they share
+a list with; then each short list whose holders are not in one part by now is a group of its own, dealt in blocks, and every
+pair of blocks is searched. For components no pairs are emitted, only the links that join parts not joined yet, and a list whose
 holders are all in the set's own part already is not read: a group of k near copies costs k short searches and k rows.
 jaccard_links() looks at every pair instead and counts them.
 
@@ -44,6 +47,7 @@ FAMILY_SHINGLES = 2_000_000
 BLOOM_BITS = 1 << 26
 PARITY_BITS = 512
 PAIRED_LIST = 8
+LIST_BLOCK = 4096  # classes of one list compared in a task
 FIRST_CANDIDATES, CANDIDATES = 16, 512  # verified at a time
 BATCH_BYTES = 512 << 10
 
@@ -221,11 +225,49 @@ def short_lists(texts: DataFrame, words: int, percent: int, shared) -> DataFrame
 
 
 def parities(shingles: np.ndarray) -> np.ndarray:
-    """A bit for each remainder of the hashes by PARITY_BITS: is the number of shingles with it odd?"""
-    odd = np.bincount((shingles & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS) & 1
+    """A bit for each remainder of the hashes: is the number of shingles with it odd?
+
+    There are PARITY_BITS remainders, or the power of two up to the number of shingles where that is more.
+    """
+    bits = max(PARITY_BITS, 1 << max(0, len(shingles).bit_length() - 1))
+    odd = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
+def folded(rows: np.ndarray, width: int) -> np.ndarray:
+    """Rows of parities as those of fewer remainders, width words a row."""
+    while rows.shape[1] > width:
+        half = rows.shape[1] // 2
+        rows = rows[:, :half] ^ rows[:, half:]
+    return rows
+
+
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many parities rows differ, taken at the narrower width."""
+    width = min(a.shape[1], b.shape[1])
+    return np.bitwise_count((folded(a, width) ^ folded(b, width)).view(np.uint64)).sum(1, dtype=np.int64)
+
+
+def _ragged(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(values, starts, sizes) of an Arrow array of lists."""
+    sizes = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    return column.flatten().to_numpy(zero_copy_only=False), np.cumsum(sizes) - sizes, sizes
+
+
+def _alike(batches, percent: int):
+    """The (a, b) of rows (a, b, na, nb, pa, pb) whose parities allow a link."""
+    import pyarrow as pa
+
+    for batch in batches:
+        n = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+        (va, sa, wa), (vb, sb, wb) = _ragged(batch.column(4)), _ragged(batch.column(5))
+        apart = np.zeros(len(n), np.int64)
+        for x, y in {*zip(wa.tolist(), wb.tolist())}:
+            at = np.flatnonzero((wa == x) & (wb == y))
+            apart[at] = _apart(va[sa[at, None] + np.arange(x)], vb[sb[at, None] + np.arange(y)])
+        yield batch.select([0, 1]).filter(pa.array(apart * (100 + percent) <= n * (100 - percent)))
+
+
 def paired(lists: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs on lists of at most PAIRED_LIST classes that could link by their sizes and parities.
 
@@ -237,30 +279,72 @@ def paired(lists: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     pairs = a.join(b, "token").where(near).select("a", "na", "b", "nb").distinct()
     # a 64-bit class id that two classes share has parities of either; a pair is kept if any of them allow it
     first, second = classes.select(F.col("d1").alias("a"), F.col("parity").alias("pa")), classes.select(F.col("d1").alias("b"), F.col("parity").alias("pb"))
-    apart = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    both = pairs.join(first, "a").join(second, "b")
-    return both.where(apart * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)).select("a", "b").distinct()
+    both = pairs.join(first, "a").join(second, "b").select("a", "b", "na", "nb", "pa", "pb")
+    return both.mapInArrow(lean(lambda batches: _alike(batches, percent)), "a long, b long").distinct()
 
 
-def family_edges(lists: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """What ties classes to families: the pairs of small lists, and all that are on one large list, where sizes are near."""
-    sizes = lists.groupBy("token").agg(F.count(F.lit(1)).alias("many"))
+def family_edges(lists: DataFrame, classes: DataFrame, percent: int, list_block: int = LIST_BLOCK) -> DataFrame:
+    """What ties classes to families: on each list, pairs that join all whose sizes and parities allow a link, directly or not."""
+    same = F.sum(F.xxhash64("cls", "n").cast("decimal(38,0)")).alias("who")
+    sizes = lists.groupBy("token").agg(F.count(F.lit(1)).alias("many"), same)
     few = lists.join(sizes.where(F.col("many") <= PAIRED_LIST), "token").select("token", "cls", "n")
-    more = lists.join(sizes.where(F.col("many") > PAIRED_LIST), "token").select("token", "cls", "n")
-    return paired(few, classes, percent).unionByName(banded(more, percent)).distinct()
-
-
-def banded(lists: DataFrame, percent: int) -> DataFrame:
-    """Ties classes on one list to the least of their size band, and band to band."""
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("long")
-    rows = lists.withColumn("band", band)
-    centre = rows.groupBy("token", "band").agg(F.min("cls").alias("centre"))
-    star = rows.join(centre, ["token", "band"]).where("cls <> centre").select(F.col("cls").alias("a"), F.col("centre").alias("b"))
-    # two documents whose sizes allow a link are in the same band or, with rounding, at most two bands apart
-    out = star
-    for gap in (1, 2):
-        upper = centre.select("token", (F.col("band") - gap).alias("band"), F.col("centre").alias("other"))
-        out = out.unionByName(centre.join(upper, ["token", "band"]).select(F.col("centre").alias("a"), F.col("other").alias("b")))
+    # lists of the same classes need one search
+    large = sizes.where(F.col("many") > PAIRED_LIST).groupBy("many", "who").agg(F.min("token").alias("token"))
+    more = lists.join(large, "token").select("token", "cls", "n", "many")
+    return paired(few, classes, percent).unionByName(tied(more, classes, percent, list_block)).distinct()
+
+
+def tied(lists: DataFrame, classes: DataFrame, percent: int, list_block: int) -> DataFrame:
+    """Pairs that join the classes of each list (token, cls, n, many), or of each pair of its blocks, by sizes and parities."""
+    blocks = F.greatest(F.lit(1), F.ceil(2 * F.col("many") / F.lit(list_block))).cast("long")
+    dealt = lists.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")))
+    dealt = dealt.withColumn("mate", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    key = [F.col("token"), F.least("block", "mate").alias("lo"), F.greatest("block", "mate").alias("hi")]
+    known = classes.select(F.col("d1").alias("cls"), "n", "parity")
+    rows = dealt.select(*key, "cls", "n").join(known, ["cls", "n"]).select("token", "lo", "hi", "cls", "n", "parity")
+    rows = rows.repartition(partitions_for(lists.sparkSession), "token", "lo", "hi").sortWithinPartitions("token", "lo", "hi", "n", "cls")
+
+    def run(batches):
+        import pyarrow as pa
+
+        key, ids, sizes, own = None, [], [], []
+        for batch in batches:
+            keys = zip(*(batch.column(i).to_pylist() for i in range(3)))
+            values, starts, widths = _ragged(batch.column(5))
+            out = []
+            for k, cls, n, at, width in zip(keys, batch.column(3).to_pylist(), batch.column(4).to_pylist(), starts.tolist(), widths.tolist()):
+                if k != key:
+                    out += ties(ids, sizes, own, percent)
+                    key, ids, sizes, own = k, [], [], []
+                ids.append(cls)
+                sizes.append(n)
+                own.append(values[at : at + width].copy())
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
+        if out := ties(ids, sizes, own, percent):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
+
+    return rows.mapInArrow(lean(run), "a long, b long")
+
+
+def ties(ids: list[int], sizes: list[int], parity: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Pairs of sets, given by rising size, that join all pairs whose sizes and parities allow a link; less than there are sets."""
+    n, width = np.array(sizes, np.int64), np.array([len(x) for x in parity], np.int64)
+    # the sets of at least a width, by their parities at that width; as sets are given by size, those of a width are in a row
+    at = {w: int(np.searchsorted(width, w)) for w in set(width.tolist())}
+    table = {w: np.concatenate([folded(np.stack(parity[at[x] : int(np.searchsorted(width, x, "right"))]), w) for x in sorted(at) if x >= w]) for w in at}
+    parts, out = Parts(len(n)), []
+    for a in range(1, len(n)):
+        least = int(np.searchsorted(n, needed(int(n[a]), percent)))
+        for some in (np.arange(max(least, a - 1), a), np.arange(least, a - 1)):
+            some = some[parts.roots(some) != parts.root(a)] if len(some) else some
+            for w in np.unique(width[some]).tolist():
+                few = some[width[some] == w]
+                apart = np.bitwise_count((table[w][few - at[w]] ^ table[w][a - at[w]]).view(np.uint64)).sum(1, dtype=np.int64)
+                for b in few[apart * (100 + percent) <= (n[a] + n[few]) * (100 - percent)].tolist():
+                    if parts.root(a) != parts.root(b):
+                        parts.join(a, b)
+                        out.append((ids[a], ids[b]))
     return out
 
 
@@ -482,12 +566,42 @@ def _join(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int,
 
     small = members.where(F.col("weight") <= family_shingles).select(F.col("family").alias("g1"), zero.alias("g2"), zero.alias("g3"), F.col("rep").alias("doc"))
     large = members.where(F.col("weight") > family_shingles).select(F.col("rep").alias("doc"), F.col("d1").alias("cls"), "n")
-    dealt = small.unionByName(_blocks(large, lists, family_shingles))
-    links = steps.written(_grouped_links(dealt.join(bodies, "doc"), words, percent, every), "links")
+    if every or large.isEmpty():
+        dealt = small.unionByName(_blocks(large, lists, family_shingles))
+        links = steps.written(_grouped_links(dealt.join(bodies, "doc"), words, percent, every), "links")
+    else:
+        first = small.unionByName(_stars(large, lists, family_shingles))
+        found = steps.written(_grouped_links(first.join(bodies, "doc"), words, percent, False), "first-links")
+        rest = _blocks(large, _unsettled(large, lists, found), family_shingles)
+        links = steps.written(found.unionByName(_grouped_links(rest.join(bodies, "doc"), words, percent, False)), "links")
     marks.destroy()
     return rows, reps, links
 
 
+def _stars(large: DataFrame, lists: DataFrame, family_shingles: int) -> DataFrame:
+    """The classes of large families in bounded groups, each once, with the least class they share a list with."""
+    own = lists.select("token", "cls").join(large, "cls")
+    least = own.groupBy("token").agg(F.min("cls").alias("centre"))
+    star = own.join(least, "token").groupBy("cls").agg(F.min("centre").alias("centre"), F.min("doc").alias("doc"), F.min("n").alias("n"))
+    blocks = F.greatest(F.lit(1), F.ceil(2 * F.sum("n") / F.lit(family_shingles))).cast("long").alias("blocks")
+    dealt = star.groupBy("centre").agg(blocks)
+    zero = F.lit(0).cast("long")
+    # each class in its block, and the centre in every block of its own
+    rays = star.join(dealt, "centre").select("centre", F.pmod(F.xxhash64("doc"), F.col("blocks")).alias("block"), "doc")
+    spots = dealt.select("centre", F.explode(F.sequence(zero, F.col("blocks") - 1)).alias("block"))
+    centres = spots.join(large.select(F.col("cls").alias("centre"), "doc"), "centre")
+    # a group of its own key: families go by g2 = 0
+    return rays.unionByName(centres.select("centre", "block", "doc")).distinct().select(F.col("centre").alias("g1"), F.lit(1).cast("long").alias("g2"), F.col("block").alias("g3"), "doc")
+
+
+def _unsettled(large: DataFrame, lists: DataFrame, found: DataFrame) -> DataFrame:
+    """The lists of large families whose holders are in several parts by the links found."""
+    parts = components(found).select(F.col("node").alias("doc"), F.col("component"))
+    own = lists.select("token", "cls").join(large, "cls").join(parts, "doc", "left").withColumn("part", F.coalesce("component", "doc"))
+    several = own.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("token")
+    return lists.join(several, "token", "left_semi")
+
+
 def jaccard_classes(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = SIMILAR, family_shingles: int = FAMILY_SHINGLES
 ) -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from loomery.llm.components import components
-from loomery.llm.jaccard_join import jaccard_classes, jaccard_links, linked
+from loomery.llm.jaccard_join import Parts, _stars, _unsettled, family_edges, jaccard_classes, jaccard_links, linked, parities, ties
 
 
 def brute_sets(sets, percent):
@@ -177,3 +177,54 @@ def test_components(spark):
             x, y = root(a), root(b)
             above[max(x, y)] = min(x, y)
     assert got == {x: root(x) for x in list(above)}
+
+
+@pytest.mark.parametrize("percent", [60, 80, 85])
+def test_ties_join_all_that_link(percent):
+    rng = np.random.default_rng(percent + 2)
+    base = [np.unique(rng.integers(0, 1 << 62, n)) for n in (30, 500, 511, 520, 1500, 2100)]
+    sets = [np.unique(np.r_[base[i % 6][rng.random(len(base[i % 6])) > rng.choice([0.0, 0.03, 0.1])], rng.integers(0, 1 << 62, 2)]).astype(np.uint64) for i in range(120)]
+    sets.sort(key=len)
+    found = ties(list(range(120)), [len(s) for s in sets], [parities(s) for s in sets], percent)
+    want = brute_sets({i: set(s.tolist()) for i, s in enumerate(sets)}, percent)
+    parts = Parts(120)
+    for a, b in found:
+        parts.join(a, b)
+    assert len(found) < 120 and all(parts.root(i) == parts.root(j) for i, j in want.items())
+
+
+def test_chance_meetings_of_long_sets_tie_no_family(spark):
+    """Long documents that share a rare shingle and nothing else stay apart, on small lists and on large ones."""
+    rng = np.random.default_rng(4)
+    sets = [np.unique(np.r_[rng.integers(0, 1 << 62, 1200 + 3 * i), [7]]).astype(np.uint64) for i in range(40)]
+    rows = [(i, i, len(s), [int(x) for x in parities(s)]) for i, s in enumerate(sets)]
+    classes = spark.createDataFrame(rows, "d1 long, d2 long, n long, parity array<long>")
+    entries = [(7, i, len(s)) for i, s in enumerate(sets)] + [(100 + i, j, len(sets[j])) for i in range(39) for j in (i, i + 1)]
+    lists = spark.createDataFrame(entries, "token long, cls long, n long")
+    assert family_edges(lists, classes, 85).count() == 0
+    # the same in blocks, with a near copy to be found
+    near = np.unique(np.r_[sets[3][:-40], rng.integers(0, 1 << 62, 30).astype(np.uint64)])
+    classes = classes.unionByName(spark.createDataFrame([(77, 77, len(near), [int(x) for x in parities(near)])], classes.schema))
+    lists = lists.unionByName(spark.createDataFrame([(7, 77, len(near))], lists.schema))
+    assert {tuple(sorted(r)) for r in family_edges(lists, classes, 85, list_block=16).collect()} == {(3, 77)}
+
+
+def test_a_large_family_is_searched_in_stars_first(spark):
+    """Lists of a family beyond the bound that lie in one part by the first search are not dealt again."""
+    rng = random.Random(8)
+    words = [f"x{i}" for i in range(120)]
+    docs = []
+    for i in range(60):
+        w = list(words)
+        w[rng.randrange(120)] = f"y{i}"
+        docs.append((i, " ".join(w)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    assert {(r.doc, r.component_id) for r in jaccard_classes(frame, words=4, percent=85, family_shingles=2000).collect()} == {(i, 0) for i in range(60)}
+    large = spark.createDataFrame([(i, 100 + i, 117) for i in range(60)], "doc long, cls long, n long")
+    lists = spark.createDataFrame([(t, 100 + i, 117) for t in range(3) for i in range(t, 60)] + [(9, 100, 117), (9, 159, 117)], "token long, cls long, n long")
+    stars = [(r.g1, r.g3, r.doc) for r in _stars(large, lists, 2000).collect()]
+    assert {d for _, _, d in stars} == set(range(60)) and max(sum(s[:2] == k[:2] for s in stars) for k in stars) * 117 < 4000
+    found = spark.createDataFrame([(0, i) for i in range(1, 59)], "a long, b long")
+    assert {r.token for r in _unsettled(large, lists, found).select("token").distinct().collect()} == {0, 1, 2, 9}
+    found = spark.createDataFrame([(0, i) for i in range(1, 60)], "a long, b long")
+    assert _unsettled(large, lists, found).count() == 0
