@@ -107,3 +107,21 @@ def test_the_table_sorted(spark):
     for r in rows[::997]:
         a, b = model["merges"][r["rank"]]
         assert r.packed == model["vocab"][a] << 32 | model["vocab"][b] and r.made == model["vocab"][a + b]
+
+
+def test_slices_bound_what_is_worked_on_at_a_time(monkeypatch):
+    many = pa.array(["x" * 700, None, "", "é" * 200, "y" * 5000, *texts(300, 9)])
+    for values in (many, many.slice(3), many.cast(pa.large_string()), B.loaded(PATH).encoded(many), many.slice(0, 0)):
+        parts = list(B.slices(values, 1000))
+        assert pa.concat_arrays(parts).equals(values)
+        assert all(len(p) == 1 or sum(len(x or "") * (1 if isinstance(x, str) else 4) for x in p.to_pylist()) <= 1000 for p in parts)
+    seen = []
+    split = B.split_texts
+    monkeypatch.setattr(B, "SLICE_BYTES", 1000)
+    monkeypatch.setattr(B, "split_texts", lambda t, *more: seen.append(sum(len((x or "").encode()) for x in t.to_pylist() if len(t) > 1)) or split(t, *more))
+    from pyspark.sql import functions as F_
+
+    monkeypatch.setattr(F_, "arrow_udf", lambda run, kind: lambda column: run(column))
+    assert B.encode(many, PATH).equals(B.loaded(PATH).encoded(many)) and B.words(many).to_pylist()[:3] == [["x" * 700], None, []]
+    assert B.decode(B.encode(many, PATH), PATH).to_pylist() == [None if x is None else x.encode() for x in many.to_pylist()]
+    assert len(seen) > 10 and sorted(seen)[-2] <= 1000  # one call with all at once is this test's own
