@@ -113,9 +113,16 @@ def frames(spark: SparkSession, n: int, seed: int = 1) -> DataFrame:
     return with_frames(spark.range(n), seed)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Ids dealt evenly to as many tasks as the session has: a draw costs far more than its id, and a small file of ids is one task."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def with_frames(df: DataFrame, seed: int = 1) -> DataFrame:
     """(id, frame) for each id, in steps so that each draw is made once."""
     d = Draws(seed)
+    df = spread(df.select("id"))
     as_pins = lambda numbers: F.transform(numbers, lambda x: _target("pin", x.cast("int")))
     df = df.select(
         "id", d.weighted("action", ACTION_WEIGHTS).alias("a"), d.chance("named", SHARES["named"]).alias("named"),

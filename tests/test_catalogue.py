@@ -135,3 +135,10 @@ def test_many_short_items_are_all_searched(spark):
     held = spark.createDataFrame(items, "item_id long, text string")
     got = {tuple(r) for r in C.leaks_contained(docs, held, "doc_id", "item_id").collect()}
     assert got == {(d, i) for d, t in texts for i, item in items if t and item in t} and len(got) == 4
+
+
+def test_frames_are_drawn_in_many_tasks(spark):
+    """The events are one file of one row group; drawing costs more than reading."""
+    rows = catalogue.QUERIES["generated_texts"](spark, SF)
+    per_task = [r.n for r in rows.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert len(per_task) > 1 and max(per_task) <= 2 * sum(per_task) / len(per_task)
