@@ -125,3 +125,22 @@ def test_slices_bound_what_is_worked_on_at_a_time(monkeypatch):
     assert B.encode(many, PATH).equals(B.loaded(PATH).encoded(many)) and B.words(many).to_pylist()[:3] == [["x" * 700], None, []]
     assert B.decode(B.encode(many, PATH), PATH).to_pylist() == [None if x is None else x.encode() for x in many.to_pylist()]
     assert len(seen) > 10 and sorted(seen)[-2] <= 1000  # one call with all at once is this test's own
+
+
+def test_pairs_that_no_merge_touched_are_looked_up_once(monkeypatch):
+    table = B.loaded(PATH)
+    looked, found = [], table.found
+    monkeypatch.setattr(table, "found", lambda pairs: looked.append(len(pairs)) or found(pairs))
+    word = "".join(random.Random(4).choices("etaoinshr", k=20_000))
+    ids = table.encoded(pa.array([word])).to_pylist()[0]
+    assert sum(looked) < 4 * len(word) and len(ids) < len(word)
+
+
+def test_slots_that_several_pairs_share(monkeypatch):
+    monkeypatch.setattr(B, "SLOT_BITS", 3)
+    vocabulary = {chr(97 + i): i for i in range(20)}
+    merges = [(a, b) for a in list(vocabulary) for b in list(vocabulary)]
+    vocabulary |= {a + b: 20 + i for i, (a, b) in enumerate(merges)}
+    table = B.BytePairs(vocabulary, merges)
+    assert table.found(table.keys).tolist() == list(range(400)) and set(table.found(table.keys + 20).tolist()) <= {-1, *range(400)}
+    assert table.found(np.array([25 << 32, 20, -1])).tolist() == [-1] * 3
