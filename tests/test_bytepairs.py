@@ -144,3 +144,14 @@ def test_slots_that_several_pairs_share(monkeypatch):
     table = B.BytePairs(vocabulary, merges)
     assert table.found(table.keys).tolist() == list(range(400)) and set(table.found(table.keys + 20).tolist()) <= {-1, *range(400)}
     assert table.found(np.array([25 << 32, 20, -1])).tolist() == [-1] * 3
+
+
+def test_decoded_lists_of_a_slice():
+    table = B.loaded(PATH)
+    many = pa.array(["ab cd", None, "", "é" * 9, "日本 x"])
+    ids = table.encoded(many)
+    assert table.decoded(ids.slice(2, 3)).to_pylist() == [b"", ("é" * 9).encode(), "日本 x".encode()]
+    assert table.decoded(ids.slice(1, 1)).to_pylist() == [None] and table.decoded(ids.slice(0, 0)).to_pylist() == []
+    assert B.BytePairs({"a": 0, "b": 2}, []).decoded(pa.array([[0, 2]])).to_pylist() == [b"ab"]
+    with pytest.raises(ValueError, match="not in the vocabulary"):
+        B.BytePairs({"a": 0, "b": 2}, []).decoded(pa.array([[1]]))
