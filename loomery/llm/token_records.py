@@ -22,17 +22,22 @@ import struct
 import uuid
 import zlib
 from array import array
-from itertools import accumulate
+from functools import cache
+from itertools import accumulate, chain, pairwise
 from unicodedata import is_normalized
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomery.llm.shared import file_system, lean, partitions_for, quoted, scratch
+from loomery.operators.bytepairs import slices
 
 END_ID = 2
 CACHE_WORDS = 900_000
-MARKS = b".,;:!?"
+MARKS = ".,;:!?"
+LAST_COMMON = "\u024f"  # up to it all versions of Unicode agree on letters and their case
+BPE_SETTINGS = ["unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges"]
+ENCODED_BYTES = 8 << 20
 JOINED_WORDS = 256
 TYPE_OF = {2: "H", 4: "I"}
 INDEX_ENTRY = "<QQQQ"
@@ -78,8 +83,9 @@ class WordEncoder:
 
     No token of such a tokenizer crosses white space, so a text's ids are those of its blank-separated words in order.
     Only ASCII blanks are split at; anything else is left to the tokenizer, which lower-cases. A word that ends in a run of
-    common marks after an ASCII letter or digit is its core and that run. Added tokens are matched before the tokenizer
-    lower-cases, so a word that holds one in any case is handed over as it is. The cache is emptied when it is full.
+    common marks after an ASCII letter or digit is its core and that run, and both are kept with A-Z lower-cased. Added
+    tokens are matched before the tokenizer lower-cases, so a word that holds one in any case is handed over as it is.
+    Texts are split, and their different words told apart, an Arrow array at a time. The cache is emptied when it is full.
     """
 
     def __init__(self, path: str, end_id: int = END_ID):
@@ -92,38 +98,28 @@ class WordEncoder:
         self.end = end_id.to_bytes(self.width, "little")
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         self.closing = {i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if suffix and t.endswith(suffix)}
-        self.added = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.plain = plain_words(path)
         self.known: dict[bytes, bytes] = {}
 
     def learn(self, words: list[bytes]) -> None:
-        """Puts the ids of new words into the cache."""
+        """Puts the ids of different new words, lower-cased where they hold no added token, into the cache."""
         known = self.known
-        if len(known) + 3 * len(words) > CACHE_WORDS:
+        if len(known) + len(words) > CACHE_WORDS:
             known.clear()
-        parts = {}
-        for word in words:
-            core, small = word.rstrip(MARKS), word.lower()
-            if any(x in small for x in self.added):
-                parts[word] = (word,)
-            elif not core or core == word or not core[-1:].isalnum():
-                parts[word] = (small,)
-            else:
-                parts[word] = (core.lower(), word[len(core) :])
-        new = [w for w in dict.fromkeys(p for own in parts.values() for p in own) if w not in known]
-        texts = {w: w.decode("utf-8", "surrogatepass") for w in new}
+        texts = {w: w.decode("utf-8", "surrogatepass") for w in words}
         plain = [w for w, t in texts.items() if t.isalpha() and t == t.lower() and is_normalized("NFC", t)]
-        for i in range(0, len(plain), JOINED_WORDS):
-            self._learn_joined(plain[i : i + JOINED_WORDS], texts)
-        rest = [w for w in new if w not in known]
+        common = [w for w in plain if w.isascii() or max(texts[w]) <= LAST_COMMON]
+        for own, tokenizer in ((common, self.plain), ([w for w in plain if not w.isascii() and max(texts[w]) > LAST_COMMON], self.tokenizer)):
+            for i in range(0, len(own), JOINED_WORDS):
+                self._learn_joined(own[i : i + JOINED_WORDS], texts, tokenizer)
+        rest = [w for w in words if w not in known]
         for word, got in zip(rest, self.tokenizer.encode_batch_fast([texts[w] for w in rest], add_special_tokens=False)):
             known[word] = array(TYPE_OF[self.width], got.ids).tobytes()
-        for word, own in parts.items():
-            if word not in known:
-                known[word] = b"".join(known[p] for p in own)
 
-    def _learn_joined(self, words: list[bytes], texts: dict[bytes, str]) -> None:
+    def _learn_joined(self, words: list[bytes], texts: dict[bytes, str], tokenizer) -> None:
         """Learns words of letters as one text: the ids of each end with the one id that closes a word."""
-        ids = self.tokenizer.encode_batch_fast([" ".join(texts[w] for w in words)], add_special_tokens=False)[0].ids
+        ids = tokenizer.encode_batch_fast([" ".join([texts[w] for w in words])], add_special_tokens=False)[0].ids
         closed = [i + 1 for i, x in enumerate(ids) if x in self.closing]
         if len(closed) == len(words) and closed[-1] == len(ids):
             data, start = array(TYPE_OF[self.width], ids).tobytes(), 0
@@ -131,19 +127,77 @@ class WordEncoder:
                 self.known[word] = data[start * self.width : end * self.width]
                 start = end
 
+    def _ids_of(self, words) -> list[bytes]:
+        """The ids of each of an Arrow array of different words."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        small = pc.ascii_lower(words)
+        cores = pc.binary_length(pc.ascii_rtrim(small, characters=MARKS)).to_numpy()
+        parts, tails = small.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist(), {}
+        for i in ((cores > 0) & (cores < pc.binary_length(small).to_numpy())).nonzero()[0].tolist():
+            word, n = parts[i], cores[i]
+            if word[n - 1 : n].isalnum():
+                parts[i], tails[i] = word[:n], word[n:]
+        for token in self.added:
+            for i in pc.indices_nonzero(pc.match_substring(small, token)).to_pylist():
+                parts[i] = words[i].as_py().encode()
+                tails.pop(i, None)
+        got = list(map(self.known.get, parts))
+        ends = {tail: self.known.get(tail) for tail in tails.values()}
+        new = [part for part, ids in zip(parts, got) if ids is None] + [tail for tail, ids in ends.items() if ids is None]
+        if new:
+            self.learn(list(dict.fromkeys(new)))  # which may forget others, but not these
+            got = [ids if ids is not None else self.known[part] for part, ids in zip(parts, got)]
+            ends = {tail: ids if ids is not None else self.known[tail] for tail, ids in ends.items()}
+        for i, tail in tails.items():
+            got[i] += ends[tail]
+        return got
+
+    def encoded_all(self, texts) -> list[bytes]:
+        """For each text of an Arrow array its ids and the end id, little-endian, width bytes each."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        split = pc.ascii_split_whitespace(texts.cast(pa.string()))
+        coded = split.flatten().dictionary_encode()
+        ids = pa.array(self._ids_of(coded.dictionary), pa.large_binary()).take(coded.indices)
+        if not len(ids):
+            return [self.end] * len(texts)
+        data, bounds = memoryview(ids.buffers()[2]), memoryview(ids.buffers()[1]).cast("q")
+        counts = pc.fill_null(pc.list_value_length(split), 0).to_numpy().tolist()
+        cuts = [bounds[i] for i in accumulate(counts, initial=0)]
+        return [b"".join((data[a:b], self.end)) for a, b in pairwise(cuts)]
+
     def encoded(self, text: str | None) -> bytes:
         """The ids of the text and the end id, little-endian, width bytes each."""
-        words = text.encode("utf-8", "surrogatepass").split() if text else []
-        got = list(map(self.known.get, words))
-        if None in got:
-            self.learn(list({w for w, ids in zip(words, got) if ids is None}))  # which may forget others, but not these
-            got = [ids if ids is not None else self.known[w] for w, ids in zip(words, got)]
-        return b"".join(got) + self.end
+        import pyarrow as pa
+
+        return self.encoded_all(pa.array([text], pa.string()))[0]
 
     def ids(self, text: str | None) -> list[int]:
         return array(TYPE_OF[self.width], self.encoded(text)).tolist()[:-1]
 
 
+@cache
+def plain_words(path: str):
+    """The tokenizer of a file for words that its normalizer and splitter leave as they are, set apart by blanks.
+
+    Its model is the file's, without a cache of words, as each word is looked up once. For other models it is the file's tokenizer.
+    """
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    if model.get("type") != "BPE":
+        return Tokenizer.from_file(path)
+    merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+    told = {k: model[k] for k in BPE_SETTINGS if model.get(k) is not None}
+    out = Tokenizer(models.BPE(vocab=model["vocab"], merges=merges, cache_capacity=0, **told))
+    out.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    return out
+
+
 _encoders: dict = {}
 
 
@@ -180,13 +234,13 @@ def write_records(
         offset = tokens = records = 0
         first = last = None
         for batch in batches:
-            for doc, body, part in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+            bodies = chain.from_iterable(map(encoder.encoded_all, slices(batch.column(1), ENCODED_BYTES)))
+            for doc, ids, part in zip(batch.column(0).to_pylist(), bodies, batch.column(2).to_pylist()):
                 if data is None:
                     shard, name = part, f"shard-{part:06d}-{uuid.uuid4().hex[:12]}"
                     data = fs.open_output_stream(f"{folder}/.{name}.rec.tmp")
                     index = fs.open_output_stream(f"{folder}/.{name}.idx.tmp")
                     first = doc
-                ids = encoder.encoded(body.as_py())
                 count = len(ids) // width
                 record = framed(payload_of(doc, ids, width))
                 data.write(record)

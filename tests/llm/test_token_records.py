@@ -2,8 +2,10 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from loomery.llm import token_records
 from loomery.llm.shared import file_system
 from loomery.llm.token_records import WordEncoder, framed, read_manifest, read_records, read_some, unframed, write_records
 
@@ -81,3 +83,27 @@ def test_shuffled_reads(spark, tmp_path):
         for doc, ids in read_some(path, shard["name"], places):
             seen[doc] = ids.tolist()
     assert seen == {i: whole(t) for i, t in rows}
+
+
+def test_a_word_is_learned_once_in_any_case_and_with_any_marks():
+    encoder = WordEncoder(PATH)
+    assert encoder.ids("Ab, AB. ab aB! ab, (ab)")[:1] == encoder.ids("ab")
+    assert set(encoder.known) == {b"ab", b",", b".", b"!", b"(ab)"}
+
+
+def test_arrays_of_texts_equal_whole_texts():
+    rng = random.Random(2)
+    texts = ODD + [None, "", " \n"] + [" ".join("".join(rng.choice("abéÉçßñøāŒ'.,<|") for _ in range(rng.randint(1, 9))) for _ in range(12)) for _ in range(300)]
+    library = WordEncoder(PATH).tokenizer
+    want = [np.array([*library.encode(t or "", add_special_tokens=False).ids, 2], "<u2").tobytes() for t in texts]
+    for kind in (pa.string(), pa.large_string()):
+        values, encoder = pa.array(texts, kind), WordEncoder(PATH)
+        assert encoder.encoded_all(values) == want and encoder.encoded_all(values.slice(5, 40)) == want[5:45]
+        assert encoder.encoded_all(values.slice(0, 0)) == [] and encoder.encoded_all(pa.array([None, ""], kind)) == [encoder.end] * 2
+
+
+def test_a_full_cache_forgets_nothing_that_is_needed(monkeypatch):
+    monkeypatch.setattr(token_records, "CACHE_WORDS", 5)
+    encoder = WordEncoder(PATH)
+    for t in ["one two, three", "four one. two,", "one! two? five six seven eight", "one, two."]:
+        assert encoder.ids(t) + [2] == whole(t)
